@@ -1,0 +1,126 @@
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from trustweave.operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
+from trustweave.sources import connectors
+from trustweave.streaming import ingest_stream
+
+DAY = dt.date(2026, 1, 1)
+
+
+def test_chunks_and_body(spark):
+    docs = spark.createDataFrame([("d", "T", ["x"], [("A", ["One.", "Two."]), ("E", []), ("B", ["Three."])])], "id string, title string, topics array<string>, sections array<struct<heading:string,sentences:array<string>>>")
+    rows = {r.section: r for r in ingest.chunks(docs).collect()}
+    lines = docs.select(ingest.body(F.col("title"), F.col("sections"))).first()[0].split("\n")
+    assert set(rows) == {"A", "B"}
+    assert (rows["A"].line_start, rows["A"].line_end, rows["B"].line_start) == (4, 5, 8)
+    assert lines[3] == "One." and lines[7] == "Three."
+
+
+def test_upsert_is_idempotent(spark):
+    batch = spark.createDataFrame([("a", "1"), ("b", "2")], "id string, content_hash string")
+    empty = spark.createDataFrame([], "id string, content_hash string, status string")
+    first = ingest.apply(batch, empty)
+    assert ingest.counts(ingest.classify(batch, first)).first()["unchanged"] == 2
+    gone = ingest.tombstones(first, batch.where("id = 'a'"))
+    assert [r.id for r in gone.collect()] == ["b"]
+    assert ingest.tombstones(first, batch.limit(0)).count() == 0
+    back = ingest.classify(spark.createDataFrame([("a", "9")], batch.schema), first.withColumn("status", F.lit("retracted"))).first()
+    assert (back.change, back.status) == ("updated", "retracted")
+
+
+def test_supersession_and_summary(spark):
+    d = [("a", "Leave v1", None, "policy", "active", dt.date(2024, 1, 1)), ("b", "Leave v2", None, "policy", "active", dt.date(2025, 1, 1)), ("c", "Leave", "BE", "policy", "active", DAY), ("e", "Leave", None, "chat", "active", DAY)]
+    docs = spark.createDataFrame(d, "id string, title string, country string, doc_type string, status string, updated_at date")
+    assert [tuple(r) for r in ingest.supersession(docs).collect()] == [("b", "a")]
+    v = "document_id string, pos int, section string, text string"
+    old = spark.createDataFrame([("a", 0, "S", "Notice is 5 days."), ("a", 1, "R", "Old.")], v)
+    new = spark.createDataFrame([("a", 0, "S", "Notice is 7 days."), ("a", 1, "N", "New.")], v)
+    assert ingest.change_summary(old, new).first().summary == "S: 5 days → 7 days; N: added; R: removed"
+
+
+def test_trust(spark):
+    row = spark.range(1).select(
+        trust.freshness(F.lit(90), F.lit(90)), trust.owner(F.lit(None).cast("boolean"), F.lit(True)), trust.scope(F.lit("BE"), F.lit("NL"), F.lit(True)),
+        trust.scope(F.lit(None).cast("string"), F.lit("NL"), F.lit(True)), trust.confidence(F.lit(0.8), F.lit(1.0)), trust.review_period(F.lit("manual")),
+    ).first()
+    assert tuple(row) == (0.5, 0.55, 0.0, 0.9, 1.0, 648)
+
+
+def test_understanding(spark):
+    q = spark.createDataFrame([("What is the notice period and who decides?",)], "q string")
+    assert q.select(understand.parts(F.col("q"))).first()[0] == ["What is the notice period", "who decides?"]
+    r = q.select(understand.rewrites(F.array(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit("d"), F.lit("e"))), F.lit("s"))).first()[0]
+    assert r == ["a", "b", "d", "e"]
+    c = spark.createDataFrame([(1, 1, 0.9, "BE"), (1, 2, 0.8, None), (1, 3, 0.7, "BE"), (1, 4, 0.6, "NL"), (2, 1, 0.9, None), (2, 2, 0.8, "NL")], "question_id int, chunk_id int, relevance double, country string")
+    assert {r.question_id: r.country for r in understand.inferred_country(c).collect()} == {1: "BE", 2: None}
+
+
+def test_reputation(spark):
+    edges = spark.createDataFrame([("p", "owns", "doc", "d", DAY, ["t"], "BE"), ("p", "listed", "topic", "t", DAY, ["t"], "BE"), ("q", "owns", "doc", "d", DAY, ["z"], None)], "person_id string, rel string, dst_kind string, dst_id string, at date, topics array<string>, country string")
+    docs = spark.createDataFrame([("d", ["t"], "NL", "policy")], "id string, topics array<string>, country string, doc_type string")
+    people = spark.createDataFrame([("p", "expert", 10, True), ("q", "HR team", 0, True)], "id string, role string, seniority_years int, active boolean")
+    scored = reputation.reputation(reputation.weigh(edges, docs, "2026-01-01"), people)
+    assert abs(scored.where("id = 'p'").first().raw - (2 * 0.3 + 1.5) * 1.15) < 1e-9
+    assert [r.id for r in reputation.experts(scored).collect()] == ["p"]
+
+
+def test_fusion_does_not_depend_on_order(spark):
+    rows = [(1, c, r, w) for c, r, w in [(1, 0, 1.0), (2, 1, 1.0), (2, 0, 0.6)]]
+    s = "query_id int, chunk_id int, rank int, weight double"
+    a, b = (retrieve.fuse(spark.createDataFrame(x, s)).orderBy("chunk_id").collect() for x in (rows, rows[::-1]))
+    assert a == b and abs(a[1].rrf - (1 / 21 + 0.6 / 20)) < 1e-8
+
+
+def test_clusters_keep_documents_apart(spark):
+    s = "sub_id long, chunk_id long, doc_id string, relevance double, topics array<string>, country string, tokens array<string>, vector array<double>, keys array<string>"
+    rows = [(1, 1, "a", 0.9, ["t"], None, ["x", "y"], [1.0, 0.0], []), (1, 2, "a", 0.8, ["t"], None, ["x", "y"], [1.0, 0.0], []), (1, 3, "b", 0.7, ["t"], None, ["x", "y"], [1.0, 0.0], []), (1, 4, "c", 0.6, ["t"], "BE", ["x", "y"], [1.0, 0.0], [])]
+    got = {r.chunk_id: r.cluster for r in analyse.leader_clusters(spark.createDataFrame(rows, s)).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 2}
+
+
+def test_members_and_duplicates(spark):
+    pairs = spark.createDataFrame([("Notice is 30 days for all staff.", "Notice is 60 days, says the chat."), ("Notice is 30 days.", "Notice is 30 days."), ("Notice is 30 days.", "Is notice 60 days?")], "winner_text string, text string")
+    assert [r.verdict for r in analyse.judge_members(pairs).collect()] == ["conflict", "duplicate", "supporting"]
+
+
+def test_verdicts(spark):
+    p = spark.createDataFrame([(1, 2, False, 1, False, 0, 0.8, 0.5), (2, 0, False, 0, False, 3, 0.5, 0.5), (3, 0, False, 0, False, 0, 0.5, 0.5)], "question_id int, strong int, disclaimed boolean, conflicts int, informal boolean, related int, confidence double, trust double")
+    s = answer.status(p)
+    assert [(r.status, r.confidence) for r in s.orderBy("question_id").collect()] == [("contested", 0.65), ("partial", 0.15), ("missing", 0.0)]
+    assert [r.verdict for r in answer.verdict(s).orderBy("question_id").collect()] == ["contested", "partial", "no answer"]
+
+
+def test_sweep(spark):
+    docs = spark.createDataFrame([("a", "p", None, "policy", dt.date(2020, 1, 1), None), ("b", "q", None, "policy", DAY, None), ("c", "p", None, "chat", dt.date(2020, 1, 1), None)], "id string, owner_id string, author_id string, doc_type string, updated_at date, validated_at date")
+    people = spark.createDataFrame([("p", True), ("q", False)], "id string, active boolean")
+    tasks = spark.createDataFrame([], "kind string, document_id string, done boolean")
+    got = sorted((r.kind, r.document_id) for r in lifecycle.sweep(docs, people, tasks, "2026-09-30").collect())
+    assert got == [("confirm_valid", "a"), ("reassign_owner", "b")]
+
+
+def test_connectors(spark):
+    sp = spark.createDataFrame([("1", "Leave.txt", "/drives/policies/be", "Intro here.\n## Rules\nFive days. Ask HR.")], "id string, name string, path string, content string")
+    r = connectors.sharepoint(sp).first()
+    assert (r.title, r.doc_type, r.country, [s.heading for s in r.sections]) == ("Leave", "policy", "BE", ["Overview", "Rules"])
+    cf = spark.createDataFrame([("1", "Page", ["policy", "nl"], "<p>Lead.</p><h2>Part</h2><p>Said so.</p>")], "id string, title string, labels array<string>, html string")
+    r = connectors.confluence(cf).first()
+    assert (r.doc_type, r.country, [s.heading for s in r.sections]) == ("policy", "NL", ["Overview", "Part"])
+    ji = spark.createDataFrame([("K-1", "Sum", '{"content":[{"text":"One."},{"content":[{"text":"Two."}]}]}', "Open", ["be", "client-acme"])], "key string, summary string, description string, status string, labels array<string>")
+    r = connectors.jira(ji).first()
+    assert (r.client, r.country, r.sections[0].sentences) == ("acme", "BE", ["One.", "Two."])
+    tm = spark.createDataFrame([("1", "pay", "short"), ("2", "pay", "<p>" + "long words " * 10 + "</p>")], "id string, channel string, content string")
+    assert [x.external_id for x in connectors.teams(tm).collect()] == ["2"]
+    me = spark.createDataFrame([("1", "Sync", "Ann: Decision: we pay on Monday.\nBob: Action: tell staff.\nAnn: Fine. Good. Great. More.")], "id string, subject string, transcript string")
+    r = connectors.meetings(me).first()
+    assert (r.decisions, r.actions, r.speakers) == (["we pay on Monday."], ["tell staff."], ["Ann"])
+    assert r.sections[-1].sentences == ["Fine.", "Good.", "Great."]
+
+
+def test_stream(spark, tmp_path):
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "id string, content_hash string").write.parquet(src)
+    units = spark.readStream.schema("id string, content_hash string").parquet(src)
+    ingest_stream.start(units, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.id, r.content_hash, r.status) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [("a", "2", "active"), ("b", "1", "active")]

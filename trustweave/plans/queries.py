@@ -1,0 +1,467 @@
+"""Queries of the engine's operators over the shared tables, each with the same result as DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..functions import vectors as v
+from ..operators import analyse, answer, ingest, lifecycle, retrieve, trust, understand
+from ..shipping import ship
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+AS_OF = "2001-12-31"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return ship(spark).read.parquet(f"{d}/{name}.parquet")
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + "]"
+_CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9€£%]+'), lambda x: length(x) > 2 AND NOT list_contains(" + _STOP + ", x)))"
+_ALL = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
+
+
+@query("""SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) WHERE trim(line) <> ''""")
+def chunk_lines(spark, d):
+    """U4: line-addressable passages."""
+    rows = _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    return rows.where(F.trim("line") != "").select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "line")
+
+
+@query("""WITH s AS (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents)
+SELECT doc_id, len(list_filter(x, lambda y: y <> ''))::BIGINT AS n_sentences, list_max(list_transform(x, lambda y: length(y)))::BIGINT AS longest FROM s""")
+def sentence_split(spark, d):
+    """Sentences."""
+    s = _t(spark, d, "documents").select("doc_id", t.sentences_any(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"))
+
+
+@query(f"SELECT doc_id, len({_CONTENT.format('text')})::BIGINT AS n_content, len({_ALL.format('text')})::BIGINT AS n_all FROM documents")
+def token_stats(spark, d):
+    """Token sets."""
+    return _t(spark, d, "documents").select("doc_id", F.size(t.content_tokens(F.col("text"))).cast("long").alias("n_content"), F.size(t.all_tokens(F.col("text"))).cast("long").alias("n_all"))
+
+
+@query("SELECT sha1(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(spark, d):
+    """Unchanged content by hash."""
+    return _t(spark, d, "documents").groupBy(F.sha1("text").alias("content_hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query("""SELECT array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(p_name || ' v' || p_size || ' final'), '\\b(copy|final|draft)\\b|\\bv(ersion)? ?\\d+(\\.\\d+)*\\b|\\b(19|20)\\d\\d\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('v', 'version', '')), ' ') AS stem,
+count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1""")
+def title_stem_groups(spark, d):
+    """Titles without version marks."""
+    title = F.concat("p_name", F.lit(" v"), F.col("p_size").cast("string"), F.lit(" final"))
+    return _t(spark, d, "part").groupBy(t.title_stem(title).alias("stem")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, sha1(o_orderstatus || CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END) AS h FROM orders WHERE o_orderkey % 5 <> 0),
+c AS (SELECT o_orderkey AS id, sha1(o_orderstatus) AS h, CASE o_orderkey % 3 WHEN 0 THEN 'archived' WHEN 1 THEN 'active' ELSE 'retracted' END AS status FROM orders WHERE o_orderkey % 4 <> 0)
+SELECT CASE WHEN c.h IS NULL THEN 'inserted' WHEN c.h = b.h THEN 'unchanged' ELSE 'updated' END AS change, coalesce(CASE WHEN c.status = 'archived' THEN 'active' ELSE c.status END, 'active') AS status, count(*) AS n FROM b LEFT JOIN c USING (id) GROUP BY 1, 2""")
+def upsert_classify(spark, d):
+    """Inserted, updated, unchanged."""
+    o = _t(spark, d, "orders")
+    new = F.concat("o_orderstatus", F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(""))
+    batch = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("id"), F.sha1(new).alias("content_hash"))
+    status = F.when(F.col("o_orderkey") % 3 == 0, "archived").when(F.col("o_orderkey") % 3 == 1, "active").otherwise("retracted")
+    current = o.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("id"), F.sha1("o_orderstatus").alias("content_hash"), status.alias("status"))
+    return ingest.classify(batch, current).groupBy("change", "status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey AS id, 'archived' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)")
+def tombstone_anti(spark, d):
+    """What a full sync did not see."""
+    current = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("active").alias("status"))
+    return ingest.tombstones(current, _t(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("id")).distinct())
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def latest_per_key(spark, d):
+    """Newest row of each key."""
+    rows = lifecycle.latest(_t(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return rows.select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT * FROM (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_custkey, nullif(o_orderpriority, '1-URGENT') ORDER BY o_orderdate, o_orderkey) AS supersedes_id FROM orders) WHERE supersedes_id IS NOT NULL")
+def supersession_chain(spark, d):
+    """The next older row of the same title stem and country."""
+    o = _t(spark, d, "orders")
+    docs = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("customer "), F.translate(F.col("o_custkey").cast("string"), "0123456789", "abcdefghij")).alias("title"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("country"), F.lit("policy").alias("doc_type"), F.lit("active").alias("status"), F.col("o_orderdate").alias("updated_at"))
+    return ingest.supersession(docs)
+
+
+@query("SELECT a.n_nationkey AS left_key, b.n_nationkey AS right_key FROM nation a JOIN nation b ON nullif(a.n_regionkey, 0) IS NOT DISTINCT FROM nullif(b.n_regionkey, 0) AND a.n_nationkey < b.n_nationkey")
+def null_safe_join(spark, d):
+    """Null is a value of its own."""
+    n = _t(spark, d, "nation").select("n_nationkey", F.nullif("n_regionkey", F.lit(0)).alias("r"))
+    a, b = n.select(F.col("n_nationkey").alias("left_key"), F.col("r").alias("ra")), n.select(F.col("n_nationkey").alias("right_key"), F.col("r").alias("rb"))
+    return a.join(b, F.col("ra").eqNullSafe(F.col("rb")) & (F.col("left_key") < F.col("right_key"))).select("left_key", "right_key")
+
+
+_TOPICS = [("grammar", "the"), ("grammar", "of the"), ("motion", "to"), ("place", "in"), ("german", "der"), ("german", "und"), ("french", "les"), ("spanish", "para")]
+_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _TOPICS)
+
+
+@query(f"""WITH k(topic, keyword) AS (VALUES {_VALUES}),
+h AS (SELECT item_id, topic, max(length(keyword)) AS len FROM benchmark, k WHERE regexp_matches(lower(text), '(^|[^a-z])' || keyword || '([^a-z]|$)') GROUP BY 1, 2)
+SELECT item_id AS question_id, string_agg(topic, ',' ORDER BY len DESC, topic DESC) AS topics FROM h GROUP BY 1""")
+def phrase_match_topics(spark, d):
+    """Q1/Q2: topics by longest keyword."""
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    found = understand.topics(q, spark.createDataFrame(_TOPICS, "topic string, keyword string"))
+    return found.select("question_id", F.array_join("topics", ",").alias("topics"))
+
+
+_TEAMS = [(1, "north", "th"), (2, "south", "on"), (3, "east", "er"), (4, "east", "ing"), (5, "west", "ch"), (6, "west", "qu")]
+_TEAM_VALUES = ", ".join(f"({p}, '{c}', '{k}')" for p, c, k in _TEAMS)
+
+
+@query(f"""WITH r(priority, code, keyword) AS (VALUES {_TEAM_VALUES}),
+h AS (SELECT doc_id, code, count(*) AS hits, min(priority) AS p FROM documents, r WHERE contains(lower(text), keyword) GROUP BY 1, 2)
+SELECT doc_id AS id, code, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, p) = 1""")
+def argmax_category(spark, d):
+    """Code with most keywords, the first of equals."""
+    return understand.most_hits(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), spark.createDataFrame(_TEAMS, "priority int, code string, keyword string"))
+
+
+@query(f"""WITH r(priority, code, keyword) AS (VALUES {_TEAM_VALUES}),
+h AS (SELECT item_id, arg_min(code, priority) AS code FROM benchmark, r WHERE regexp_matches(lower(text), '(^|[^a-z])' || keyword || '([^a-z]|$)') GROUP BY 1)
+SELECT b.item_id AS id, h.code FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id""")
+def priority_rule(spark, d):
+    """Q3/Q5: first rule that is met."""
+    return understand.first_hit(_t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), spark.createDataFrame(_TEAMS, "priority int, code string, keyword string"))
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+_KNN = """SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS sim
+FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0"""
+
+
+@query(f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) AS rank FROM ({_KNN}) QUALIFY rank <= 15")
+def knn_cosine_topk(spark, d):
+    """V3-V5: exact nearest neighbours of every hundredth vector."""
+    e = _vectors(spark, d)
+    found = retrieve.knn(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query()
+def hashed_embedding(spark, d):
+    """V2: hashed embeddings of the benchmark items (tested against a plain loop)."""
+    return v.hashed_embeddings(_t(spark, d, "benchmark"), "item_id", "text")
+
+
+@query(f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) - 1 AS r FROM ({_KNN}) QUALIFY r < 15),
+l AS (SELECT s.query_id, s.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY e.label, s.chunk_id) - 1 AS r FROM s JOIN embeddings e ON e.vec_id = s.chunk_id WHERE e.label > 0)
+SELECT query_id, chunk_id, round(sum(w / (20 + r)), 9) AS rrf FROM (SELECT query_id, chunk_id, r, 1.0::DOUBLE AS w FROM s UNION ALL SELECT query_id, chunk_id, r, 0.6::DOUBLE FROM l) GROUP BY 1, 2""")
+def rrf_fusion(spark, d):
+    """Reciprocal rank fusion of two rankings."""
+    e = _vectors(spark, d)
+    near = retrieve.knn(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e)
+    labelled = near.join(e.select("chunk_id", "label"), "chunk_id").where("label > 0")
+    second = labelled.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("label", "chunk_id")) - 1)
+    a = near.select("query_id", "chunk_id", (F.col("rank") - 1).alias("rank"), F.lit(1.0).alias("weight"))
+    return retrieve.fuse(a.unionByName(second.select("query_id", "chunk_id", F.col("r").alias("rank"), F.lit(0.6).alias("weight"))))
+
+
+_LEX = f"""WITH q AS (SELECT item_id, {_CONTENT.format('text')} AS t FROM benchmark), p AS (SELECT doc_id, {_CONTENT.format('text')} AS t FROM documents),
+a AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q), b AS (SELECT doc_id, unnest(t) AS w FROM p),
+x AS (SELECT item_id AS question_id, doc_id AS passage_id, round(count(*) / any_value(n)::DOUBLE, 6) AS lexical FROM a JOIN b USING (w) GROUP BY 1, 2)"""
+
+
+def _lexical(spark, d):
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), t.content_tokens(F.col("text")).alias("tokens"))
+    p = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), t.content_tokens(F.col("text")).alias("tokens"))
+    return retrieve.lexical(q, p).withColumn("lexical", F.round("lexical", 6))
+
+
+@query(_LEX + " SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, passage_id) AS rank FROM x QUALIFY rank <= 12")
+def lexical_overlap_topk(spark, d):
+    """Passages that hold most of a question's tokens."""
+    return retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 12).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_LEX + ", y AS (SELECT question_id, passage_id FROM x QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, passage_id) = 1)"
+       + f""", s AS (SELECT question_id, passage_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM y JOIN documents ON doc_id = passage_id),
+z AS (SELECT s.*, len(list_intersect({_CONTENT.format('line')}, q.t)) AS score FROM s JOIN q ON q.item_id = s.question_id)
+SELECT question_id, passage_id, line, score::BIGINT AS score FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos) = 1""")
+def lead_line(spark, d):
+    """K1: the line of the best passage that shares most with the question."""
+    best = retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 1)
+    q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), t.content_tokens(F.col("text")).alias("q"))
+    rows = best.join(_t(spark, d, "documents"), F.col("doc_id") == F.col("passage_id")).join(q, "question_id").select("question_id", "passage_id", "q", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("score", F.size(F.array_intersect(t.content_tokens(F.col("line")), "q")).cast("long"))
+    return retrieve.top(rows, ["question_id"], [F.desc("score"), "pos"], 1).select("question_id", "passage_id", "line", "score")
+
+
+@query(f"""WITH x AS (SELECT doc_id AS id, source || lang AS block, {_ALL.format('text')} AS t FROM documents WHERE n_chars < 400),
+p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.t, b.t)) AS m, len(a.t) AS na, len(b.t) AS nb FROM x a JOIN x b ON a.block = b.block AND a.id < b.id)
+SELECT id_a, id_b, round(m / (na + nb - m)::DOUBLE, 6) AS jaccard FROM p WHERE m / (na + nb - m)::DOUBLE >= CASE WHEN least(na, nb) < 20 THEN 0.75 ELSE 0.5 END""")
+def duplicate_pairs(spark, d):
+    """short texts of one source and language that are duplicates of each other."""
+    docs = _t(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), F.concat("source", "lang").alias("block"), t.all_tokens(F.col("text")).alias("tokens"))
+    return analyse.near_text_pairs(docs)
+
+
+_RENDER = "l_orderkey, l_linenumber, l_partkey, l_quantity::INT || ' days and ' || (l_quantity::INT % 3) || ' weeks' AS txt"
+
+
+@query(f"""WITH r AS (SELECT {_RENDER} FROM lineitem) SELECT l_orderkey, l_linenumber, array_to_string(regexp_extract_all(txt, '\\d+ (?:days|weeks)'), '; ') AS facts FROM r""")
+def fact_extract(spark, d):
+    """numbers with units."""
+    return _rendered(spark, d).select("l_orderkey", "l_linenumber", F.array_join(t.numeric_facts(F.col("txt")), "; ").alias("facts"))
+
+
+def _rendered(spark, d):
+    n = F.col("l_quantity").cast("int")
+    txt = F.concat(n.cast("string"), F.lit(" days and "), (n % 3).cast("string"), F.lit(" weeks"))
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", txt.alias("txt"))
+
+
+@query("""WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity::INT AS dd, l_quantity::INT % 3 AS ww FROM lineitem),
+w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) = 1)
+SELECT r.l_partkey, r.l_orderkey, r.l_linenumber, (CASE WHEN r.dd <> w.dd THEN 1 ELSE 0 END + CASE WHEN r.ww <> w.ww THEN 1 ELSE 0 END)::BIGINT AS n_differ FROM r JOIN w ON r.l_partkey = w.l_partkey WHERE (r.dd <> w.dd OR r.ww <> w.ww) AND NOT (r.l_orderkey = w.l_orderkey AND r.l_linenumber = w.l_linenumber)""")
+def contradiction_pairs(spark, d):
+    """Statements whose values differ from the first one about the same part."""
+    r = _rendered(spark, d).withColumn("u", t.by_unit(t.numeric_facts(F.col("txt"))))
+    w = lifecycle.latest(r, ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", F.col("u").alias("wu"))
+    differs = F.size(t.contradictions(F.col("wu"), F.col("u"))).cast("long")
+    return r.join(w, "l_partkey").select("l_partkey", "l_orderkey", "l_linenumber", differs.alias("n_differ")).where("n_differ > 0")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_type LIKE 'PROMO%' THEN 'cost=free' WHEN p_type LIKE 'STANDARD%' THEN 'cost=charged' END, CASE WHEN p_size > 25 THEN 'size=large' END], lambda x: x IS NOT NULL), ',') AS keys FROM part")
+def keyfacts_case(spark, d):
+    """key facts by first matching pattern."""
+    rules = [("cost", [("^PROMO", "free"), ("^STANDARD", "charged")]), ("size", [("(2[6-9]|[3-9][0-9])$", "large")])]
+    txt = F.concat_ws(" ", "p_type", F.lpad(F.col("p_size").cast("string"), 2, "0"))
+    return _t(spark, d, "part").select("p_partkey", F.array_join(t.key_facts(txt, rules), ",").alias("keys"))
+
+
+@query("""SELECT conv_id, turn, NOT (turn % 2 = 0) AND trim(text) <> '' AS asserts FROM conversations""")
+def question_detect(spark, d):
+    """texts that end in a question state nothing."""
+    said = F.concat("text", F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
+    return _t(spark, d, "conversations").select("conv_id", "turn", t.asserts(said).alias("asserts"))
+
+
+_HL = "CASE o_orderpriority WHEN '1-URGENT' THEN 90 WHEN '2-HIGH' THEN 120 WHEN '3-MEDIUM' THEN 180 ELSE 365 END"
+_KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'chat' WHEN '2-HIGH' THEN 'email' WHEN '3-MEDIUM' THEN 'meeting' ELSE 'wiki' END"
+
+
+def _orders(spark, d):
+    """Orders as documents: the priority stands for the type, customers for owners."""
+    return _t(spark, d, "orders").withColumn("doc_type", F.expr(_KIND)).withColumn("updated_at", F.to_date("o_orderdate")).withColumn("validated_at", F.when(F.col("o_orderkey") % 4 == 0, F.date_add(F.to_date("o_orderdate"), 100)))
+
+
+@query(f"SELECT o_orderkey, round(pow(0.5, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') / ({_HL})::DOUBLE), 6) AS freshness FROM orders")
+def freshness_decay(spark, d):
+    """Decay by half-life."""
+    days = trust.age(F.lit(AS_OF).cast("date"), F.col("updated_at"))
+    return _orders(spark, d).select("o_orderkey", F.round(trust.freshness(days, trust.half_life(F.col("doc_type"))), 6).alias("freshness"))
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}')::BIGINT AS age, {_HL} AS hl FROM orders)
+SELECT o_orderkey, age, age > CAST(floor(hl * 1.2) AS INT) AS review_due FROM a""")
+def review_due(spark, d):
+    """Effective dates and reviews."""
+    return lifecycle.due(_orders(spark, d), AS_OF).select("o_orderkey", F.col("age").cast("long").alias("age"), "review_due")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 0.55 ELSE 0.15 END WHEN c_acctbal >= 0 THEN 1.0 ELSE 0.35 END::DOUBLE AS owner FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def owner_score_case(spark, d):
+    """Owners and authors."""
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") >= 0).alias("alive"))
+    o = _t(spark, d, "orders").join(c, "o_custkey", "left")
+    owner = F.when(F.col("o_orderkey") % 9 != 0, F.col("alive"))
+    return o.select("o_orderkey", trust.owner(owner, F.when(F.col("o_orderkey") % 2 == 0, True)).cast("double").alias("owner"))
+
+
+@query("""SELECT c_custkey, CASE WHEN n_regionkey = 0 THEN least(1.0, 0.8 + x) WHEN n_regionkey = 1 THEN least(1.0, 1.0 + x) ELSE 0.0 END::DOUBLE AS scope FROM (SELECT c_custkey, n_regionkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.1 ELSE 0.0 END AS x FROM customer JOIN nation ON c_nationkey = n_nationkey)""")
+def scope_mask(spark, d):
+    """Scope by country, region 0 standing for global and region 1 for what is asked."""
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.nullif("n_regionkey", F.lit(0)).alias("country"))
+    c = _t(spark, d, "customer").join(n, "c_nationkey")
+    return c.select("c_custkey", F.round(trust.scope(F.col("country"), F.lit(1), F.col("c_mktsegment") == "BUILDING"), 6).cast("double").alias("scope"))
+
+
+_TRUST = f"""WITH x AS (SELECT o_orderkey, o_custkey, pow(0.5, date_diff('day', o_orderdate::DATE, DATE '{AS_OF}') / ({_HL})::DOUBLE) AS f,
+CASE WHEN c_acctbal >= 0 THEN 1.0 ELSE 0.35 END::DOUBLE AS o, CASE {_KIND} WHEN 'chat' THEN 0.5 WHEN 'email' THEN 0.55 WHEN 'meeting' THEN 0.75 ELSE 0.8 END::DOUBLE AS c,
+CASE WHEN o_orderstatus = 'F' THEN 0.15 ELSE 1.0 END::DOUBLE AS s, n_regionkey <> 4 AS ok FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+tr AS (SELECT o_orderkey, o_custkey, f, o, c, s, ok, round(CASE WHEN ok THEN 0.3::DOUBLE * f + 0.2::DOUBLE * o + 0.15::DOUBLE * 0.3::DOUBLE + 0.15::DOUBLE * c + 0.2::DOUBLE * s ELSE 0 END, 3) AS trust FROM x)"""
+
+
+def _trusted(spark, d):
+    c = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), (F.col("c_acctbal") >= 0).alias("alive"), (F.col("n_regionkey") != 4).alias("ok"))
+    o = _orders(spark, d).join(c, "o_custkey")
+    f = trust.freshness(trust.age(F.lit(AS_OF).cast("date"), F.col("updated_at")), trust.half_life(F.col("doc_type")))
+    s = F.when(F.col("o_orderstatus") == "F", 0.15).otherwise(F.lit(1.0))
+    own = trust.owner(F.col("alive"), F.lit(None).cast("boolean"))
+    return o.withColumn("owner", own).withColumn("channel", trust.channel(F.col("doc_type"))).withColumn("trust", trust.total(f, own, trust.authority(F.lit(None).cast("double")), F.col("channel"), s, F.col("ok")))
+
+
+@query(_TRUST + " SELECT o_orderkey, trust FROM tr")
+def trust_total(spark, d):
+    """Weighted total under the mask of scope."""
+    return _trusted(spark, d).select("o_orderkey", "trust")
+
+
+_REL = "round(((o_orderkey * 7919) % 1000) / 1000.0, 3)::DOUBLE"
+
+
+@query(_TRUST + f""", r AS (SELECT tr.*, {_REL} AS rel FROM tr) SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN rel >= 0.35 AND o_orderkey % 11 = 0 AND ok THEN 'disclaimer'
+WHEN o_orderkey % 13 = 0 THEN CASE WHEN rel >= 0.35 AND o_orderkey % 2 = 0 THEN 'unofficial' END WHEN NOT ok THEN CASE WHEN rel >= 0.35 AND o_orderkey % 2 = 0 THEN 'out_of_scope' END
+WHEN s < 1 THEN CASE WHEN rel >= 0.35 AND o_orderkey % 2 = 0 THEN 'outdated' END ELSE 'usable' END AS bucket FROM r) GROUP BY 1""")
+def bucket_router(spark, d):
+    """Where candidates go."""
+    k = F.col("o_orderkey")
+    rel = F.round(((k * 7919) % 1000) / 1000, 3)
+    b = trust.bucket(k % 11 == 0, rel, F.col("ok"), k % 13 == 0, F.col("o_orderstatus") == "F", k % 2 == 0)
+    return _trusted(spark, d).select(b.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(_TRUST + f""", r AS (SELECT tr.*, {_REL} AS rel, o_orderdate::DATE AS day FROM tr JOIN orders USING (o_orderkey)),
+g AS (SELECT *, rel >= 0.5 AND rel >= max(rel) OVER (PARTITION BY tr_cust) - 0.2::DOUBLE AND o = 1 AND c >= 0.75 AS fit FROM (SELECT *, o_custkey AS tr_cust FROM r))
+SELECT tr_cust AS o_custkey, o_orderkey FROM g QUALIFY row_number() OVER (PARTITION BY tr_cust ORDER BY fit DESC, CASE WHEN fit THEN (o_orderkey % 3 = 0)::INT ELSE 0.5 * rel + 0.5 * trust END DESC,
+CASE WHEN fit THEN epoch(day) ELSE 0 END DESC, CASE WHEN fit THEN trust ELSE 0 END DESC, CASE WHEN fit THEN rel ELSE 0 END DESC, o_orderkey) = 1""".replace("FROM tr JOIN orders USING (o_orderkey))", "FROM tr JOIN (SELECT o_orderkey, o_orderdate FROM orders) USING (o_orderkey))"))
+def winner_pick(spark, d):
+    """C4: the winner of each cluster."""
+    k = F.col("o_orderkey")
+    rows = _trusted(spark, d).withColumn("relevance", F.round(((k * 7919) % 1000) / 1000, 3)).withColumn("official", k % 3 == 0).withColumn("chunk_id", k)
+    return analyse.winners(rows, ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+_EV = "CASE event_type WHEN 'purchase' THEN 2.0 WHEN 'click' THEN 1.0 ELSE 0.5 END::DOUBLE"
+
+
+@query(f"SELECT user_id, count(*) AS events, round(sum({_EV} * pow(0.5, date_diff('day', ts::DATE, DATE '2024-01-31') / 365.0::DOUBLE)), 6) AS raw FROM events GROUP BY 1")
+def reputation_events(spark, d):
+    """Decayed weights of events."""
+    return _reputation(spark, d).select("user_id", "events", F.round("s", 6).alias("raw"))
+
+
+def _reputation(spark, d):
+    w = trust.lookup({"purchase": 2.0, "click": 1.0}, F.col("event_type"), 0.5)
+    decayed = w * F.pow(F.lit(0.5), F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts")) / 365)
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.sum(decayed).alias("s"))
+
+
+@query(f"""WITH r AS (SELECT user_id, sum({_EV} * pow(0.5, date_diff('day', ts::DATE, DATE '2024-01-31') / 365.0::DOUBLE)) AS s FROM events GROUP BY 1)
+SELECT user_id, round(100 * (1 - exp(-round(s, 6) / 2500)))::INT AS score FROM r ORDER BY score DESC, user_id LIMIT 20""")
+def expert_ranking(spark, d):
+    """The best by normalised reputation (a top-k report)."""
+    score = F.round(100 * (1 - F.exp(-F.round(F.col("s"), 6) / 2500))).cast("int")
+    return _reputation(spark, d).select("user_id", score.alias("score")).orderBy(F.desc("score"), "user_id").limit(20)
+
+
+@query("""SELECT 'customer:' || o_custkey AS src, 'ordered' AS rel, 'order:' || o_orderkey AS dst FROM orders
+UNION SELECT 'supplier:' || l_suppkey, 'supplied', 'part:' || l_partkey FROM lineitem UNION SELECT 'order:' || l_orderkey, 'holds', 'part:' || l_partkey FROM lineitem""")
+def graph_links(spark, d):
+    """Links of one hop."""
+    node = lambda k, c: F.concat(F.lit(f"{k}:"), F.col(c).cast("string"))
+    o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
+    a = o.select(node("customer", "o_custkey").alias("src"), F.lit("ordered").alias("rel"), node("order", "o_orderkey").alias("dst"))
+    b = li.select(node("supplier", "l_suppkey").alias("src"), F.lit("supplied").alias("rel"), node("part", "l_partkey").alias("dst"))
+    c = li.select(node("order", "l_orderkey").alias("src"), F.lit("holds").alias("rel"), node("part", "l_partkey").alias("dst"))
+    return a.union(b.distinct()).union(c.distinct())
+
+
+@query()
+def leader_clusters(spark, d):
+    """C11: greedy clusters of each hundred vectors' nearest neighbours (tested against a plain loop)."""
+    e = _vectors(spark, d)
+    near = retrieve.knn(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, 12)
+    rows = near.join(e, "chunk_id").select(F.col("query_id").alias("sub_id"), "chunk_id", F.col("chunk_id").alias("doc_id"), F.col("sim").alias("relevance"), F.array(F.col("label").cast("string")).alias("topics"), F.lit(None).cast("string").alias("country"), F.array().cast("array<string>").alias("tokens"), "vector", F.array().cast("array<string>").alias("keys"))
+    return analyse.leader_clusters(rows)
+
+
+_ST = "CASE o_orderstatus WHEN 'F' THEN 'answered' WHEN 'O' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'contested' ELSE 'partial' END ELSE 'missing' END"
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS question_id, {_ST} AS status, o_orderkey % 100 AS c FROM orders)
+SELECT question_id, round(avg(c), 2) AS confidence, count(*) AS n_parts, CASE WHEN bool_and(status = 'missing') THEN 'no answer' WHEN bool_or(status = 'contested') THEN 'contested'
+WHEN bool_and(status = 'answered') THEN 'answered' WHEN bool_or(status IN ('missing', 'partial')) THEN 'partial' ELSE 'informal' END AS verdict FROM s GROUP BY 1""")
+def status_verdict(spark, d):
+    """K5/K9: verdict over the statuses of parts."""
+    s = _t(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), F.expr(_ST).alias("status"), (F.col("o_orderkey") % 100).alias("confidence"))
+    return answer.verdict(s)
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS rn FROM lineitem), a AS (SELECT *, min(rn) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM n)
+SELECT l_orderkey, l_linenumber, 'E' || dense_rank() OVER (PARTITION BY l_orderkey ORDER BY f) AS cite_id FROM a""")
+def citation_ids(spark, d):
+    """K6: citation numbers in order of first use."""
+    return answer.cite(_t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_suppkey"], "l_suppkey").select("l_orderkey", "l_linenumber", "cite_id")
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, o_custkey, c_acctbal >= 0 AS alive, date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') > 438 AS due FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))
+SELECT CASE WHEN NOT alive THEN 'reassign_owner' ELSE 'confirm_valid' END AS kind, o_orderkey AS document_id, o_custkey AS assignee_id FROM x WHERE (NOT alive OR due) AND o_orderkey % 6 <> 0""")
+def sweep_tasks(spark, d):
+    """L2: tasks for reviews and owners, without those that are open."""
+    docs = _orders(spark, d).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), F.col("o_custkey").alias("author_id"), "doc_type", "updated_at", "validated_at")
+    people = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") >= 0).alias("active"))
+    open_ = docs.where("id % 6 = 0").select(F.col("id").alias("document_id"), F.explode(F.array(F.lit("reassign_owner"), F.lit("confirm_valid"))).alias("kind"), F.lit(False).alias("done"))
+    return lifecycle.sweep(docs, people, open_, AS_OF)
+
+
+@query(f"""WITH x AS (SELECT date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') AS age, {_HL} AS hl FROM orders)
+SELECT count(*) AS documents, count(*) FILTER (age <= 180) AS fresh, count(*) FILTER (age > CAST(floor(hl * 1.2) AS INT)) AS overdue, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_tasks FROM x""")
+def freshness_overview(spark, d):
+    """L3: counts over documents and tasks."""
+    return lifecycle.overview(_orders(spark, d), _t(spark, d, "orders").select((F.col("o_orderstatus") != "O").alias("done")), AS_OF)
+
+
+@query("SELECT o_custkey AS document_id, CASE arg_max(o_orderpriority, o_orderkey) WHEN '1-URGENT' THEN 'retracted' WHEN '2-HIGH' THEN 'archived' WHEN '3-MEDIUM' THEN 'needs_update' ELSE 'active' END AS status FROM orders GROUP BY 1")
+def current_status(spark, d):
+    """L4: the status that a log of actions leaves."""
+    action = F.expr("CASE o_orderpriority WHEN '1-URGENT' THEN 'retract' WHEN '2-HIGH' THEN 'archive' WHEN '3-MEDIUM' THEN 'request_update' WHEN '5-LOW' THEN 'validate' ELSE 'restore' END")
+    return lifecycle.current_status(_t(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("seq"), action.alias("action")))
+
+
+@query("SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h1, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_paragraphs, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))::BIGINT AS n_stripped FROM pages")
+def html_strip(spark, d):
+    """Headings, paragraphs and text without tags."""
+    from ..sources.connectors import strip_tags
+
+    p = _t(spark, d, "pages")
+    return p.select("page_id", F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"), (F.size(F.split("html", "<p>")) - 1).cast("long").alias("n_paragraphs"), F.length(strip_tags(F.col("html"))).cast("long").alias("n_stripped"))
+
+
+@query("""SELECT conv_id, count(*) FILTER (turn % 3 = 0) AS n_decisions, count(*) FILTER (turn % 3 = 1) AS n_actions, count(DISTINCT role) FILTER (turn % 3 = 2) AS n_speakers FROM conversations GROUP BY 1""")
+def transcript_extract(spark, d):
+    """Decisions, actions and speakers of transcripts."""
+    from ..sources.connectors import meetings
+
+    line = F.concat(F.when(F.col("turn") % 3 == 0, "Decision: ").when(F.col("turn") % 3 == 1, "Action: ").otherwise(F.concat("role", F.lit(": "))), F.regexp_replace("text", r"\s+", " "))
+    calls = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
+    out = meetings(calls.select(F.col("conv_id").alias("id"), F.lit("call").alias("subject"), "transcript"))
+    return out.select(F.col("external_id").alias("conv_id"), F.size("decisions").cast("long").alias("n_decisions"), F.size("actions").cast("long").alias("n_actions"), F.size("speakers").cast("long").alias("n_speakers"))
+
+
+@query("SELECT event_type, count(*) AS n, sum((props->>'$.k')::INT)::BIGINT AS total FROM events GROUP BY 1")
+def json_props(spark, d):
+    """Values inside JSON."""
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("total"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM customer) AS customers, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS events")
+def health_counts(spark, d):
+    """Row counts."""
+    n = lambda name: _t(spark, d, name).agg(F.count("*").alias(name if name != "customer" else "customers"))
+    return n("orders").crossJoin(n("customer")).crossJoin(n("documents")).crossJoin(n("events"))
