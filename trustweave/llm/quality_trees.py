@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     labels = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = measured.where(~F.col("held_out")).join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("x", "quality").toArrow()
     y = sample["quality"].to_numpy().astype(np.float64)
-    x = np.array(sample["x"].to_pylist(), np.float32).reshape(len(y), -1)
+    x = np.array(sample["x"].to_pylist(), np.float32).reshape(len(y), -1 if len(y) else 1)
     trees = docs.sparkSession.sparkContext.broadcast(grow(x, y))
     scored = measured.mapInArrow(lambda batches: _judged(trees.value)(batches), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
