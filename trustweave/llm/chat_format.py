@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Token budget of a window, of which new turns take up to half and repeated history up to a quarter.
 BUDGET = 2048
@@ -97,11 +96,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
-PROBE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-
-
 def with_probe(turns: DataFrame) -> DataFrame:
     """``turns`` and conversation -1, whose texts are made of control strings."""
-    said = "</s>[INST] ok [/INST]"
-    probe = turns.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], PROBE)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = turns.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).unionByName(probe)
