@@ -60,10 +60,10 @@ class Vocabulary:
         self.prefixes, self.whole, self.ids = [], [], []
         for k in range(1, self.longest + 1):
             some = size >= k
-            self.prefixes.append(np.unique(h(first[some], first[some] + k)))
+            self.prefixes.append(Table(np.unique(h(first[some], first[some] + k))))
             full = h(first[size == k], first[size == k] + k)
             order = np.argsort(full)
-            self.whole.append(full[order])
+            self.whole.append(Table(full[order]))
             self.ids.append(ids[size == k][order])
         rank = np.arange(len(pieces)) - words[0][0]
         self.score = np.where([isinstance(p, bytes) for p in pieces], -np.log(np.maximum(rank, 0) + _ZIPF), _BYTE)
@@ -78,9 +78,28 @@ class Vocabulary:
         return self.raw[np.repeat(self.at[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
-def _member(values: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    i = np.minimum(np.searchsorted(table, values), len(table) - 1) if len(table) else np.zeros(len(values), np.int64)
-    return (table[i] == values if len(table) else np.zeros(len(values), bool)), i
+class Table:
+    """Sorted hashes with an index over their leading bits."""
+
+    def __init__(self, values: np.ndarray):
+        self.values, bits = values, 17
+        self.shift = np.uint64(64 - bits)
+        slot = (values >> self.shift).astype(np.int64)
+        self.first = np.searchsorted(slot, np.arange(1 << bits))
+        count = np.bincount(slot, minlength=1 << bits)
+        self.some, self.most = count > 0, int(count.max(initial=0))
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``values`` are in the table, as places in ``values``, and where."""
+        slot = (values >> self.shift).astype(np.int64)
+        who = np.flatnonzero(self.some[slot])
+        at, hit = self.first[slot[who]], np.zeros(len(who), bool)
+        found = at.copy()
+        for k in range(self.most):
+            i = np.minimum(at + k, len(self.values) - 1)
+            same = self.values[i] == values[who]
+            found[same], hit = i[same], hit | same
+        return who[hit], found[hit]
 
 
 class Lattice:
@@ -105,22 +124,26 @@ class Lattice:
             if not len(alive):
                 break
             key = h(pos[alive], pos[alive] + k)
-            alive, key = (x[_member(key, vocab.prefixes[k - 1])[0]] for x in (alive, key))
-            hit, i = _member(key, vocab.whole[k - 1])
+            hit, _ = vocab.prefixes[k - 1].find(key)
+            alive, key = alive[hit], key[hit]
+            hit, i = vocab.whole[k - 1].find(key)
             at = alive[hit]
             known[at] |= char[at] == k
             starts.append(at)
             ends.append(at + k)
-            pieces.append(vocab.ids[k - 1][i[hit]] if hit.any() else np.zeros(0, np.int64))
+            pieces.append(vocab.ids[k - 1][i])
         bare = np.flatnonzero((left > 0) & lead & ~known)
         for k in range(4):
             b = bare[(char[bare] > k) & (left[bare] > k)] + k
             starts.append(b)
             ends.append(b + 1)
             pieces.append(vocab.byte[buf[pos[b]]])
-        start, end, piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
-        order = np.lexsort((start, left[start]))  # from the units' ends backwards
-        start, end, piece = start[order], end[order], piece[order]
+        # by node, long pieces (the likely ones) first
+        start, end, piece = (np.concatenate(x[::-1]) for x in (starts, ends, pieces))
+        order = np.argsort(start.astype(np.int32), kind="stable")
+        self.start, self.end, self.piece = start[order], end[order], piece[order]
+        back = np.argsort(left[self.start].astype(np.int16), kind="stable")  # from the units' ends backwards
+        start, end, piece = self.start[back], self.end[back], self.piece[back]
         score = vocab.score[piece]
         mass = np.full(n, -np.inf)
         mass[left == 0] = 0
@@ -138,21 +161,29 @@ class Lattice:
                 m = top + np.log(np.add.reduceat(np.exp(np.where(np.isfinite(v), v - top[of], -np.inf)), i))
                 logp[a:b] = np.where(np.isfinite(v), v - m[of], -np.inf)
             mass[start[a:b][i]] = np.where(np.isfinite(top), m, -np.inf)
-        order = np.argsort(start, kind="stable")
-        self.start, self.end, self.piece, self.logp = start[order], end[order], piece[order], logp[order]
+        self.logp = np.empty_like(logp)
+        self.logp[back] = logp
+        start = self.start
         self.p = np.exp(self.logp)
         head = np.concatenate([[True], self.start[1:] != self.start[:-1]]) if len(start) else np.zeros(0, bool)
         i = np.flatnonzero(head)
         total = np.cumsum(self.p)
         self.below = total - self.p - np.repeat((total - self.p)[i], np.diff(np.append(i, len(start)))) if len(start) else total
-        self.edge = self.start + np.minimum(self.below + self.p, 1 - 1e-12)
-        last = np.append(i[1:] - 1, len(start) - 1) if len(start) else i
-        self.edge[last] = self.start[last] + 1 - 1e-12
+        self.above = self.below + self.p
+        if len(i):
+            self.above[np.append(i[1:] - 1, len(start) - 1)] = np.inf
+        self.out = np.zeros(n, np.int64)
+        self.out[self.start[i]] = i
         self.done = left == 0
 
     def arc(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The arc of each node at u of its probability."""
-        return np.searchsorted(self.edge, node + np.minimum(u, 1 - 1e-9))
+        at = self.out[node]
+        more = np.flatnonzero(u >= self.above[at])
+        while len(more):
+            at[more] += 1
+            more = more[u[more] >= self.above[at[more]]]
+        return at
 
     def draw(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Paths from nodes to their units' ends: which path, step and arc, in no order."""
@@ -300,7 +331,7 @@ def sample(vocab: Vocabulary, buf: np.ndarray, at: np.ndarray, key: np.ndarray,
         if not parts:
             break
         who, step, arc = (np.concatenate(c) for c in zip(*parts, strict=True))
-        paths.append(path(who, step, arc, top, turn, of))
+        paths.append(path(who, step, arc, top, turn, np.where(np.isfinite(top), of, -1)))
         open_.append(rests(paths[-1], s))
     threshold = best()[0]
     return [(lattice.piece[p["arc"]], p["offs"], p["logp"], p["g"]) for p in paths], threshold
