@@ -21,6 +21,11 @@ BANDS, ROWS = 24, 5
 #: A pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**24 = 8e-7.
 PLACES = BANDS * ROWS
 LINK, OF = 85, 100
+#: In buckets that stay open, longer signatures (a byte a place) decide which pairs are verified: those that
+#: agree in this many places. At similarity 0.85 fewer do once in a million (4.75 standard deviations).
+FINE, AGREE = 1024, 816
+#: Members of a bucket that are compared at once.
+BLOCK = 512
 _RANK = np.uint64(48)
 
 
@@ -46,7 +51,7 @@ def superminhash(elements: np.ndarray, offs: np.ndarray, places: int = PLACES) -
         live = open_[doc]
         if perm is None:
             e, doc, k = e[live], doc[live], k[live]
-            perm = np.broadcast_to(np.arange(places, dtype=np.uint8), (len(e), places)).copy()
+            perm = np.broadcast_to(np.arange(places, dtype=np.uint16), (len(e), places)).copy()
             perm[np.arange(len(e)), k] = 0
         elif not live.all():
             e, doc, perm = e[live], doc[live], perm[live]
@@ -104,6 +109,55 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _fine(batches):
+    """Long signatures of sets, a few thousand elements at a time."""
+    for batch in batches:
+        data, offs = tk.column(batch, "elements")
+        for lo, hi, buf, at in tk.slices(data, offs, 1 << 16):
+            sig = tk.mix(superminhash(np.frombuffer(buf.tobytes(), np.uint64), at // 8, FINE)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in sig], pa.binary())], names=["node", "sig"])
+
+
+def _likely(batches):
+    """Pairs of different groups within each key whose signatures agree nearly enough; rows arrive sorted by key."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= 4096:
+            table = pa.Table.from_batches(held)
+            key = table["key"].to_numpy()
+            split = int(np.searchsorted(key, key[-1]))
+            if split:
+                yield _compared(table.slice(0, split))
+            held = table.slice(split).combine_chunks().to_batches()
+    if held:
+        yield _compared(pa.Table.from_batches(held))
+
+
+def _compared(table: pa.Table) -> pa.RecordBatch:
+    table = table.combine_chunks()
+    key, band, node, n, comp = (table[c].to_numpy() for c in ("key", "band", "node", "n", "component"))
+    bands = np.array(table["bands"].to_pylist(), np.int64).reshape(-1, BANDS)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, FINE)
+    first_block = table["block"].to_numpy() == table["one"].to_numpy()
+    u, v = [], []
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        left = np.flatnonzero(first_block[a:b]) + a
+        right = np.flatnonzero(~first_block[a:b]) + a
+        within = not len(right)
+        for i, x in enumerate(left.tolist()):
+            y = left[i + 1 :] if within else right
+            y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) * OF >= np.maximum(n[y], n[x]) * LINK)]
+            if len(y):
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= AGREE]
+            if len(y):
+                y = y[(bands[y] == bands[x]).argmax(axis=1) == band[x]]
+                u.append(np.full(len(y), node[x]))
+                v.append(node[y])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in (u, v)], names=["u", "v"])
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id: long, text: string; other columns are ignored).
 
@@ -115,9 +169,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     give repeated rows; an empty table gives an empty result.
 
     Equal sets become one class first, so copies cost nothing later. In each band bucket every class
-    is compared with the smallest one; then the classes of buckets that still hold several groups are
-    compared with 32 times as many others at each step, until no bucket holds an uncompared pair of
-    different groups. So no link between groups is lost and no bucket emits all its pairs up front.
+    is compared with the one that meets most others. Buckets that then still hold several groups compare
+    all their pairs of different groups by signature, in blocks of bounded size spread over the tasks, and
+    only pairs that agree nearly enough are verified; a pair counts in its first common band alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = cut(docs.mapInArrow(_signed, "doc_id long, n_shingles long, fp long, bands array<long>"))
@@ -125,8 +179,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     members = classes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.count("*").alias("c"), F.min("node").alias("low")).where("c > 1")
-    shared = cut(members.join(buckets, ["band", "hash"]))
+    buckets = members.groupBy("band", "hash").agg(F.count("*").alias("c")).where("c > 1")
+    shared = members.join(buckets, ["band", "hash"])
+    # how many others a class meets over its bands: the text that copies were made from meets the most
+    fame = cut(shared.groupBy("node").agg(F.sum("c").alias("fame")))
+    shared = cut(shared.join(fame, "node"))
     similar = lambda a, b: F.least(a, b) * OF >= F.greatest(a, b) * LINK
 
     wanted = classes.select("node", "first_id").join(shared.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
@@ -138,24 +195,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         b = sets.select(F.col("node").alias("v"), F.col("elements").alias("y"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_linked, "u long, v long")
 
-    sizes = shared.select("node", "n").distinct().select(F.col("node").alias("low"), F.col("n").alias("low_n"))
-    star = shared.where("node <> low").join(sizes, "low").where(similar(F.col("n"), F.col("low_n")))
-    edges = cut(verified(star.select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()))
-    done = 1
-    while True:
-        groups = components(edges)
-        open_ = shared.where(F.col("c") > max(2, done)).join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "hash")
-        ranked = open_.join(mixed, ["band", "hash"], "left_semi").withColumn("rank", F.expr("row_number() OVER (PARTITION BY band, hash ORDER BY node)"))
-        ranked = cut(ranked.select("band", "hash", "node", "n", "component", "rank"))
-        if ranked.isEmpty():
-            break
-        pivots = ranked.where((F.col("rank") > done) & (F.col("rank") <= 32 * done)).select(
-            "band", "hash", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"), F.col("rank").alias("vr")
-        )
-        pairs = ranked.join(pivots, ["band", "hash"]).where((F.col("rank") > F.col("vr")) & (F.col("component") != F.col("vc")) & similar(F.col("n"), F.col("vn")))
-        edges = cut(edges.union(verified(pairs.select(F.col("node").alias("u"), "v").distinct())))
-        done *= 32
+    famous = shared.groupBy("band", "hash").agg(F.max(F.struct("fame", "node", "n")).alias("top"))
+    star = shared.join(famous, ["band", "hash"]).where((F.col("node") != F.col("top.node")) & similar(F.col("n"), F.col("top.n")))
+    edges = cut(verified(star.select(F.col("node").alias("u"), F.col("top.node").alias("v")).distinct()))
+    # buckets that still hold several groups: all their pairs, compared by signature in blocks
+    groups = components(edges)
+    open_ = shared.where("c > 2").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = open_.groupBy("band", "hash").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("band", "hash")
+    rows = open_.join(mixed, ["band", "hash"], "left_semi")
+    fine = sets.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_fine, "node long, sig binary")
+    rows = rows.join(classes.select("node", "bands"), "node").join(fine, "node")
+    blocks = F.ceil(F.col("c") / BLOCK)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("key", F.xxhash64("band", "hash", F.least("block", "other"), F.greatest("block", "other")))
+    rows = rows.select("key", "band", "node", "n", "component", "bands", "sig", "block", F.least("block", "other").alias("one"))
+    likely = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_likely, "u long, v long")
+    edges = cut(edges.union(verified(likely.distinct())))
+    groups = components(edges)
     groups = classes.select("node", "first_id").join(groups, "node")
     lows = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = groups.join(lows, "component").select("node", "component_id")
