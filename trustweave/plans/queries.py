@@ -384,7 +384,7 @@ def graph_links(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    """C11: greedy clusters of each hundred vectors' nearest neighbours (tested against a plain loop)."""
+    """C11: greedy clusters of each hundred vectors' nearest neighbours (tested on a small fixture)."""
     e = _vectors(spark, d)
     near = retrieve.knn(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, 12)
     rows = near.join(e, "chunk_id").select(F.col("query_id").alias("sub_id"), "chunk_id", F.col("chunk_id").alias("doc_id"), F.col("sim").alias("relevance"), F.array(F.col("label").cast("string")).alias("topics"), F.lit(None).cast("string").alias("country"), F.array().cast("array<string>").alias("tokens"), "vector", F.array().cast("array<string>").alias("keys"))
