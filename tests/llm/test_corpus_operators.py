@@ -173,6 +173,8 @@ def test_html(spark):
     assert html_text.main_text("") == "" and html_text.main_text("plain < text") == "plain < text"
     assert html_text.main_text("<p>a<div>b</div>c") == "a\nb\nc"
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
+    same = html_text.template_candidates("<ul  class='x'><li>a\n b</ul>") & html_text.template_candidates("<p>z</p><ul class='x'><li>a b</li></ul>")
+    assert len(same) == 2 and not html_text.template_candidates("<ul><li>a</ul>") & html_text.template_candidates("<ul><li>b</ul>")
     body = "<html><body><div>{n}</div><div class=x>Follow us everywhere</div><p>Text {n}</p></body></html>"
     rows = [(i, f"http://h.org/{i}", body.format(n=i)) for i in range(4)] + [(4, "http://g.org/1", body.format(n=4)), (5, None, None), (None, "odd", ""), (0, "http://h.org/0", body.format(n=0))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("template", F.lit(1))

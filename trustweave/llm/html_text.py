@@ -15,6 +15,8 @@ from .scratch import cut
 
 #: A subtree on at least so many pages of a host, and on this share of them, is part of its template.
 PAGES, SHARE = 3, 0.3
+#: Up to so many template subtrees in all (8 bytes each) the table of hosts is broadcast; beyond, joined.
+SENT = 200_000
 
 # Names of HTML elements by their part in a page, and words that mark furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,10 +43,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("attrs", "end", "items", "start", "tag")
+    __slots__ = ("attrs", "hash", "items", "tag")
 
-    def __init__(self, tag: str, attrs: str, start: int):
-        self.tag, self.attrs, self.start, self.end, self.items = tag, attrs, start, -1, []
+    def __init__(self, tag: str, attrs: str):
+        self.tag, self.attrs, self.hash, self.items = tag, attrs, 0, []
+
+    def seal(self) -> None:
+        """Hash name, attributes and items; inner nodes are sealed before, so a page is hashed once however deep it nests."""
+        parts = [x if isinstance(x, str) else f"{x.hash:x}" for x in self.items]
+        self.hash = xxhash.xxh3_64_intdigest(" ".join("\0".join([self.tag, self.attrs, *parts]).split()).encode("utf-8", "surrogatepass"))
 
     def marked(self) -> bool:
         """Whether name, class, id or role says that this is page furniture."""
@@ -60,14 +67,19 @@ class Node:
 
 def parse(page: str) -> Node:
     """The element tree: items are nodes and text pieces in order. Missing end tags are supplied."""
-    root = Node("", "", 0)
+    root = Node("", "")
     stack, at = [root], 0
+    opened = {"": 1}
 
-    def close(until: int, where: int) -> None:
+    def close(until: int) -> None:
         while len(stack) > until:
-            stack.pop().end = where
+            node = stack.pop()
+            opened[node.tag] -= 1
+            node.seal()
 
     def innermost(names, bounds=()) -> int:
+        if len(names) == 1 and not opened.get(names[0], 0):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 return i
@@ -90,35 +102,38 @@ def parse(page: str) -> Node:
         if m[1]:
             i = innermost((tag,), ("table", "td", "th") if tag in INLINE else ())
             if i:
-                close(i, at)
+                close(i)
             elif tag == "p":
-                stack[-1].items.append(Node("p", "", at))
+                empty = Node("p", "")
+                empty.seal()
+                stack[-1].items.append(empty)
             continue
         if tag in CLOSES_P and (i := innermost(("p",), ("td", "th", "button", "object"))):
-            close(i, m.start())
+            close(i)
         if tag == "li" and (i := innermost(("li",), ("ul", "ol", "menu"))):
-            close(i, m.start())
+            close(i)
         elif tag in ("dd", "dt") and (i := innermost(("dd", "dt"), ("dl",))):
-            close(i, m.start())
+            close(i)
         elif tag in ("td", "th") and (i := innermost(("td", "th"), ("tr", "table"))):
-            close(i, m.start())
+            close(i)
         elif tag == "tr" and (i := innermost(("tr",), ("table",))):
-            close(i, m.start())
+            close(i)
         elif tag == "option" and (i := innermost(("option",), ("select",))):
-            close(i, m.start())
-        node = Node(tag, m[3], m.start())
+            close(i)
+        node = Node(tag, m[3])
         stack[-1].items.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             stop = end.start() if end else size
             node.items.append(page[at:stop])
             at = end.end() if end else size
-            node.end = at
+            node.seal()
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
         else:
-            node.end = at
-    close(0, size)
+            node.seal()
+    close(0)
     return root
 
 
@@ -132,14 +147,10 @@ def _walk(root: Node):
         stack += [(x, inside) for x in reversed(node.items) if isinstance(x, Node)]
 
 
-def subtree_hash(page: str, node: Node) -> int:
-    return xxhash.xxh3_64_intdigest(_SPACE.sub(" ", page[node.start : node.end])) - (1 << 63)
-
-
 def template_candidates(page: str) -> set[int]:
     """Hashes of the element subtrees that can be template: all but the page's skeleton and the prose of its articles."""
     return {
-        subtree_hash(page, node)
+        node.hash - (1 << 63)
         for node, inside in _walk(parse(page))
         if node.tag not in ("", "html", "head", "body", "article", "main", "br", "meta", "link") and node.tag not in INLINE and not (inside and node.tag in PROSE)
     }
@@ -173,7 +184,7 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
             if item.tag == "header" and not any(n.tag == "h1" for n, _ in _walk(item)):
                 continue
             if template and item.tag not in ("", "html", "body", "article", "main") and item.tag not in INLINE and not (inside and not whole and item.tag in PROSE):
-                if subtree_hash(page, item) in template:
+                if item.hash - (1 << 63) in template:
                     continue
             inside = inside or item.tag in ("article", "main")
             if item.tag in BLOCKS:
@@ -186,10 +197,10 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
 
 def _hashed(batches):
     for batch in batches:
-        found = [sorted(template_candidates(p or "")) for p in batch.column(2).to_pylist()]
+        found = [sorted(template_candidates(p or "")) for p in batch.column(1).to_pylist()]
         offs = np.concatenate([[0], np.cumsum([len(f) for f in found])])
         flat = np.array([x for f in found for x in f], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat))], names=["rid", "host", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int64()))], names=["host", "hashes"])
 
 
 def _extracted(batches):
@@ -214,12 +225,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), host.alias("host"))
-    # pages are told apart by what they hold, so ids may repeat or be null
-    pages = pages.withColumn("rid", F.xxhash64("host", "html"))
-    hashed = cut(pages.select("rid", "host", "html").mapInArrow(_hashed, "rid long, host string, hashes array<long>"))
-    total = hashed.groupBy("host").agg(F.count("*").alias("pages"))
-    often = hashed.select("host", F.explode("hashes").alias("x")).groupBy("host", "x").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    often = cut(often.join(total, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "x"))
-    of_page = hashed.select("host", "rid", F.explode("hashes").alias("x")).join(often, ["host", "x"]).groupBy("rid").agg(F.collect_set("x").alias("template"))
-    joined = pages.join(of_page, "rid", "left").select("page_id", "url", "html", "template")
+    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    hashes = pages.select("host", "html").mapInArrow(_hashed, "host string, hashes array<long>").select("host", F.explode("hashes").alias("x"))
+    often = hashes.groupBy("host", "x").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    often = often.join(total, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    # a host has at most (mean subtrees of a page) / SHARE of them
+    often = cut(often.groupBy("host").agg(F.collect_list("x").alias("template")))
+    size = often.agg(F.sum(F.size("template"))).first()[0] or 0
+    joined = pages.join(F.broadcast(often) if size <= SENT else often, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
