@@ -89,7 +89,35 @@ def test_verdicts(spark):
     p = spark.createDataFrame([(1, 2, False, 1, False, 0, 0.8, 0.5), (2, 0, False, 0, False, 3, 0.5, 0.5), (3, 0, False, 0, False, 0, 0.5, 0.5)], "question_id int, strong int, disclaimed boolean, conflicts int, informal boolean, related int, confidence double, trust double")
     s = answer.status(p)
     assert [(r.status, r.confidence) for r in s.orderBy("question_id").collect()] == [("contested", 0.65), ("partial", 0.15), ("missing", 0.0)]
-    assert [r.verdict for r in answer.verdict(s).orderBy("question_id").collect()] == ["contested", "partial", "no answer"]
+    assert [r.verdict for r in answer.verdict(s).orderBy("question_id").collect()] == ["Grounded answer, conflict flagged", "Low confidence answer", "No grounded answer found"]
+    mixed = spark.createDataFrame([(1, "answered", 0.9), (1, "missing", 0.0), (2, "answered", 0.8), (3, "informal", 0.5), (3, "answered", 0.6)], "question_id int, status string, confidence double")
+    assert [r.verdict for r in answer.verdict(mixed).orderBy("question_id").collect()] == ["Partial answer, gap highlighted", "Grounded answer", "Answer from informal sources"]
+    blocked = p.where("question_id = 2").withColumn("disclaimed", F.lit(True))
+    assert answer.status(blocked).first().status == "missing"
+
+
+def test_reasons(spark):
+    s = "struct<owner:double,channel:double,authority:double,freshness:double,doc_type:string,text:string>"
+    a, b = (1.0, 1.0, 0.3, 0.2, "policy", "It is 5 days."), (0.3, 0.5, 0.3, 0.9, "chat", "Superseded by a newer one.")
+    rows = spark.createDataFrame([(a, b), (a, a)], f"w {s}, l {s}")
+    assert [r[0] for r in rows.select(analyse.reason(F.col("w"), F.col("l"))).collect()] == [
+        "Preferred because it has an accountable owner, an official policy leads over a chat (knowledge governance policy), the rejected source says itself that it relies on old material, even though the rejected source is newer.",
+        "Preferred because it scores higher overall.",
+    ]
+
+
+def test_registered_queries_match_their_sql(spark):
+    import duckdb
+
+    from trustweave.plans import queries
+
+    d, db = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("orders", "customer", "lineitem", "events"):
+        db.sql(f"CREATE VIEW {name} AS FROM '{d}/{name}.parquet'")
+    for name in ("status_verdict", "unofficial_resemblance", "document_contradictions", "preference_reasons", "extra_segments", "stale_documents", "version_notes", "provenance_by_person", "merged_experts", "local_experts"):
+        want = db.sql(queries.ORACLE[name])
+        got = queries.QUERIES[name](spark, d).select(*want.columns).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall())) and got, name
 
 
 def test_sweep(spark):

@@ -8,4 +8,7 @@ RELATION = {"owns": 2.0, "authored": 2.0, "edited": 1.5, "listed": 1.5, "answere
 RELATION_ELSE = 0.5
 NO_REVIEW = ("chat", "email", "ticket", "meeting")
 RELEVANT, ANSWERS, TRUSTED, FORMAL = 0.35, 0.5, 0.35, 0.75
+RESEMBLES = 0.2
+OFFICIAL = ("policy", "procedure", "manual")
+INFORMAL = ("chat", "email", "ticket")
 AS_OF = "2026-09-30"

@@ -11,19 +11,20 @@ from .. import config
 def status(parts: DataFrame) -> DataFrame:
     """Status and confidence of sub-questions from what was found for them.
 
-    Needs strong (count), disclaimed, conflicts (count), informal, related (count), confidence, trust.
+    Needs strong (count; none where a disclaimer is about as relevant), disclaimed, conflicts (count), informal, related
+    (count), confidence, trust. A disclaimer stands in the way of related passages and leaves the part missing.
     """
+    some = F.col("strong") > 0
     s = (
-        F.when(F.col("disclaimed"), "disclaimer")
-        .when((F.col("strong") > 0) & (F.col("conflicts") > 0), "contested")
-        .when((F.col("strong") > 0) & F.col("informal"), "informal")
-        .when(F.col("strong") > 0, "answered")
-        .when(F.col("related") > 0, "partial")
+        F.when(some & (F.col("conflicts") > 0), "contested")
+        .when(some & F.col("informal"), "informal")
+        .when(some, "answered")
+        .when((F.col("related") > 0) & ~F.col("disclaimed"), "partial")
         .otherwise("missing")
     )
     c = F.col("confidence")
     value = F.when(s == "contested", c - 0.15).when(s == "informal", c - 0.10).when(s == "partial", 0.3 * F.col("trust")).when(s == "missing", 0.0).otherwise(c)
-    return parts.withColumn("status", s).withColumn("confidence", F.round(F.greatest(F.lit(0.0), value), 2))
+    return parts.withColumn("status", s).withColumn("confidence", F.greatest(F.lit(0.0), value))
 
 
 def verdict(parts: DataFrame) -> DataFrame:
@@ -33,14 +34,67 @@ def verdict(parts: DataFrame) -> DataFrame:
         F.round(F.avg("confidence"), 2).alias("confidence"),
         F.count("*").alias("n_parts"),
         F.bool_and(is_("answered")).alias("all_answered"),
+        F.bool_or(is_("answered", "contested", "informal")).alias("any_found"),
+        F.bool_or(is_("missing", "partial")).alias("gaps"),
         F.bool_or(is_("contested")).alias("any_contested"),
-        F.bool_and(is_("missing", "disclaimer")).alias("none"),
-        F.bool_or(is_("missing", "partial", "disclaimer")).alias("gaps"),
+        F.bool_or(is_("informal")).alias("any_informal"),
+        F.bool_and(is_("missing")).alias("none"),
+    )
+    # The verdicts, in order of precedence.
+    v = (
+        F.when(F.col("all_answered"), "Grounded answer")
+        .when(F.col("any_found") & F.col("gaps"), "Partial answer, gap highlighted")
+        .when(F.col("any_contested"), "Grounded answer, conflict flagged")
+        .when(F.col("any_informal"), "Answer from informal sources")
+        .when(F.col("none"), "No grounded answer found")
+        .otherwise("Low confidence answer")
     )
-    v = F.when(F.col("none"), "no answer").when(F.col("any_contested"), "contested").when(F.col("all_answered"), "answered").when(F.col("gaps"), "partial").otherwise("informal")
     return agg.select("question_id", "confidence", "n_parts", v.alias("verdict"))
 
 
+def segments(found: DataFrame) -> DataFrame:
+    """Extra segments of answers: the next three strong passages of a part, one for each document that isn't the primary's.
+
+    Needs sub_id, chunk_id, doc_id, score, is_primary, supports (chunk_id or null), updated_at, doc_type. Adds rank and kind:
+    earlier (an older informal text in support), confirms, or supporting.
+    """
+    order = Window.partitionBy("sub_id").orderBy(F.desc("score"), "chunk_id")
+    first = found.where("is_primary").select("sub_id", F.col("chunk_id").alias("_chunk"), F.col("doc_id").alias("_doc"), F.col("updated_at").alias("_at"))
+    extra = found.where("NOT is_primary").withColumn("rank", F.row_number().over(order)).where("rank <= 3").join(first, "sub_id").where("doc_id <> _doc")
+    extra = once(extra, ["sub_id", "doc_id"], ["rank"])
+    older = (F.col("updated_at") < F.col("_at")) & F.col("doc_type").isin(*config.INFORMAL)
+    kind = F.when(F.col("supports") == F.col("_chunk"), F.when(older, "earlier").otherwise("confirms")).otherwise("supporting")
+    return extra.withColumn("kind", kind).drop("_chunk", "_doc", "_at")
+
+
+def once(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each ``by``; review lists name a document once a question."""
+    return rows.withColumn("_once", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_once = 1").drop("_once")
+
+
+def stale(found: DataFrame) -> DataFrame:
+    """Documents past their review among the first three strong passages (question_id, sub_id, chunk_id, doc_id, score, stale) of any part."""
+    order = Window.partitionBy("question_id", "sub_id").orderBy(F.desc("score"), "chunk_id")
+    top = found.withColumn("rank", F.row_number().over(order)).where("rank <= 3 AND stale")
+    return once(top, ["question_id", "doc_id"], ["sub_id", "rank"])
+
+
+def undocumented(parts: DataFrame) -> DataFrame:
+    """Parts that only informal sources answer, for the list of what should be written down."""
+    return parts.where("status = 'informal'")
+
+
+def version_notes(parts: DataFrame, outdated: DataFrame) -> DataFrame:
+    """Notes for parts (sub_id, question) that ask about versions and have outdated ones (sub_id, doc_id, title, updated_at, relevance)."""
+    item = F.struct((-F.col("relevance")).alias("r"), "doc_id", F.concat("title", F.lit(" ("), F.year("updated_at"), F.lit(")")).alias("said"))
+    old = outdated.groupBy("sub_id").agg(F.sort_array(F.collect_list(item)).alias("o"))
+    asks = parts.where(F.col("question").rlike(r"(?i)\bversions?\b")).join(old, "sub_id")
+    said = F.concat(
+        F.lit("Yes: "), F.size("o"), F.lit(" older version(s) still exist and are excluded from answers: "), F.array_join(F.transform("o", lambda x: x["said"]), ", "), F.lit(".")
+    )
+    return asks.select("sub_id", said.alias("note"))
+
+
 def strong(candidates: DataFrame) -> DataFrame:
     """Candidates that can answer: on topic, stating something, relevant and trusted."""
     return candidates.where(F.col("on_topic") & F.col("asserts") & (F.col("relevance") >= config.ANSWERS) & (F.col("trust") >= config.TRUSTED))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
@@ -39,3 +39,24 @@ def experts(scored: DataFrame, limit: int = 4) -> DataFrame:
     shared = F.lower("role").contains("team") & (F.col("seniority_years") == 0)
     found = scored.where(F.col("active") & ~shared & (F.col("events") > 0)).withColumn("score", F.round(100 * F.col("normalised")).cast("int"))
     return found.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def provenance(links: DataFrame, people: DataFrame) -> DataFrame:
+    """Who stands behind a document: its person links (doc_id, person_id, rel, at) by person, newest last."""
+    acts = F.transform(F.sort_array(F.collect_list(F.struct("at", "rel"))), lambda x: F.concat_ws(" ", x["rel"], x["at"].cast("string")))
+    known = people.select(F.col("id").alias("person_id"), "name", "active")
+    return links.groupBy("doc_id", "person_id").agg(acts.alias("acts")).join(known, "person_id")
+
+
+def merge_experts(sections: DataFrame, limit: int = 4) -> DataFrame:
+    """Experts of a question over its sections (question_id, person_id, score, in_country): best score of each, the first four."""
+    best = sections.groupBy("question_id", "person_id").agg(F.max_by("in_country", "score").alias("in_country"), F.max("score").alias("score"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "person_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def prefer_local(found: DataFrame) -> DataFrame:
+    """Experts in the country that is asked about, or all of a question where none is; unknown counts as in the country."""
+    here = F.coalesce(F.col("in_country"), F.lit(True))
+    any_ = F.max(here).over(Window.partitionBy("question_id"))
+    return found.withColumn("_any", any_).where(here | ~F.col("_any")).drop("_any")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import analyse, answer, ingest, lifecycle, retrieve, trust, understand
+from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
 from ..shipping import ship
 
 QUERIES: dict = {}
@@ -395,8 +395,9 @@ _ST = "CASE o_orderstatus WHEN 'F' THEN 'answered' WHEN 'O' THEN CASE WHEN o_ord
 
 
 @query(f"""WITH s AS (SELECT o_custkey AS question_id, {_ST} AS status, o_orderkey % 100 AS c FROM orders)
-SELECT question_id, round(avg(c), 2) AS confidence, count(*) AS n_parts, CASE WHEN bool_and(status = 'missing') THEN 'no answer' WHEN bool_or(status = 'contested') THEN 'contested'
-WHEN bool_and(status = 'answered') THEN 'answered' WHEN bool_or(status IN ('missing', 'partial')) THEN 'partial' ELSE 'informal' END AS verdict FROM s GROUP BY 1""")
+SELECT question_id, round(avg(c), 2) AS confidence, count(*) AS n_parts, CASE WHEN bool_and(status = 'answered') THEN 'Grounded answer'
+WHEN bool_or(status IN ('answered', 'contested', 'informal')) AND bool_or(status IN ('missing', 'partial')) THEN 'Partial answer, gap highlighted' WHEN bool_or(status = 'contested') THEN 'Grounded answer, conflict flagged'
+WHEN bool_or(status = 'informal') THEN 'Answer from informal sources' WHEN bool_and(status = 'missing') THEN 'No grounded answer found' ELSE 'Low confidence answer' END AS verdict FROM s GROUP BY 1""")
 def status_verdict(spark, d):
     """K5/K9: verdict over the statuses of parts."""
     s = _t(spark, d, "orders").select(F.col("o_custkey").alias("question_id"), F.expr(_ST).alias("status"), (F.col("o_orderkey") % 100).alias("confidence"))
@@ -465,3 +466,123 @@ def health_counts(spark, d):
     """Row counts."""
     n = lambda name: _t(spark, d, name).agg(F.count("*").alias(name if name != "customer" else "customers"))
     return n("orders").crossJoin(n("customer")).crossJoin(n("documents")).crossJoin(n("events"))
+
+
+_PASSAGE = """p AS (SELECT o_custkey AS sub_id, o_orderkey AS chunk_id, o_orderkey % 3 AS doc_id, o_orderpriority AS topic, o_orderstatus AS st, o_orderdate::DATE AS day, o_orderkey % 7 AS dd, o_orderkey % 4 AS ww,
+  round(((o_orderkey * 7919) % 1000) / 1000.0, 3)::DOUBLE AS relevance FROM orders)"""
+_DIFFER = "(CASE WHEN a.dd <> b.dd THEN 1 ELSE 0 END + CASE WHEN a.ww <> b.ww THEN 1 ELSE 0 END)::BIGINT"
+
+
+def _passages(spark, d):
+    """Orders as passages of their customer's question."""
+    k = F.col("o_orderkey")
+    text = F.concat((k % 7).cast("string"), F.lit(" days and "), (k % 4).cast("string"), F.lit(" weeks"))
+    return _orders(spark, d).select(
+        F.col("o_custkey").alias("sub_id"), k.alias("chunk_id"), (k % 3).alias("doc_id"), F.array("o_orderpriority").alias("topics"), F.col("o_orderstatus").alias("st"), text.alias("text"),
+        F.round(((k * 7919) % 1000) / 1000, 3).alias("relevance"), "updated_at", "doc_type",
+    )
+
+
+@query(f"""WITH {_PASSAGE}, k AS (SELECT *, list_distinct([dd::VARCHAR, 'days', 'and', ww::VARCHAR, 'weeks']) AS tk FROM p),
+m AS (SELECT a.sub_id, a.chunk_id, b.chunk_id AS resembles, len(list_intersect(a.tk, b.tk))::DOUBLE / len(list_distinct(list_concat(a.tk, b.tk))) AS j, {_DIFFER} AS n FROM k a JOIN k b ON a.sub_id = b.sub_id AND a.topic = b.topic WHERE a.st = 'P' AND b.st <> 'P'),
+f AS (SELECT * FROM m WHERE j >= 0.2 QUALIFY row_number() OVER (PARTITION BY sub_id, chunk_id ORDER BY j DESC, resembles) = 1)
+SELECT p.sub_id, p.chunk_id, resembles, round(j, 6) AS jaccard, n AS n_differ FROM p LEFT JOIN f ON p.sub_id = f.sub_id AND p.chunk_id = f.chunk_id WHERE p.st = 'P'""")
+def unofficial_resemblance(spark, d):
+    """What unofficial passages resemble, and where they differ."""
+    p = _passages(spark, d)
+    out = analyse.resemblance(p.where("st = 'P'"), p.where("st <> 'P'"))
+    return out.select("sub_id", "chunk_id", "resembles", F.round("jaccard", 6).alias("jaccard"), F.when(F.col("differs").isNotNull(), F.size("differs")).cast("long").alias("n_differ"))
+
+
+@query(f"""WITH {_PASSAGE}, m AS (SELECT a.sub_id, a.doc_id, a.chunk_id, b.chunk_id AS other_id, a.relevance, {_DIFFER} AS n FROM p a JOIN p b ON a.sub_id = b.sub_id AND a.doc_id = b.doc_id AND a.chunk_id <> b.chunk_id
+WHERE a.st <> 'F' AND a.relevance >= 0.5 AND b.chunk_id % 11 <> 0), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY sub_id, doc_id, least(chunk_id, other_id), greatest(chunk_id, other_id) ORDER BY relevance DESC, chunk_id) = 1)
+SELECT sub_id, doc_id, chunk_id, other_id, n AS n_differ FROM f WHERE n > 0 AND other_id % 5 <> 0""")
+def document_contradictions(spark, d):
+    """Contradictions inside a document."""
+    k = F.col("chunk_id")
+    p = _passages(spark, d).withColumn("usable", F.col("st") != "F").withColumn("disclaims", k % 11 == 0)
+    p = p.withColumn("text", F.concat("text", F.when(k % 5 == 0, "?").otherwise(".")))
+    return analyse.inside_document(p).select("sub_id", "doc_id", "chunk_id", "other_id", F.size("differs").cast("long").alias("n_differ"))
+
+
+_TYPE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'policy' WHEN '2-HIGH' THEN 'wiki' WHEN '3-MEDIUM' THEN 'chat' ELSE 'manual' END"
+
+
+@query(f"""WITH x AS (SELECT o_custkey, o_orderkey, {_TYPE} AS t, o_orderkey % 2 AS o, o_orderkey % 3 AS au, date_diff('day', DATE '1990-01-01', o_orderdate::DATE) AS f, o_orderkey % 5 = 0 AS old FROM orders),
+w AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1),
+c AS (SELECT *, CASE t WHEN 'policy' THEN 1.0 WHEN 'wiki' THEN 0.8 WHEN 'chat' THEN 0.5 ELSE 0.9 END AS ch FROM x)
+SELECT l.o_orderkey, 'Preferred because ' || coalesce(nullif(concat_ws(', ', CASE WHEN w.o > l.o THEN 'it has an accountable owner' END,
+CASE WHEN w.t IN ('policy', 'manual') AND l.t NOT IN ('policy', 'manual') THEN 'an official ' || w.t || ' leads over a ' || l.t || ' (knowledge governance policy)' WHEN k.ch > l.ch THEN 'a ' || w.t || ' outranks a ' || l.t END,
+CASE WHEN w.au > l.au THEN 'its owner has more recorded expertise on this topic' END, CASE WHEN w.f > l.f THEN 'it is more recent' END, CASE WHEN l.old THEN 'the rejected source says itself that it relies on old material' END), ''), 'it scores higher overall')
+|| CASE WHEN l.f > w.f THEN ', even though the rejected source is newer' ELSE '' END || '.' AS reason FROM c l JOIN w ON l.o_custkey = w.o_custkey JOIN c k ON k.o_orderkey = w.o_orderkey WHERE l.o_orderkey <> w.o_orderkey""")
+def preference_reasons(spark, d):
+    """Why the first of a customer's orders is preferred to the others."""
+    k = F.col("o_orderkey")
+    x = _t(spark, d, "orders").withColumn("doc_type", F.expr(_TYPE))
+    side = F.struct(
+        (k % 2).alias("owner"), trust.channel(F.col("doc_type")).alias("channel"), (k % 3).alias("authority"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("freshness"), "doc_type",
+        F.when(k % 5 == 0, "This is no longer valid.").otherwise("Valid.").alias("text"),
+    )
+    x = x.select("o_custkey", k, side.alias("side"))
+    first = x.groupBy("o_custkey").agg(F.min_by("side", "o_orderkey").alias("w"), F.min("o_orderkey").alias("of"))
+    return x.join(first, "o_custkey").where("o_orderkey <> of").select("o_orderkey", analyse.reason(F.col("w"), F.col("side")).alias("reason"))
+
+
+@query(f"""WITH {_PASSAGE}, q AS (SELECT *, min(chunk_id) OVER (PARTITION BY sub_id) AS pc, CASE topic WHEN '1-URGENT' THEN 'chat' WHEN '2-HIGH' THEN 'email' WHEN '3-MEDIUM' THEN 'meeting' ELSE 'wiki' END AS kind FROM p),
+e AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY relevance DESC, chunk_id) AS rank FROM q WHERE chunk_id <> pc),
+f AS (SELECT e.*, p.day AS pday FROM e JOIN p ON e.pc = p.chunk_id WHERE rank <= 3 AND e.doc_id <> p.doc_id QUALIFY row_number() OVER (PARTITION BY e.sub_id, e.doc_id ORDER BY rank) = 1)
+SELECT sub_id, chunk_id, rank, CASE WHEN chunk_id % 2 = 0 THEN CASE WHEN day < pday AND kind IN ('chat', 'email', 'ticket') THEN 'earlier' ELSE 'confirms' END ELSE 'supporting' END AS kind FROM f""")
+def extra_segments(spark, d):
+    """K4: further passages of an answer and what they add."""
+    first = F.min("chunk_id").over(Window.partitionBy("sub_id"))
+    p = _passages(spark, d).withColumn("score", F.col("relevance")).withColumn("first", first).withColumn("is_primary", F.col("chunk_id") == F.col("first"))
+    p = p.withColumn("supports", F.when(F.col("chunk_id") % 2 == 0, F.col("first")))
+    return answer.segments(p).select("sub_id", "chunk_id", "rank", "kind")
+
+
+@query(f"""WITH {_PASSAGE}, r AS (SELECT *, sub_id % 100 AS question_id, row_number() OVER (PARTITION BY sub_id ORDER BY relevance DESC, chunk_id) AS rank FROM p)
+SELECT question_id, doc_id, sub_id, chunk_id FROM r WHERE rank <= 3 AND st = 'F' QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY sub_id, rank) = 1""")
+def stale_documents(spark, d):
+    """K7: documents past review among those that answer."""
+    p = _passages(spark, d).withColumn("score", F.col("relevance")).withColumn("stale", F.col("st") == "F").withColumn("question_id", F.col("sub_id") % 100)
+    return answer.stale(p).select("question_id", "doc_id", "sub_id", "chunk_id")
+
+
+@query(f"""WITH {_PASSAGE}, o AS (SELECT sub_id, count(*) AS n, string_agg('order ' || chunk_id || ' (' || year(day) || ')', ', ' ORDER BY relevance DESC, chunk_id) AS s FROM p WHERE st = 'F' GROUP BY 1)
+SELECT sub_id, 'Yes: ' || n || ' older version(s) still exist and are excluded from answers: ' || s || '.' AS note FROM o WHERE sub_id % 2 = 0""")
+def version_notes(spark, d):
+    """K8: notes on older versions where they are asked for."""
+    p = _passages(spark, d)
+    old = p.where("st = 'F'").select("sub_id", F.col("chunk_id").alias("doc_id"), F.concat(F.lit("order "), F.col("chunk_id").cast("string")).alias("title"), "updated_at", "relevance")
+    asked = p.select("sub_id").distinct().withColumn("question", F.when(F.col("sub_id") % 2 == 0, "Which versions exist?").otherwise("What conversions?"))
+    return answer.version_notes(asked, old)
+
+
+@query("""SELECT o_orderpriority AS doc_id, o_custkey AS person_id, c_name AS name, c_acctbal >= 0 AS active, string_agg(o_orderstatus || ' ' || strftime(o_orderdate, '%Y-%m-%d'), ', ' ORDER BY o_orderdate, o_orderstatus) AS acts
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+def provenance_by_person(spark, d):
+    """Links of documents by person."""
+    o = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("doc_id"), F.col("o_custkey").alias("person_id"), F.col("o_orderstatus").alias("rel"), F.to_date("o_orderdate").alias("at"))
+    people = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_acctbal") >= 0).alias("active"))
+    return reputation.provenance(o, people).select("doc_id", "person_id", "name", "active", F.array_join("acts", ", ").alias("acts"))
+
+
+_EXPERTS = "s AS (SELECT ts::DATE AS question_id, user_id AS person_id, round(max(value), 2) AS score, CASE user_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS here FROM events GROUP BY 1, 2)"
+
+
+def _sections(spark, d):
+    here = F.when(F.col("user_id") % 3 == 0, True).when(F.col("user_id") % 3 == 1, False)
+    return _t(spark, d, "events").select(F.to_date("ts").alias("question_id"), F.col("user_id").alias("person_id"), F.round("value", 2).alias("score"), here.alias("in_country"))
+
+
+@query(f"WITH {_EXPERTS} SELECT question_id, person_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, person_id) AS rank FROM s QUALIFY rank <= 4")
+def merged_experts(spark, d):
+    """A question's four best experts over its sections."""
+    return reputation.merge_experts(_sections(spark, d)).select("question_id", "person_id", "score", "rank")
+
+
+@query(f"""WITH {_EXPERTS}, m AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, person_id) AS rank FROM s QUALIFY rank <= 4)
+SELECT question_id, person_id FROM m QUALIFY coalesce(here, true) OR NOT bool_or(coalesce(here, true)) OVER (PARTITION BY question_id)""")
+def local_experts(spark, d):
+    """Experts in the country, or all where there are none."""
+    return reputation.prefer_local(reputation.merge_experts(_sections(spark, d))).select("question_id", "person_id")
