@@ -111,3 +111,16 @@ def cite(rows: DataFrame, by: str, order: list[str], doc: str, prefix: str = "E"
 def render(sections: DataFrame) -> DataFrame:
     """Plain text of answers from (question_id, pos, text)."""
     return sections.groupBy("question_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("answer"))
+
+
+def primary(strong_: DataFrame) -> DataFrame:
+    """The passage that leads each part: among formal, owned ones near the first in relevance the most official, newest, trusted.
+
+    Needs sub_id, chunk_id, score, relevance, owner, channel, official, updated_at, trust. Where none is fit, the first by score.
+    """
+    w = Window.partitionBy("sub_id").orderBy(F.desc("score"), "chunk_id")
+    least = F.greatest(F.lit(config.ANSWERS), F.first("relevance").over(w) - 0.35)
+    fit = (F.col("relevance") >= least) & (F.col("owner") == 1) & (F.col("channel") >= config.FORMAL)
+    rows = strong_.withColumn("_fit", fit)
+    keys = [F.desc("_fit"), *(F.when(F.col("_fit"), F.col(c)).desc() for c in ("official", "updated_at", "trust", "relevance")), F.desc("score"), F.col("chunk_id")]
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("sub_id").orderBy(*keys))).where("_r = 1").drop("_r", "_fit")

@@ -90,3 +90,36 @@ def embeddings(new_chunks: DataFrame, old_chunks: DataFrame, embed) -> DataFrame
     """Embeddings of new chunks: that of an old chunk of the same document and hash, else ``embed(text)``."""
     known = old_chunks.dropDuplicates(["document_id", "content_hash"]).select("document_id", "content_hash", F.col("embedding").alias("old"))
     return new_chunks.join(known, ["document_id", "content_hash"], "left").withColumn("embedding", F.coalesce("old", embed(F.col("text")))).drop("old")
+
+
+def enrich(batch: DataFrame, people: DataFrame) -> DataFrame:
+    """Owner and author ids of (owner_email, author_email, ...) by lower-case e-mail; who has no author is its owner's work.
+
+    Of people with one e-mail the smallest id counts.
+    """
+    known = people.groupBy(F.lower("email").alias("_email")).agg(F.min("id").alias("_id"))
+    rows = batch
+    for side in ("owner", "author"):
+        who = known.select(F.col("_email").alias(f"_{side}"), F.col("_id").alias(f"{side}_id"))
+        rows = rows.join(who, F.lower(f"{side}_email") == F.col(f"_{side}"), "left").drop(f"_{side}")
+    return rows.withColumn("author_id", F.coalesce("author_id", "owner_id"))
+
+
+def replace_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
+    """Edges (person_id, rel, document_id) after documents (id, owner_id, author_id, attendee_ids) were written again.
+
+    Their owns, authored and attended edges are made anew (an owner doesn't attend as well); all other edges stay.
+    """
+    again = docs.select(F.col("id").alias("document_id")).withColumn("_again", F.lit(True)).distinct()
+    stay = edges.join(again, "document_id", "left").where("_again IS NULL OR rel NOT IN ('owns', 'authored', 'attended')").drop("_again")
+    one = lambda who, rel: F.array(F.struct(F.col(who).alias("person_id"), F.lit(rel).alias("rel")))
+    guests = F.filter(F.coalesce("attendee_ids", F.array().cast("array<bigint>")), lambda x: ~x.eqNullSafe(F.col("owner_id")))
+    said = F.concat(one("owner_id", "owns"), one("author_id", "authored"), F.transform(F.array_distinct(guests), lambda x: F.struct(x.alias("person_id"), F.lit("attended").alias("rel"))))
+    fresh = docs.select(F.col("id").alias("document_id"), F.explode(said).alias("e")).select("e.person_id", "e.rel", "document_id").where("person_id IS NOT NULL")
+    return stay.select("person_id", "rel", "document_id").unionByName(fresh)
+
+
+def edited(classified: DataFrame, at: str) -> DataFrame:
+    """Edges that updated documents with an owner leave."""
+    rows = classified.where("change = 'updated' AND owner_id IS NOT NULL")
+    return rows.select(F.col("owner_id").alias("person_id"), F.lit("edited").alias("rel"), F.col("id").alias("document_id"), F.lit(at).cast("date").alias("at"))

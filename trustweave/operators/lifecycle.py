@@ -46,3 +46,33 @@ def open_tasks(tasks: DataFrame, docs: DataFrame, people: DataFrame) -> DataFram
     d = docs.select(F.col("id").alias("document_id"), "title")
     p = people.select(F.col("id").alias("assignee_id"), F.col("name").alias("assignee"))
     return tasks.where("NOT done").join(d, "document_id").join(p, "assignee_id", "left").orderBy(F.desc("created_at"), "document_id", "kind")
+
+
+def close_tasks(tasks: DataFrame, classified: DataFrame) -> DataFrame:
+    """Tasks with requests and confirmations done for documents (id, change, owner_id) that were updated."""
+    hit = classified.where("change = 'updated' AND owner_id IS NOT NULL").select(F.col("id").alias("document_id"), F.lit(True).alias("_hit")).distinct()
+    closes = F.coalesce("_hit", F.lit(False)) & F.col("kind").isin("request_update", "confirm_valid")
+    return tasks.join(hit, "document_id", "left").withColumn("done", F.col("done") | closes).drop("_hit")
+
+
+def high_water(runs: DataFrame) -> DataFrame:
+    """The day from which each connector's next delta sync reads: that of its last finished run."""
+    return runs.where("finished_at IS NOT NULL").groupBy("connector").agg(F.to_date(F.max("finished_at")).alias("since"))
+
+
+def sync_status(runs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The latest run of each connector and the number of its documents (connector, status) that aren't retracted."""
+    held = docs.where("status <> 'retracted'").groupBy("connector").agg(F.count("*").alias("documents"))
+    rows = latest(runs, ["connector"], [F.desc("finished_at"), F.desc("run_id")]).join(held, "connector", "left")
+    return rows.withColumn("documents", F.coalesce("documents", F.lit(0)))
+
+
+def detail(docs: DataFrame, people: DataFrame, versions: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Documents (id, owner_id, author_id, supersedes_id, body) with names, successor, versions (newest first), open tasks and lines."""
+    rows = docs.withColumn("lines", F.split("body", "\n"))
+    for side in ("owner", "author"):
+        rows = rows.join(people.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side)), f"{side}_id", "left")
+    after = docs.where("supersedes_id IS NOT NULL").groupBy(F.col("supersedes_id").alias("id")).agg(F.min("id").alias("successor"))
+    old = versions.groupBy(F.col("document_id").alias("id")).agg(F.sort_array(F.collect_list("version_no"), asc=False).alias("versions"))
+    due_ = tasks.where("NOT done").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("open_tasks"))
+    return rows.join(after, "id", "left").join(old, "id", "left").join(due_, "id", "left").withColumn("open_tasks", F.coalesce("open_tasks", F.lit(0)))
