@@ -1,8 +1,11 @@
 import datetime as dt
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from trustweave.operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
+from trustweave.plans import queries
 from trustweave.sources import connectors
 from trustweave.streaming import ingest_stream
 
@@ -152,3 +155,38 @@ def test_stream(spark, tmp_path):
     units = spark.readStream.schema("id string, content_hash string").parquet(src)
     ingest_stream.start(units, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.id, r.content_hash, r.status) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [("a", "2", "active"), ("b", "1", "active")]
+
+
+def test_near_duplicate_pairs_match_brute_force(spark, tmp_path):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(900)]
+    texts = []
+    for i in range(60):
+        base = draw.sample(words, draw.choice([2, 6, 12, 19, 20, 21, 40, 90, 400]))
+        part = draw.choice([0.4, 0.5, 0.6, 0.75, 0.8, 0.85, 0.86, 0.9, 1.0])
+        kept = base[: max(1, round(len(base) * part))]
+        texts += [" ".join(base), " ".join(kept), " ".join(kept + draw.sample(words, round(len(base) * draw.choice([0, 0.1, 0.3, 1.5]))))]
+        texts += [" ".join(reversed(base)).upper()] * (i % 7 == 0)
+    texts += ["", "", "!", None, "one", "one", "one."]
+    # copies under other sources and languages, and texts of over 400 characters
+    rows = [(i, x, "abc"[i % 3], ["en", "de"][i % 2], len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = [frozenset(re.findall("[a-z0-9]+", (x or "").lower())) for x in texts]
+    want = {}
+    for i, a in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            b, least = sets[j], min(len(a), len(sets[j]))
+            jaccard, inside = len(a & b) / (len(a | b) or 1), len(a & b) / (least or 1)
+            if jaccard >= 0.75 if least < 20 else jaccard >= 0.5 or inside >= 0.85:
+                want[i, j] = (round(jaccard, 5), round(inside, 5))
+    got = queries.QUERIES["near_duplicate_pairs"](spark, str(tmp_path)).collect()
+    members = {}
+    for i, x in enumerate(sets):
+        members.setdefault(x, []).append(i)
+    same = {(r.id_a, r.id_b) for r in got if r.same}
+    assert same == {(m[0], x) for s, m in members.items() if s for x in m[1:]}
+    pairs = {(min(x, y), max(x, y)): (r.jaccard, r.containment) for r in got if not r.same for x in members[sets[r.id_a]] for y in members[sets[r.id_b]]}
+    pairs |= {(x, y): (1.0, 1.0) for s, m in members.items() if s for x in m for y in m if x < y}
+    assert len([r for r in got if not r.same]) == len({(r.id_a, r.id_b) for r in got if not r.same})
+    assert set(pairs) == set(want) and any(j < 0.5 for j, _ in want.values())
+    assert all(abs(pairs[k][i] - want[k][i]) < 1e-4 for k in want for i in (0, 1))

@@ -220,6 +220,13 @@ def duplicate_pairs(spark, d):
     return analyse.near_text_pairs(docs)
 
 
+@query()
+def near_duplicate_pairs(spark, d):
+    """duplicates among all documents of any length, source and language: classes of equal token sets and links between them (tested by brute force)."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), t.all_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    return analyse.duplicate_links(docs)
+
+
 _RENDER = "l_orderkey, l_linenumber, l_partkey, l_quantity::INT || ' days and ' || (l_quantity::INT % 3) || ' weeks' AS txt"
 
 
