@@ -185,6 +185,21 @@ def test_html(spark):
     assert html_text.extract_pages(pages).count() == len(rows) and html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_template_on_a_small_share_of_a_large_host(spark):
+    page = "<html><body><h1>Title {n}</h1><p>This is the long story of page number {n}, told once.</p>{more}</body></html>"
+    rows = []
+    for n in range(120):
+        more = "<div><p>Try our new app</p></div>" if n % 10 == 0 else ""  # unmarked, on 12 of 130 pages
+        more += "<ul><li>Yes</li><li>Answer {n}</li></ul>".replace("{n}", str(n)) if n % 8 == 1 else ""  # an item of many texts
+        rows.append((n, f"http://big.org/{n}", page.format(n=n, more=more)))
+    copied = page.format(n=999, more="<div>A table of figures</div>")
+    rows += [(200 + i, f"http://big.org/copy{i}", copied) for i in range(10)]
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == "Title 10\nThis is the long story of page number 10, told once."
+    assert got[9].endswith("Yes\nAnswer 9")
+    assert all(got[200 + i].endswith("A table of figures") and got[200 + i].startswith("Title 999") for i in range(10))
+
+
 def test_rules(spark, odd, empty):
     got = quality_rules.rate_texts(odd)
     want = []

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from .scratch import cut
 
-#: A subtree on at least so many pages of a host, and on this share of them, is part of its template.
-PAGES, SHARE = 3, 0.3
+#: A subtree on at least so many pages of a host, and on this share of them, is part of its template. So is one that
+#: stands beside so many different articles, or beside SPREAD times the root of the host's pages where that is more.
+PAGES, SHARE, SPREAD = 3, 0.3, 0.5
 #: Up to so many template subtrees in all (8 bytes each) the table of hosts is broadcast; beyond, joined.
 SENT = 200_000
 
@@ -29,6 +30,7 @@ BLOCKS = frozenset(
 )
 CLOSES_P = BLOCKS - frozenset("br caption td th tr tbody thead tfoot dd dt li html body".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+ITEMS = frozenset("li dt dd tr td th caption figcaption".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|site-?header|page-?header|"
@@ -156,6 +158,41 @@ def template_candidates(page: str) -> set[int]:
     }
 
 
+def _known(node: Node, item: bool) -> int:
+    """The hash by which a subtree is counted: single items of a text apart from the same ones elsewhere."""
+    return (node.hash ^ (0x9E3779B97F4A7C15 if item else 0)) - (1 << 63)
+
+
+def recurring(page: str) -> dict[int, tuple[bool, int]]:
+    """For each candidate: whether it is a single item of the text, and the hash of the longest paragraph or heading outside it.
+
+    That paragraph tells different articles from copies of one page. Without one it is the page's longest piece of text outside.
+    """
+    root, nodes, ends = parse(page), [], {}
+    stack: list = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        if node is None:
+            ends[inside] = len(nodes)
+            continue
+        nodes.append((node, inside))
+        stack.append((None, len(nodes) - 1))
+        inside = inside or node.tag in ("article", "main")
+        stack += [(x, inside) for x in reversed(node.items) if isinstance(x, Node)]
+    whole = not any(node.tag in ("article", "main") for node, _ in nodes)
+    said = [(sum(len(x) for x in node.items if isinstance(x, str)), i) for i, (node, _) in enumerate(nodes) if node.tag not in RAW]
+    ranked = [[i for n, i in sorted((x for x in said if prose == (nodes[x[1]][0].tag in PROSE)), reverse=True) if n] for prose in (True, False)]
+    order = ranked[0] + ranked[1]
+    out = {}
+    for i, (node, inside) in enumerate(nodes):
+        if node.tag in ("", "html", "head", "body", "article", "main", "br", "meta", "link") or node.tag in INLINE or (inside and node.tag in PROSE):
+            continue
+        item = (inside or whole) and node.tag in ITEMS
+        around = next((nodes[j][0].hash for j in order if not i <= j < ends[i] and nodes[j][0].hash != node.hash), 0)
+        out[_known(node, item)] = (item, around - (1 << 63))
+    return out
+
+
 def main_text(page: str, template: set[int] = frozenset()) -> str:
     """Text of the page's articles (of its body where there is none), without furniture and template subtrees."""
     root = parse(page)
@@ -184,7 +221,7 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
             if item.tag == "header" and not any(n.tag == "h1" for n, _ in _walk(item)):
                 continue
             if template and item.tag not in ("", "html", "body", "article", "main") and item.tag not in INLINE and not (inside and not whole and item.tag in PROSE):
-                if item.hash - (1 << 63) in template:
+                if _known(item, inside and item.tag in ITEMS) in template:
                     continue
             inside = inside or item.tag in ("article", "main")
             if item.tag in BLOCKS:
@@ -197,10 +234,13 @@ def main_text(page: str, template: set[int] = frozenset()) -> str:
 
 def _hashed(batches):
     for batch in batches:
-        found = [sorted(template_candidates(p or "")) for p in batch.column(1).to_pylist()]
-        offs = np.concatenate([[0], np.cumsum([len(f) for f in found])])
-        flat = np.array([x for f in found for x in f], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int64()))], names=["host", "hashes"])
+        found = [sorted(recurring(p or "").items()) for p in batch.column(1).to_pylist()]
+        flat = [(x, item, around) for f in found for x, (item, around) in f]
+        host = batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]), pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [host, pa.array([f[0] for f in flat], pa.int64()), pa.array([f[1] for f in flat], pa.bool_()), pa.array([f[2] for f in flat], pa.int64())],
+            names=["host", "x", "item", "around"],
+        )
 
 
 def _extracted(batches):
@@ -215,8 +255,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of every page of ``pages`` (page_id long, url, html; other columns are ignored).
 
     Element subtrees are hashed, counted over the pages of each host and deleted where they recur on at
-    least ``PAGES`` pages and a share of ``SHARE`` of the host; paragraphs and headings of an article are
-    kept whatever recurs. Elements that name, class, id or role mark as furniture go too. Returns page_id,
+    least ``PAGES`` pages and a share of ``SHARE`` of the host, or beside many different articles (``SPREAD``), so
+    that copies of a page are no template; single items of a text (``ITEMS``) go by the share only; paragraphs and
+    headings of an article are kept whatever recurs. Elements that name, class, id or role mark as furniture go too. Returns page_id,
     url, text (blocks joined by newlines, empty if none) and n_chars. Null and empty html give empty text; a
     null or odd url is a host of its own kind (the empty host); repeated rows are pages each; pages that
     stop midway are read as far as they go; an empty table gives an empty result.
@@ -226,10 +267,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), html.alias("html"), host.alias("host"))
     total = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    hashes = pages.select("host", "html").mapInArrow(_hashed, "host string, hashes array<long>").select("host", F.explode("hashes").alias("x"))
-    often = hashes.groupBy("host", "x").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    often = often.join(total, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    # a host has at most (mean subtrees of a page) / SHARE of them
+    hashes = pages.select("host", "html").mapInArrow(_hashed, "host string, x long, item boolean, around long")
+    beside = hashes.groupBy("host", "x", "item", "around").agg(F.count("*").alias("n"))
+    often = beside.groupBy("host", "x", "item").agg(F.sum("n").alias("n"), F.count("*").alias("articles")).where(F.col("n") >= PAGES)
+    spread = ~F.col("item") & (F.col("articles") >= PAGES) & (F.col("articles") >= SPREAD * F.sqrt("pages"))
+    often = often.join(total, "host").where((F.col("n") >= SHARE * F.col("pages")) | spread)
+    # a host has at most (mean subtrees of a page) times the root of its pages / SPREAD of them
     often = cut(often.groupBy("host").agg(F.collect_list("x").alias("template")))
     size = often.agg(F.sum(F.size("template"))).first()[0] or 0
     joined = pages.join(F.broadcast(often) if size <= SENT else often, "host", "left").select("page_id", "url", "html", "template")
