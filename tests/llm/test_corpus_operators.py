@@ -86,6 +86,28 @@ def test_segmentations(odd, empty):
     assert sentencepieces.encode_sampled(empty).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " + "ab" * 40, " " + "ab" * 20000, " " + "ab" * 30 + "\n" + "ab" * 30 + "漢" * 40 + "ab"])
+def test_long_units_are_sampled_over_their_whole_lattice(text):
+    pieces = [b"", b" a", b"b", b" ", b"a", b" ab", b"ab", b"bab", *range(256)]
+    vocab = sentencepieces.Vocabulary(pieces)
+    raw = text.encode()
+    buf = np.frombuffer(raw, np.uint8)
+    (found, *_), _ = sentencepieces.sample(vocab, buf, np.array([0, len(buf)]), sentencepieces.tk.mix(np.array([7], np.uint64)), 1)
+    ids, _, logp, _ = found
+    # the lattice of the whole text, forwards
+    names = {p: i for i, p in enumerate(pieces) if isinstance(p, bytes) and p}
+    mass = np.full(len(raw) + 1, -np.inf)
+    mass[0] = 0
+    for i in range(len(raw)):
+        for k in (1, 2, 3):
+            if raw[i : i + k] in names and i + k <= len(raw):
+                mass[i + k] = np.logaddexp(mass[i + k], mass[i] + vocab.score[names[raw[i : i + k]]])
+        if raw[i] > 0x7F or raw[i] == 10:
+            mass[i + 1] = mass[i] + vocab.score[vocab.byte[raw[i]]]
+    assert vocab.decode(ids).tobytes() == raw
+    assert abs(logp[0] - (vocab.score[ids].sum() - mass[-1])) < 1e-6 * max(1, abs(mass[-1]))
+
+
 def test_segmentations_follow_the_lattice():
     """First samples follow the probabilities of all segmentations; the order of samples is that of top-k without replacement."""
     vocab = sentencepieces.Vocabulary([b"", b" a", b"b", b" ", b"a", b" ab", b"ab"])

@@ -23,7 +23,7 @@ from . import textkit as tk
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-#: Longer units are cut, at the next start of a character.
+#: Longer units are cut where no piece spans the place, which changes no segmentation; without such a place they stay whole.
 LONGEST = 48
 _ZIPF, _BYTE = 8.0, -16.0
 
@@ -142,7 +142,8 @@ class Lattice:
         start, end, piece = (np.concatenate(x[::-1]) for x in (starts, ends, pieces))
         order = np.argsort(start.astype(np.int32), kind="stable")
         self.start, self.end, self.piece = start[order], end[order], piece[order]
-        back = np.argsort(left[self.start].astype(np.int16), kind="stable")  # from the units' ends backwards
+        narrow = np.int16 if left.max(initial=0) < 1 << 15 else np.int64  # 16 bits sort faster
+        back = np.argsort(left[self.start].astype(narrow), kind="stable")  # from the units' ends backwards
         start, end, piece = self.start[back], self.end[back], self.piece[back]
         score = vocab.score[piece]
         mass = np.full(n, -np.inf)
@@ -205,7 +206,30 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((tk.mix(seed) >> tk.U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _units(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spanned(vocab: Vocabulary, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which bytes of ``buf`` lie within a piece or a character that starts before them in the same unit; other units than the given ones are not looked at."""
+    pos = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    left = np.repeat(first + size, size) - pos
+    lead = (buf[pos] & 0xC0) != 0x80
+    alive, left = pos[lead], left[lead]
+    end = np.zeros(len(buf), np.int64)
+    h = tk.Prefix(buf)
+    for k in range(1, vocab.longest + 1):
+        alive, left = alive[left >= k], left[left >= k]
+        if not len(alive):
+            break
+        key = h(alive, alive + k)
+        hit, _ = vocab.prefixes[k - 1].find(key)
+        alive, left, key = alive[hit], left[hit], key[hit]
+        hit, _ = vocab.whole[k - 1].find(key)
+        end[alive[hit]] = alive[hit] + k
+    reach = np.maximum.accumulate(end)  # no piece leaves its unit, so none of an earlier unit reaches in
+    out = (buf & 0xC0) == 0x80
+    out[1:] |= reach[:-1] > np.arange(1, len(buf))
+    return out
+
+
+def _units(vocab: Vocabulary, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, size and row of the units."""
     space = buf == 0x20
     new = np.zeros(len(buf), bool)
@@ -215,12 +239,12 @@ def _units(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     size = np.diff(np.append(first, len(buf)))
     long = np.flatnonzero(size > LONGEST)
     if len(long):
-        lead = (buf & 0xC0) != 0x80
+        free = np.flatnonzero(~_spanned(vocab, buf, first[long], size[long]))
         for a, n in zip(first[long].tolist(), size[long].tolist(), strict=True):
             p = a + LONGEST
             while p < a + n:
-                while p < a + n and not lead[p]:
-                    p += 1
+                i = np.searchsorted(free, p)
+                p = int(free[i]) if i < len(free) else a + n
                 if p < a + n:
                     new[p] = True
                 p += LONGEST
@@ -237,7 +261,7 @@ def sample(vocab: Vocabulary, buf: np.ndarray, at: np.ndarray, key: np.ndarray,
     segmentation have a perturbed log-probability of -inf.
     """
     rows = len(at) - 1
-    first, size, row = _units(buf, at)
+    first, size, row = _units(vocab, buf, at)
     h = tk.Prefix(buf)(first, first + size)
     _, one, unit = np.unique(h, return_index=True, return_inverse=True)
     lattice = Lattice(vocab, buf, first[one], size[one])
