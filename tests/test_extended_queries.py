@@ -1,9 +1,12 @@
 """Each query of the extended module against its SQL, and the word ranking against plain loops."""
 
+import random
+import re
+
 import duckdb
 import pytest
 
-from trustweave.functions.fulltext import rank
+from trustweave.functions.fulltext import rank, stem
 from trustweave.plans import extended, queries
 
 DIR = "/root/testdata/sf0.001"
@@ -34,3 +37,24 @@ def test_fulltext_rank_matches_loops(spark, db):
     assert got and max(r["rank"] for r in got) > 0
     for r in got:
         assert abs(r["rank"] - rank(asked[r.question_id], docs[r.passage_id])) < 1e-6
+
+
+def test_passage_rank_matches_loops_over_all_passages(spark, tmp_path):
+    draw = random.Random(5)
+    words = "policy policies travel travels traveling cost costs review the of approved manager office".split()
+    docs = {i: " ".join(draw.choices(words, k=draw.choice([0, 3, 30, 200]))) for i in range(60)}
+    items = {1: "policy the", 2: "the policies of traveling costs and quarterly reviews approved by managers in the office", 3: "cost Cost costs", 4: "of the", 5: "policy unheard", 6: "office approved travels"}
+    docs[99] = "Pad words first, then " + items[2]
+    docs[100] = None
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for q, x in items.items():
+        asked = {}
+        for w in re.findall("[a-z0-9]+", x.lower()):
+            asked.setdefault(stem(w), w)
+        ranked = sorted((-round(rank(" ".join(asked.values()), text), 6), p) for p, text in docs.items())
+        want |= {(q, p): -r for r, p in ranked[:12] if r < 0}
+    got = {(r.question_id, r.passage_id): r["rank"] for r in extended.passage_rank(spark, str(tmp_path)).collect()}
+    assert (2, 99) in want and {q for q, _ in want} == {1, 2, 3, 6}  # 2 is matched in late words only
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)

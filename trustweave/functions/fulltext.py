@@ -40,6 +40,12 @@ def stems(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [s for s, _ in _terms(t)])
 
 
+@F.pandas_udf(T.StringType())
+def stemmed(word: pd.Series) -> pd.Series:
+    """Stem of a lower-case word; null for stopwords."""
+    return word.map(lambda w: None if w in _STOP else stem(w))
+
+
 def parse_query(query: str) -> list[list[tuple[list[str], bool]]]:
     """Alternatives (or) of parts (and): stems in a row, and whether they must be absent."""
     out: list[list[tuple[list[str], bool]]] = [[]]

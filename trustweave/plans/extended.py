@@ -340,3 +340,12 @@ def fulltext_rank(spark, d):
     near = retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 12).select("question_id", "passage_id")
     rows = near.join(items, "question_id").join(docs, "passage_id")
     return rows.select("question_id", "passage_id", F.round(fts_rank(F.col("asked"), F.col("text")), 6).alias("rank"))
+
+
+@query()
+def passage_rank(spark, d):
+    """The dozen best passages of each whole benchmark item among all documents that hold its stems, by cover density (tested against plain loops)."""
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    ranks = retrieve.whole_ranks(items, docs).select("question_id", "passage_id", F.round("rank", 6).alias("density"))
+    return retrieve.top(ranks, ["question_id"], [F.desc("density"), "passage_id"], 12).select("question_id", "passage_id", F.col("density").alias("rank"))
