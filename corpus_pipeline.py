@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustweave.llm import decontaminate, line_dedup, near_dedup, quality_trees, sentencepieces
-from trustweave.llm.scratch import cut
+from trustweave.scratch import cut
 from trustweave.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

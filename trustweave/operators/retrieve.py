@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fulltext import stemmed
 from ..functions.vectors import cosine
-from ..llm.scratch import cut
+from ..scratch import cut
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
