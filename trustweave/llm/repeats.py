@@ -4,11 +4,19 @@ The corpus is cut into phrases at triggers, places where the hash of the next ``
 0 modulo ``EVERY``; a phrase runs from one trigger to the end of the next, so no phrase is a prefix
 of another. Triggers depend on their own bytes alone, so both occurrences of a repeated string are
 cut alike. The dictionary of distinct phrases says which phrases recur (a repeated string's inner
-phrases all do). Suffixes that start in a recurring phrase are then brought into corpus order: they
-are dealt out by the text that follows the phrase, which is where the order of the parse decides,
-and inside such a run the suffixes of the dictionary's phrases are ordered, up to the length that
-counts, to find equal neighbours. Ordering whole suffixes of all documents is never needed: two
-suffixes matter to each other only if their first ``span`` bytes agree.
+phrases all do); only suffixes whose first ``span`` bytes are made of such phrases go on.
+
+A suffix is the rest of the phrase that it starts in (a suffix of the dictionary) and what follows
+from the next trigger on (a suffix of the parse). Runs of neighbouring suffixes ahead of one trigger
+travel as one row of bytes and are dealt out by what follows the trigger, so each task holds whole
+intervals of the parse's order. There the two suffix arrays are made: of the parse, by the bytes from
+the trigger on, and of the dictionary, by the bytes ahead of it read backwards (rests of one length
+that end in the same trigger compare alike in either direction), both with the longest common prefixes
+of neighbours. Corpus order follows from them without comparing text again: suffixes whose rests are
+equal follow each other by their rank in the parse, and two neighbours share ``span`` bytes if the
+common prefixes between their ranks cover what the rest leaves of the span. Only the first ``span``
+bytes of suffixes are ordered; what comes after decides nothing. All this compares bytes. Fingerprints
+decide alone (128 bits) only for suffixes without a trigger in reach and for keys of over ``HOT`` rows.
 """
 
 from __future__ import annotations
@@ -20,13 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit as tk
 from ..scratch import cut
+from . import textkit as tk
 
 SPAN = 400
 TRIGGER, EVERY = 16, 48
-#: Longest part of a phrase ahead of a trigger whose suffixes are ordered behind that trigger.
-REACH = 144
+#: A trigger counts for the suffixes up to so many 25ths of the span ahead of it: near ones are dealt out
+#: by the longer text that is sure to lie in their span, far ones by the shorter.
+NEAR, FAR = 13, 21
+#: Runs of a key beyond this number are taken apart into suffixes, which a distributed count compares.
+HOT = 20_000
+#: Bytes and places that a task gathers before it hands on its runs, each distinct run once.
+POOL_BYTES, POOL_PLACES = 1 << 24, 400_000
+_OTHER = np.random.default_rng(77).permutation(256).astype(np.uint8)
 
 
 def _triggers(h: tk.Prefix, n: int, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +127,82 @@ def _combined(pool) -> pa.RecordBatch:
     )
 
 
-def _suffixed(span, alone):
-    """``alone``: the suffixes that no trigger within reach follows, one a row; else runs ahead of a trigger."""
-    keep = span - REACH
+_NAMES = ["key", "other", "body", "ahead", "docs", "starts"]
+_ROWS = "key long, other long, body binary, ahead int, docs array<long>, starts array<int>"
+
+
+class _Pool:
+    """Distinct runs (bytes, and how many lie ahead of the trigger) of a task with all their places."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.at: dict[tuple[int, bytes], int] = {}
+        self.keys: list[int] = []
+        self.of: list[int] = []
+        self.docs: list[int] = []
+        self.starts: list[int] = []
+        self.bytes = 0
+
+    def add(self, key, body, ahead, doc, start):
+        i = self.at.get((ahead, body))
+        if i is None:
+            i = self.at[ahead, body] = len(self.keys)
+            self.keys.append(key)
+            self.bytes += len(body)
+        self.of.append(i)
+        self.docs.append(doc)
+        self.starts.append(start)
+
+    def full(self) -> bool:
+        return self.bytes > POOL_BYTES or len(self.of) > POOL_PLACES
+
+    def rows(self) -> pa.RecordBatch:
+        of = np.asarray(self.of, np.int64)
+        order = np.argsort(of, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.keys)))])
+        ahead, body = zip(*self.at, strict=True)
+        out = pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.keys, pa.int64()),
+                pa.array(np.zeros(len(body), np.int64)),
+                pa.array(body, pa.binary()),
+                pa.array(ahead, pa.int32()),
+                tk.lists(np.asarray(self.docs, np.int64)[order], ends, pa.int64()),
+                tk.lists(np.asarray(self.starts, np.int32)[order], ends, pa.int32()),
+            ],
+            names=_NAMES,
+        )
+        self.clear()
+        return out
+
+
+def _gathered(key, other, doc, start) -> pa.RecordBatch:
+    """Single suffixes by their fingerprint: one row for each distinct one, with all its places."""
+    order = np.lexsort((other, key))
+    key, other, doc, start = key[order], other[order], doc[order], start[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(key))
+    n = len(first)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(key[first].view(np.int64)), pa.array(other[first].view(np.int64)), pa.nulls(n, pa.binary()), pa.array(np.zeros(n, np.int32)),
+            tk.lists(doc, ends, pa.int64()), tk.lists(start.astype(np.int32), ends, pa.int32()),
+        ],
+        names=_NAMES,
+    )
+
+
+def _suffixed(span):
+    near, far = span * NEAR // 25, span * FAR // 25
 
     def suffixes(batches):
-        """Rows of suffixes to order; the key is what follows the trigger, or the suffix itself."""
+        """Rows of suffixes to compare: runs ahead of a trigger with their bytes, or single ones by fingerprint."""
+        pool = _Pool()
+        alone: list[tuple] = []
         for batch in batches:
             data, offs = tk.column(batch, "text")
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -134,107 +218,160 @@ def _suffixed(span, alone):
                 bad = np.concatenate([[0], np.cumsum(has & ~recurs)])
                 start, srow = _starts(at, np.arange(hi - lo), span)
                 a, b = _inside(place, start, span)
-                bare = b <= a
-                ok = np.zeros(len(start), bool)
-                i = np.flatnonzero(~bare)
-                ok[i] = bad[b[i]] == bad[a[i]]
-                near = np.zeros(len(start), bool)
-                near[i] = place[a[i]] - start[i] < REACH
-                one = np.flatnonzero(bare | (ok & ~near))
-                if alone and len(one):
-                    yield _rows(ids[lo + srow[one]], start[one] - at[srow[one]], h(start[one], start[one] + span).view(np.int64), None, None)
-                run = np.flatnonzero(ok & near)
-                if not alone and len(run):
-                    head = np.ones(len(run), bool)  # runs of neighbouring starts ahead of one trigger
-                    head[1:] = (a[run[1:]] != a[run[:-1]]) | (run[1:] != run[:-1] + 1)
-                    first = np.flatnonzero(head)
-                    last = np.concatenate([first[1:], [len(run)]]) - 1
-                    s, e, t = start[run[first]], start[run[last]], place[a[run[first]]]
-                    raw = buf.tobytes()
-                    body = [raw[x:t0] + raw[t0 + keep : y + span] for x, t0, y in zip(s.tolist(), t.tolist(), e.tolist(), strict=True)]
-                    r = srow[run[first]]
-                    yield _rows(ids[lo + r], s - at[r], h(t, t + keep).view(np.int64), body, np.stack([t - s, e - s + 1]))
+                ok = (b <= a) | (bad[np.maximum(b, 0)] == bad[a])
+                ahead = np.full(len(start), span)
+                i = np.flatnonzero(a <= b)
+                ahead[i] = place[a[i]] - start[i]
+                tier = (ahead >= near).astype(np.int8) + (ahead >= far)
+                one = np.flatnonzero(ok & (tier == 2))
+                if len(one):
+                    s = start[one]
+                    alone.append((h(s, s + span), tk.Prefix(_OTHER[buf])(s, s + span), ids[lo + srow[one]], s - at[srow[one]]))
+                    if sum(len(x[0]) for x in alone) > POOL_PLACES:
+                        yield _gathered(*(np.concatenate(c) for c in zip(*alone, strict=True)))
+                        alone = []
+                run = np.flatnonzero(ok & (tier < 2))
+                if not len(run):
+                    continue
+                head = np.ones(len(run), bool)  # neighbouring starts ahead of one trigger
+                head[1:] = (a[run[1:]] != a[run[:-1]]) | (run[1:] != run[:-1] + 1) | (tier[run[1:]] != tier[run[:-1]])
+                first = np.flatnonzero(head)
+                last = np.concatenate([first[1:], [len(run)]]) - 1
+                s, e, t, r = start[run[first]], start[run[last]], place[a[run[first]]], srow[run[first]]
+                far_ = tier[run[first]]
+                key = tk.mix(h(t, t + span - np.where(far_ == 1, far, near)) + far_.astype(np.uint64)).view(np.int64)
+                raw = buf.tobytes()
+                for k, x, y, z, doc, begin in zip(key.tolist(), s.tolist(), e.tolist(), t.tolist(), ids[lo + r].tolist(), (s - at[r]).tolist(), strict=True):
+                    pool.add(k, raw[x : y + span], z - x, doc, begin)
+                if pool.full():
+                    yield pool.rows()
+        if pool.of:
+            yield pool.rows()
+        if alone:
+            yield _gathered(*(np.concatenate(c) for c in zip(*alone, strict=True)))
 
     return suffixes
 
 
-def _rows(doc, start, key, body, shape) -> pa.RecordBatch:
-    n = len(doc)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(doc, pa.int64()),
-            pa.array(start, pa.int32()),
-            pa.array(key, pa.int64()),
-            pa.array(body, pa.binary()) if body is not None else pa.nulls(n, pa.binary()),
-            pa.array(shape[0] if shape is not None else np.zeros(n), pa.int32()),
-            pa.array(shape[1] if shape is not None else np.ones(n), pa.int32()),
-        ],
-        names=["doc_id", "start", "key", "body", "ahead", "count"],
-    )
-
-
-_ROWS = "doc_id long, start int, key long, body binary, ahead int, count int"
-
-
-def _hashes(key, body, ahead, count, rest):
-    """Row, place in its run and fingerprint of each suffix: the bytes that its key doesn't cover, their split, the key."""
-    offs = np.concatenate([[0], np.cumsum([len(b) for b in body])]).astype(np.int64)
-    h = tk.Prefix(np.frombuffer(b"".join(body), np.uint8))
-    row = np.repeat(np.arange(len(key)), count)
-    j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    s = offs[row] + j
-    x = (ahead[row] - j).astype(np.uint64)
-    return row, j, tk.mix(h(s, s + rest) + x * tk.salt(3)) ^ tk.mix(key[row].view(np.uint64))
+def _suffix_array(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rank of each byte string and the common prefix of every rank with the one before it (padded by zeros)."""
+    m = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
+    order = np.argsort(m.view(f"S{width}").ravel(), kind="stable")
+    lcp = np.zeros(len(rows), np.int64)
+    for i in range(1, len(rows), 8192):
+        j = min(len(rows), i + 8192)
+        differs = m[order[i:j]] != m[order[i - 1 : j - 1]]
+        lcp[i:j] = np.where(differs.any(axis=1), differs.argmax(axis=1), width)
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.arange(len(rows))
+    return rank, lcp
+
+
+def _repeated(body: list[bytes], ahead: np.ndarray, count: np.ndarray, span: int) -> np.ndarray:
+    """Which suffixes (row x place in its run) share their first ``span`` bytes with one of another row."""
+    n, width = len(body), int(ahead.max()) + 1
+    rest, rest_lcp = _suffix_array([x[:k][::-1] for x, k in zip(body, ahead.tolist(), strict=True)], width)
+    parse, parse_lcp = _suffix_array([x[k : k + span] for x, k in zip(body, ahead.tolist(), strict=True)], span)
+    out = np.zeros((n, int(count.max())), bool)
+    # rows by the places that their suffixes lie ahead of the trigger
+    for x in range(width):
+        row = np.flatnonzero((ahead >= x) & (ahead - count < x))
+        if len(row) < 2:
+            continue
+        same_rest, same_text = np.cumsum(rest_lcp < x)[rest[row]], np.cumsum(parse_lcp < span - x)[parse[row]]
+        order = np.argsort(same_rest * n + parse[row])  # corpus order of these suffixes
+        r, s, row = same_rest[order], same_text[order], row[order]
+        twin = (r[1:] == r[:-1]) & (s[1:] == s[:-1])
+        hit = np.zeros(len(row), bool)
+        hit[1:] = twin
+        hit[:-1] |= twin
+        out[row[hit], ahead[row[hit]] - x] = True
+    return out
 
 
 def _ordered(span):
-    """Orders the suffixes of each key; rows arrive sorted by key."""
-    keep = span - REACH
-
-    def flush(doc, start, key, body, ahead, count):
-        row, j, window = _hashes(key, body, ahead, count, span - keep)
-        order = np.argsort(window, kind="stable")
-        w = window[order]
-        same = np.zeros(len(w), bool)
-        same[1:] = w[1:] == w[:-1]
-        same[:-1] |= same[1:]
-        twice = np.zeros(len(w), bool)
-        twice[order] = same
-        if not twice.any():
+    """Places of repeated suffixes of each key; rows arrive sorted by key."""
+
+    def flush(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = table["key"].to_numpy()
+        docs, starts = (table[c].combine_chunks() for c in ("docs", "starts"))
+        ends = np.asarray(docs.offsets, dtype=np.int64)
+        docs, starts, ends = np.asarray(docs.values), np.asarray(starts.values), ends
+        places = np.diff(ends)
+        group = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+        crowd = np.bincount(group)[group] > 1
+        rows = np.flatnonzero(crowd | (places > 1))
+        if not len(rows):
             return None
-        head, tail = twice.copy(), twice.copy()
-        head[1:] &= ~(twice[:-1] & (row[1:] == row[:-1]))
-        tail[:-1] &= ~(twice[1:] & (row[1:] == row[:-1]))
-        a, b = np.flatnonzero(head), np.flatnonzero(tail)
-        first = start[row[a]] + j[a]
+        ahead = table["ahead"].to_numpy()[rows]
+        body = table["body"].take(pa.array(rows)).to_pylist()
+        count = np.fromiter(map(len, body), np.int64, len(body)) - span + 1
+        many = places[rows] > 1
+        hit = np.zeros((len(rows), int(count.max())), bool)
+        busy = np.flatnonzero(crowd[rows])
+        if len(busy):
+            found = _repeated([body[i] for i in busy.tolist()], ahead[busy], count[busy], span)
+            hit[busy, : found.shape[1]] = found
+        hit[many] = np.arange(hit.shape[1]) < count[many, None]
+        edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        r, first = np.nonzero(edge == 1)
+        _, stop = np.nonzero(edge == -1)
+        n = places[rows[r]]
+        at = np.repeat(ends[rows[r]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row[a]], pa.int64()), pa.array(first, pa.int32()), pa.array(start[row[b]] + j[b] + span, pa.int32())], names=["doc_id", "from", "to"]
+            [
+                pa.array(docs[at], pa.int64()),
+                pa.array((starts[at] + np.repeat(first, n)).astype(np.int32)),
+                pa.array((starts[at] + np.repeat(stop - 1 + span, n)).astype(np.int32)),
+            ],
+            names=["doc_id", "from", "to"],
         )
 
     def order(batches):
-        held: list = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            held.append(part)
-            if sum(len(p[0]) for p in held) < 20_000:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < HOT:
                 continue
-            doc, start, key, body, ahead, count = (np.concatenate(c) for c in zip(*held, strict=True))
+            table = pa.Table.from_batches(held).combine_chunks()
+            key = table["key"].to_numpy()
             split = int(np.searchsorted(key, key[-1]))  # the last key may go on
             if split:
-                out = flush(doc[:split], start[:split], key[:split], body[:split], ahead[:split], count[:split])
+                out = flush(table.slice(0, split).to_batches())
                 if out is not None:
                     yield out
-                held = [[c[split:] for c in (doc, start, key, body, ahead, count)]]
-            else:
-                held = [[doc, start, key, body, ahead, count]]
+            held = table.slice(split).to_batches()
         if held:
-            out = flush(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            out = flush(held)
             if out is not None:
                 yield out
 
     return order
 
 
+def _windows(span):
+    """The suffixes of runs as single ones."""
+
+    def windows(batches):
+        alone: list[tuple] = []
+        for batch in batches:
+            bodies, docs, starts = (batch.column(i) for i in (2, 4, 5))
+            for body, doc, start in zip(bodies, docs, starts, strict=True):
+                buf = np.frombuffer(body.as_buffer(), np.uint8)
+                s = np.arange(len(buf) - span + 1)
+                key, other = tk.Prefix(buf)(s, s + span), tk.Prefix(_OTHER[buf])(s, s + span)
+                doc, start = np.asarray(doc.values), np.asarray(start.values)
+                alone.append((np.repeat(key, len(doc)), np.repeat(other, len(doc)), np.tile(doc, len(s)), np.repeat(s, len(doc)) + np.tile(start, len(s))))
+                if sum(len(x[0]) for x in alone[-64:]) > POOL_PLACES or len(alone) >= 4096:
+                    yield _gathered(*(np.concatenate(c) for c in zip(*alone, strict=True)))
+                    alone = []
+        if alone:
+            yield _gathered(*(np.concatenate(c) for c in zip(*alone, strict=True)))
+
+    return windows
+
+
 def _removed(batches):
     for batch in batches:
         ids, texts, froms, tos = (batch.column(i) for i in range(4))
@@ -252,22 +389,8 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.string())], names=["text_id", "gone", "spans", "digest"])
 
 
-def _windows(span):
-    """The suffixes of keys with very many rows as rows of their own (doc_id, start, key)."""
-    keep = span - REACH
-
-    def windows(batches):
-        for batch in batches:
-            doc, start, key, body, ahead, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            if len(doc):
-                row, j, window = _hashes(key, body, ahead, count, span - keep)
-                yield _rows(doc[row], start[row] + j, window.view(np.int64), None, None)
-
-    return windows
-
-
-#: Keys with more rows than this are not ordered inside one task but by a distributed count.
-HOT = 100_000
+#: Up to so many hot keys (8 bytes each) are sent to every task; more are joined.
+SENT = 100_000
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -287,17 +410,19 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFr
     known = known.join(texts.where(F.col("n_bytes") >= span), "text_id").select(F.col("text_id").alias("tid"), "rep_id", "known")
     sources = long.join(known, (F.col("text_id") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     sources = cut(sources.select(F.col("text_id").alias("doc_id"), "text", "known"))
-    runs = sources.mapInArrow(_suffixed(span, False), _ROWS)
-    hot = runs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")
-    single = sources.mapInArrow(_suffixed(span, True), _ROWS).select("doc_id", "start", "key")
-    if sources.count() > HOT and not hot.isEmpty():
-        hot = cut(hot)
-        single = single.union(runs.join(hot, "key", "left_semi").select(*runs.columns).mapInArrow(_windows(span), _ROWS).select("doc_id", "start", "key"))
-        runs = runs.join(hot, "key", "left_anti").select(*runs.columns)
+    suffixes = cut(sources.mapInArrow(_suffixed(span), _ROWS))
+    runs, single = suffixes.where("body IS NOT NULL"), suffixes.where("body IS NULL").select("key", "other", "docs", "starts")
+    hot = cut(runs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"))
+    n_hot = hot.count()
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= SENT else hot
+        single = single.union(runs.join(hot, "key", "left_semi").select(*_NAMES).mapInArrow(_windows(span), _ROWS).select("key", "other", "docs", "starts"))
+        runs = runs.join(hot, "key", "left_anti").select(*_NAMES)
     ordered = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_ordered(span), "doc_id long, from int, to int")
-    twice = single.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    single = single.join(twice, "key", "left_semi").select("doc_id", F.col("start").alias("from"), (F.col("start") + span).cast("int").alias("to"))
-    return rows, texts, sources, ordered.union(single)
+    twice = single.groupBy("key", "other").agg(F.sum(F.size("docs")).alias("n")).where("n > 1").select("key", "other")
+    place = single.join(twice, ["key", "other"], "left_semi").select(F.explode(F.arrays_zip("docs", "starts")).alias("p"))
+    place = place.select(F.col("p.docs").alias("doc_id"), F.col("p.starts").alias("from"), (F.col("p.starts") + span).cast("int").alias("to"))
+    return rows, texts, sources, ordered.union(place)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
