@@ -2,9 +2,11 @@ import collections
 import hashlib
 import math
 import re
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,25 @@ def test_lines(spark, odd, empty):
     assert line_dedup.drop_boilerplate_lines(odd).count() == odd.count() and line_dedup.drop_boilerplate_lines(empty).count() == 0
 
 
+def _least_edits(item, text):
+    """Fewest edits that make ``item`` a run of ``text``, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        new = [i + 1]
+        for j, y in enumerate(text):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return min(row)
+
+
+def _edited(rng, words, kind, evenly, d):
+    w = list(words)
+    at = np.linspace(0, len(w) - 1, d + 2)[1:-1].astype(int) if evenly else rng.choice(len(w), d, replace=False)
+    for k in sorted(at.tolist(), reverse=True):
+        w[k : k + 1] = [[], ["new"], [w[k], "more"]][kind if kind < 3 else int(rng.integers(3))]
+    return w
+
+
 def test_contamination(spark, odd, empty):
     rng = np.random.default_rng(4)
     vocab = np.array(["".join(rng.choice(list("klmnop"), 5)) for _ in range(400)])
@@ -255,22 +276,53 @@ def test_contamination(spark, odd, empty):
     rows, planted = [], set()
     for i in range(200):
         item, text = items[i % 40]
-        w = text.split()
-        if i >= 40:  # up to a fifth of the words changed
-            for _ in range(len(w) // 5):
-                k = int(rng.integers(len(w)))
-                w[k : k + 1] = [[], ["new"], [w[k], "more"]][int(rng.integers(3))]
+        w = _edited(rng, text.split(), 3, False, len(text.split()) // 5) if i >= 40 else text.split()
         before, after = (" ".join(rng.choice(vocab, 30)) for _ in range(2))
         rows.append((1000 + i, f"{before} {' '.join(w).upper() if i % 3 else '. '.join(w)}, {after}"))
         planted.add((1000 + i, item))
     docs = spark.createDataFrame(rows + [(1, None), (2, "")], "doc_id long, text string").withColumn("item_id", F.lit(7))
-    bench = spark.createDataFrame(items + [(90, None), (91, "too short"), (None, "a b c d e f")], "item_id long, text string")
-    found = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(docs, bench).collect()}
+    bench = spark.createDataFrame(items + [(90, None), (91, "..."), (None, "a b c d e f")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.edits, r.at_word) for r in decontaminate.contaminated(docs, bench).collect()}
     assert set(found) <= planted and len(found) >= 0.99 * len(planted)
-    assert all(found[1000 + i, i] == 0 for i in range(40))
+    assert all(found[1000 + i, i] == (0, 30) for i in range(40))
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_matches_edit_distance(spark, odd):
+    """Every pair of odd texts (nulls, ties, repeated rows, 20,000 words, clashing columns) and items against the full table of edit distances."""
+    texts = [r.text for r in odd.orderBy("doc_id").collect() if r.text and len(r.text.split()) > 60]
+    item_texts = [" ".join(texts[i % len(texts)].split()[5 : 5 + n]) for i, n in enumerate((1, 2, 4, 5, 6, 9, 10, 11, 15, 16, 20, 40, 50))]
+    items = [(i, x, 1) for i, x in enumerate(item_texts)] + [(0, item_texts[0], 1), (77, item_texts[12], 2), (78, "never said anywhere", 3)]
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id long")
+    words_of = lambda x: re.findall(r"[0-9a-zA-Z\u0080-\uffff]+", (x or "").translate(LOWER))
+    want = collections.Counter()
+    docs = pairs(odd, "doc_id", "text")
+    for d, x in docs:
+        for i, y, _ in items:
+            w, v = words_of(y), words_of(x)
+            if len(v) < 5000 or set(w) & set(v):
+                k = _least_edits(w, v) if len(v) < 5000 else 0 if f" {' '.join(w)} " in f" {' '.join(v)} " else 99
+                if k <= len(w) // 5:
+                    want[d, i, k] += 1
+    got = collections.Counter(pairs(decontaminate.contaminated(odd, bench), "doc_id", "item_id", "edits"))
+    assert got == want and sum(want.values()) > 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 20, 30, 50, 80])
+def test_contamination_recall_by_length(n):
+    """With all allowed edits: everything is found up to 15 words, 99 % at least beyond."""
+    rng = np.random.default_rng(n)
+    p = 1 / (np.arange(30_000) + 2.7)
+    draw = lambda k: [f"w{x}" for x in rng.choice(30_000, k, p=p / p.sum())]
+    items = [draw(n) for _ in range(50)]
+    shared = decontaminate.Items(np.arange(50), pa.array([" ".join(x) for x in items]))
+    docs = [draw(20) + _edited(rng, x, kind, evenly, n // 5) + draw(20) for x in items for kind in range(4) for evenly in (True, False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array([" ".join(x) for x in docs])], names=["doc_id", "text"])
+    found = {(d, i) for out in decontaminate._found(types.SimpleNamespace(value=shared))([batch]) for d, i in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True)}
+    missed = sum((k, k // 8) not in found for k in range(len(docs)))
+    assert missed == 0 if n <= decontaminate.SHORT else missed <= 0.01 * len(docs)
+
+
 @pytest.mark.parametrize("span", [400, 200])
 def test_repeats(spark, odd, empty, span):
     shared = "".join(np.random.default_rng(5).choice(list("abc def"), 700))
