@@ -33,5 +33,5 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table that was written."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
