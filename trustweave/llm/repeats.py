@@ -78,7 +78,7 @@ def _starts(offs: np.ndarray, rows: np.ndarray, span: int) -> tuple[np.ndarray,
 
 def _parsed(span):
     def parse(batches):
-        """(phrase, text_id, known): known phrases recur within the task, one of each goes on as unknown."""
+        """(slot, other, known): (text_id, phrase) of phrases that recur within the task, and (phrase, text_id) of one of each and of all others."""
         pool: list[np.ndarray] = []
         size = 0
         for batch in batches:
@@ -119,12 +119,15 @@ def _combined(pool) -> pa.RecordBatch:
     group = np.cumsum(head) - 1
     size = np.bincount(group) if len(ph) else group
     known = (size[group] > 1) | (times != 1) if len(ph) else head
-    # known ones go on under their own key, one of each phrase also under the phrase's
+    # known ones go on under their text, one of each phrase also under the phrase
     again = np.flatnonzero(known & head)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([ph, ph[again]])), pa.array(np.concatenate([text, text[again]])), pa.array(np.concatenate([known, np.zeros(len(again), bool)]))],
-        names=["phrase", "text_id", "known"],
-    )
+        [
+            pa.array(np.concatenate([np.where(known, text, ph), ph[again]])), pa.array(np.concatenate([np.where(known, ph, text), text[again]])),
+            pa.array(np.concatenate([known, np.zeros(len(again), bool)])),
+        ],
+        names=["slot", "other", "known"],
+    )
 
 
 _NAMES = ["key", "other", "body", "ahead", "docs", "starts"]
@@ -401,12 +404,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFr
     rows = cut(docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("text_id"), F.octet_length("text").cast("long").alias("n_bytes")))
     texts = rows.groupBy("sha", "text_id", "n_bytes").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"))
     long = docs.where(F.octet_length("text") >= span).select("doc_id", "text", F.xxhash64("text").alias("text_id"))
-    parse = long.select("text", "text_id").mapInArrow(_parsed(span), "phrase long, text_id long, known boolean")
-    salted = parse.withColumn("salt", F.when(F.col("known"), F.col("text_id")).otherwise(F.lit(0)))
-    by = "OVER (PARTITION BY phrase, salt)"
-    recurring = salted.withColumn("wide", F.expr(f"min(text_id) {by} <> max(text_id) {by}"))
-    recurring = recurring.where(F.col("known") | F.col("wide") | (F.col("phrase") == F.col("text_id")))
-    known = recurring.groupBy("text_id").agg(F.collect_set("phrase").alias("known"))
+    parse = long.select("text", "text_id").mapInArrow(_parsed(span), "slot long, other long, known boolean")
+    # a phrase under its text is a group of its own, so no group holds more rows of a phrase than there are tasks' pools
+    by = "OVER (PARTITION BY known, slot)"
+    recurring = parse.withColumn("wide", F.expr(f"min(other) {by} <> max(other) {by}"))
+    recurring = recurring.where(F.col("known") | F.col("wide") | (F.col("slot") == F.col("other")))
+    pair = lambda a, b: F.when(F.col("known"), F.col(a)).otherwise(F.col(b))
+    known = recurring.groupBy(pair("slot", "other").alias("text_id")).agg(F.collect_set(pair("other", "slot")).alias("known"))
     known = known.join(texts.where(F.col("n_bytes") >= span), "text_id").select(F.col("text_id").alias("tid"), "rep_id", "known")
     sources = long.join(known, (F.col("text_id") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
     sources = cut(sources.select(F.col("text_id").alias("doc_id"), "text", "known"))
@@ -419,8 +423,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFr
         single = single.union(runs.join(hot, "key", "left_semi").select(*_NAMES).mapInArrow(_windows(span), _ROWS).select("key", "other", "docs", "starts"))
         runs = runs.join(hot, "key", "left_anti").select(*_NAMES)
     ordered = runs.repartition("key").sortWithinPartitions("key").mapInArrow(_ordered(span), "doc_id long, from int, to int")
-    twice = single.groupBy("key", "other").agg(F.sum(F.size("docs")).alias("n")).where("n > 1").select("key", "other")
-    place = single.join(twice, ["key", "other"], "left_semi").select(F.explode(F.arrays_zip("docs", "starts")).alias("p"))
+    # equal suffixes of a task's pool are one row, so a group has no more rows than there are pools
+    twice = single.withColumn("n", F.expr("sum(size(docs)) OVER (PARTITION BY key, other)")).where("n > 1")
+    place = twice.select(F.explode(F.arrays_zip("docs", "starts")).alias("p"))
     place = place.select(F.col("p.docs").alias("doc_id"), F.col("p.starts").alias("from"), (F.col("p.starts") + span).cast("int").alias("to"))
     return rows, texts, sources, ordered.union(place)
 
