@@ -1,4 +1,4 @@
-"""Each query of the extended module against its SQL, and the word ranking against plain loops."""
+"""Each query of the extended and composed modules against its SQL, and the word ranking against plain loops."""
 
 import random
 import re
@@ -7,16 +7,16 @@ import duckdb
 import pytest
 
 from trustweave.functions.fulltext import rank, stem
-from trustweave.plans import extended, queries
+from trustweave.plans import composed, extended, queries
 
 DIR = "/root/testdata/sf0.001"
-NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ == extended.__name__]
+NAMES = [n for n, f in queries.QUERIES.items() if f.__module__ in (extended.__name__, composed.__name__)]
 
 
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for name in ("orders", "customer", "lineitem", "part", "events", "documents", "pages", "benchmark", "conversations"):
+    for name in ("orders", "customer", "lineitem", "part", "events", "documents", "pages", "benchmark", "conversations", "embeddings", "nation"):
         con.sql(f"CREATE VIEW {name} AS FROM '{DIR}/{name}.parquet'")
     return con
 

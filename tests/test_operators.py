@@ -31,6 +31,10 @@ def test_upsert_is_idempotent(spark):
     assert ingest.tombstones(first, batch.limit(0)).count() == 0
     back = ingest.classify(spark.createDataFrame([("a", "9")], batch.schema), first.withColumn("status", F.lit("retracted"))).first()
     assert (back.change, back.status) == ("updated", "retracted")
+    old = first.withColumn("status", F.lit("archived"))
+    assert {(r.change, r.status) for r in ingest.classify(batch, old).collect()} == {("unchanged", "archived")}
+    seen = ingest.apply(batch.where("id = 'a'"), old, "2026-01-01 00:00:00")
+    assert {r.id: (r.status, r.last_seen_at is not None) for r in seen.collect()} == {"a": ("archived", True), "b": ("archived", False)}
 
 
 def test_supersession_and_summary(spark):
@@ -101,7 +105,7 @@ def test_verdicts(spark):
 
 def test_reasons(spark):
     s = "struct<owner:double,channel:double,authority:double,freshness:double,doc_type:string,text:string>"
-    a, b = (1.0, 1.0, 0.3, 0.2, "policy", "It is 5 days."), (0.3, 0.5, 0.3, 0.9, "chat", "Superseded by a newer one.")
+    a, b = (1.0, 1.0, 0.3, 0.2, "policy", "It is 5 days."), (0.3, 0.5, 0.3, 0.9, "chat", "Taken from an old note.")
     rows = spark.createDataFrame([(a, b), (a, a)], f"w {s}, l {s}")
     assert [r[0] for r in rows.select(analyse.reason(F.col("w"), F.col("l"))).collect()] == [
         "Preferred because it has an accountable owner, an official policy leads over a chat (knowledge governance policy), the rejected source says itself that it relies on old material, even though the rejected source is newer.",
@@ -149,12 +153,20 @@ def test_connectors(spark):
     assert r.sections[-1].sentences == ["Fine.", "Good.", "Great."]
 
 
-def test_stream(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "id string, content_hash string").write.parquet(src)
-    units = spark.readStream.schema("id string, content_hash string").parquet(src)
-    ingest_stream.start(units, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.id, r.content_hash, r.status) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [("a", "2", "active"), ("b", "1", "active")]
+def test_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest_stream, "COMPACT", 2)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "id string, content_hash string, seq long"
+    steps = [[("a", "9", 1), ("a", "2", 2), ("b", "1", 1)], [("c", "1", 3)], [("a", "2", 4), ("b", "5", 4)], [("b", "6", 5)], [("d", "1", 6)]]
+    for i, rows in enumerate(steps):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        units = spark.readStream.schema(schema).parquet(src)
+        ingest_stream.start(units, out, str(tmp_path / "cp")).awaitTermination()
+    kept = "id string, content_hash string, seq long, status string, batch long"
+    state = lambda n: sorted((r.id, r.content_hash, r.status) for r in ingest_stream.current(spark, out, n, kept).collect())
+    assert state(0) == [] and state(1) == [("a", "2", "active"), ("b", "1", "active")]
+    assert state(5) == [("a", "2", "active"), ("b", "6", "active"), ("c", "1", "active"), ("d", "1", "active")]
+    assert spark.read.parquet(f"{out}/delta/2").count() == 1  # the unchanged unit writes nothing
 
 
 def test_near_duplicate_pairs_match_brute_force(spark, tmp_path):

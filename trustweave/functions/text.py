@@ -8,14 +8,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Word lists and patterns.
-STOPWORDS = (
-    "a about an and any are as at be been but by can could do does for from had has have how i if in into is it its may me must my no not of on or our "
-    "shall she should so than that the their them then there these they this to under up us was we were what when where which who will with would you your"
-).split()
-FACT = r"(?i)([€£] ?\d[\d.,]*\d|[€£] ?\d|\d+(?:[.,]\d+)* ?(?:%|percent\b|(?:calendar |working )?days?\b|weeks?\b|months?\b|years?\b|hours?\b|per week\b))"
-REPORTED = r"(?i)(i (heard|think|believe)|someone (said|told)|apparently|supposedly|they say).{0,60}\d"
-NO_ANSWER = r"(?i)(does not|doesn't|cannot|can't|do not) (determine|decide|define|specify|set out|confirm)"
-STALE_SELF = r"(?i)(no longer (valid|applies|current)|superseded by|replaced by|out ?dated|obsolete|old version)"
+STOPWORDS = """a an the of for in on at to from by with and or is are was were be been do does did how many much
+what which who where when why can could should would i we you they it this that these those our their your as into
+about after before during under over per get gets give employee employees""".split()
+FACT = r"(?i)(€\s?\d+(?:[.,]\d+)?|£\s?\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?\s*(?:%|percent|calendar days|working days|days|weeks|months|years|hours|per week))"
+REPORTED = r"(?i)\b(?:say|says|said|claims?|told me|according to)\b[^.]{0,60}\d"
+NO_ANSWER = r"(?i)does not determine|do not determine|is not determined|not covered by|out of scope|does not cover|must not be used|cannot be used to|is not part of"
+STALE_SELF = r"(?i)old (?:onboarding )?(?:note|file|document|material|version)|have not checked|previous process|not (?:yet )?verified|i believe"
+KEY_FACTS = [
+    ("correction run cost", [(r"\bfor free\b|\bfree of charge\b|\bis free\b|\balways .{0,30}free\b", "free"), (r"\bcharged\b|\bcosts? extra\b|\bnot free\b|\bpaid\b|\binvoiced\b", "charged")]),
+    ("correction run availability", [(r"correction runs? (?:are|is) not available", "not available"), (r"correction run (?:can be requested|is possible|is available)", "available")]),
+    ("exceptions after cutoff", [(r"\bno exceptions\b", "none"), (r"\bonly [^.]{0,80} can be (?:processed|handled) after\b|\bexceptions? (?:are|is) (?:allowed|possible)\b|\bcan be handled after the cutoff\b", "some")]),
+]
+CONDITIONS = ("years", "months of service", "years of service")
+_SPACE = " \t\n\r\x0b\x0c"
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` with the value computed once; a lambda would compute an expression at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def clean_space(c: Column) -> Column:
@@ -77,12 +88,21 @@ def overlap(question: Column, passage: Column) -> Column:
 
 def numeric_facts(c: Column) -> Column:
     """Amounts and numbers with units in order, distinct: lower case, one space, decimal point, plain days, % for percent."""
-    fact = lambda x: F.regexp_replace(
-        F.regexp_replace(F.translate(clean_space(F.lower(x)), ",", "."), r"(calendar|working) ", ""), r" ?percent", "%"
-    )
+    low = lambda x: F.translate(clean_space(F.lower(x)), ",", ".")
+    fact = lambda x: F.replace(F.regexp_replace(low(x), "(?:calendar|working) days", "days"), F.lit("percent"), F.lit("%"))
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(FACT), 1), fact))
 
 
+def facts(c: Column) -> Column:
+    """Key facts of the fixed table, then numeric facts."""
+    return F.array_distinct(F.concat(key_facts(F.lower(c), KEY_FACTS), numeric_facts(c)))
+
+
+def fact_keys(c: Column) -> Column:
+    """Keys of the key facts that a text states."""
+    return F.transform(key_facts(F.lower(c), KEY_FACTS), lambda x: F.substring_index(x, "=", 1))
+
+
 def key_facts(c: Column, rules: list[tuple[str, list[tuple[str, str]]]]) -> Column:
     """For each key the value of its first matching pattern, as key=value; ``rules``: (key, [(pattern, value)])."""
     one = lambda key, options: reduce(lambda w, o: w.when(c.rlike(o[0]), F.lit(f"{key}={o[1]}")), options, F.when(F.lit(False), F.lit("")))
@@ -90,50 +110,53 @@ def key_facts(c: Column, rules: list[tuple[str, list[tuple[str, str]]]]) -> Colu
 
 
 def unit_of(fact: Column) -> Column:
-    """Unit of a fact: the key of key=value, the currency sign, or the word after the number in the plural."""
-    word = F.trim(F.regexp_replace(fact, r"^[\d. ]+", ""))
+    """Unit of a fact: the key of key=value, the currency sign, or what follows the number."""
     return (
-        F.when(fact.contains("="), F.substring_index(fact, "=", 1))
+        F.when(fact.contains("=") & ~fact.rlike("^[0-9]"), F.substring_index(fact, "=", 1))
         .when(fact.rlike("^[€£]"), F.substring(fact, 1, 1))
-        .when(word.rlike("^(day|week|month|year|hour)$"), F.concat(word, F.lit("s")))
-        .otherwise(word)
+        .otherwise(F.trim(F.regexp_replace(fact, r"^[\d.]+\s*", "")))
     )
 
 
 def value_of(fact: Column) -> Column:
     """Value of a fact, as text."""
-    return F.when(fact.contains("="), F.substring_index(fact, "=", -1)).otherwise(F.regexp_extract(fact, r"(\d[\d.]*)", 1))
+    return F.when(fact.contains("=") & ~fact.rlike("^[0-9]"), F.regexp_replace(fact, "^[^=]*=", "")).otherwise(F.regexp_extract(fact, r"(\d[\d.]*)", 1))
 
 
-def by_unit(facts: Column) -> Column:
-    """Map of unit to the first value."""
-    pairs = F.transform(facts, lambda x: F.struct(unit_of(x).alias("u"), value_of(x).alias("v")))
-    first = F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["u"]), x["u"]) == i + 1)
-    return F.map_from_entries(first)
+def by_unit(facts_: Column) -> Column:
+    """Map of unit to the first value, in one fold over the facts."""
+    empty = F.create_map().cast("map<string,string>")
+    known = lambda m, x: F.when(F.map_contains_key(m, unit_of(x)), m).otherwise(F.map_concat(m, F.create_map(unit_of(x), value_of(x))))
+    return F.aggregate(facts_, empty, known)
 
 
-def contradictions(a: Column, b: Column, conditions: tuple[str, ...] = ("years",)) -> Column:
+def contradictions(a: Column, b: Column, conditions: tuple[str, ...] = CONDITIONS) -> Column:
     """Units whose values differ between two unit maps, as (unit, a, b); none if a shared condition differs."""
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    differs = lambda u: F.element_at(a, u) != F.element_at(b, u)
-    cond = F.array(*map(F.lit, conditions))
-    blocked = F.exists(F.array_intersect(shared, cond), differs)
-    found = F.transform(F.filter(F.array_except(shared, cond), differs), lambda u: F.struct(u.alias("unit"), F.element_at(a, u).alias("a"), F.element_at(b, u).alias("b")))
-    return F.when(blocked, F.slice(found, 1, 0)).otherwise(found)
+
+    def found(both: Column) -> Column:
+        other = both["b"]
+        differ = F.filter(F.map_entries(both["a"]), lambda e: F.map_contains_key(other, e["key"]) & (F.element_at(other, e["key"]) != e["value"]))
+        named = F.transform(differ, lambda e: F.struct(e["key"].alias("unit"), e["value"].alias("a"), F.element_at(other, e["key"]).alias("b")))
+        return let(named, lambda d: F.when(F.exists(d, lambda x: x["unit"].isin(*conditions)), F.slice(d, 1, 0)).otherwise(d))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), found)
 
 
 def asserts(c: Column) -> Column:
-    """Whether a text states something: not empty, no closing question, no early question, no hearsay number."""
-    last = F.element_at(F.split(F.trim(c), r"(?<=[.!?])\s+"), -1)
-    early = F.get(F.split(F.substring(c, 1, 120), r"(?<=[.!])\s+"), F.lit(0))
-    return (F.trim(c) != "") & ~last.endswith("?") & ~early.contains("?") & ~c.rlike(REPORTED)
+    """Whether a text states something: not empty, no question at its end or in what comes before the first point of its first 120 characters, no reported number."""
+    whole = F.btrim(c, F.lit(_SPACE))
+    last = F.element_at(F.split(whole, r"(?<=[.!?])\s+"), -1)
+    early = F.substring_index(F.substring(c, 1, 120), ".", 1)
+    return (whole != "") & ~last.endswith("?") & ~early.contains("?") & ~c.rlike(REPORTED)
 
 
 def non_answer(c: Column) -> Column:
+    """Whether a text says itself that it doesn't settle the matter."""
     return c.rlike(NO_ANSWER)
 
 
 def says_stale(c: Column) -> Column:
+    """Whether a text says itself that it rests on old material."""
     return c.rlike(STALE_SELF)
 
 
@@ -157,7 +180,7 @@ def slug(prefix: str, external_id: Column, size: int = 40) -> Column:
 
 
 def lead_sentence(question_tokens: Column, text: Column) -> Column:
-    """The sentence with most question tokens (half a point for a digit), the earliest of equals."""
+    """The sentence with most question tokens (half a point for a digit), the earliest of equals; null without a sentence."""
     score = lambda s: F.size(F.array_intersect(question_tokens, content_tokens(s))) + F.when(s.rlike(r"\d"), 0.5).otherwise(0.0)
     scored = F.transform(sentences_capital(text), lambda s, i: F.struct(score(s).alias("score"), (-i).alias("at"), s.alias("sentence")))
     return F.array_max(scored)["sentence"]

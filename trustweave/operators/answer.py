@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from .trust import confidence
 
 
 def status(parts: DataFrame) -> DataFrame:
@@ -89,6 +90,7 @@ def version_notes(parts: DataFrame, outdated: DataFrame) -> DataFrame:
     item = F.struct((-F.col("relevance")).alias("r"), "doc_id", F.concat("title", F.lit(" ("), F.year("updated_at"), F.lit(")")).alias("said"))
     old = outdated.groupBy("sub_id").agg(F.sort_array(F.collect_list(item)).alias("o"))
     asks = parts.where(F.col("question").rlike(r"(?i)\bversions?\b")).join(old, "sub_id")
+    # Fixed value: the sentence of the note.
     said = F.concat(
         F.lit("Yes: "), F.size("o"), F.lit(" older version(s) still exist and are excluded from answers: "), F.array_join(F.transform("o", lambda x: x["said"]), ", "), F.lit(".")
     )
@@ -124,3 +126,53 @@ def primary(strong_: DataFrame) -> DataFrame:
     rows = strong_.withColumn("_fit", fit)
     keys = [F.desc("_fit"), *(F.when(F.col("_fit"), F.col(c)).desc() for c in ("official", "updated_at", "trust", "relevance")), F.desc("score"), F.col("chunk_id")]
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("sub_id").orderBy(*keys))).where("_r = 1").drop("_r", "_fit")
+
+
+def answered(candidates: DataFrame, disclaimers: DataFrame, subs: DataFrame) -> DataFrame:
+    """Status, confidence and leading passage of every sub-question (``subs``: sub_id) from its candidates and disclaimers.
+
+    ``candidates`` needs what ``strong`` and ``primary`` do, doc_type and contested; ``disclaimers``: sub_id, chunk_id, relevance.
+    Strong passages give way to a disclaimer that is about as relevant as the first of them (.05 less at most). Returns sub_id, status,
+    confidence, chunk_id (the primary, the first related passage or the first disclaimer; null if nothing was found).
+    """
+    score = 0.5 * F.col("relevance") + 0.5 * F.col("trust")
+    rows = candidates.withColumn("score", score)
+    able = strong(rows)
+    first = able.groupBy("sub_id").agg(F.max_by("relevance", F.struct("score", (-F.col("chunk_id")).alias("i"))).alias("top"), F.count("*").alias("n"))
+    lead = primary(able).select("sub_id", F.struct("chunk_id", "relevance", "trust", "doc_type", "contested").alias("lead"))
+    near = rows.where(F.col("on_topic") & F.col("asserts") & (F.col("relevance") >= config.RELEVANT) & ((F.col("relevance") < config.ANSWERS) | (F.col("trust") < config.TRUSTED)))
+    near = near.groupBy("sub_id").agg(F.max_by(F.struct("chunk_id", "trust"), F.struct("score", (-F.col("chunk_id")).alias("i"))).alias("near"), F.count("*").alias("related"))
+    says_no = disclaimers.groupBy("sub_id").agg(F.max("relevance").alias("denies"), F.max_by("chunk_id", F.struct("relevance", (-F.col("chunk_id")).alias("i"))).alias("denial"))
+    parts = subs.select("sub_id")
+    for more in (first, lead, near, says_no):
+        parts = parts.join(more, "sub_id", "left")
+    gives_way = F.coalesce(F.col("denies") >= F.col("top") - 0.05, F.lit(False))
+    leads = F.col("lead")
+    parts = parts.select(
+        "sub_id", F.when(gives_way, 0).otherwise(F.coalesce("n", F.lit(0))).alias("strong"), F.col("denies").isNotNull().alias("disclaimed"), F.coalesce("related", F.lit(0)).alias("related"),
+        F.coalesce(leads["contested"], F.lit(False)).cast("int").alias("conflicts"), F.coalesce(leads["doc_type"].isin(*config.INFORMAL), F.lit(False)).alias("informal"),
+        (0.5 * F.least(F.lit(1.0), leads["relevance"] / 0.8) + 0.5 * leads["trust"]).alias("confidence"), F.col("near.trust").alias("trust"),
+        leads["chunk_id"].alias("_lead"), F.col("near.chunk_id").alias("_near"), "denial",
+    )
+    chunk = F.when(F.col("strong") > 0, F.col("_lead")).when(F.col("status") == "partial", F.col("_near")).otherwise(F.col("denial"))
+    return status(parts).select("sub_id", "status", "confidence", chunk.alias("chunk_id"))
+
+
+def review_count(review: DataFrame) -> DataFrame:
+    """Items for review of each question (question_id, ...)."""
+    return review.groupBy("question_id").agg(F.count("*").alias("review_count"))
+
+
+def cards(chunks: DataFrame, people: DataFrame) -> DataFrame:
+    """Evidence cards of candidates: names and role of owner and author, country in words, staleness as told, confidence.
+
+    Needs owner_id, author_id, country, relevance, trust, date_known; people: id, name, role, active. Other columns stay.
+    """
+    names = F.create_map(*[F.lit(x) for kv in config.COUNTRY_NAMES.items() for x in kv])
+    rows = chunks
+    for side in ("owner", "author"):
+        who = people.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), *([F.col("role").alias("owner_role"), F.col("active").alias("owner_active")] if side == "owner" else []))
+        rows = rows.join(who, f"{side}_id", "left")
+    known = F.coalesce("date_known", F.lit(True))
+    label = F.when(F.col("country").isNull(), "Global").otherwise(F.try_element_at(names, "country"))
+    return rows.withColumn("country_name", label).withColumn("date_known", known).withColumn("confidence", confidence(F.col("relevance"), F.col("trust")))

@@ -29,21 +29,34 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def classify(batch: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows of ``batch`` (id, content_hash, ...) with change inserted, updated or unchanged, and the status that follows."""
+    """Rows of ``batch`` (id, content_hash, ...) with change inserted, updated or unchanged, and the status that follows.
+
+    Changed content brings archived and outdated documents back; retracted ones stay retracted, and unchanged ones keep their status.
+    """
     old = current.select("id", F.col("content_hash").alias("old_hash"), F.col("status").alias("old_status"))
     rows = batch.join(old, "id", "left")
     change = F.when(F.col("old_hash").isNull(), "inserted").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
-    back = F.col("old_status").isNull() | F.col("old_status").isin("archived", "needs_update")
+    back = F.col("old_status").isNull() | ((change == "updated") & F.col("old_status").isin("archived", "needs_update"))
     return rows.withColumn("change", change).withColumn("status", F.when(back, "active").otherwise(F.col("old_status"))).drop("old_hash", "old_status")
 
 
-def apply(batch: DataFrame, current: DataFrame) -> DataFrame:
-    """The new snapshot: changed rows replace their predecessors, all others stay."""
-    changed = classify(batch, current).where("change <> 'unchanged'").drop("change")
-    return current.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+def apply(batch: DataFrame, current: DataFrame, seen_at: str | None = None) -> DataFrame:
+    """The new snapshot: changed rows replace their predecessors, all others stay; with ``seen_at`` all rows of the batch get it as last_seen_at."""
+    if seen_at is None:
+        changed = classify(batch, current).where("change <> 'unchanged'").drop("change")
+        return current.join(changed.select("id"), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+    at = F.lit(seen_at).cast("timestamp")
+    judged = classify(batch, current)
+    changed = judged.where("change <> 'unchanged'").drop("change").withColumn("last_seen_at", at)
+    marks = judged.select("id", (F.col("change") == "unchanged").alias("_same"))
+    kept = current.join(marks, "id", "left").where("_same IS NULL OR _same")
+    old = F.col("last_seen_at") if "last_seen_at" in current.columns else F.lit(None).cast("timestamp")
+    kept = kept.withColumn("last_seen_at", F.when(F.col("_same"), at).otherwise(old)).drop("_same")
+    return kept.unionByName(changed, allowMissingColumns=True)
 
 
 def counts(classified: DataFrame) -> DataFrame:
+    """Rows of a run by what became of them."""
     is_ = lambda c: F.count_if(F.col("change") == c).alias(c)
     return classified.agg(F.count("*").alias("fetched"), is_("inserted"), is_("updated"), is_("unchanged"))
 
@@ -123,3 +136,39 @@ def edited(classified: DataFrame, at: str) -> DataFrame:
     """Edges that updated documents with an owner leave."""
     rows = classified.where("change = 'updated' AND owner_id IS NOT NULL")
     return rows.select(F.col("owner_id").alias("person_id"), F.lit("edited").alias("rel"), F.col("id").alias("document_id"), F.lit(at).cast("date").alias("at"))
+
+
+def added(notes: DataFrame, docs: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and edges of texts added directly (seq, title, text, doc_type, owner_id, topics).
+
+    Ids are USR- and a number of four digits or more, which goes on from the ids in ``docs``. Numbers follow seq: they are counted within
+    ranges of seq and the ranges' sizes added up, so no task holds all notes. One section, Note (Decisions for meetings), with the sentences of the text.
+    """
+    spans = notes.withColumn("_r", F.floor(F.col("seq") / 4096))
+    sizes = spans.groupBy("_r").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    so_far = docs.where("id LIKE 'USR-%'").agg(F.count("*").alias("_old"))
+    own = F.row_number().over(Window.partitionBy("_r").orderBy("seq", "title"))
+    rows = spans.withColumn("_own", own).join(sizes, "_r").crossJoin(so_far)  # one row
+    n = (F.col("_old") + F.col("_before") + F.col("_own")).cast("string")
+    rows = rows.withColumn("id", F.concat(F.lit("USR-"), F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)))
+    rows = rows.withColumn("section", F.when(F.col("doc_type") == "meeting", "Decisions").otherwise("Note")).withColumn("sentences", t.sentences_any(F.col("text")))
+    made = rows.select("id", "title", "doc_type", "owner_id", F.col("owner_id").alias("author_id"), "topics", F.concat_ws("\n", "title", F.lit(""), F.concat(F.lit("## "), "section"), F.array_join("sentences", "\n")).alias("body"), F.lit("active").alias("status"), F.lit(at).cast("date").alias("updated_at"))
+    parts = rows.select(F.col("id").alias("document_id"), "section", F.lit(4).alias("line_start"), (F.size("sentences") + 3).alias("line_end"), F.array_join("sentences", " ").alias("text"), "topics")
+    rels = F.explode(F.array(F.lit("owns"), F.lit("authored"))).alias("rel")
+    edges = rows.where("owner_id IS NOT NULL").select(F.col("owner_id").alias("person_id"), rels, F.col("id").alias("document_id"), F.lit(at).cast("date").alias("at"))
+    return made, parts, edges
+
+
+def rebuild(docs: DataFrame, people: DataFrame, edges: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """All tables of a corpus written anew under ``folder``: people, documents (with bodies), chunks, edges (owns, authored and those given).
+
+    Needs docs id, title, topics, sections, owner_id, author_id, created_at, updated_at; edges person_id, rel, dst, at.
+    """
+    derived = F.array(F.struct(F.col("owner_id").alias("person_id"), F.lit("owns").alias("rel"), F.col("updated_at").alias("at")), F.struct(F.col("author_id").alias("person_id"), F.lit("authored").alias("rel"), F.col("created_at").alias("at")))
+    own = docs.select(F.explode(derived).alias("e"), F.concat(F.lit("doc:"), "id").alias("dst")).where("e.person_id IS NOT NULL").select("e.person_id", "e.rel", "dst", "e.at")
+    made = {"people": people, "documents": docs.withColumn("body", body(F.col("title"), F.col("sections"))).drop("sections"), "chunks": chunks(docs), "edges": own.unionByName(edges.select("person_id", "rel", "dst", "at"))}
+    out = {}
+    for name, table in made.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out[name] = table.sparkSession.read.schema(table.schema).parquet(f"{folder}/{name}")
+    return out

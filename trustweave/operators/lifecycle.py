@@ -37,9 +37,46 @@ def current_status(actions: DataFrame) -> DataFrame:
     return actions.withColumn("status", to).where("status IS NOT NULL").groupBy("document_id").agg(F.max_by("status", "seq").alias("status"))
 
 
-def overview(docs: DataFrame, tasks: DataFrame, as_of: str) -> DataFrame:
-    d = due(docs, as_of).agg(F.count("*").alias("documents"), F.count_if(F.col("age") <= 180).alias("fresh"), F.count_if("review_due").alias("overdue"))
-    return d.crossJoin(tasks.where("NOT done").agg(F.count("*").alias("open_tasks")))
+def act(docs: DataFrame, tasks: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a log of review actions (document_id, seq, action, actor_id, assignee_id, at) leaves: documents, tasks and edges.
+
+    Documents (id, status, owner_id, author_id, validated_at) take the status of their last action and the day of their last validation. Tasks
+    (document_id, kind, assignee_id, seq, done): a request asks who is named, else the owner, else the author; a restore later than a task closes it, a
+    validation those that ask for one. Validations leave a reviewed edge of the actor or owner. Actions on unknown documents have no effect.
+    """
+    log = actions.join(docs.select(F.col("id").alias("document_id"), "owner_id", "author_id"), "document_id")
+    last = current_status(log).withColumnRenamed("status", "_status")
+    valid = log.where("action = 'validate'").groupBy("document_id").agg(F.max_by("at", "seq").alias("_valid"))
+    closes = log.where("action IN ('restore', 'validate')").groupBy("document_id").agg(F.max(F.when(F.col("action") == "restore", F.col("seq"))).alias("_restored"), F.max(F.when(F.col("action") == "validate", F.col("seq"))).alias("_checked"))
+    out = docs.join(last.withColumnRenamed("document_id", "id"), "id", "left").join(valid.withColumnRenamed("document_id", "id"), "id", "left")
+    out = out.withColumn("status", F.coalesce("_status", "status")).withColumn("validated_at", F.coalesce("_valid", "validated_at")).drop("_status", "_valid")
+    asked = log.where("action = 'request_update'").select("document_id", F.lit("request_update").alias("kind"), F.coalesce("assignee_id", "owner_id", "author_id").alias("assignee_id"), "seq", F.lit(False).alias("done")).where("assignee_id IS NOT NULL")
+    all_ = tasks.select("document_id", "kind", "assignee_id", "seq", "done").unionByName(asked).join(closes, "document_id", "left")
+    closed = F.coalesce(F.col("_restored") > F.col("seq"), F.lit(False)) | ((F.col("kind") == "confirm_valid") & F.coalesce(F.col("_checked") > F.col("seq"), F.lit(False)))
+    all_ = all_.withColumn("done", F.col("done") | closed).drop("_restored", "_checked")
+    edges = log.where("action = 'validate'").select(F.coalesce("actor_id", "owner_id").alias("person_id"), F.lit("reviewed").alias("rel"), "document_id", "at").where("person_id IS NOT NULL")
+    return out, all_, edges
+
+
+def overview(docs: DataFrame, tasks: DataFrame, as_of: str, versions: DataFrame | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """Counts over documents that aren't retracted: all, fresh (180 days), overdue (chat and the like never), open tasks in all and by kind; with
+    ``versions`` how many are recorded, with ``runs`` (finished_at) the last sync."""
+    rows = docs.where("status <> 'retracted'") if "status" in docs.columns else docs
+    late = F.col("review_due") & ~F.col("doc_type").isin(*config.NO_REVIEW)
+    d = due(rows, as_of).agg(F.count("*").alias("documents"), F.count_if(F.col("age") <= 180).alias("fresh"), F.count_if(late).alias("overdue"))
+    open_ = tasks.where("NOT done")
+    out = d.crossJoin(open_.agg(F.count("*").alias("open_tasks")))  # one row each
+    if "kind" in tasks.columns:
+        kinds = open_.groupBy("kind").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("by_kind"))
+        out = out.crossJoin(kinds)
+    if versions is not None:
+        out = out.crossJoin(versions.agg(F.count("*").alias("versions_recorded")))
+    return out if runs is None else out.crossJoin(runs.agg(F.max("finished_at").alias("last_sync")))
+
+
+def people_list(people: DataFrame) -> DataFrame:
+    """People by name."""
+    return people.orderBy("name", "id")
 
 
 def open_tasks(tasks: DataFrame, docs: DataFrame, people: DataFrame) -> DataFrame:
@@ -55,8 +92,10 @@ def close_tasks(tasks: DataFrame, classified: DataFrame) -> DataFrame:
     return tasks.join(hit, "document_id", "left").withColumn("done", F.col("done") | closes).drop("_hit")
 
 
-def high_water(runs: DataFrame) -> DataFrame:
-    """The day from which each connector's next delta sync reads: that of its last finished run."""
+def high_water(runs: DataFrame, since: str | None = None, full: bool = False) -> DataFrame:
+    """The day from which each connector's next sync reads: ``since`` where it is given, nothing (all) for a full sync, else that of its last finished run."""
+    if full or since is not None:
+        return runs.select("connector").distinct().withColumn("since", F.lit(None if full else since).cast("date"))
     return runs.where("finished_at IS NOT NULL").groupBy("connector").agg(F.to_date(F.max("finished_at")).alias("since"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config
 from ..functions.fulltext import stemmed
 from ..functions.vectors import cosine
 from ..scratch import cut
@@ -44,6 +45,49 @@ def lexical(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return q.join(p, "token").groupBy("question_id", "passage_id").agg((F.count("*") / F.first("n")).alias("lexical"))
 
 
+def candidates(chunks: DataFrame, docs: DataFrame, near: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Candidates of queries: chunks of active documents that match a query's words or are among its nearest.
+
+    ``chunks``: chunk_id, document_id, ...; ``docs``: document_id, status, ...; ``near``: query_id, chunk_id, sim of nearest chunks, taken
+    before documents are asked for their status; ``ranked``: query_id, chunk_id, fts of chunks that hold a query's words. The two sets are joined
+    by key, so no query meets all chunks. sim and fts are null where a chunk is in the other set alone.
+    """
+    both = near.select("query_id", "chunk_id", "sim").join(ranked.select("query_id", "chunk_id", "fts"), ["query_id", "chunk_id"], "full")
+    live = docs.where("status IN ('active', 'needs_update')")
+    return both.join(chunks, "chunk_id").join(live, "document_id")
+
+
+def reciprocal(found: DataFrame) -> DataFrame:
+    """Rank fusion of candidates (sub_id, query_no, chunk_id, sim, fts): the question (query_no 0) counts 1, rewrites .6; by similarity, and by words where any match."""
+    one = Window.partitionBy("sub_id", "query_no")
+    weight = F.when(F.col("query_no") == 0, 1.0).otherwise(0.6)
+    rank = lambda c: F.row_number().over(one.orderBy(F.desc_nulls_last(c), "chunk_id")) - 1
+    rows = found.withColumn("_s", weight / (20 + rank("sim"))).withColumn("_f", F.when(F.col("fts") > 0, weight / (20 + rank("fts"))).otherwise(0.0))
+    return rows.groupBy("sub_id", "chunk_id").agg(F.round(F.sum(F.col("_s") + F.col("_f")), 9).alias("rrf"), F.max("sim").alias("sim"))
+
+
+def key_boost(lexical_: Column, asked: Column, said: Column) -> Column:
+    """Share of shared words, .4 more (1 at most) where question and passage state one key fact's key."""
+    return F.when(F.arrays_overlap(asked, said), F.least(F.lit(1.0), lexical_ + 0.4)).otherwise(lexical_)
+
+
+def intent_boost(intent: Column, doc_type: Column, section: Column, text: Column) -> Column:
+    """What a passage gains by the kind of answer that is wanted."""
+    types = F.create_map(*[x for k, v in config.INTENT_TYPES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    kind = F.coalesce(F.array_contains(F.try_element_at(types, intent), doc_type), F.lit(False))
+    head = F.lower(section)
+    # What sections and texts say.
+    decided = (intent == "decision") & head.contains("decision")
+    steps = (intent == "procedure") & (head.contains("step") | (doc_type == "procedure"))
+    person = (intent == "contact") & (head.rlike("contact|who") | F.lower(text).rlike(r"\bgo to\b|\bcontact\b|questions about"))
+    return F.when(kind, 0.05).otherwise(0.0) + F.when(decided, 0.15).otherwise(0.0) + F.when(steps, 0.05).otherwise(0.0) + F.when(person, 0.2).otherwise(0.0)
+
+
+def pooled(found: DataFrame, k: int = 12) -> DataFrame:
+    """The ``k`` best candidates of each sub-question (sub_id, chunk_id, relevance, rrf) with their rank."""
+    return top(found, ["sub_id"], [F.desc("relevance"), F.desc("rrf"), "chunk_id"], k)
+
+
 def top(scored: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
@@ -75,3 +75,36 @@ def bucket(disclaims: Column, relevance_: Column, in_scope: Column, unofficial:
         .when(superseded, kind("outdated"))
         .otherwise(F.lit("usable"))
     )
+
+
+def superseded(docs: DataFrame) -> DataFrame:
+    """Adds supersession: .15 where any document names this one (id) as the one it supersedes, whatever its status; else 1."""
+    older = docs.where("supersedes_id IS NOT NULL").select(F.col("supersedes_id").alias("id")).distinct().withColumn("_old", F.lit(0.15))
+    return docs.join(older, "id", "left").withColumn("supersession", F.coalesce("_old", F.lit(1.0))).drop("_old")
+
+
+def unofficial(has_owner: Column, has_author: Column, date_known: Column) -> Column:
+    """Neither owner nor author nor date: never an official source."""
+    return ~has_owner & ~has_author & ~date_known
+
+
+def signals(docs: DataFrame, people: DataFrame, as_of: str) -> DataFrame:
+    """All trust signals of documents for what is asked (asked_country, asked_client) with the standing of who answers for them (normalised).
+
+    Needs id, doc_type, country, client, owner_id, author_id, updated_at, validated_at, date_known, supersedes_id. Adds freshness, owner, scope,
+    authority, channel, supersession, trust, in_scope, stale, unofficial. Ids of nobody in ``people`` count as none.
+    """
+    who = people.select("id", "active")
+    rows = superseded(docs)
+    for side in ("owner", "author"):
+        rows = rows.join(who.select(F.col("id").alias(f"{side}_id"), F.col("active").alias(f"_{side}")), f"{side}_id", "left")
+    days = age(F.lit(as_of).cast("date"), F.col("updated_at"), F.col("validated_at"))
+    known = F.coalesce("date_known", F.lit(True))
+    rows = rows.withColumn("freshness", freshness(days, half_life(F.col("doc_type")), known)).withColumn("stale", known & (days > review_period(F.col("doc_type"))))
+    rows = rows.withColumn("owner", owner(F.col("_owner"), F.col("_author"))).withColumn("channel", channel(F.col("doc_type")))
+    rows = rows.withColumn("scope", scope(F.col("country"), F.col("asked_country"), F.coalesce(F.col("client") == F.col("asked_client"), F.lit(False))))
+    rows = rows.withColumn("in_scope", F.col("scope") > 0)
+    nobody = F.col("_owner").isNull() & F.col("_author").isNull()
+    rows = rows.withColumn("authority", F.when(nobody, 0.3).otherwise(authority(F.col("normalised"))))
+    rows = rows.withColumn("unofficial", unofficial(F.col("_owner").isNotNull(), F.col("_author").isNotNull(), known))
+    return rows.withColumn("trust", total(*(F.col(c) for c in ("freshness", "owner", "authority", "channel", "supersession", "in_scope")))).drop("_owner", "_author")

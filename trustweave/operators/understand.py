@@ -5,30 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import phrase_in
+from .. import config
+from ..functions.text import let, phrase_in
 
+# Fixed value: where a question of several parts is split.
 SPLIT = r"(?i)(?:[,;])? and (?=(?:which|what|how|who|where|when|is|are|does|do)\b)"
-
-
-def topics(questions: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Topics of (question_id, question) by a rule table (topic, keyword): the longest keyword decides the order."""
-    hit = questions.crossJoin(F.broadcast(keywords)).where(phrase_in(F.col("question"), F.col("keyword")))
-    best = hit.groupBy("question_id", "topic").agg(F.max(F.length("keyword")).alias("len"))
-    listed = best.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("len", "topic")), asc=False).alias("t"))
-    return listed.select("question_id", F.col("t.topic").alias("topics"))
-
-
-def first_hit(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The code of the first rule (priority, code, keyword) that a text (id, text) meets; null if none."""
-    hit = texts.crossJoin(F.broadcast(rules)).where(phrase_in(F.col("text"), F.col("keyword")))
-    return texts.select("id").join(hit.groupBy("id").agg(F.min_by("code", "priority").alias("code")), "id", "left")
-
-
-def most_hits(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """The code with most keywords in a text, the first of equals: id, code, hits."""
-    hit = texts.crossJoin(F.broadcast(rules)).where(F.lower("text").contains(F.col("keyword")))
-    n = hit.groupBy("id", "code").agg(F.count("*").alias("hits"), F.min("priority").alias("priority"))
-    return n.groupBy("id").agg(F.max_by(F.struct("code", "hits"), F.struct("hits", -F.col("priority"))).alias("best")).select("id", "best.*")
+#: Rule tables are configuration and travel inside the expression; more rows than this are refused.
+RULES = 10_000
+
+
+def rules(table: dict[str, list[str]]) -> list[tuple[int, str, str]]:
+    """(priority, code, keyword) of a table code -> keywords in order of precedence."""
+    return [(i, code, k) for i, (code, words) in enumerate(table.items(), 1) for k in words]
+
+
+def _known(table: DataFrame | list[tuple], columns: list[str]) -> list[tuple]:
+    """Rows of a rule table, after its size was checked."""
+    if isinstance(table, DataFrame):
+        table = [tuple(r) for r in table.select(*columns).limit(RULES + 1).collect()]
+    if len(table) > RULES:
+        raise ValueError(f"a rule table has more than {RULES} rows")
+    return sorted(table)
+
+
+def _met(text: Column, table: list[tuple[int, str, str]], bounded: bool = True) -> Column:
+    """The rules (priority, code, keyword) that a text meets, in order of priority."""
+    kind = "array<struct<priority:int,code:string,keyword:string>>"
+    every = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(c).alias("code"), F.lit(k).alias("keyword")) for p, c, k in table)).cast(kind)
+    meets = (lambda low: lambda r: phrase_in(low, r["keyword"])) if bounded else (lambda low: lambda r: low.contains(r["keyword"]))
+    return let(F.lower(text), lambda low: F.filter(every, meets(low)))
+
+
+def topics(questions: DataFrame, keywords: DataFrame | list[tuple[str, str]]) -> DataFrame:
+    """Topics of (question_id, question) by a rule table (topic, keyword): the longest keyword decides the order; no row without a topic."""
+    table = [(0, c, k) for c, k in _known(keywords, ["topic", "keyword"])]
+    met = questions.select("question_id", _met(F.col("question"), table).alias("met")).where(F.size("met") > 0)
+    best = F.transform(F.array_distinct(F.transform("met", lambda m: m["code"])), lambda c: F.struct(F.array_max(F.transform(F.filter("met", lambda m: m["code"] == c), lambda m: F.length(m["keyword"]))).alias("len"), c.alias("topic")))
+    return met.select("question_id", F.transform(F.sort_array(best, asc=False), lambda t: t["topic"]).alias("topics"))
+
+
+def first_hit(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], otherwise: str | None = None) -> DataFrame:
+    """The code of the first rule (priority, code, keyword) that a text (id, text) meets; ``otherwise`` if none."""
+    met = _met(F.col("text"), _known(table, ["priority", "code", "keyword"]))
+    return texts.select("id", F.coalesce(F.get(met, F.lit(0))["code"], F.lit(otherwise)).alias("code"))
+
+
+def intent(texts: DataFrame) -> DataFrame:
+    """What kind of answer a question (id, text) wants."""
+    return first_hit(texts, rules(config.INTENTS), config.INTENT_ELSE)
+
+
+def most_hits(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], bounded: bool = False) -> DataFrame:
+    """The code with most keywords in a text, the first of equals: id, code, hits; no row without a hit.
+
+    Keywords count anywhere in a text, or (``bounded``) between non-letters only.
+    """
+    met = texts.select("id", _met(F.col("text"), _known(table, ["priority", "code", "keyword"]), bounded).alias("met")).where(F.size("met") > 0)
+    per = F.transform(F.array_distinct(F.transform("met", lambda m: m["code"])), lambda c: F.struct(F.size(F.filter("met", lambda m: m["code"] == c)).alias("hits"), (-F.array_min(F.transform(F.filter("met", lambda m: m["code"] == c), lambda m: m["priority"]))).alias("p"), c.alias("code")))
+    return met.select("id", F.array_max(per).alias("best")).select("id", "best.code", F.col("best.hits").cast("long").alias("hits"))
+
+
+def context(questions: DataFrame, clients: list[tuple[int, str, str]], employees: list[tuple[int, str, str]]) -> DataFrame:
+    """Client and country of (question_id, question, profile_country, profile_name), with the source of the country.
+
+    ``clients``: (priority, name, country); ``employees``: (priority, employee, client). First a client that is named, then
+    the client of an employee who is named, then a country keyword, then the asker's profile. Adds client, country and country_source.
+    """
+    of = {name: country for _, name, country in clients}
+    named = _met(F.col("question"), sorted((p, n, n.lower()) for p, n, _ in clients))
+    works = _met(F.col("question"), sorted((p, c, e.lower()) for p, e, c in employees))
+    place = _met(F.col("question"), rules(config.COUNTRIES))
+    first = lambda met: F.get(met, F.lit(0))
+    rows = questions.withColumn("_n", first(named)["code"]).withColumn("_e", first(works)).withColumn("_c", first(place)["code"])
+    client = F.coalesce("_n", F.col("_e")["code"])
+    country_of = F.create_map(*[F.lit(x) for kv in of.items() for x in kv]) if of else F.create_map().cast("map<string,string>")
+    names = F.create_map(*[F.lit(x) for kv in config.COUNTRY_NAMES.items() for x in kv])
+    rows = rows.withColumn("client", client).withColumn("_o", F.try_element_at(country_of, "client"))
+    label = F.coalesce(F.try_element_at(names, "_o"), F.col("_o"))
+    # The phrases of an explanation.
+    source = (
+        F.when(F.col("_n").isNotNull(), F.concat(F.lit("client "), "client", F.lit(" is a "), label, F.lit(" account")))
+        .when(F.col("_e").isNotNull(), F.concat(F.initcap(F.col("_e")["keyword"]), F.lit(" is an employee of client "), "client", F.lit(" ("), label, F.lit("), per the HR system")))
+        .when(F.col("_c").isNotNull(), F.lit("mentioned in the question"))
+        .when(F.col("profile_country").isNotNull(), F.concat(F.lit("inferred from your profile ("), "profile_name", F.lit(")")))
+    )
+    return rows.withColumn("country", F.coalesce("_o", "_c", "profile_country")).withColumn("country_source", source).drop("_n", "_e", "_c", "_o")
 
 
 def parts(question: Column) -> Column:

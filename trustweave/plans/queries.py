@@ -29,7 +29,8 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{d}/{name}.parquet")
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + "]"
+# Fixed value: the stop words as SQL.
+_STOP = "string_split('a an the of for in on at to from by with and or is are was were be been do does did how many much what which who where when why can could should would i we you they it this that these those our their your as into about after before during under over per get gets give employee employees', ' ')"
 _CONTENT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9€£%]+'), lambda x: length(x) > 2 AND NOT list_contains(" + _STOP + ", x)))"
 _ALL = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 
@@ -71,7 +72,7 @@ def title_stem_groups(spark, d):
 
 @query("""WITH b AS (SELECT o_orderkey AS id, sha1(o_orderstatus || CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END) AS h FROM orders WHERE o_orderkey % 5 <> 0),
 c AS (SELECT o_orderkey AS id, sha1(o_orderstatus) AS h, CASE o_orderkey % 3 WHEN 0 THEN 'archived' WHEN 1 THEN 'active' ELSE 'retracted' END AS status FROM orders WHERE o_orderkey % 4 <> 0)
-SELECT CASE WHEN c.h IS NULL THEN 'inserted' WHEN c.h = b.h THEN 'unchanged' ELSE 'updated' END AS change, coalesce(CASE WHEN c.status = 'archived' THEN 'active' ELSE c.status END, 'active') AS status, count(*) AS n FROM b LEFT JOIN c USING (id) GROUP BY 1, 2""")
+SELECT CASE WHEN c.h IS NULL THEN 'inserted' WHEN c.h = b.h THEN 'unchanged' ELSE 'updated' END AS change, CASE WHEN c.h IS NULL THEN 'active' WHEN c.h <> b.h AND c.status = 'archived' THEN 'active' ELSE c.status END AS status, count(*) AS n FROM b LEFT JOIN c USING (id) GROUP BY 1, 2""")
 def upsert_classify(spark, d):
     """Inserted, updated, unchanged."""
     o = _t(spark, d, "orders")
@@ -122,7 +123,7 @@ SELECT item_id AS question_id, string_agg(topic, ',' ORDER BY len DESC, topic DE
 def phrase_match_topics(spark, d):
     """Q1/Q2: topics by longest keyword."""
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
-    found = understand.topics(q, spark.createDataFrame(_TOPICS, "topic string, keyword string"))
+    found = understand.topics(q, _TOPICS)
     return found.select("question_id", F.array_join("topics", ",").alias("topics"))
 
 
@@ -134,16 +135,16 @@ _TEAM_VALUES = ", ".join(f"({p}, '{c}', '{k}')" for p, c, k in _TEAMS)
 h AS (SELECT doc_id, code, count(*) AS hits, min(priority) AS p FROM documents, r WHERE contains(lower(text), keyword) GROUP BY 1, 2)
 SELECT doc_id AS id, code, hits FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, p) = 1""")
 def argmax_category(spark, d):
-    """Code with most keywords, the first of equals."""
-    return understand.most_hits(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), spark.createDataFrame(_TEAMS, "priority int, code string, keyword string"))
+    """Code with most keywords anywhere in a text, the first of equals."""
+    return understand.most_hits(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _TEAMS)
 
 
 @query(f"""WITH r(priority, code, keyword) AS (VALUES {_TEAM_VALUES}),
 h AS (SELECT item_id, arg_min(code, priority) AS code FROM benchmark, r WHERE regexp_matches(lower(text), '(^|[^a-z])' || keyword || '([^a-z]|$)') GROUP BY 1)
-SELECT b.item_id AS id, h.code FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id""")
+SELECT b.item_id AS id, coalesce(h.code, 'none') AS code FROM benchmark b LEFT JOIN h ON b.item_id = h.item_id""")
 def priority_rule(spark, d):
     """Q3/Q5: first rule that is met."""
-    return understand.first_hit(_t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), spark.createDataFrame(_TEAMS, "priority int, code string, keyword string"))
+    return understand.first_hit(_t(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), _TEAMS, "none")
 
 
 def _vectors(spark, d):
@@ -211,13 +212,20 @@ def lead_line(spark, d):
     return retrieve.top(rows, ["question_id"], [F.desc("score"), "pos"], 1).select("question_id", "passage_id", "line", "score")
 
 
-@query(f"""WITH x AS (SELECT doc_id AS id, source || lang AS block, {_ALL.format('text')} AS t FROM documents WHERE n_chars < 400),
-p AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.t, b.t)) AS m, len(a.t) AS na, len(b.t) AS nb FROM x a JOIN x b ON a.block = b.block AND a.id < b.id)
-SELECT id_a, id_b, round(m / (na + nb - m)::DOUBLE, 6) AS jaccard FROM p WHERE m / (na + nb - m)::DOUBLE >= CASE WHEN least(na, nb) < 20 THEN 0.75 ELSE 0.5 END""")
+_SAID = "list_distinct(list_concat(list_transform(range(5 + o_orderkey % 40), lambda i: 't' || ((o_orderkey % 3) * 6 + i)), list_transform(range(o_orderkey % 5), lambda i: 'own' || o_orderkey || 'x' || i)))"
+
+
+@query(f"""WITH x AS (SELECT o_custkey AS c, o_orderkey AS k, {_SAID} AS t FROM orders), w AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY c ORDER BY k) = 1),
+p AS (SELECT w.k AS id_a, x.k AS id_b, len(list_intersect(w.t, x.t)) AS m, len(w.t) AS na, len(x.t) AS nb FROM x JOIN w ON x.c = w.c AND x.k <> w.k)
+SELECT id_a, id_b FROM p WHERE CASE WHEN least(na, nb) < 20 THEN m / (na + nb - m)::DOUBLE >= 0.75 ELSE m / (na + nb - m)::DOUBLE >= 0.5 OR m / least(na, nb)::DOUBLE >= 0.85 END""")
 def duplicate_pairs(spark, d):
-    """short texts of one source and language that are duplicates of each other."""
-    docs = _t(spark, d, "documents").where("n_chars < 400").select(F.col("doc_id").alias("id"), F.concat("source", "lang").alias("block"), t.all_tokens(F.col("text")).alias("tokens"))
-    return analyse.near_text_pairs(docs)
+    """Texts that duplicate the first one of their group, by Jaccard or containment."""
+    k = F.col("o_orderkey")
+    words = F.concat(F.transform(F.sequence(F.lit(0), (4 + k % 40).cast("int")), lambda i: F.concat(F.lit("t"), (k % 3) * 6 + i)), F.transform(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < k % 5), lambda i: F.concat(F.lit("own"), k, F.lit("x"), i)))
+    x = _t(spark, d, "orders").select("o_custkey", k, F.array_join(words, " ").alias("said"))
+    first = lifecycle.latest(x, ["o_custkey"], ["o_orderkey"]).select("o_custkey", k.alias("id_a"), t.all_tokens(F.col("said")).alias("a"))
+    rows = x.join(first, "o_custkey").where("o_orderkey <> id_a").select("id_a", k.alias("id_b"), "a", t.all_tokens(F.col("said")).alias("b"))
+    return rows.where(t.is_duplicate(F.col("a"), F.col("b"))).select("id_a", "id_b")
 
 
 @query()
@@ -247,8 +255,8 @@ w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY
 SELECT r.l_partkey, r.l_orderkey, r.l_linenumber, (CASE WHEN r.dd <> w.dd THEN 1 ELSE 0 END + CASE WHEN r.ww <> w.ww THEN 1 ELSE 0 END)::BIGINT AS n_differ FROM r JOIN w ON r.l_partkey = w.l_partkey WHERE (r.dd <> w.dd OR r.ww <> w.ww) AND NOT (r.l_orderkey = w.l_orderkey AND r.l_linenumber = w.l_linenumber)""")
 def contradiction_pairs(spark, d):
     """Statements whose values differ from the first one about the same part."""
-    r = _rendered(spark, d).withColumn("u", t.by_unit(t.numeric_facts(F.col("txt"))))
-    w = lifecycle.latest(r, ["l_partkey"], ["l_orderkey", "l_linenumber"]).select("l_partkey", F.col("u").alias("wu"))
+    r = _rendered(spark, d).select("l_partkey", "l_orderkey", "l_linenumber", t.by_unit(t.numeric_facts(F.col("txt"))).alias("u"))
+    w = r.groupBy("l_partkey").agg(F.min_by("u", F.struct("l_orderkey", "l_linenumber")).alias("wu"))
     differs = F.size(t.contradictions(F.col("wu"), F.col("u"))).cast("long")
     return r.join(w, "l_partkey").select("l_partkey", "l_orderkey", "l_linenumber", differs.alias("n_differ")).where("n_differ > 0")
 
@@ -261,11 +269,28 @@ def keyfacts_case(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.array_join(t.key_facts(txt, rules), ",").alias("keys"))
 
 
-@query("""SELECT conv_id, turn, NOT (turn % 2 = 0) AND trim(text) <> '' AS asserts FROM conversations""")
+_SPEECH = """CASE turn % 6 WHEN 0 THEN text || '?' WHEN 1 THEN 'The old file says 100% is paid.' WHEN 2 THEN 'Is it so? Yes, 5 days.' WHEN 3 THEN 'According to Ann. It is 5 days.' WHEN 4 THEN text || ' This is not covered by the guide.' ELSE text || ' I have not checked this.' END"""
+_REPORTED = r"(?i)\b(?:say|says|said|claim|claims|told me|according to)\b[^.]{0,60}[0-9]"
+
+
+def _speech(spark, d):
+    """Turns as questions, reported speech, early questions, non-answers and doubts."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.expr(_SPEECH).alias("said"))
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, {_SPEECH} AS said FROM conversations), y AS (SELECT *, string_split(regexp_replace(regexp_replace(said, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM x)
+SELECT conv_id, turn, said <> '' AND NOT ends_with(s[-1], '?') AND NOT contains(split_part(left(said, 120), '.', 1), '?') AND NOT regexp_matches(said, '{_REPORTED}') AS asserts FROM y""")
 def question_detect(spark, d):
-    """texts that end in a question state nothing."""
-    said = F.concat("text", F.when(F.col("turn") % 2 == 0, "?").otherwise(""))
-    return _t(spark, d, "conversations").select("conv_id", "turn", t.asserts(said).alias("asserts"))
+    """questions and reported numbers state nothing."""
+    return _speech(spark, d).select("conv_id", "turn", t.asserts(F.col("said")).alias("asserts"))
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, lower({_SPEECH}) AS said FROM conversations)
+SELECT conv_id, turn, regexp_matches(said, 'does not determine|do not determine|is not determined|not covered by|out of scope|does not cover|must not be used|cannot be used to|is not part of') AS non_answer,
+regexp_matches(said, 'old (onboarding )?(note|file|document|material|version)|have not checked|previous process|not (yet )?verified|i believe') AS stale FROM x""")
+def claim_flags(spark, d):
+    """texts that say themselves that they settle nothing or rest on old material."""
+    return _speech(spark, d).select("conv_id", "turn", t.non_answer(F.col("said")).alias("non_answer"), t.says_stale(F.col("said")).alias("stale"))
 
 
 _HL = "CASE o_orderpriority WHEN '1-URGENT' THEN 90 WHEN '2-HIGH' THEN 120 WHEN '3-MEDIUM' THEN 180 ELSE 365 END"
@@ -428,8 +453,8 @@ def sweep_tasks(spark, d):
     return lifecycle.sweep(docs, people, open_, AS_OF)
 
 
-@query(f"""WITH x AS (SELECT date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') AS age, {_HL} AS hl FROM orders)
-SELECT count(*) AS documents, count(*) FILTER (age <= 180) AS fresh, count(*) FILTER (age > CAST(floor(hl * 1.2) AS INT)) AS overdue, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_tasks FROM x""")
+@query(f"""WITH x AS (SELECT date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') AS age, {_KIND} AS kind FROM orders)
+SELECT count(*) AS documents, count(*) FILTER (age <= 180) AS fresh, count(*) FILTER (kind = 'wiki' AND age > 438) AS overdue, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS open_tasks FROM x""")
 def freshness_overview(spark, d):
     """L3: counts over documents and tasks."""
     return lifecycle.overview(_orders(spark, d), _t(spark, d, "orders").select((F.col("o_orderstatus") != "O").alias("done")), AS_OF)
@@ -528,7 +553,7 @@ def preference_reasons(spark, d):
     x = _t(spark, d, "orders").withColumn("doc_type", F.expr(_TYPE))
     side = F.struct(
         (k % 2).alias("owner"), trust.channel(F.col("doc_type")).alias("channel"), (k % 3).alias("authority"), F.datediff("o_orderdate", F.lit("1990-01-01").cast("date")).alias("freshness"), "doc_type",
-        F.when(k % 5 == 0, "This is no longer valid.").otherwise("Valid.").alias("text"),
+        F.when(k % 5 == 0, "This is taken from an old note.").otherwise("Valid.").alias("text"),
     )
     x = x.select("o_custkey", k, side.alias("side"))
     first = x.groupBy("o_custkey").agg(F.min_by("side", "o_orderkey").alias("w"), F.min("o_orderkey").alias("of"))
