@@ -81,7 +81,7 @@ def candidate_scan(spark, d):
 
 
 @query(f"""WITH {_NEAR}, x AS (SELECT r.*, sub_id // 100 % 5 AS it, CASE chunk_id % 6 WHEN 0 THEN 'policy' WHEN 1 THEN 'procedure' WHEN 2 THEN 'wiki' WHEN 3 THEN 'meeting' WHEN 4 THEN 'ticket' ELSE 'chat' END AS dt,
- chunk_id % 7 = 0 AS decided, chunk_id % 7 = 1 AS steps, chunk_id % 7 = 2 OR chunk_id % 11 = 0 AS person, (chunk_id * 31 % 100) / 100.0::DOUBLE AS lex, chunk_id % 4 = 0 AND sub_id % 300 = 0 AS shared, chunk_id % 3 = 0 AS on_topic FROM r),
+ chunk_id % 7 = 0 AS decided, chunk_id % 7 = 1 AS steps, chunk_id % 7 = 2 OR chunk_id % 11 = 0 AS person, (chunk_id * 31 % 97) / 97.0::DOUBLE AS lex, chunk_id % 4 = 0 AND sub_id % 300 = 0 AS shared, chunk_id % 3 = 0 AS on_topic FROM r),
 y AS (SELECT *, CASE it WHEN 0 THEN 'contact' WHEN 1 THEN 'procedure' WHEN 2 THEN 'decision' WHEN 3 THEN 'status' ELSE 'rule' END AS intent FROM x),
 z AS (SELECT *, CASE WHEN (intent = 'contact' AND dt IN ('procedure', 'wiki', 'policy')) OR (intent = 'procedure' AND dt IN ('procedure', 'wiki')) OR (intent = 'decision' AND dt IN ('meeting', 'chat')) OR (intent = 'status' AND dt IN ('ticket', 'chat')) OR (intent = 'rule' AND dt IN ('policy', 'wiki')) THEN 0.05::DOUBLE ELSE 0 END
  + CASE WHEN intent = 'decision' AND decided THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN intent = 'procedure' AND (steps OR dt = 'procedure') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN intent = 'contact' AND person THEN 0.2::DOUBLE ELSE 0 END AS boost FROM y),
@@ -96,7 +96,7 @@ def retrieved(spark, d):
     text = F.when((k % 11 == 0) & (k % 4 == 0), "Go to Kim; runs are free of charge.").when(k % 11 == 0, "Go to Kim.").when(k % 4 == 0, "Runs are free of charge.").otherwise("Nothing.")
     asked = F.when(sub % 300 == 0, "Is a run charged?").otherwise("What then?")
     rows = _found(spark, d).withColumn("intent", F.get(intents, (F.floor(sub / 100) % 5).cast("int"))).withColumn("doc_type", F.get(kinds, (k % 6).cast("int")))
-    rows = rows.withColumn("section", section).withColumn("text", text).withColumn("lex", (k * 31 % 100) / 100)
+    rows = rows.withColumn("section", section).withColumn("text", text).withColumn("lex", (k * 31 % 97) / 97)
     lex = retrieve.key_boost(F.col("lex"), t.fact_keys(asked), t.fact_keys(F.col("text")))
     boost = retrieve.intent_boost(F.col("intent"), F.col("doc_type"), F.col("section"), F.col("text"))
     rows = rows.withColumn("relevance", trust.relevance(v.rescale(F.coalesce("sim", F.lit(0.0))), lex, k % 3 == 0, boost))
