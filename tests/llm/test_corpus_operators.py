@@ -175,16 +175,77 @@ def test_lm(odd, empty):
     assert all(r.n_known == 0 and r.base_score == 0 for r in lm_scoring.score_texts(odd, F.lit(True)).collect())
 
 
-def test_lm_is_normalised_and_beats_the_base():
+def test_lm_scores_match_a_plain_loop(odd, monkeypatch):
+    """The score of every text (nulls, empties, repeated rows, 20,000 words) from the model's vectors, token by token."""
+    kept, learn = {}, lm_scoring.learn
+    monkeypatch.setattr(lm_scoring, "LEAST", 2)
+    monkeypatch.setattr(lm_scoring, "learn", lambda *a: kept.setdefault("model", learn(*a)))
+    got = lm_scoring.score_texts(odd).collect()
+    m, rows = kept["model"], pairs(odd, "doc_id", "text")
+    held = {r.doc_id: r.held_out for r in got}
+    c, ends = collections.Counter(), {}
+    for i, x in rows:
+        for w in [*words((x or "").translate(LOWER)), None]:
+            c[w] += not held[i]
+            ends[w] = w
+    hashes = {w: int(lm_scoring._tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) if w else int(lm_scoring._END) for w in c}
+    tails = {w: int(lm_scoring._tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[1][0]) for w in c if w}
+    own = sorted(hashes[w] for w in c if c[w] >= 2 or w is None)
+    assert m.words == len(own) > 100 and m.words < len([w for w in c if c[w]])
+    place = {h: k for k, h in enumerate(own)}
+    ids = {w: place.get(hashes[w], m.words + tails.get(w, 0)) for w in c}
+    n, v = collections.Counter(), collections.Counter()
+    for w in c:
+        if ids[w] >= m.words and c[w]:
+            n[ids[w]] += c[w]
+            v[ids[w]] += 1
+    e, q, p = m.theta[m.at[1] : m.at[2]], m.theta[m.at[2] : m.at[3]], m.theta[m.at[3] :, :-1]
+    members = collections.defaultdict(list)
+    for k in range(m.words):
+        members[int(m.outcome[k])].append(k)
+
+    def score(x):
+        total, past = 0.0, [m.end_id] * 3
+        for w in [*words((x or "").translate(LOWER)), None]:
+            t = ids[w]
+            h = sum(m.theta[past[i], :-1] * p[i] for i in range(3))
+            s = e[:, :-1] @ h + e[:, -1]
+            total += (s[m.outcome[t]] - np.log(np.exp(s).sum())) / math.log(10)
+            if t < m.words:
+                inside = members[int(m.outcome[t])]
+                s = q[inside, :-1] @ h + q[inside, -1]
+                total += (s[inside.index(t)] - np.log(np.exp(s).sum())) / math.log(10)
+            else:
+                total += math.log10((c[w] + 0.1) / (n[t] + 0.1 * (v[t] + 1)))
+            past = [t, *past[:2]]
+        return total
+
+    texts = {i: x for i, x in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        want = score(texts[r.doc_id])
+        assert abs(r.score - want) < 2e-3 * max(1, abs(want)), r.doc_id
+
+
+def test_lm_is_normalised_and_learns():
+    """Probabilities of all words and tails add up to one, before and after training, which raises those of what follows."""
     rng = np.random.default_rng(0)
-    counts = np.zeros((40, 40), np.float32)
-    for a in range(40):
-        counts[a, (a + 1) % 40] = 500
-        counts[a] += rng.integers(1, 4, 40)
-    table = lm_scoring.log_table(*lm_scoring.train(counts))
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-3)
-    base = np.log10(counts.sum(0) / counts.sum())
-    assert (counts * table).sum() > (counts * base).sum() + 0.5 * counts.sum()
+    words_, text = 40, (np.arange(60_000) // 2) % 39
+    counts = np.concatenate([np.bincount(text, minlength=words_), np.zeros(lm_scoring.TAILS)])
+    m = lm_scoring.Model(words_, 39, np.arange(words_) // 7, counts)
+    before = rng.integers(0, words_ + lm_scoring.TAILS, (lm_scoring.ORDER, 20))
+    mass = lambda: sum(np.exp(m.log_probs(np.full(20, w), before)) for w in range(words_ + lm_scoring.TAILS))
+    assert np.allclose(mass(), 1, atol=1e-4)
+    context = lm_scoring.contexts(text, np.array([0, len(text)]), 39)
+    first = m.log_probs(text, context).mean()
+    m.fit(text, context, rng, lm_scoring.Moves(m.squares))
+    assert np.allclose(mass(), 1, atol=1e-4) and m.log_probs(text, context).mean() > first + 1
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    got = lm_scoring.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert sum(r.score < r.base_score for r in got) <= 0.05 * len(got)
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>x</title><script>var a="</p>";</script></head><body><nav><a href=/>Home</a></nav>
