@@ -38,7 +38,7 @@ TOP = 6
 #: Items in a block; each block is one pass over the texts with a table of bounded size.
 BLOCK = 4_000
 #: Places of a text that walk together.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 14
 
 
 def allowed(n):
@@ -70,21 +70,25 @@ _STEPS = _plan()
 def _walked(flat: np.ndarray, start: np.ndarray, walk: int, sizes: list[int]):
     """(size, table, keys of the starts) for each size; ``flat`` has a zero after the words of each row, where walks stay."""
     wanted = {int(s) for c in sizes for steps in _STEPS[walk][c] for s in steps}
-    place, seen = start.copy(), {}
+    place, seen, move = start.astype(np.int64), {}, np.empty(len(start), np.int64)
     for j in range(max(wanted) + 1):
         if j % 64 == 0:
             bits = tk.mix(flat + tk.salt(1000 * walk + j + 1))
             bits[flat == 0] = 0
+            bits = bits.view(np.int64)
         if j in wanted:
             seen[j] = flat[place]
-        place += ((bits[place] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+        np.take(bits, place, out=move, mode="clip")
+        np.right_shift(move, j % 64, out=move)
+        np.bitwise_and(move, 1, out=move)
+        np.add(place, move, out=place)
     for c in sizes:
         for table, steps in enumerate(_STEPS[walk][c]):
-            key = np.full(len(start), (walk * (TOP + 1) + c) * TABLES + table, np.uint64)
-            for s in steps:
-                key += seen[int(s)]
-                key *= tk.salt(3)
-            yield c, table, key ^ (key >> np.uint64(29))
+            n = ((walk * (TOP + 1) + c) * TABLES + table) * SAMPLED
+            key = seen[int(steps[0])] * tk.salt(2 * n + 1)
+            for k, s in enumerate(steps[1:], 1):
+                key += seen[int(s)] * tk.salt(2 * (n + k) + 1)
+            yield c, table, key
 
 
 def _spaced(words: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,11 +126,11 @@ class Lookup:
     def __init__(self, key: np.ndarray, value: np.ndarray):
         order = np.argsort(key, kind="stable")
         self.key, self.value = key[order], value[order]
-        self.bits = max(10, int(16 * len(key)).bit_length())
+        self.bits = max(10, int(64 * len(key)).bit_length())
         self.mask: np.ndarray | None = None
 
     def _slot(self, key):
-        return ((key * tk._GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (key >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.mask is None:
@@ -152,6 +156,10 @@ class Items:
         self.length = np.bincount(row, minlength=len(ids)).astype(np.int64)
         self.flat, place, self.first = _spaced(tk.word_hashes(low, start, end), row, len(ids))
         word = place - self.first[row]
+        # words of each item, as a table of bits that never says no to one of them
+        self.bits = max(16, int(16 * len(row)).bit_length())
+        self.member = np.zeros(1 << self.bits, bool)
+        self.member[self.slot(row, self.flat[place])] = True
         # long items: windows by size, table and walk
         left = self.length[row] - word
         window = (self.length[row] > SHORT) & ((word == 0) | ((word % SHIFT == 0) & (left >= LEAST)))
@@ -173,6 +181,9 @@ class Items:
             item, word = np.array(at, np.int64).T
             self.pieces[g] = Lookup(_grams(self.flat, g)[self.first[item] + word], (item << 32) | word)
 
+    def slot(self, item: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return ((word + item.astype(np.uint64) * tk.salt(5)) * tk._GOLDEN >> np.uint64(64 - self.bits)).view(np.int64)
+
     def words(self, i: int) -> np.ndarray:
         return self.flat[self.first[i] : self.first[i] + self.length[i]]
 
@@ -196,10 +207,24 @@ class Items:
         return at, value
 
 
+def _plausible(items: Items, flat, first, stop, doc, item, head) -> np.ndarray:
+    """Candidates near which so many words of the item stand that its edits can suffice; a lossless filter."""
+    n, most = items.length[item], allowed(items.length[item])
+    x0, x1 = np.maximum(first[doc], head - most), np.minimum(stop[doc], head + n + 3 * most + 1)
+    out = np.zeros(len(doc), bool)
+    for lo in range(0, len(doc), 2048):
+        p = slice(lo, lo + 2048)
+        at = x0[p, None] + np.arange(int((x1[p] - x0[p]).max()))
+        hit = items.member[items.slot(item[p, None], flat[np.minimum(at, len(flat) - 1)])] & (at < x1[p, None])
+        out[p] = hit.sum(axis=1) >= n[p] - most[p]
+    return out
+
+
 def _verified(items: Items, flat, first, stop, doc, item, head) -> dict[tuple[int, int], tuple[int, int]]:
     """Fewest edits and place of the run for each (doc, item) with a run near ``head`` that is the item."""
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for d, i, h in zip(doc.tolist(), item.tolist(), head.tolist(), strict=True):
+    near = _plausible(items, flat, first, stop, doc, item, head) if len(doc) else np.zeros(0, bool)
+    for d, i, h in zip(doc[near].tolist(), item[near].tolist(), head[near].tolist(), strict=True):
         n, words = int(items.length[i]), items.words(i)
         most = allowed(n)
         old = best.get((d, i), (most + 1, 0))
@@ -207,8 +232,6 @@ def _verified(items: Items, flat, first, stop, doc, item, head) -> dict[tuple[in
             continue
         x0, x1 = max(int(first[d]), h - most), min(int(stop[d]), h + n + 3 * most + 1)
         text = flat[x0:x1]
-        if np.isin(words, text).sum() < n - most:  # each other word is an edit
-            continue
         k, end = edits(words, text)
         if k <= most:
             _, back = edits(words[::-1], text[:end][::-1])
@@ -236,7 +259,8 @@ def _found(shared):
                 most = allowed(items.length[item])
                 head = where - (value & 0xFFFFFFFF)
                 head -= head % (most + 1)
-                doc, item, head = np.unique(np.stack([doc, item, head]), axis=1)
+                _, one = np.unique(((doc * len(items.ids) + item) << 32) + head, return_index=True)
+                doc, item, head = doc[one], item[one], head[one]
                 best = _verified(items, flat, first, stop, doc, item, head)
                 if best:
                     rows = sorted(best)
