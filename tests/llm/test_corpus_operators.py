@@ -298,9 +298,11 @@ def test_rules(spark, odd, empty):
     cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert collections.Counter(pairs(got, *cols)) == collections.Counter(want)
     assert quality_rules.rate_texts(empty).count() == 0
-    text = "This is a plain line with enough words to stay.\nHome | News | Sport | Mail\n%%% $$$ ### &&&\nWe use cookies.\nAnd another plain line."
-    r = quality_rules.rate_texts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert r.cleaned == "This is a plain line with enough words to stay.\nAnd another plain line." and r.n_failed_lines == 3
+    good = ["This is a plain line with enough words to stay.", "And another plain line?!", "Où est-ce que l'on va, et pourquoi ?", "Titre sans point", "the cat and the dog and the bird and the fish"]
+    bad = ["Home | News | Sport | Mail", "%%% $$$ ### &&&", "We use cookies.", "Alle Rechte vorbehalten.", "Accueil > Produits > Aide > Prix", "Inicio", "Buy!! Now!! Cheap!! Deal!!", "la la la la la la la la la", "Menu | Contact"]
+    mixed = [x for two in zip(good + [""] * 4, bad, strict=True) for x in two]
+    r = quality_rules.rate_texts(spark.createDataFrame([(1, "\n".join(mixed))], "doc_id long, text string")).first()
+    assert [x for x in r.cleaned.split("\n") if x] == good and r.n_failed_lines == len(bad)
 
 
 def test_lines(spark, odd, empty):
@@ -429,7 +431,31 @@ def test_pipeline_stages(spark, odd, empty):
 
     d = "/root/testdata/sf0.001"
     for docs in (odd.select(*corpus_pipeline.COLUMNS), empty.select(*corpus_pipeline.COLUMNS)):
-        for name, stage in corpus_pipeline.STAGES[:-1]:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, d)
-            assert out.columns == corpus_pipeline.COLUMNS, name
-            assert out.count() <= docs.count()
+            if name == "encoding":
+                assert out.count() >= docs.count() and out.where("NOT round_trip").count() == 0
+            else:
+                assert out.columns == corpus_pipeline.COLUMNS, name
+                assert out.count() <= docs.count()
+
+
+def test_pipeline_keeps_rows_without_ids(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first().text
+    rng = np.random.default_rng(8)
+    said = [" ".join(rng.choice(["".join(rng.choice(list("opqrst"), 5)) for _ in range(500)], 60)) for _ in range(6)]
+    rows = [(1, said[0]), (2, said[0] + "."), (None, said[0]), (None, said[1]), (None, said[1]), (3, said[2]), (3, said[2]), (3, said[3]), (None, None), (4, ""), (None, f"{said[4]} {item}"), (None, said[5])]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter(pairs(corpus_pipeline.near_duplicates(spark, docs, d), "doc_id", "text"))
+    assert got == collections.Counter([(1, said[0]), (None, said[1]), (3, said[2]), (3, said[3]), (None, None), (4, ""), (None, f"{said[4]} {item}"), (None, said[5])])
+    got = collections.Counter(pairs(corpus_pipeline.decontamination(spark, docs, d), "doc_id", "text"))
+    assert got == collections.Counter((i, x) for i, x in rows if not (x and item in x))
+
+
+def test_line_columns_with_inner_names_stay(spark):
+    rows = [(i, "s", f"Own line {i}.\nCommon line.", i, 2 * i) for i in range(8)]
+    out = line_dedup.drop_boilerplate_lines(spark.createDataFrame(rows, "doc_id long, source string, text string, _host int, _common int"))
+    assert {(r.doc_id, r._host, r._common, r.cleaned) for r in out.collect()} == {(i, i, 2 * i, f"Own line {i}.") for i in range(8)}

@@ -85,8 +85,8 @@ def _signed(batches):
             has = n > 0
             ends = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(fp), tk.lists(bands[has].ravel(), ends, pa.int64())],
-                names=["doc_id", "n_shingles", "fp", "bands"],
+                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(fp), tk.lists(bands[has].ravel(), ends, pa.int64())],
+                names=["doc_id", "text_id", "n_shingles", "fp", "bands"],
             )
 
 
@@ -163,10 +163,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, elements distinct 5-word shingles of the
     whole text (fewer words: the whole sequence), links pairs with 100 * intersection >= 85 * union.
-    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id of the group)
-    and kept (doc_id = component_id). Null, empty and blank texts have no shingles and link with
-    nothing; a null doc_id is never kept and has its group's smallest id, or null; repeated doc_ids
-    give repeated rows; an empty table gives an empty result.
+    Returns one row per input row: doc_id, n_shingles, component_id (smallest doc_id of the group),
+    kept (doc_id = component_id), group (names the group whatever its ids; null without shingles) and
+    text_id (a hash of the text). Null, empty and blank texts have no shingles and link with nothing; a
+    null doc_id is never kept and has its group's smallest id, or null, but links as others do; repeated
+    doc_ids give repeated rows; an empty table gives an empty result.
 
     Equal sets become one class first, so copies cost nothing later. In each band bucket every class
     is compared with the one that meets most others. Buckets that then still hold several groups compare
@@ -174,10 +175,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     only pairs that agree nearly enough are verified; a pair counts in its first common band alone.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = cut(docs.mapInArrow(_signed, "doc_id long, n_shingles long, fp long, bands array<long>"))
-    classes = base.where("n_shingles > 0").groupBy(F.col("fp").alias("node")).agg(
-        F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")
-    )
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
+    base = cut(docs.mapInArrow(_signed, "doc_id long, text_id long, n_shingles long, fp long, bands array<long>"))
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    classes = base.where("n_shingles > 0").groupBy(F.col("fp").alias("node")).agg(F.min(one).alias("one"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = classes.select("node", F.col("one.doc_id").alias("first_id"), F.col("one.text_id").alias("first_text"), "n", "bands")
     members = classes.select("node", "n", F.posexplode("bands").alias("band", "hash"))
     buckets = members.groupBy("band", "hash").agg(F.count("*").alias("c")).where("c > 1")
     shared = members.join(buckets, ["band", "hash"])
@@ -186,8 +188,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = cut(shared.join(fame, "node"))
     similar = lambda a, b: F.least(a, b) * OF >= F.greatest(a, b) * LINK
 
-    wanted = classes.select("node", "first_id").join(shared.select("node").distinct(), "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-    sets = cut(docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_full, "node long, elements binary").dropDuplicates(["node"]))
+    wanted = classes.select("node", "first_id", "first_text").join(shared.select("node").distinct(), "node", "left_semi").select("first_id", "first_text").distinct()
+    one_of = (docs.text_id == wanted.first_text) & docs.doc_id.eqNullSafe(wanted.first_id)
+    sets = cut(docs.join(wanted, one_of, "left_semi").select("text").mapInArrow(_full, "node long, elements binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) that are links by their full sets."""
@@ -214,12 +217,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = components(edges)
     groups = classes.select("node", "first_id").join(groups, "node")
     lows = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of = groups.join(lows, "component").select("node", "component_id")
+    of = groups.join(lows, "component").select("node", "component_id", "component")
     alone = classes.select("node", F.col("first_id").alias("own_id"))
     return (
-        base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("node"))
+        base.select("doc_id", "text_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("fp")).alias("node"))
         .join(alone, "node", "left")
         .join(of, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "own_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "own_id", "doc_id").alias("component_id"), F.coalesce("component", "node").alias("group"), "text_id")
+        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "group", "text_id")
     )

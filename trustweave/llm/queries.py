@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).drop("group", "text_id")
 
 
 def op2_sentencepiece(spark, sf_dir):
@@ -80,6 +80,12 @@ QUERIES = {
 
 _WS = r"[\x20\x09-\x0D]"
 
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+
 ORACLE = {
     "op6_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -87,7 +93,9 @@ w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
 f AS (SELECT *, list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines,
   list_filter(lines, lambda x: length(regexp_replace(x, '{_WS}+', '', 'g')) > 0 AND (
     length(x) - length(regexp_replace(x, '{quality_rules.SYMBOLS}', '', 'g')) > {quality_rules.SYMBOL_SHARE}::DOUBLE * length(regexp_replace(x, '{_WS}+', '', 'g'))
-    OR NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') OR regexp_matches(lower(x), '{quality_rules.NAVIGATION}') OR regexp_matches(lower(x), '{quality_rules.BOILERPLATE}'))) AS failed FROM w),
+    OR (len(string_split_regex(x, '{quality_rules.SHOUT}')) > 2 AND {quality_rules.SHOUTS} * (len(string_split_regex(x, '{quality_rules.SHOUT}')) - 1) > len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+    OR (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= {quality_rules.REPEATS} AND {quality_rules.DISTINCT} * len(list_distinct(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) <= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
+    OR NOT regexp_matches(x, '[\p{{L}}\p{{N}}]') OR regexp_matches(lower(x), '{_quoted(quality_rules.NAVIGATION)}') OR regexp_matches(lower(x), '{_quoted(quality_rules.BOILERPLATE)}'))) AS failed FROM w),
 p AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3] || ' ' || ws[i+4] AS g
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
