@@ -1,11 +1,10 @@
-"""English full-text match and rank: stems, boolean queries, cover density."""
+"""English stems; matching and ranking by them are joins (``retrieve.whole_ranks``)."""
 
 from __future__ import annotations
 
 import re
 
 import pandas as pd
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,66 +29,7 @@ def stem(word: str) -> str:
     return word[:-1] + "i" if word.endswith("y") and len(word) > 3 else word[:-1] if word.endswith("e") and len(word) > 4 else word
 
 
-def _terms(text: str | None) -> list[tuple[str, int]]:
-    return [(stem(w), i + 1) for i, w in enumerate(re.findall(r"[a-z0-9]+", (text or "").lower())) if w not in _STOP]
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(text: pd.Series) -> pd.Series:
-    """Stems of a text in order, without stopwords, to be stored beside it."""
-    return text.map(lambda t: [s for s, _ in _terms(t)])
-
-
 @F.pandas_udf(T.StringType())
 def stemmed(word: pd.Series) -> pd.Series:
     """Stem of a lower-case word; null for stopwords."""
     return word.map(lambda w: None if w in _STOP else stem(w))
-
-
-def parse_query(query: str) -> list[list[tuple[list[str], bool]]]:
-    """Alternatives (or) of parts (and): stems in a row, and whether they must be absent."""
-    out: list[list[tuple[list[str], bool]]] = [[]]
-    for minus, quoted, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower()):
-        if word == "or" and not minus:
-            out.append([])
-            continue
-        parts = [s for s, _ in _terms(quoted or word)]
-        if parts:
-            out[-1] += [(parts, bool(minus))] if quoted else [([p], bool(minus)) for p in parts]
-    return [a for a in out if a]
-
-
-def _places(parts: list[str], at: dict[str, list[int]]) -> list[int]:
-    first = at.get(parts[0], [])
-    return [p for p in first if all(p + k in at.get(x, ()) for k, x in enumerate(parts[1:], 1))]
-
-
-def rank(query: str, text: str | None) -> float:
-    """Cover density: for each shortest stretch that holds all parts, parts / length; 0 if there is no match."""
-    at: dict[str, list[int]] = {}
-    for s, p in _terms(text):
-        at.setdefault(s, []).append(p)
-    best = 0.0
-    for alternative in parse_query(query):
-        if any(bool(_places(p, at)) == absent for p, absent in alternative):
-            continue
-        hits = sorted((p, i) for i, (parts, absent) in enumerate(alternative) if not absent for p in _places(parts, at))
-        need, last, total = sum(not absent for _, absent in alternative), {}, 0.0
-        for p, i in hits:
-            last[i] = p
-            if len(last) == need:
-                start = min(last.values())
-                total += need / (p - start + need)
-                last = {k: v for k, v in last.items() if v > start}
-        best = max(best, total if need else 0.1)
-    return best
-
-
-@F.pandas_udf(T.DoubleType())
-def _rank(query: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([rank(q or "", t) for q, t in zip(query, text, strict=True)], dtype=float)
-
-
-def fts_rank(query: Column, text: Column) -> Column:
-    """Rank of a text for a web-style query (words and-ed, or, "phrase", -not); 0 without a match."""
-    return _rank(query, text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,59 @@ def lexical(questions: DataFrame, passages: DataFrame) -> DataFrame:
     return q.join(p, "token").groupBy("question_id", "passage_id").agg((F.count("*") / F.first("n")).alias("lexical"))
 
 
+def _best_of_task(shared, k: int):
+    """(question_id, passage_id, hits): the ``k`` best passages of each question in one task, by shared tokens, smaller ids first."""
+
+    def best(batches):
+        ids, postings = shared.value
+        kept = np.zeros((0, 3), np.int64)  # question, -hits, passage
+
+        def top(rows):
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            first = np.searchsorted(rows[:, 0], rows[:, 0])
+            return rows[np.arange(len(rows)) - first < k]
+
+        for batch in batches:
+            passage, lists = batch.column(0).to_numpy(), batch.column(1)
+            found = []
+            for p, tokens in zip(passage.tolist(), lists, strict=True):
+                hit = [postings[x] for x in tokens.as_py() or () if x in postings]
+                if hit:
+                    n = np.bincount(np.concatenate(hit))
+                    q = np.flatnonzero(n)
+                    found.append(np.stack([q, -n[q], np.full(len(q), p)], axis=1))
+                if len(found) >= 2048:
+                    kept, found = top(np.concatenate([kept, *found])), []
+            if found:
+                kept = top(np.concatenate([kept, *found]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0]]), pa.array(kept[:, 2]), pa.array(-kept[:, 1])], names=["question_id", "passage_id", "hits"])
+
+    return best
+
+
+def lexical_top(questions: DataFrame, passages: DataFrame, k: int = 12) -> DataFrame:
+    """The ``k`` passages (passage_id: long, tokens) with the largest share of each question's tokens (question_id: long, tokens), none without any.
+
+    Questions are a stated set and go to the tasks in blocks of ``BLOCK`` as an inverted index; each task keeps its own ``k`` best of every question, so
+    what is shuffled is that and not the pairs that share a word. Returns question_id, passage_id, lexical and rank; ties go to the smaller passage_id.
+    """
+    spark = questions.sparkSession
+    blocks = max(1, -(-questions.count() // BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).select("question_id", "tokens").collect()  # BLOCK rows or so
+        postings: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for x in r.tokens or ():
+                postings.setdefault(x, []).append(i)
+        ids = np.array([r.question_id for r in rows], np.int64)
+        shared = spark.sparkContext.broadcast((ids, {x: np.array(v) for x, v in postings.items()}))
+        part = passages.select(F.col("passage_id").cast("long"), "tokens").mapInArrow(_best_of_task(shared, k), "question_id long, passage_id long, hits long")
+        out = part if out is None else out.unionAll(part)
+    scored = out.join(questions.select("question_id", F.size("tokens").alias("n")), "question_id").select("question_id", "passage_id", (F.col("hits") / F.col("n")).alias("lexical"))
+    return top(scored, ["question_id"], [F.desc("lexical"), "passage_id"], k)
+
+
 def candidates(chunks: DataFrame, docs: DataFrame, near: DataFrame, ranked: DataFrame) -> DataFrame:
     """Candidates of queries: chunks of active documents that match a query's words or are among its nearest.
 

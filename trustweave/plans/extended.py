@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import vectors as v
-from ..functions.fulltext import fts_rank
 from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
 from ..sources import connectors
-from .queries import _lexical, _t, query
+from .queries import _t, query
 
 _CLEAN = "trim(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
 
@@ -62,11 +61,11 @@ def chat_units(spark, d):
     return connectors.teams(items).select("external_id", "title", F.length(_said()).cast("long").alias("n_chars"))
 
 
-@query(f"""SELECT item_id AS external_id, 'u' || item_id % 7 || '@example.com' AS owner_email, length({_CLEAN.format("CASE WHEN item_id % 2 = 0 THEN '<b>' || text || '</b>' ELSE left(text, 40) END")}) AS n_chars FROM benchmark""")
+@query(f"""SELECT item_id AS external_id, 'u' || item_id % 7 || '@example.com' AS owner_email, length({_CLEAN.format("CASE WHEN item_id % 2 = 0 THEN '<b>' || text || '</b>' ELSE text END")}) AS n_chars FROM benchmark""")
 def mail_units(spark, d):
     """Mails, by their preview where the body is empty."""
     body = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("<b>"), "text", F.lit("</b>"))).otherwise("")
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("mail").alias("subject"), F.concat(F.lit("u"), F.col("item_id") % 7, F.lit("@example.com")).alias("sender"), body.alias("content"), F.left("text", F.lit(40)).alias("preview"))
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("mail").alias("subject"), F.concat(F.lit("u"), F.col("item_id") % 7, F.lit("@example.com")).alias("sender"), body.alias("content"), F.col("text").alias("preview"))
     return connectors.outlook(items).select("external_id", "owner_email", F.length(_said()).cast("long").alias("n_chars"))
 
 
@@ -332,16 +331,6 @@ def daily_event_windows(spark, d):
     return _t(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.to_date("w.start").alias("day"), "event_type", "n", "total")
 
 
-@query()
-def fulltext_rank(spark, d):
-    """The dozen passages that share most words with each benchmark item, by cover density (tested against plain loops)."""
-    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " or ").alias("asked"))
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    near = retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 12).select("question_id", "passage_id")
-    rows = near.join(items, "question_id").join(docs, "passage_id")
-    return rows.select("question_id", "passage_id", F.round(fts_rank(F.col("asked"), F.col("text")), 6).alias("rank"))
-
-
 @query()
 def passage_rank(spark, d):
     """The dozen best passages of each whole benchmark item among all documents that hold its stems, by cover density (tested against plain loops)."""

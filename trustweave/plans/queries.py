@@ -187,16 +187,16 @@ a AS (SELECT item_id, len(t) AS n, unnest(t) AS w FROM q), b AS (SELECT doc_id,
 x AS (SELECT item_id AS question_id, doc_id AS passage_id, round(count(*) / any_value(n)::DOUBLE, 6) AS lexical FROM a JOIN b USING (w) GROUP BY 1, 2)"""
 
 
-def _lexical(spark, d):
+def _lexical(spark, d, k):
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), t.content_tokens(F.col("text")).alias("tokens"))
     p = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), t.content_tokens(F.col("text")).alias("tokens"))
-    return retrieve.lexical(q, p).withColumn("lexical", F.round("lexical", 6))
+    return retrieve.lexical_top(q, p, k).withColumn("lexical", F.round("lexical", 6))
 
 
 @query(_LEX + " SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, passage_id) AS rank FROM x QUALIFY rank <= 12")
 def lexical_overlap_topk(spark, d):
     """Passages that hold most of a question's tokens."""
-    return retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 12).withColumn("rank", F.col("rank").cast("long"))
+    return _lexical(spark, d, 12).select("question_id", "passage_id", "lexical", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_LEX + ", y AS (SELECT question_id, passage_id FROM x QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY lexical DESC, passage_id) = 1)"
@@ -205,7 +205,7 @@ z AS (SELECT s.*, len(list_intersect({_CONTENT.format('line')}, q.t)) AS score F
 SELECT question_id, passage_id, line, score::BIGINT AS score FROM z QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, pos) = 1""")
 def lead_line(spark, d):
     """K1: the line of the best passage that shares most with the question."""
-    best = retrieve.top(_lexical(spark, d), ["question_id"], [F.desc("lexical"), "passage_id"], 1)
+    best = _lexical(spark, d, 1).drop("rank")
     q = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), t.content_tokens(F.col("text")).alias("q"))
     rows = best.join(_t(spark, d, "documents"), F.col("doc_id") == F.col("passage_id")).join(q, "question_id").select("question_id", "passage_id", "q", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.withColumn("score", F.size(F.array_intersect(t.content_tokens(F.col("line")), "q")).cast("long"))
