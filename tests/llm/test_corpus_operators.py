@@ -154,6 +154,39 @@ def test_trees_learn():
     assert ((trees(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
 
 
+def test_quality_scores_match_plain_statistics_and_walks(spark, odd, monkeypatch):
+    """The score of every odd text from statistics and tree walks in plain Python."""
+    kept, grow = {}, quality_trees.grow
+    monkeypatch.setattr(quality_trees, "grow", lambda *a: kept.setdefault("trees", grow(*a)))
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality_trees, "LEAST", 4)
+    got = quality_trees.score_quality(odd, labels).collect()
+
+    def measure(x):
+        raw, w = (x or "").encode(), [y.encode() for y in words(x)]
+        size, n = max(len(raw), 1), max(len(w), 1)
+        letters = max(sum(65 <= c < 91 or 97 <= c < 123 for c in raw), 1)
+        return [
+            math.log1p(len(raw)), math.log1p(len(w)), sum(map(len, w)) / n, len(set(w)) / n, sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+            sum(a == b for a, b in zip(w, w[5:], strict=False)) / n, sum(y[-1] in b"!#%*$&" for y in w) / n, max(map(len, w), default=0), sum(65 <= c < 91 for c in raw) / letters,
+            sum(48 <= c < 58 for c in raw) / size, sum(c >= 128 for c in raw) / size, (raw.count(b"\n") + 1) / n, raw.count(b" ") / size, *(raw.count(bytes([c])) / size for c in quality_trees._SYMBOLS),
+        ]
+
+    def walk(x):
+        trees, x = kept["trees"], np.array(x, np.float32)
+        total = trees.start
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if x[f[node]] > t[node] else 1)
+            total += leaf[node - len(f)]
+        return 1 / (1 + math.exp(-total))
+
+    want = collections.Counter((i, round(walk(measure(x)), 6)) for i, x in pairs(odd, "doc_id", "text"))
+    assert len(kept["trees"].leaf) > 10 and len({r.score for r in got}) > 5
+    assert collections.Counter((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
 def test_quality_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
@@ -270,6 +303,30 @@ def test_html(spark):
     assert html_text.extract_pages(pages).count() == len(rows) and html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_matches_counts_by_plain_loops(spark):
+    """All pages of the smallest table, and pages at the thresholds: templates counted in plain Python."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    page = "<html><body><article><h1>T{n}</h1><p>Story {n}.</p></article><div>Thrice here</div>{more}</body></html>"
+    rows += [(9000 + n, f"https://edge.org/{n}", page.format(n=n, more="<div>Twice here</div>" if n < 2 else "")) for n in range(3)]
+    rows += [(9100 + n, f"https://body.org/{n}", f"<html><body><p>Story {n}.</p><div>On {'three' if n < 3 else 'few'}</div>{'<div>On two</div>' if n < 2 else ''}</body></html>") for n in range(10)]
+    hosts, seen = collections.Counter(), collections.defaultdict(collections.Counter)
+    host = lambda url: (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", url or "") or [None, ""])[1].lower()
+    for _, url, html in rows:
+        hosts[host(url)] += 1
+        for x, (item, around) in html_text.recurring(html or "").items():
+            seen[host(url), x, item][around] += 1
+    template = collections.defaultdict(set)
+    for (h, x, item), arounds in seen.items():
+        n = sum(arounds.values())
+        spread = not item and len(arounds) >= max(html_text.PAGES, html_text.SPREAD * math.sqrt(hosts[h]))
+        if n >= html_text.PAGES and (n >= html_text.SHARE * hosts[h] or spread):
+            template[h].add(x)
+    want = collections.Counter((i, html_text.main_text(html or "", frozenset(template[host(url)]))) for i, url, html in rows)
+    got = {r.page_id: r.text for r in html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert collections.Counter(got.items()) == want
+    assert got[9100] == "Story 0.\nOn two" and got[9001] == "T1\nStory 1."
+
+
 def test_html_template_on_a_small_share_of_a_large_host(spark):
     page = "<html><body><h1>Title {n}</h1><p>This is the long story of page number {n}, told once.</p>{more}</body></html>"
     rows = []
