@@ -238,10 +238,10 @@ def test_lm_scores_match_a_plain_loop(odd, monkeypatch):
         members[int(m.outcome[k])].append(k)
 
     def score(x):
-        total, past = 0.0, [m.end_id] * 3
+        total, past = 0.0, [m.end_id] * lm_scoring.ORDER
         for w in [*words((x or "").translate(LOWER)), None]:
             t = ids[w]
-            h = sum(m.theta[past[i], :-1] * p[i] for i in range(3))
+            h = sum(m.theta[past[i], :-1] * p[i] for i in range(lm_scoring.ORDER))
             s = e[:, :-1] @ h + e[:, -1]
             total += (s[m.outcome[t]] - np.log(np.exp(s).sum())) / math.log(10)
             if t < m.words:
@@ -250,7 +250,7 @@ def test_lm_scores_match_a_plain_loop(odd, monkeypatch):
                 total += (s[inside.index(t)] - np.log(np.exp(s).sum())) / math.log(10)
             else:
                 total += math.log10((c[w] + 0.1) / (n[t] + 0.1 * (v[t] + 1)))
-            past = [t, *past[:2]]
+            past = [t, *past[:-1]]
         return total
 
     texts = {i: x for i, x in rows}

@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from . import textkit as tk
 
-OWN, LEAST, TAILS = 32_768, 10, 64
+OWN, LEAST, TAILS = 8_192, 10, 32
 #: So many of the most frequent words travel with their counts to every task; the rest are joined.
 LISTED = 262_144
-WIDTH, ORDER = 32, 3
+WIDTH, ORDER = 16, 2
 #: Share of the texts in each round, in 1/8; noise draws of classes (shared by a batch) and of words.
 ROUNDS = (1, 2, 5)
-BATCH, NOISE, DRAWS, WORD_NOISE = 2048, 16.0, 48, 3
+BATCH, NOISE, DRAWS, WORD_NOISE = 4096, 16.0, 48, 1
 #: Adagrad's steps, of position weights also, and what its squares start from.
 RATE, POSITION_RATE, CALM = 0.2, 0.01, 0.01
 #: Clusters are formed by the frequent words that come before; a class holds so many words at most.
@@ -247,7 +247,7 @@ class Moves:
 
     def step(self, model: Model, row: np.ndarray, gradient: np.ndarray, rate: float | None = None) -> None:
         """Move the vectors ``row`` along the gradient (repeated rows add up)."""
-        order = np.argsort(row, kind="stable")
+        order = np.argsort(row)
         row = row[order]
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         n = np.diff(np.append(first, len(row)))
@@ -304,7 +304,7 @@ def clusters(table: np.ndarray, counts: np.ndarray, seed: int = 3) -> np.ndarray
 
 
 def _trained(shared, turn):
-    """(row, task, uses, move): how far one task's texts of this round move each vector, and the root of its squares."""
+    """(row, task, uses, move): how far one task's texts of this round move each vector, and the logarithm of its squares."""
     lo, hi = sum(ROUNDS[:turn]), sum(ROUNDS[: turn + 1])
 
     def train(batches):
@@ -326,7 +326,7 @@ def _trained(shared, turn):
                     ids = np.concatenate(parts)
                     model.fit(ids, contexts(ids, np.concatenate([[0], np.cumsum([len(x) for x in parts])]), model.end_id), rng, moved)
             row = np.flatnonzero(moved.uses)
-            move = np.hstack([model.theta[row] - start[row], np.sqrt(moved.squares[row])[:, None]]).astype(np.float16)
+            move = np.hstack([model.theta[row] - start[row], np.log(moved.squares[row])[:, None]]).astype(np.float16)
             for a in range(0, len(row), 20_000):
                 p = slice(a, a + 20_000)
                 yield pa.RecordBatch.from_arrays(
@@ -352,7 +352,7 @@ def _averaged(batches):
                 if uses:
                     out.append((row, (total / uses).astype(np.float32).tobytes()))
                 row, total, uses = r, np.zeros(WIDTH + 2), 0.0
-            total += n * np.frombuffer(m.as_buffer(), np.float16)
+            total += n * np.frombuffer(m.as_buffer(), np.float16).astype(np.float64)
             uses += n
         if len(out) > 20_000:
             yield _moves(out)
@@ -386,7 +386,7 @@ def learn(tokens: DataFrame, words: int, end_id: int, counts: np.ndarray) -> Mod
         if len(mean):
             row, move = mean["row"].to_numpy(), np.frombuffer(b"".join(mean["move"].to_pylist()), np.float32).reshape(-1, WIDTH + 2)
             model.theta[row] += move[:, :-1]
-            model.squares[row] = move[:, -1] ** 2
+            model.squares[row] = np.exp(move[:, -1])
     return model
 
 
