@@ -202,3 +202,30 @@ def test_near_duplicate_pairs_match_brute_force(spark, tmp_path):
     assert len([r for r in got if not r.same]) == len({(r.id_a, r.id_b) for r in got if not r.same})
     assert set(pairs) == set(want) and any(j < 0.5 for j, _ in want.values())
     assert all(abs(pairs[k][i] - want[k][i]) < 1e-4 for k in want for i in (0, 1))
+
+
+def test_rebuild_push_and_items(spark, tmp_path):
+    schema = "id string, title string, topics array<string>, sections array<struct<heading:string,sentences:array<string>>>, owner_id string, author_id string, created_at date, updated_at date"
+    docs = connectors.push(spark, [("d", "T", ["x"], [("A", ["One.", "Two."]), ("E", [])], "p", None, DAY, DAY)], schema)
+    people = spark.createDataFrame([("p", "Kim")], "id string, name string")
+    edges = spark.createDataFrame([("p", "listed", "topic:x", DAY)], "person_id string, rel string, dst string, at date")
+    for _ in range(2):  # again over what is there
+        again = ingest.rebuild(docs, people, edges, str(tmp_path / "all"))
+        assert {k: v.count() for k, v in again.items()} == {"people": 1, "documents": 1, "chunks": 1, "edges": 2}
+    assert again["documents"].first().body == "T\n\n## A\nOne.\nTwo.\n"
+    assert {(r.rel, r.dst) for r in again["edges"].collect()} == {("owns", "doc:d"), ("listed", "topic:x")}
+    path = tmp_path / "items.json"
+    path.write_text('[{"id": "1", "fields": {"summary": "a"}},\n {"id": "2", "fields": null, "more": 3}]')
+    items = connectors.read_items(spark, str(path), "id string, fields struct<summary:string>")
+    assert sorted((r.id, r.fields.summary if r.fields else None) for r in items.collect()) == [("1", "a"), ("2", None)]
+
+
+def test_rule_tables_are_bounded(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(understand, "RULES", 1)
+    texts = spark.createDataFrame([(1, "on leave")], "id int, text string")
+    table = spark.createDataFrame([(1, "a", "leave"), (2, "b", "pay")], "priority int, code string, keyword string")
+    assert understand.first_hit(texts, table.limit(1)).first().code == "a"
+    with pytest.raises(ValueError):
+        understand.first_hit(texts, table)
