@@ -379,7 +379,7 @@ def _sampled(shared, k, digests):
         for batch in batches:
             data, offs = tk.column(batch, "text")
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo, hi, buf, at in tk.slices(data, offs):
+            for lo, hi, buf, at in tk.slices(data, offs, 1 << 18):
                 rows = hi - lo
                 spaced = np.insert(buf, at[:-1], 0x20)  # the mark before the first word
                 at = at + np.arange(rows + 1)
