@@ -30,7 +30,7 @@ from . import textkit as tk
 
 OWN, LEAST, TAILS = 8_192, 10, 32
 #: So many of the most frequent words travel with their counts to every task; the rest are joined.
-LISTED = 262_144
+LISTED = 1 << 20
 WIDTH, ORDER = 16, 2
 #: Share of the texts in each round, in 1/8; noise draws of classes (shared by a batch) and of words.
 ROUNDS = (1, 2, 5)
@@ -174,12 +174,9 @@ class Model:
         e, q = self.theta[self.at[1] : self.at[2]], self.theta[self.at[2] : self.at[3]]
         out = np.empty(len(ids))
         target = self.outcome[ids]
-        for lo in range(0, len(ids), 4096):
-            p = slice(lo, lo + 4096)
-            s = c[p] @ e[:, :-1].T + e[:, -1]
-            picked = s[np.arange(len(s)), target[p]]
-            top = s.max(axis=1)
-            out[p] = picked - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        for lo in range(0, len(ids), 2048):
+            p = slice(lo, lo + 2048)
+            out[p] = _log_softmax(c[p], e, target[p])
         own = np.flatnonzero(ids < self.words)
         own = own[np.argsort(target[own], kind="stable")]
         edge = np.searchsorted(target[own], np.arange(len(self.first)))
@@ -187,12 +184,9 @@ class Model:
             members = self.order[self.first[k] : self.first[k + 1]]
             if len(members) > 1:
                 v = q[members]
-                for lo in range(edge[k], edge[k + 1], 8192):
-                    t = own[lo : min(lo + 8192, edge[k + 1])]
-                    s = c[t] @ v[:, :-1].T + v[:, -1]
-                    picked = s[np.arange(len(s)), self.rank[ids[t]]]
-                    top = s.max(axis=1)
-                    out[t] += picked - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+                for lo in range(edge[k], edge[k + 1], 2048):
+                    t = own[lo : min(lo + 2048, edge[k + 1])]
+                    out[t] += _log_softmax(c[t], v, self.rank[ids[t]])
         return out
 
     def fit(self, ids: np.ndarray, before: np.ndarray, rng: np.random.Generator, moved: Moves) -> None:
@@ -235,6 +229,17 @@ class Model:
             moved.step(self, at[3] + np.arange(ORDER), dp / np.float32(n), POSITION_RATE)
 
 
+def _log_softmax(c: np.ndarray, v: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each row's target by the scores of its context with all vectors ``v`` (with biases)."""
+    s = c @ v[:, :-1].T
+    s += v[:, -1]
+    top = s.max(axis=1)
+    picked = s[np.arange(len(s)), target] - top
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return picked - np.log(s.sum(axis=1))
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
