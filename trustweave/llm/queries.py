@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import chat_format, decontaminate, html_text, line_dedup, lm_scoring, near_dedup, quality_rules, quality_trees, repeats, sentencepieces
+from . import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    quality_rules,
+    quality_trees,
+    repeats,
+    resample,
+    sentencepieces,
+    vector_codes,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +69,19 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.windows(turns))
 
 
+def op11_vector_codes(spark, sf_dir):
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_exact_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"))
+    return exact_dedup.exact_duplicates(docs).drop("text")
+
+
+def op13_resampling(spark, sf_dir):
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -74,6 +101,9 @@ QUERIES = {
         op8_decontamination,
         op9_suffix_dedup,
         op10_chat_format,
+        op11_vector_codes,
+        op12_exact_dedup,
+        op13_resampling,
         pipeline,
     )
 }
@@ -85,6 +115,19 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _vector_rounds() -> str:
+    """Assignment and averages of every round, then the last assignment, as common tables c1, c2, ... and last."""
+    near = "SELECT r, x.part, min({{'d': list_inner_product(c, c) - 2 * list_inner_product(y, c), 'j': j}}) AS m, any_value(y) AS y FROM x JOIN c{0} ON x.part = c{0}.part GROUP BY r, x.part"
+    out = []
+    for k in range(vector_codes.ROUNDS):
+        out.append(f"a{k} AS MATERIALIZED ({near.format(k)})")
+        out.append(
+            f"s{k} AS (SELECT part, j, list(floor(s / n) ORDER BY i) AS c FROM (SELECT part, m.j AS j, i, sum(y[i]::HUGEINT)::DOUBLE AS s, count(*) AS n "
+            f"FROM (SELECT part, m, y, unnest(range(1, len(y) + 1)) AS i FROM a{k}) GROUP BY part, m.j, i) GROUP BY part, j)"
+        )
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.part, c{k}.j, coalesce(s{k}.c, c{k}.c) AS c FROM c{k} LEFT JOIN s{k} ON c{k}.part = s{k}.part AND c{k}.j = s{k}.j)")
+    return ",\n".join([*out, f"last AS MATERIALIZED ({near.format(vector_codes.ROUNDS)})"])
+
 
 ORACLE = {
     "op6_quality_rules": rf"""
@@ -138,4 +181,35 @@ SELECT v.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10)
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars)::BIGINT AS formatted_chars
 FROM v JOIN z ON v.conv_id = z.conv_id GROUP BY v.conv_id""",
+    "op11_vector_codes": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda z: floor({vector_codes.SCALE} * z::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS MATERIALIZED (SELECT r, vec_id, part, x[part * (len(x) // {vector_codes.PARTS}) + 1 : (part + 1) * (len(x) // {vector_codes.PARTS})] AS y
+  FROM (SELECT *, unnest(range({vector_codes.PARTS})) AS part FROM v)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v QUALIFY j < {vector_codes.ENTRIES}),
+c0 AS MATERIALIZED (SELECT part, j, y AS c FROM x JOIN f USING (r)),
+{_vector_rounds()},
+e AS (SELECT r, string_agg(format('{{:02x}}', m.j), '' ORDER BY part) AS code, sum(m.d + list_inner_product(y, y))::BIGINT AS error FROM last GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda z: z::BIGINT), ','), ',' ORDER BY part, j)) AS digest FROM c{vector_codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM v JOIN e USING (r) CROSS JOIN h""",
+    "op12_exact_dedup": rf"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '{_WS}+', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)""",
+    "op13_resampling": rf"""
+WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+a AS (SELECT 0 AS kind, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS MATERIALIZED (SELECT row_number() OVER () AS r, kind, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM a),
+f AS MATERIALIZED (SELECT r, kind, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM w),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(1, len(x) + 1, 2), lambda i: ('0x' || x[i : i + 1])::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % {resample.BUCKETS} AS b
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM f)) CROSS JOIN t),
+n AS (SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM f JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM n) + {resample.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM n) + {resample.BUCKETS})::DOUBLE))) AS gain FROM n),
+m AS (SELECT r, count(*) AS n_features, floor(sum(gain) / count(*)) AS weight FROM f JOIN b USING (f) JOIN g USING (b) WHERE kind = 0 GROUP BY r),
+k AS (SELECT doc_id, len(ws) >= {resample.LEAST} AS may, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('{resample.SEED}:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM w LEFT JOIN m USING (r) WHERE kind = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (may) OVER () AS total FROM k)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= {resample.SHARE} * total // 100 THEN place END AS rank FROM o""",
 }
