@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions.fulltext import stemmed
 from ..functions.vectors import cosine
-from ..scratch import cut
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
@@ -37,16 +35,6 @@ def fuse(ranked: DataFrame, offset: int = 20) -> DataFrame:
     return ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (offset + F.col("rank"))), 9).alias("rrf"))
 
 
-def lexical(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """Share of each question's tokens in each passage that has any: by an inverted index, not by pairs.
-
-    ``questions``: question_id, tokens; ``passages``: passage_id, tokens. Only tokens that questions use are shuffled.
-    """
-    q = questions.select("question_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    p = passages.select("passage_id", F.explode("tokens").alias("token"))
-    return q.join(p, "token").groupBy("question_id", "passage_id").agg((F.count("*") / F.first("n")).alias("lexical"))
-
-
 def _best_of_task(shared, k: int):
     """(question_id, passage_id, hits): the ``k`` best passages of each question in one task, by shared tokens, smaller ids first."""
 
@@ -146,30 +134,3 @@ def pooled(found: DataFrame, k: int = 12) -> DataFrame:
 def top(scored: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
     """The first ``k`` rows of each group, with their rank."""
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
-
-
-def whole_ranks(questions: DataFrame, passages: DataFrame) -> DataFrame:
-    """Cover density of every passage that holds all stems of a question: question_id, passage_id, rank.
-
-    Takes (question_id, text) and (passage_id, text). A cover is a shortest stretch with all stems; each adds stems / (length + stems).
-    """
-    words = lambda df, key: df.select(key, F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)).alias("pos", "word"))
-    asked, said = words(questions, "question_id"), words(passages, "passage_id")
-    asked = asked.select("question_id", stemmed(F.col("word")).alias("stem")).where("stem IS NOT NULL").distinct()
-    asked = asked.withColumn("need", F.count("*").over(Window.partitionBy("question_id")))
-    known = said.select("word").distinct().withColumn("stem", stemmed(F.col("word"))).join(asked.select("stem").distinct(), "stem", "left_semi")
-    terms = cut(said.join(known, "word").select("passage_id", "stem", "pos"))
-    held = terms.select("passage_id", "stem").distinct()
-    # all stems held means that the rarest one is
-    rare = asked.join(held.groupBy("stem").agg(F.count("*").alias("df")), "stem", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    first = rare.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("df", "stem"))).where("r = 1")
-    near = first.join(held, "stem").select("question_id", "passage_id")
-    match = near.join(asked, "question_id").join(held, ["passage_id", "stem"]).groupBy("question_id", "passage_id", "need").agg(F.count("*").alias("n")).where("n = need")
-    hits = match.join(asked.select("question_id", "stem"), "question_id").join(terms, ["passage_id", "stem"])
-    # a hit is the last of its stem up to the next one; a cover starts at the earliest last hit and ends where all before it have come again
-    one, of = ["question_id", "passage_id"], Window.partitionBy("question_id", "passage_id", "stem").orderBy("pos")
-    hits = hits.withColumn("next", F.coalesce(F.lead("pos").over(of), F.lit((1 << 31) - 1))).withColumn("lead", F.when(F.lag("pos").over(of).isNull(), F.col("pos")))
-    before = Window.partitionBy(*one).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.greatest(F.max("lead").over(Window.partitionBy(*one)), F.max("next").over(before), F.col("pos"))
-    covers = hits.withColumn("end", end).where("end < next")
-    return covers.groupBy(*one).agg(F.sum(F.col("need") / (F.col("end") - F.col("pos") + F.col("need"))).alias("rank"))

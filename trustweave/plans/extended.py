@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import fulltext
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
+from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, search, search_index, trust, understand
+from ..scratch import cut
+from ..scratch import folder as scratch_folder
 from ..sources import connectors
 from .queries import _t, query
 
@@ -333,8 +338,43 @@ def daily_event_windows(spark, d):
 
 @query()
 def passage_rank(spark, d):
-    """The dozen best passages of each whole benchmark item among all documents that hold its stems, by cover density (tested against plain loops)."""
+    """The dozen best passages of each whole benchmark item, taken as a search, among all documents, by cover density (tested against plain loops)."""
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    ranks = retrieve.whole_ranks(items, docs).select("question_id", "passage_id", F.round("rank", 6).alias("density"))
+    ranks = search.ranked(items, cut(search.postings(docs)), docs).select("question_id", "passage_id", F.round("rank", 6).alias("density"))
     return retrieve.top(ranks, ["question_id"], [F.desc("density"), "passage_id"], 12).select("question_id", "passage_id", F.col("density").alias("rank"))
+
+
+# Fixed kinds of searches: both words, a phrase or a word, a word without another, a word or a phrase without a third.
+_SEARCHES = """CASE item_id % 4 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || w[1] || ' ' || w[2] || '" OR ' || w[3] WHEN 2 THEN w[1] || ' -' || w[2] ELSE w[1] || '-' || w[2] || ' or "' || w[3] || ' ' || w[4] || '" -' || w[5] END"""
+_SAID = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda z: z <> 'or')"
+
+
+@query(f"""WITH q AS (SELECT item_id, {_SAID} AS w FROM benchmark), p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))
+SELECT item_id AS question_id, doc_id AS passage_id FROM q, p WHERE CASE item_id % 4 WHEN 0 THEN list_contains(p.w, q.w[1]) AND list_contains(p.w, q.w[2]) WHEN 1 THEN contains(t, ' ' || q.w[1] || ' ' || q.w[2] || ' ') OR list_contains(p.w, q.w[3])
+WHEN 2 THEN list_contains(p.w, q.w[1]) AND NOT list_contains(p.w, q.w[2]) ELSE contains(t, ' ' || q.w[1] || ' ' || q.w[2] || ' ') OR (contains(t, ' ' || q.w[3] || ' ' || q.w[4] || ' ') AND NOT list_contains(p.w, q.w[5])) END""")
+def boolean_search(spark, d):
+    """R2: searches with phrases, alternatives and exclusions over all documents."""
+    said = F.filter(fulltext.words(F.col("text")), lambda z: z != "or")
+    w = lambda i: F.get("w", F.lit(i - 1))
+    k, quote = F.col("item_id") % 4, F.lit('"')
+    asked = F.when(k == 0, F.concat_ws(" ", w(1), w(2))).when(k == 1, F.concat(quote, w(1), F.lit(" "), w(2), quote, F.lit(" OR "), w(3))).when(k == 2, F.concat(w(1), F.lit(" -"), w(2)))
+    asked = asked.otherwise(F.concat(w(1), F.lit("-"), w(2), F.lit(" or "), quote, w(3), F.lit(" "), w(4), quote, F.lit(" -"), w(5)))
+    searches = _t(spark, d, "benchmark").select("item_id", said.alias("w")).select(F.col("item_id").alias("question_id"), asked.alias("text"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    found = search.matches(cut(search.terms(searches, fulltext.simple)), cut(search.postings(docs, fulltext.simple)), docs)
+    return found.select("question_id", "passage_id").distinct()
+
+
+@query(r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' seen again' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS stem FROM d)
+SELECT stem, count(DISTINCT doc_id) AS df, count(*) AS n FROM w GROUP BY stem""")
+def kept_index(spark, d):
+    """R2: a kept index after batches that add, rewrite and remove passages, with a merge between: how many passages hold each word, and how often."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    folder, k = f"{scratch_folder(spark)}/{uuid.uuid4().hex}", F.col("passage_id")
+    batches = [(docs.where(k % 3 != 0), None), (docs.where(k % 3 == 0), None), (docs.where(k % 5 == 0).withColumn("text", F.concat("text", F.lit(" seen again"))), docs.where(k % 7 == 0).where(k % 5 != 0)), (docs.limit(0), docs.where(k % 35 == 0))]
+    for n, (changed, gone) in enumerate(batches):
+        search_index.update(spark, folder, n, changed, gone, fulltext.simple, merge=2)
+    rows = search_index.postings(spark, folder, len(batches), merge=2)
+    return rows.groupBy("stem").agg(F.count("*").alias("df"), F.sum(F.size("positions")).alias("n"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import search_index
 from ..operators.ingest import classify
 
 #: After so many micro-batches their changes are merged into a new base, so a batch reads one base and fewer deltas than this.
@@ -25,12 +26,13 @@ def current(spark: SparkSession, folder: str, batches: int, schema, base: int |
     return rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), "batch").alias("r")).select("r.*") if paths else rows
 
 
-def start(units: DataFrame, folder: str, checkpoint: str, order: str = "seq"):
+def start(units: DataFrame, folder: str, checkpoint: str, order: str = "seq", index: str | None = None, text: str = "body"):
     """Apply a stream of (id, content_hash, ...) to the documents under ``folder``; ``order`` says which of an id's units is the newest.
 
     Batch n writes the rows that it changes under ``delta/n`` and nothing else (every ``COMPACT`` batches also a base), reads only what
     earlier batches wrote, and overwrites its own output when it is repeated after a failure, so its result is the same. Of units with one
-    id and order the larger content hash counts. Runs over what is there and ends.
+    id and order the larger content hash counts. Runs over what is there and ends. With ``index`` the search index under that folder follows: batch n is its
+    batch n, with the passages of ``text``.
     """
     kept = T.StructType([*units.schema.fields, T.StructField("status", T.StringType()), T.StructField("batch", T.LongType())])
 
@@ -39,6 +41,9 @@ def start(units: DataFrame, folder: str, checkpoint: str, order: str = "seq"):
         newest = batch.groupBy("id").agg(F.max_by(F.struct(*batch.columns), F.struct(order, "content_hash")).alias("r")).select("r.*")
         changed = classify(newest, current(spark, folder, n, kept)).where("change <> 'unchanged'").drop("change").withColumn("batch", F.lit(n).cast("long"))
         changed.select(*kept.names).write.mode("overwrite").parquet(f"{folder}/delta/{n}")
+        if index:
+            written = spark.read.schema(kept).parquet(f"{folder}/delta/{n}")
+            search_index.follow(spark, index, n, written.withColumn("change", F.lit("changed")), text=text)
         if (n + 1) % COMPACT == 0:
             current(spark, folder, n + 1, kept, n + 1 - COMPACT).write.mode("overwrite").parquet(f"{folder}/base/{n + 1}")
 
