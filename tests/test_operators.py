@@ -128,11 +128,11 @@ def test_registered_queries_match_their_sql(spark):
 
 
 def test_sweep(spark):
-    docs = spark.createDataFrame([("a", "p", None, "policy", dt.date(2020, 1, 1), None), ("b", "q", None, "policy", DAY, None), ("c", "p", None, "chat", dt.date(2020, 1, 1), None)], "id string, owner_id string, author_id string, doc_type string, updated_at date, validated_at date")
+    docs = spark.createDataFrame([("a", "p", None, "policy", dt.date(2020, 1, 1), None, "active"), ("b", "q", None, "policy", DAY, None, "needs_update"), ("c", "p", None, "chat", dt.date(2020, 1, 1), None, "active"), ("d", "q", "p", "policy", dt.date(2020, 1, 1), None, "archived"), ("e", "nobody", "p", "policy", dt.date(2020, 1, 1), None, "active"), ("f", None, "p", "policy", dt.date(2020, 1, 1), None, "active")], "id string, owner_id string, author_id string, doc_type string, updated_at date, validated_at date, status string")
     people = spark.createDataFrame([("p", True), ("q", False)], "id string, active boolean")
     tasks = spark.createDataFrame([], "kind string, document_id string, done boolean")
-    got = sorted((r.kind, r.document_id) for r in lifecycle.sweep(docs, people, tasks, "2026-09-30").collect())
-    assert got == [("confirm_valid", "a"), ("reassign_owner", "b")]
+    got = {(r.kind, r.document_id): r.assignee_id for r in lifecycle.sweep(docs, people, tasks, "2026-09-30").collect()}
+    assert got == {("confirm_valid", "a"): "p", ("reassign_owner", "b"): None, ("confirm_valid", "f"): "p"}
 
 
 def test_connectors(spark):
@@ -149,8 +149,30 @@ def test_connectors(spark):
     assert [x.external_id for x in connectors.teams(tm).collect()] == ["2"]
     me = spark.createDataFrame([("1", "Sync", "Ann: Decision: we pay on Monday.\nBob: Action: tell staff.\nAnn: Fine. Good. Great. More.")], "id string, subject string, transcript string")
     r = connectors.meetings(me).first()
-    assert (r.decisions, r.actions, r.speakers) == (["we pay on Monday."], ["tell staff."], ["Ann"])
+    assert (r.decisions, r.actions, r.speakers) == (["Decision: we pay on Monday."], ["Action: tell staff."], ["Ann"])
     assert r.sections[-1].sentences == ["Fine.", "Good.", "Great."]
+    said = ["[00:01:02] Ann: Decision: pay Monday", "Ann: we agreed: pay Monday.", "Action movies are fun", "Action (Bob): send it..", "9:05 Zoë K.: todo - call", "Next step: Go", "[1:02] Zoë K.: Hello", "", "Zoë K.: Agreed"]
+    r = connectors.meetings(spark.createDataFrame([("1", "Sync", "\r\n".join(said))], me.schema)).first()
+    assert r.decisions == ["Decision: pay Monday.", "Decision: pay Monday."] and r.speakers == ["Zoë K."]  # a lone word decides nothing
+    assert r.actions == ["Action (Bob): send it.", "Action: call.", "Action: Go."] and r.sections[-1].sentences == ["Action movies are fun Hello Agreed"]
+
+
+def test_pushes_take_the_identity_of_their_source(spark):
+    registry = spark.createDataFrame([("meetings", "Meetings", "Meeting Recorder", "MT"), ("wiki", "Wiki", "Wiki", "WK")], "name string, label string, source_system string, id_prefix string")
+    schema = "source string, external_id string, title string, sections array<struct<heading:string,sentences:array<string>>>"
+    part = [("Decisions", ["Yes."])]
+    units = spark.createDataFrame([("meeting RECORDER", "a b", "T", part), ("Wiki", "a b", "T", part), ("Zoë's app no. 2", "1", "T", part), ("Wiki", "gone", "T", []), ("Wiki", "a b", "T", part)], schema)
+    got = {r.id: (r.connector, r.source_system) for r in ingest.pushed(units, registry).collect()}
+    assert got == {"MT-a-b": ("meetings", "Meeting Recorder"), "WK-a-b": ("wiki", "Wiki"), "API-ZOËSAPPN-1": ("push:zoë's app no. 2", "Zoë's app no. 2")}
+    assert ingest.pushed(units.limit(0), registry).count() == 0
+
+
+def test_texts_say_what_documents_lack(spark):
+    schema = "id string, title string, body string, topics array<string>, client string, country string, team string"
+    docs = spark.createDataFrame([("a", "Leave", "Leave rules at Acme. payroll payroll", None, None, None, None), ("b", "Leave", "x", ["given"], "C", "NL", "T"), ("c", None, "German sick leave for joan doe, salary", [], None, None, None), ("d", "", "", None, None, None, None)], schema)
+    rules = [("leave", "leave"), ("sick", "sick leave")], [(1, "Acme", "BE"), (2, "Bolt", "FR")], [(1, "joan doe", "Bolt")], [(1, "HR", "sick"), (2, "Pay", "payroll"), (2, "Pay", "salar")]
+    got = {r.id: (r.topics, r.client, r.country, r.team) for r in ingest.enrich_text(docs, *rules).collect()}
+    assert got == {"a": (["leave"], "Acme", "BE", "Pay"), "b": (["given"], "C", "NL", "T"), "c": (["sick", "leave"], "Bolt", "FR", "HR"), "d": ([], None, None, None)}
 
 
 def test_stream(spark, tmp_path, monkeypatch):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as t
+from ..sources import connectors
+from . import understand
 
 
 def body(title, sections):
@@ -118,6 +120,31 @@ def enrich(batch: DataFrame, people: DataFrame) -> DataFrame:
     return rows.withColumn("author_id", F.coalesce("author_id", "owner_id"))
 
 
+def enrich_text(batch: DataFrame, topics: list[tuple[str, str]], clients: list[tuple[int, str, str]], employees: list[tuple[int, str, str]], teams: list[tuple[int, str, str]]) -> DataFrame:
+    """Topics, client, country and team of documents (title, body, topics, client, country, team), as given or, where missing, as title and body say.
+
+    ``topics``: (topic, keyword); ``clients``: (priority, name, country); ``employees``: (priority, employee, client); ``teams``: (priority, team, keyword), of which the
+    team with most keywords anywhere in the text counts, the first of equals. All other columns stay.
+    """
+    text = F.concat_ws(" ", "title", "body")
+    said = understand.placed(text, clients, employees)
+    found = understand.topics_of(text, topics)
+    rows = batch.withColumn("_said", said).withColumn("topics", F.when(F.size(F.coalesce("topics", F.array().cast("array<string>"))) > 0, F.col("topics")).otherwise(found))
+    rows = rows.withColumn("country", F.coalesce("country", "_said.country")).withColumn("client", F.coalesce("client", "_said.client"))
+    return rows.withColumn("team", F.coalesce("team", understand.most_of(text, teams)["code"])).drop("_said")
+
+
+def pushed(units: DataFrame, registry: DataFrame) -> DataFrame:
+    """Units handed over by callers (source, external_id, title, sections, ...) as documents for ``classify`` and ``apply``: id, body and content_hash are added.
+
+    Units without sections are left out. Of units with one id the last in the order of body counts, so that a batch has one row a document.
+    """
+    rows = connectors.identity(units.where(F.size("sections") > 0), registry)
+    rows = rows.withColumn("id", t.slug(F.concat("id_prefix", F.lit("-")), F.col("external_id").cast("string"))).withColumn("body", body(F.col("title"), F.col("sections")))
+    rows = rows.withColumn("content_hash", F.sha1("body"))
+    return rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "id"]), "body").alias("r")).select("id", "r.*")
+
+
 def replace_edges(edges: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (person_id, rel, document_id) after documents (id, owner_id, author_id, attendee_ids) were written again.
 

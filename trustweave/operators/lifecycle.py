@@ -21,14 +21,22 @@ def due(docs: DataFrame, as_of: str) -> DataFrame:
 
 
 def sweep(docs: DataFrame, people: DataFrame, tasks: DataFrame, as_of: str) -> DataFrame:
-    """New tasks: reassign_owner for inactive owners, else confirm_valid for documents due without an open one."""
+    """New tasks for active documents: reassign_owner (left open to anybody) where the owner is known to be inactive, else confirm_valid for the owner or author.
+
+    Needs id, status, doc_type, owner_id, author_id, updated_at, validated_at; people: id, active; tasks: document_id, kind, done. An owner whom ``people`` doesn't know is
+    not inactive, and is asked nothing. No task is made where one of its kind is open. Returns kind, document_id, assignee_id and note.
+    """
     who = people.select(F.col("id").alias("owner_id"), F.col("active").alias("owner_active"))
     open_ = tasks.where("NOT done AND kind IN ('reassign_owner', 'confirm_valid')").select(F.col("document_id").alias("id"), "kind").distinct()
-    rows = due(docs.where(~F.col("doc_type").isin(*config.NO_REVIEW)), as_of).join(who, "owner_id", "left")
-    alive = F.coalesce("owner_active", F.lit(False)) | (F.col("owner_id").isNull() & F.col("author_id").isNotNull())
-    kind = F.when(F.col("owner_id").isNotNull() & ~F.coalesce("owner_active", F.lit(False)), "reassign_owner").when(F.col("review_due") & alive, "confirm_valid")
+    rows = due(docs.where(F.col("status").isin("active", "needs_update") & ~F.col("doc_type").isin(*config.NO_REVIEW)), as_of).join(who, "owner_id", "left")
+    left = F.col("owner_id").isNotNull() & ~F.coalesce("owner_active", F.lit(True))
+    asked = F.coalesce("owner_active", F.lit(False)) | (F.col("owner_id").isNull() & F.col("author_id").isNotNull())
+    kind = F.when(left, "reassign_owner").when(F.col("review_due") & asked, "confirm_valid")
     new = rows.withColumn("kind", kind).where("kind IS NOT NULL").join(open_, ["id", "kind"], "left_anti")
-    return new.select("kind", F.col("id").alias("document_id"), F.coalesce("owner_id", "author_id").alias("assignee_id"))
+    # The notes of the tasks.
+    overdue = F.concat(F.lit("Not edited or confirmed for "), "age", F.lit(" days (review period "), review_period(F.col("doc_type")), F.lit(" days). Still valid?"))
+    note = F.when(F.col("kind") == "reassign_owner", "Owner has left the company; document needs a new owner").otherwise(overdue)
+    return new.select("kind", F.col("id").alias("document_id"), F.when(F.col("kind") == "confirm_valid", F.coalesce("owner_id", "author_id")).alias("assignee_id"), note.alias("note"))
 
 
 def current_status(actions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions.text import content_tokens
 from ..functions.vectors import cosine
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
@@ -88,20 +89,29 @@ def lexical_top(questions: DataFrame, passages: DataFrame, k: int = 12) -> DataF
     return top(scored, ["question_id"], [F.desc("lexical"), "passage_id"], k)
 
 
-def candidates(chunks: DataFrame, docs: DataFrame, near: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Candidates of queries: chunks of active documents that match a query's words or are among its nearest.
+def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, ranked: DataFrame, k: int = 15) -> DataFrame:
+    """Candidates of queries: chunks of active documents that match a query's words or are among its ``k`` nearest, all with their similarity.
 
-    ``chunks``: chunk_id, document_id, ...; ``docs``: document_id, status, ...; ``near``: query_id, chunk_id, sim of nearest chunks, taken
-    before documents are asked for their status; ``ranked``: query_id, chunk_id, fts of chunks that hold a query's words. The two sets are joined
-    by key, so no query meets all chunks. sim and fts are null where a chunk is in the other set alone.
+    ``questions``: query_id, vector; ``chunks``: chunk_id, document_id, vector, ...; ``docs``: document_id, status, ...; ``ranked``: query_id, chunk_id, fts of chunks that
+    hold a query's words. Documents that are not active are left out before the nearest are taken. The two sets are joined by key, so no query meets all
+    chunks but in ``knn``. fts is 0 where a chunk is among the nearest alone; the vectors of chunks are dropped.
     """
-    both = near.select("query_id", "chunk_id", "sim").join(ranked.select("query_id", "chunk_id", "fts"), ["query_id", "chunk_id"], "full")
-    live = docs.where("status IN ('active', 'needs_update')")
-    return both.join(chunks, "chunk_id").join(live, "document_id")
+    live = chunks.join(docs.where("status IN ('active', 'needs_update')"), "document_id")
+    near = knn(questions, live.select("chunk_id", "vector"), k).select("query_id", "chunk_id")
+    both = near.unionByName(ranked.select("query_id", "chunk_id")).distinct().join(ranked.select("query_id", "chunk_id", "fts"), ["query_id", "chunk_id"], "left")
+    rows = both.join(questions.select("query_id", F.col("vector").alias("_q")), "query_id").join(live, "chunk_id")
+    return rows.withColumn("sim", F.round(cosine(F.col("_q"), F.col("vector")), 6)).withColumn("fts", F.coalesce("fts", F.lit(0.0))).drop("_q", "vector")
+
+
+def overlap(question: Column, section: Column, text: Column, title: Column) -> Column:
+    """Share of a question's content words that a passage has in its section, text or title; 0 for a question without any."""
+    asked = content_tokens(F.coalesce(question, F.lit("")))
+    said = content_tokens(F.concat_ws(" ", section, text, title))
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, said)) / F.size(asked)).otherwise(0.0)
 
 
 def reciprocal(found: DataFrame) -> DataFrame:
-    """Rank fusion of candidates (sub_id, query_no, chunk_id, sim, fts): the question (query_no 0) counts 1, rewrites .6; by similarity, and by words where any match."""
+    """Rank fusion of candidates (sub_id, query_no, chunk_id, sim, fts), with the best sim of each: the question (query_no 0) counts 1, rewrites .6; by similarity, and by words where any match."""
     one = Window.partitionBy("sub_id", "query_no")
     weight = F.when(F.col("query_no") == 0, 1.0).otherwise(0.6)
     rank = lambda c: F.row_number().over(one.orderBy(F.desc_nulls_last(c), "chunk_id")) - 1

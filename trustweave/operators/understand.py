@@ -36,18 +36,34 @@ def _met(text: Column, table: list[tuple[int, str, str]], bounded: bool = True)
     return let(F.lower(text), lambda low: F.filter(every, meets(low)))
 
 
+def topics_of(text: Column, table: list[tuple[str, str]]) -> Column:
+    """Topics of a text by rules (topic, keyword), that with the longest keyword first, then the last by name."""
+    longest = lambda met: lambda c: F.struct(F.array_max(F.transform(F.filter(met, lambda m: m["code"] == c), lambda m: F.length(m["keyword"]))).alias("len"), c.alias("topic"))
+    best = let(_met(text, sorted((0, c, k) for c, k in table)), lambda met: F.transform(F.array_distinct(F.transform(met, lambda m: m["code"])), longest(met)))
+    return F.transform(F.sort_array(best, asc=False), lambda t: t["topic"])
+
+
+def first_of(text: Column, table: list[tuple[int, str, str]]) -> Column:
+    """The first rule (priority, code, keyword) that a text meets: struct, or null."""
+    return F.get(_met(text, table), F.lit(0))
+
+
+def most_of(text: Column, table: list[tuple[int, str, str]], bounded: bool = False) -> Column:
+    """The code with most keywords in a text, the first of equals: struct(hits, p, code), or null."""
+    of = lambda met, c: F.filter(met, lambda m: m["code"] == c)
+    count = lambda met: lambda c: F.struct(F.size(of(met, c)).alias("hits"), (-F.array_min(F.transform(of(met, c), lambda m: m["priority"]))).alias("p"), c.alias("code"))
+    return let(_met(text, sorted(table), bounded), lambda met: F.array_max(F.transform(F.array_distinct(F.transform(met, lambda m: m["code"])), count(met))))
+
+
 def topics(questions: DataFrame, keywords: DataFrame | list[tuple[str, str]]) -> DataFrame:
     """Topics of (question_id, question) by a rule table (topic, keyword): the longest keyword decides the order; no row without a topic."""
-    table = [(0, c, k) for c, k in _known(keywords, ["topic", "keyword"])]
-    met = questions.select("question_id", _met(F.col("question"), table).alias("met")).where(F.size("met") > 0)
-    best = F.transform(F.array_distinct(F.transform("met", lambda m: m["code"])), lambda c: F.struct(F.array_max(F.transform(F.filter("met", lambda m: m["code"] == c), lambda m: F.length(m["keyword"]))).alias("len"), c.alias("topic")))
-    return met.select("question_id", F.transform(F.sort_array(best, asc=False), lambda t: t["topic"]).alias("topics"))
+    rows = questions.select("question_id", topics_of(F.col("question"), _known(keywords, ["topic", "keyword"])).alias("topics"))
+    return rows.where(F.size("topics") > 0)
 
 
 def first_hit(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], otherwise: str | None = None) -> DataFrame:
     """The code of the first rule (priority, code, keyword) that a text (id, text) meets; ``otherwise`` if none."""
-    met = _met(F.col("text"), _known(table, ["priority", "code", "keyword"]))
-    return texts.select("id", F.coalesce(F.get(met, F.lit(0))["code"], F.lit(otherwise)).alias("code"))
+    return texts.select("id", F.coalesce(first_of(F.col("text"), _known(table, ["priority", "code", "keyword"]))["code"], F.lit(otherwise)).alias("code"))
 
 
 def intent(texts: DataFrame) -> DataFrame:
@@ -60,9 +76,25 @@ def most_hits(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], b
 
     Keywords count anywhere in a text, or (``bounded``) between non-letters only.
     """
-    met = texts.select("id", _met(F.col("text"), _known(table, ["priority", "code", "keyword"]), bounded).alias("met")).where(F.size("met") > 0)
-    per = F.transform(F.array_distinct(F.transform("met", lambda m: m["code"])), lambda c: F.struct(F.size(F.filter("met", lambda m: m["code"] == c)).alias("hits"), (-F.array_min(F.transform(F.filter("met", lambda m: m["code"] == c), lambda m: m["priority"]))).alias("p"), c.alias("code")))
-    return met.select("id", F.array_max(per).alias("best")).select("id", "best.code", F.col("best.hits").cast("long").alias("hits"))
+    best = texts.select("id", most_of(F.col("text"), _known(table, ["priority", "code", "keyword"]), bounded).alias("best"))
+    return best.where("best IS NOT NULL").select("id", "best.code", F.col("best.hits").cast("long").alias("hits"))
+
+
+def placed(text: Column, clients: list[tuple[int, str, str]], employees: list[tuple[int, str, str]]) -> Column:
+    """Client and country that a text names, and by which rule: struct(client, country, named, works, place).
+
+    First a client that is named (``clients``: priority, name, country), then the client of an employee who is named (``employees``: priority,
+    employee, client), then a country keyword.
+    """
+    named = first_of(text, sorted((p, n, n.lower()) for p, n, _ in clients))
+    works = first_of(text, sorted((p, c, e.lower()) for p, e, c in employees))
+    place = first_of(text, rules(config.COUNTRIES))
+    of = F.create_map(*[F.lit(x) for kv in {name: country for _, name, country in clients}.items() for x in kv]) if clients else F.create_map().cast("map<string,string>")
+    found = F.struct(named["code"].alias("named"), works.alias("works"), place["code"].alias("place"))
+    out = lambda f: F.struct(
+        F.coalesce(f["named"], f["works"]["code"]).alias("client"), F.coalesce(F.try_element_at(of, F.coalesce(f["named"], f["works"]["code"])), f["place"]).alias("country"), *(f[x].alias(x) for x in ("named", "works", "place"))
+    )
+    return let(found, out)
 
 
 def context(questions: DataFrame, clients: list[tuple[int, str, str]], employees: list[tuple[int, str, str]]) -> DataFrame:
@@ -71,25 +103,18 @@ def context(questions: DataFrame, clients: list[tuple[int, str, str]], employees
     ``clients``: (priority, name, country); ``employees``: (priority, employee, client). First a client that is named, then
     the client of an employee who is named, then a country keyword, then the asker's profile. Adds client, country and country_source.
     """
-    of = {name: country for _, name, country in clients}
-    named = _met(F.col("question"), sorted((p, n, n.lower()) for p, n, _ in clients))
-    works = _met(F.col("question"), sorted((p, c, e.lower()) for p, e, c in employees))
-    place = _met(F.col("question"), rules(config.COUNTRIES))
-    first = lambda met: F.get(met, F.lit(0))
-    rows = questions.withColumn("_n", first(named)["code"]).withColumn("_e", first(works)).withColumn("_c", first(place)["code"])
-    client = F.coalesce("_n", F.col("_e")["code"])
-    country_of = F.create_map(*[F.lit(x) for kv in of.items() for x in kv]) if of else F.create_map().cast("map<string,string>")
     names = F.create_map(*[F.lit(x) for kv in config.COUNTRY_NAMES.items() for x in kv])
-    rows = rows.withColumn("client", client).withColumn("_o", F.try_element_at(country_of, "client"))
-    label = F.coalesce(F.try_element_at(names, "_o"), F.col("_o"))
+    rows = questions.withColumn("_p", placed(F.col("question"), clients, employees)).withColumn("client", F.col("_p.client"))
+    place = F.col("_p.country")
+    label = F.coalesce(F.try_element_at(names, place), place)
     # The phrases of an explanation.
     source = (
-        F.when(F.col("_n").isNotNull(), F.concat(F.lit("client "), "client", F.lit(" is a "), label, F.lit(" account")))
-        .when(F.col("_e").isNotNull(), F.concat(F.initcap(F.col("_e")["keyword"]), F.lit(" is an employee of client "), "client", F.lit(" ("), label, F.lit("), per the HR system")))
-        .when(F.col("_c").isNotNull(), F.lit("mentioned in the question"))
+        F.when(F.col("_p.named").isNotNull(), F.concat(F.lit("client "), "client", F.lit(" is a "), label, F.lit(" account")))
+        .when(F.col("_p.works").isNotNull(), F.concat(F.initcap(F.col("_p.works.keyword")), F.lit(" is an employee of client "), "client", F.lit(" ("), label, F.lit("), per the HR system")))
+        .when(F.col("_p.place").isNotNull(), F.lit("mentioned in the question"))
         .when(F.col("profile_country").isNotNull(), F.concat(F.lit("inferred from your profile ("), "profile_name", F.lit(")")))
     )
-    return rows.withColumn("country", F.coalesce("_o", "_c", "profile_country")).withColumn("country_source", source).drop("_n", "_e", "_c", "_o")
+    return rows.withColumn("country", F.coalesce(place, "profile_country")).withColumn("country_source", source).drop("_p")
 
 
 def parts(question: Column) -> Column:

@@ -11,7 +11,7 @@ from ..functions import vectors as v
 from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
 from ..sources import connectors
 from .extended import _CAND, _candidates
-from .queries import _CONTENT, _DIFFER, _t, query
+from .queries import _CONTENT, _DIFFER, _LINES, _calls, _t, query
 
 _ASK = """CASE item_id % 8 WHEN 0 THEN 'Who owns item ' WHEN 1 THEN 'How do I set up item ' WHEN 2 THEN 'What did we decide on item ' WHEN 3 THEN 'Is there a ticket on item ' WHEN 4 THEN 'What is item '
 WHEN 5 THEN 'Undecided, unchanged: item ' WHEN 6 THEN 'Which Belgian item is ' ELSE 'Item ' END || item_id"""
@@ -51,11 +51,11 @@ def team_by_phrase(spark, d):
 
 
 _NEAR = """q AS (SELECT vec_id - vec_id % 100 AS sub_id, vec_id % 100 AS query_no, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 < 2),
-n AS (SELECT sub_id, query_no, vec_id AS chunk_id, round(list_dot_product(v, embedding::DOUBLE[]) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS sim FROM q, embeddings
- QUALIFY row_number() OVER (PARTITION BY sub_id, query_no ORDER BY sim DESC, vec_id) <= 15),
-w AS (SELECT sub_id, query_no, vec_id AS chunk_id, round(1 / (1.0::DOUBLE + abs(vec_id - sub_id) % 97), 6) AS fts FROM q JOIN embeddings ON vec_id % 50 = 7 * query_no AND label = (sub_id // 100) % 4),
-b AS (SELECT coalesce(n.sub_id, w.sub_id) AS sub_id, coalesce(n.query_no, w.query_no) AS query_no, coalesce(n.chunk_id, w.chunk_id) AS chunk_id, sim, fts FROM n FULL JOIN w ON n.sub_id = w.sub_id AND n.query_no = w.query_no AND n.chunk_id = w.chunk_id),
-c AS (SELECT b.* FROM b WHERE chunk_id % 5 NOT IN (1, 3)),
+e AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS x, label FROM embeddings WHERE vec_id % 5 NOT IN (1, 3)),
+a AS (SELECT sub_id, query_no, chunk_id, round(list_dot_product(v, x) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(x, x))), 6) AS sim,
+ CASE WHEN chunk_id % 50 = 7 * query_no AND label = (sub_id // 100) % 4 THEN round(1 / (1.0::DOUBLE + abs(chunk_id - sub_id) % 97), 6) END AS words FROM q, e),
+n AS (SELECT *, row_number() OVER (PARTITION BY sub_id, query_no ORDER BY sim DESC, chunk_id) AS place FROM a),
+c AS (SELECT sub_id, query_no, chunk_id, sim, coalesce(words, 0) AS fts FROM n WHERE place <= 15 OR words IS NOT NULL),
 f AS (SELECT *, CASE WHEN query_no = 0 THEN 1.0 ELSE 0.6 END::DOUBLE AS wt, row_number() OVER (PARTITION BY sub_id, query_no ORDER BY sim DESC NULLS LAST, chunk_id) - 1 AS rs, row_number() OVER (PARTITION BY sub_id, query_no ORDER BY fts DESC NULLS LAST, chunk_id) - 1 AS rf FROM c),
 r AS (SELECT sub_id, chunk_id, round(sum(wt / (20 + rs) + CASE WHEN fts > 0 THEN wt / (20 + rf) ELSE 0 END), 9) AS rrf, max(sim) AS sim FROM f GROUP BY 1, 2)"""
 
@@ -63,14 +63,13 @@ r AS (SELECT sub_id, chunk_id, round(sum(wt / (20 + rs) + CASE WHEN fts > 0 THEN
 def _found(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
     queries = e.where("chunk_id % 100 < 2").select(F.col("chunk_id").alias("query_id"), "vector")
-    near = retrieve.knn(queries, e)
     k, q = F.col("chunk_id"), F.col("query_id")
     sub = q - q % 100
     asked = queries.select("query_id", (7 * (q % 100)).alias("r"), (F.floor(q / 100) % 4).alias("label"))
     ranked = e.withColumn("r", k % 50).join(asked, ["r", "label"]).select("query_id", "chunk_id", F.round(1 / (1 + F.abs(k - sub) % 97), 6).alias("fts"))
     status = F.when(k % 5 == 1, "archived").when(k % 5 == 3, "retracted").when(k % 5 == 2, "needs_update").otherwise("active")
     docs = e.select(k.alias("document_id"), status.alias("status"))
-    found = retrieve.candidates(e.select("chunk_id", k.alias("document_id")), docs, near, ranked)
+    found = retrieve.candidates(queries, e.select("chunk_id", k.alias("document_id"), "vector"), docs, ranked)
     return retrieve.reciprocal(found.select(sub.alias("sub_id"), (q % 100).alias("query_no"), "chunk_id", "sim", "fts"))
 
 
@@ -85,7 +84,7 @@ def candidate_scan(spark, d):
 y AS (SELECT *, CASE it WHEN 0 THEN 'contact' WHEN 1 THEN 'procedure' WHEN 2 THEN 'decision' WHEN 3 THEN 'status' ELSE 'rule' END AS intent FROM x),
 z AS (SELECT *, CASE WHEN (intent = 'contact' AND dt IN ('procedure', 'wiki', 'policy')) OR (intent = 'procedure' AND dt IN ('procedure', 'wiki')) OR (intent = 'decision' AND dt IN ('meeting', 'chat')) OR (intent = 'status' AND dt IN ('ticket', 'chat')) OR (intent = 'rule' AND dt IN ('policy', 'wiki')) THEN 0.05::DOUBLE ELSE 0 END
  + CASE WHEN intent = 'decision' AND decided THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN intent = 'procedure' AND (steps OR dt = 'procedure') THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN intent = 'contact' AND person THEN 0.2::DOUBLE ELSE 0 END AS boost FROM y),
-s AS (SELECT sub_id, chunk_id, rrf, round(least(1.0, 0.45::DOUBLE * least(1.0, greatest(0.0, (greatest(0.0, coalesce(sim, 0)) - 0.45::DOUBLE) / 0.4::DOUBLE)) + 0.35::DOUBLE * CASE WHEN shared THEN least(1.0, lex + 0.4::DOUBLE) ELSE lex END + CASE WHEN on_topic THEN 0.2 ELSE 0 END::DOUBLE + boost::DOUBLE), 3) AS relevance FROM z)
+s AS (SELECT sub_id, chunk_id, rrf, round(least(1.0, 0.45::DOUBLE * least(1.0, greatest(0.0, (greatest(0.0, sim) - 0.45::DOUBLE) / 0.4::DOUBLE)) + 0.35::DOUBLE * CASE WHEN shared THEN least(1.0, lex + 0.4::DOUBLE) ELSE lex END + CASE WHEN on_topic THEN 0.2 ELSE 0 END::DOUBLE + boost::DOUBLE), 3) AS relevance FROM z)
 SELECT sub_id, chunk_id, relevance, row_number() OVER (PARTITION BY sub_id ORDER BY relevance DESC, rrf DESC, chunk_id) AS rank FROM s QUALIFY rank <= 12""")
 def retrieved(spark, d):
     """The dozen most relevant candidates of each question, with key facts and intents counted."""
@@ -99,10 +98,20 @@ def retrieved(spark, d):
     rows = rows.withColumn("section", section).withColumn("text", text).withColumn("lex", (k * 31 % 97) / 97)
     lex = retrieve.key_boost(F.col("lex"), t.fact_keys(asked), t.fact_keys(F.col("text")))
     boost = retrieve.intent_boost(F.col("intent"), F.col("doc_type"), F.col("section"), F.col("text"))
-    rows = rows.withColumn("relevance", trust.relevance(v.rescale(F.coalesce("sim", F.lit(0.0))), lex, k % 3 == 0, boost))
+    rows = rows.withColumn("relevance", trust.relevance(v.rescale(F.col("sim")), lex, k % 3 == 0, boost))
     return retrieve.pooled(rows).select("sub_id", "chunk_id", "relevance", F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH x AS (SELECT p_partkey, {_CONTENT.format("p_name || ' of the ' || p_type")} AS q, {_CONTENT.format("p_brand || ' ' || p_type || ' ' || p_name || ' x'")} AS c, {_CONTENT.format("p_type")} AS k FROM part)
+SELECT p_partkey, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, CASE WHEN p_partkey % 2 = 0 THEN c ELSE k END)) / len(q)::DOUBLE ELSE 0 END, 6) AS overlap FROM x""")
+def passage_overlap(spark, d):
+    """Share of a question's words in the section, text and title of a passage."""
+    even = F.col("p_partkey") % 2 == 0
+    at = lambda c: F.when(even, F.col(c))
+    share = retrieve.overlap(F.concat("p_name", F.lit(" of the "), "p_type"), at("p_brand"), F.when(even, F.concat("p_type", F.lit(" x"))).otherwise(F.col("p_type")), at("p_name"))
+    return _t(spark, d, "part").select("p_partkey", F.round(share, 6).alias("overlap"))
+
+
 _KIND2 = "CASE o_orderkey % 4 WHEN 0 THEN 'policy' WHEN 1 THEN 'chat' WHEN 2 THEN 'meeting' ELSE 'report' END"
 
 
@@ -138,7 +147,7 @@ m AS (SELECT e1.*, wk, CASE WHEN wk IS NULL THEN 'alone' WHEN wk = k THEN 'winne
 
 
 @query(f"""WITH {_JUDGED}, x AS (SELECT *, verdict = 'winner' AND bool_or(verdict = 'conflict') OVER (PARTITION BY sub_id, cl) AS contested, verdict IN ('winner', 'supporting', 'alone') AS usable FROM m)
-SELECT sub_id, k AS chunk_id, verdict, contested, CASE WHEN verdict = 'supporting' THEN wk END AS supports, CASE WHEN usable THEN row_number() OVER (PARTITION BY sub_id, usable ORDER BY 0.5::DOUBLE * rel + 0.5::DOUBLE * tr DESC, k) END AS rank FROM x""")
+SELECT sub_id, k AS chunk_id, verdict, contested OR k % 17 = 0 AS contested, CASE WHEN verdict = 'supporting' THEN wk END AS supports, CASE WHEN usable THEN row_number() OVER (PARTITION BY sub_id, usable ORDER BY 0.5::DOUBLE * rel + 0.5::DOUBLE * tr DESC, k) END AS rank FROM x""")
 def cluster_evidence(spark, d):
     """What can cluster, who wins, duplicates, conflicts and support, and the order of the evidence."""
     k = F.col("o_orderkey")
@@ -148,7 +157,8 @@ def cluster_evidence(spark, d):
         F.to_date("o_orderdate").alias("updated_at"), ((F.col("o_orderstatus") != "F") | (k % 2 == 0)).alias("in_scope"), (F.col("o_orderstatus") != "P").alias("on_topic"),
     )
     rows = analyse.clusterable(rows).withColumn("cluster", F.when(F.col("clusterable"), F.col("chunk_id") % 2))
-    return analyse.evidence(rows).select("sub_id", "chunk_id", "verdict", "contested", "supports", F.col("rank").cast("long").alias("rank"))
+    inner = rows.where(F.col("chunk_id") % 17 == 0).select("sub_id", "chunk_id")  # passages that their own document contradicts
+    return analyse.evidence(rows, inner).select("sub_id", "chunk_id", "verdict", "contested", "supports", F.col("rank").cast("long").alias("rank"))
 
 
 _KIND3 = "CASE chunk_id % 4 WHEN 0 THEN 'chat' WHEN 1 THEN 'policy' WHEN 2 THEN 'email' ELSE 'wiki' END"
@@ -345,19 +355,32 @@ def added_notes(spark, d):
     return rows.select("id", "section", "line_start", "line_end", "text", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"), "body")
 
 
-@query("""WITH x AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS said FROM conversations WHERE trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) <> ''),
-g AS (SELECT conv_id, string_agg(said, chr(10) ORDER BY turn) FILTER (turn % 3 = 0) AS decisions, string_agg(said, chr(10) ORDER BY turn) FILTER (turn % 3 = 1) AS actions, bool_or(turn % 3 = 2) AS spoke FROM x GROUP BY 1)
-SELECT conv_id, concat_ws(',', CASE WHEN decisions IS NOT NULL THEN 'Decisions' END, CASE WHEN actions IS NOT NULL THEN 'Actions' END, CASE WHEN spoke THEN 'Summary' END) AS headings, decisions, actions FROM g""")
+@query(f"""WITH {_LINES} SELECT conv_id, concat_ws(',', CASE WHEN bool_or(d) THEN 'Decisions' END, CASE WHEN bool_or(a AND NOT d) THEN 'Actions' END, CASE WHEN bool_or(NOT a AND NOT d) THEN 'Summary' END) AS headings,
+string_agg(item, chr(10) ORDER BY turn, line) FILTER (d) AS decisions, string_agg(item, chr(10) ORDER BY turn, line) FILTER (a AND NOT d) AS actions FROM k GROUP BY 1""")
 def meeting_units(spark, d):
     """Meetings as units with the sections that have content, and their texts."""
-    said = F.trim(F.regexp_replace("text", r"\s+", " "))
-    line = F.concat(F.when(F.col("turn") % 3 == 0, "Decision: ").when(F.col("turn") % 3 == 1, "Action: ").otherwise(F.concat("role", F.lit(": "))), said)
-    calls = _t(spark, d, "conversations").where(said != "").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
-    out = connectors.meetings(calls.select(F.col("conv_id").alias("id"), F.lit("call").alias("subject"), "transcript"))
+    out = connectors.meetings(_calls(spark, d))
     text = lambda name: F.nullif(F.array_join(F.get(F.filter("sections", lambda s: s["heading"] == name), F.lit(0))["sentences"], "\n"), F.lit(""))
     return out.select(F.col("external_id").alias("conv_id"), F.array_join(F.transform("sections", lambda s: s["heading"]), ",").alias("headings"), text("Decisions").alias("decisions"), text("Actions").alias("actions"))
 
 
+_REGISTRY = [("meetings", "Meetings", "Meeting Recorder", "MT"), ("sharepoint", "SharePoint", "SharePoint Online", "SP")]
+
+
+@query(f"""WITH {_LINES}, p AS (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'MEETING recorder' WHEN 1 THEN 'SharePoint' ELSE 'My notes, 2nd app' END AS source, count(*) AS n, conv_id % 5 = 0 AS known, conv_id % 10 = 0 AS same FROM k GROUP BY 1)
+SELECT CASE conv_id % 3 WHEN 0 THEN 'MT-' WHEN 1 THEN 'SP-' ELSE 'API-MYNOTES2-' END || conv_id AS id, CASE conv_id % 3 WHEN 0 THEN 'meetings' WHEN 1 THEN 'sharepoint' ELSE 'push:my notes, 2nd app' END AS connector,
+CASE WHEN NOT known THEN 'inserted' WHEN same THEN 'unchanged' ELSE 'updated' END AS change FROM p""")
+def pushed_meetings(spark, d):
+    """Transcripts pushed under the name of a source: parsed, named by the connector that the source is, and judged against what is there."""
+    k = F.col("external_id")
+    source = F.when(k % 3 == 0, "MEETING recorder").when(k % 3 == 1, "SharePoint").otherwise("My notes, 2nd app")
+    units = connectors.meetings(_calls(spark, d)).withColumn("source", source)
+    docs = ingest.pushed(units, spark.createDataFrame(_REGISTRY, "name string, label string, source_system string, id_prefix string"))
+    # what an earlier push left: a tenth of the meetings as they are now, another tenth with other words
+    old = docs.where(k % 5 == 0).select("id", F.when(k % 10 == 0, F.col("content_hash")).otherwise("old").alias("content_hash"), F.lit("active").alias("status"))
+    return ingest.classify(docs, old).select("id", "connector", "change")
+
+
 @query("""WITH b AS (SELECT o_orderkey AS id, CASE WHEN c.k IS NULL THEN 'inserted' WHEN o_orderkey % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM orders LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 0) c ON c.k = o_orderkey WHERE o_orderkey % 5 <> 0)
 SELECT count(*) AS fetched, count(*) FILTER (change = 'inserted') AS inserted, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged FROM b""")
 def run_counts(spark, d):

@@ -443,13 +443,22 @@ def citation_ids(spark, d):
     return answer.cite(_t(spark, d, "lineitem"), "l_orderkey", ["l_linenumber", "l_suppkey"], "l_suppkey").select("l_orderkey", "l_linenumber", "cite_id")
 
 
-@query(f"""WITH x AS (SELECT o_orderkey, o_custkey, c_acctbal >= 0 AS alive, date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') > 438 AS due FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM'))
-SELECT CASE WHEN NOT alive THEN 'reassign_owner' ELSE 'confirm_valid' END AS kind, o_orderkey AS document_id, o_custkey AS assignee_id FROM x WHERE (NOT alive OR due) AND o_orderkey % 6 <> 0""")
+@query(f"""WITH x AS (SELECT o_orderkey AS k, CASE o_orderkey % 10 WHEN 3 THEN NULL WHEN 4 THEN -o_orderkey ELSE o_custkey END AS owner_id, CASE WHEN o_orderkey % 20 <> 3 THEN o_custkey END AS author_id,
+date_diff('day', o_orderdate::DATE + CASE WHEN o_orderkey % 4 = 0 THEN 100 ELSE 0 END, DATE '{AS_OF}') AS age FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderkey % 9 NOT IN (0, 1)),
+y AS (SELECT x.*, c_acctbal >= 0 AS alive FROM x LEFT JOIN customer ON owner_id = c_custkey),
+z AS (SELECT *, CASE WHEN NOT alive THEN 'reassign_owner' WHEN age > 438 AND (alive OR (owner_id IS NULL AND author_id IS NOT NULL)) THEN 'confirm_valid' END AS kind FROM y)
+SELECT kind, k AS document_id, CASE WHEN kind = 'confirm_valid' THEN coalesce(owner_id, author_id) END AS assignee_id,
+CASE kind WHEN 'reassign_owner' THEN 'Owner has left the company; document needs a new owner' ELSE 'Not edited or confirmed for ' || age || ' days (review period 438 days). Still valid?' END AS note
+FROM z WHERE kind IS NOT NULL AND NOT (k % 6 = 0 AND kind = 'reassign_owner') AND NOT (k % 6 = 1 AND kind = 'confirm_valid')""")
 def sweep_tasks(spark, d):
-    """L2: tasks for reviews and owners, without those that are open."""
-    docs = _orders(spark, d).select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), F.col("o_custkey").alias("author_id"), "doc_type", "updated_at", "validated_at")
+    """L2: tasks for reviews and owners of active documents, without those of a kind that is open."""
+    k = F.col("o_orderkey")
+    status = F.when(k % 9 == 0, "archived").when(k % 9 == 1, "retracted").when(k % 9 == 2, "needs_update").otherwise("active")
+    owner = F.when(k % 10 == 3, F.lit(None)).when(k % 10 == 4, -k).otherwise(F.col("o_custkey"))  # none, unknown, known
+    author = F.when(k % 20 != 3, F.col("o_custkey"))
+    docs = _orders(spark, d).select(k.alias("id"), status.alias("status"), owner.alias("owner_id"), author.alias("author_id"), "doc_type", "updated_at", "validated_at")
     people = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") >= 0).alias("active"))
-    open_ = docs.where("id % 6 = 0").select(F.col("id").alias("document_id"), F.explode(F.array(F.lit("reassign_owner"), F.lit("confirm_valid"))).alias("kind"), F.lit(False).alias("done"))
+    open_ = docs.where("id % 6 < 2").select(F.col("id").alias("document_id"), F.when(F.col("id") % 6 == 0, "reassign_owner").otherwise("confirm_valid").alias("kind"), F.lit(False).alias("done"))
     return lifecycle.sweep(docs, people, open_, AS_OF)
 
 
@@ -476,14 +485,29 @@ def html_strip(spark, d):
     return p.select("page_id", F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("h1"), (F.size(F.split("html", "<p>")) - 1).cast("long").alias("n_paragraphs"), F.length(strip_tags(F.col("html"))).cast("long").alias("n_stripped"))
 
 
-@query("""SELECT conv_id, count(*) FILTER (turn % 3 = 0) AS n_decisions, count(*) FILTER (turn % 3 = 1) AS n_actions, count(DISTINCT role) FILTER (turn % 3 = 2) AS n_speakers FROM conversations GROUP BY 1""")
+# Lines of every kind that a transcript has: time and speaker before a decision, an owner in brackets, a speaker, an agreement, a dash, and words that only look like an action.
+_LINE = """CASE turn % 6 WHEN 0 THEN '[00:01:02] Ann: Decision: ' || said WHEN 1 THEN 'Action (Bob K.): ' || said WHEN 2 THEN upper(role) || ': ' || said WHEN 3 THEN '9:15 Mary-Ann: we agreed ' || said WHEN 4 THEN 'to do - ' || said ELSE 'Action movies are fun, ' || said END"""
+_TIME = r"^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?"
+_LINES = f"""t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS said FROM conversations), l AS (SELECT conv_id, turn, trim({_LINE}) AS line FROM t WHERE said <> ''),
+c AS (SELECT *, regexp_matches(line, '(?i){_TIME}(?:[\\w .''-]+:\\s*)?(?:decision|decided|we agreed|agreed)\\s*[:\\-–]?\\s*(.+)$') AS d, regexp_matches(line, '(?i){_TIME}(?:[\\w .''-]+:\\s*)?(?:action|todo|to do|next step)\\s*(?:\\(([^)]+)\\))?\\s*[:\\-–]\\s*(.+)$') AS a FROM l),
+k AS (SELECT *, CASE WHEN d THEN 'Decision: ' || rtrim(regexp_extract(line, '(?i){_TIME}(?:[\\w .''-]+:\\s*)?(?:decision|decided|we agreed|agreed)\\s*[:\\-–]?\\s*(.+)$', 1), '.') || '.'
+ WHEN a THEN 'Action' || CASE WHEN regexp_matches(line, '(?i){_TIME}(?:[\\w .''-]+:\\s*)?(?:action|todo|to do|next step)\\s*\\(') THEN ' (Bob K.)' ELSE '' END || ': ' || rtrim(regexp_extract(line, '(?i){_TIME}(?:[\\w .''-]+:\\s*)?(?:action|todo|to do|next step)\\s*(?:\\(([^)]+)\\))?\\s*[:\\-–]\\s*(.+)$', 2), '.') || '.' END AS item,
+ CASE WHEN NOT d AND NOT a THEN nullif(regexp_extract(line, '{_TIME}([A-Z][\\w .''-]+?):\\s*(.+)$', 1), '') END AS speaker FROM c)"""
+
+
+def _calls(spark, d):
+    said = F.trim(F.regexp_replace("text", r"\s+", " "))
+    lines = _t(spark, d, "conversations").select("conv_id", "turn", "role", said.alias("said")).where("said <> ''").select("conv_id", "turn", F.expr(_LINE).alias("line"))
+    calls = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n").alias("transcript"))
+    return calls.select(F.col("conv_id").alias("id"), F.lit("call").alias("subject"), "transcript")
+
+
+@query(f"""WITH {_LINES} SELECT conv_id, count(*) FILTER (d) AS n_decisions, count(*) FILTER (a AND NOT d) AS n_actions, count(DISTINCT speaker) AS n_speakers FROM k GROUP BY 1""")
 def transcript_extract(spark, d):
     """Decisions, actions and speakers of transcripts."""
     from ..sources.connectors import meetings
 
-    line = F.concat(F.when(F.col("turn") % 3 == 0, "Decision: ").when(F.col("turn") % 3 == 1, "Action: ").otherwise(F.concat("role", F.lit(": "))), F.regexp_replace("text", r"\s+", " "))
-    calls = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("transcript"))
-    out = meetings(calls.select(F.col("conv_id").alias("id"), F.lit("call").alias("subject"), "transcript"))
+    out = meetings(_calls(spark, d))
     return out.select(F.col("external_id").alias("conv_id"), F.size("decisions").cast("long").alias("n_decisions"), F.size("actions").cast("long").alias("n_actions"), F.size("speakers").cast("long").alias("n_speakers"))
 
 

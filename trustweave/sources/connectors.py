@@ -100,9 +100,10 @@ def outlook(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("external_id"), F.col("subject").alias("title"), F.lit("email").alias("doc_type"), F.col("sender").alias("owner_email"), F.col("sender").alias("author_email"), _full(F.array(_section(F.lit("Message"), text))).alias("sections"))
 
 
-DECISION = r"(?i)^(?:[^:]{1,40}: *)?(?:decision|decided|we decided|agreed) *[:\-]? *(.+)$"
-ACTION = r"(?i)^(?:[^:]{1,40}: *)?(?:action|action item|todo|to do|next step) *[:\-]? *(.+)$"
-SPEAKER = r"^([^:]{1,40}): *(.+)$"
+# What lines of a transcript say, after an optional time and speaker; tried in this order.
+DECISION = r"(?iU)^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?(?:[\w .'-]+:\s*)?(?:decision|decided|we agreed|agreed)\s*[:\-–]?\s*(.+)$"
+ACTION = r"(?iU)^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?(?:[\w .'-]+:\s*)?(?:action|todo|to do|next step)\s*(?:\(([^)]+)\))?\s*[:\-–]\s*(.+)$"
+SPEAKER = r"(?U)^\s*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?\s*)?([A-Z][\w .'-]+?):\s*(.+)$"
 
 
 def vtt(transcript: Column) -> Column:
@@ -113,17 +114,46 @@ def vtt(transcript: Column) -> Column:
 
 
 def meetings(items: DataFrame) -> DataFrame:
-    """id, subject, transcript -> decisions, actions, speakers and a summary of three sentences, as sections."""
-    lines = F.filter(F.transform(F.split("transcript", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    pick = lambda p, but="(?!)": F.transform(F.filter("lines", lambda x: x.rlike(p) & ~x.rlike(but)), lambda x: F.regexp_extract(x, p, 1))
-    rows = items.withColumn("lines", lines)
-    said = F.filter("lines", lambda x: x.rlike(SPEAKER) & ~x.rlike(DECISION) & ~x.rlike(ACTION))
-    rows = rows.withColumn("decisions", pick(DECISION)).withColumn("actions", pick(ACTION, DECISION)).withColumn("speakers", F.array_distinct(F.transform(said, lambda x: F.regexp_extract(x, SPEAKER, 1))))
-    summary = F.slice(sentences(F.array_join(F.transform(said, lambda x: F.regexp_extract(x, SPEAKER, 2)), " ")), 1, 3)
+    """id, subject, transcript -> decisions, actions, speakers and a summary of three sentences, as sections.
+
+    Lines that decide or ask for an action (with its owner in brackets) are told first; of the others those of a speaker lose the name, and all of them are
+    what the summary is taken from.
+    """
+    lines = F.filter(F.transform(F.split("transcript", r"\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    full = lambda x: F.concat(F.regexp_replace(x, r"\.+$", ""), F.lit("."))
+
+    def judged(x):
+        owner, named = F.regexp_extract(x, ACTION, 1), F.regexp_extract(x, SPEAKER, 1)
+        action = F.concat(F.lit("Action"), F.when(owner != "", F.concat(F.lit(" ("), owner, F.lit(")"))).otherwise(""), F.lit(": "), full(F.regexp_extract(x, ACTION, 2)))
+        decides, asks, speaks = x.rlike(DECISION), x.rlike(ACTION), x.rlike(SPEAKER)
+        kind = F.when(decides, "decision").when(asks, "action").otherwise("said")
+        text = F.when(decides, F.concat(F.lit("Decision: "), full(F.regexp_extract(x, DECISION, 1)))).when(asks, action).when(speaks, F.regexp_extract(x, SPEAKER, 2)).otherwise(x)
+        return F.struct(kind.alias("kind"), text.alias("text"), F.when(~decides & ~asks & speaks, named).alias("speaker"))
+
+    rows = items.withColumn("lines", F.transform(lines, judged))
+    pick = lambda kind: F.transform(F.filter("lines", lambda x: x["kind"] == kind), lambda x: x["text"])
+    rows = rows.withColumn("decisions", pick("decision")).withColumn("actions", pick("action")).withColumn("speakers", F.array_distinct(F.array_compact(F.transform("lines", lambda x: x["speaker"]))))
+    summary = F.slice(sentences(F.array_join(pick("said"), " ")), 1, 3)
     named = lambda name, items_: F.struct(F.lit(name).alias("heading"), items_.alias("sentences"))
     return rows.select(F.col("id").alias("external_id"), F.col("subject").alias("title"), F.lit("meeting").alias("doc_type"), "decisions", "actions", "speakers", _full(F.array(named("Decisions", F.col("decisions")), named("Actions", F.col("actions")), named("Summary", summary))).alias("sections"))
 
 
+def identity(units: DataFrame, registry: DataFrame, source: str = "source") -> DataFrame:
+    """``units`` with the connector, source_system and id_prefix that their ``source`` names, so that what is pushed meets what a sync brings.
+
+    ``registry``: name, label, source_system, id_prefix of connectors (a handful). A source is told by any of the three in any case, the first name of several; an unknown one is
+    a connector of its own, with a prefix of API- and eight of its letters and digits.
+    """
+    said = F.lower(source)
+    names = registry.select(F.explode(F.array(F.lower("name"), F.lower("label"), F.lower("source_system"))).alias("_said"), F.struct("name", "source_system", "id_prefix").alias("_c"))
+    names = names.groupBy("_said").agg(F.min("_c").alias("_c"))
+    rows = units.join(F.broadcast(names), said == F.col("_said"), "left")
+    own = F.concat(F.lit("API-"), F.substring(F.regexp_replace(F.upper(source), r"(?U)[^\p{Alnum}]", ""), 1, 8))
+    rows = rows.withColumn("connector", F.coalesce(F.col("_c.name"), F.concat(F.lit("push:"), said)))
+    rows = rows.withColumn("source_system", F.coalesce(F.col("_c.source_system"), F.col(source))).withColumn("id_prefix", F.coalesce(F.col("_c.id_prefix"), own))
+    return rows.drop("_said", "_c")
+
+
 def push(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """Documents handed over by a caller."""
     return spark.createDataFrame(rows, schema)
