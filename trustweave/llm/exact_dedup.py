@@ -18,7 +18,10 @@ SHARES = 1024
 
 def normalised(text: Column) -> Column:
     """A text without its white space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", "")
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for blank in " \t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(blank), F.lit(""))
+    return out
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -36,12 +39,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     n, p, sha, chars, best, size, ties, salt, word, bits = free(docs.columns, "n", "p", "sha", "chars", "best", "size", "ties", "salt", "word", "bits")
     bare = normalised(F.col("text"))
     shape = [F.length(bare).alias(n), F.xxhash64(F.substring(bare, 1, PREFIX)).alias(p)]
-    # one narrow row for a length and prefix
-    shapes = cut(docs.select(*shape).groupBy(n, p).agg(F.count("*").alias("rows")))
+    # one narrow row for a length and prefix; the plan below uses its shuffle twice
+    shapes = docs.select(*shape).groupBy(n, p).agg(F.count("*").alias("rows"))
     lengths = shapes.groupBy(n).agg(F.sum("rows").alias("of_length")).where("of_length > 1").select(n)
     alike = shapes.join(lengths, n, "left_semi").where("rows > 1").select(F.xxhash64(n, p).alias("h"))
     place, bit = lambda h: F.pmod(h, F.lit(WORDS)), lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
-    table = cut(alike.groupBy(place(F.col("h")).alias(word)).agg(F.bit_or(bit(F.col("h"))).alias(bits)))
+    table = cut(alike.groupBy(place(F.col("h")).alias(word)).agg(F.bit_or(bit(F.col("h"))).alias(bits)).repartition(4))  # WORDS rows at most
     h = F.xxhash64(n, p)
     rows = docs.select("*", *shape).withColumn(word, place(h)).join(F.broadcast(table), word, "left")
     full = F.when(F.col(bits).bitwiseAND(bit(h)) != 0, F.sha2(bare, 256))
