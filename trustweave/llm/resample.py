@@ -70,7 +70,7 @@ def resample(docs: DataFrame, target: DataFrame) -> DataFrame:
     n = F.size("buckets").cast("long")
     scored = rows.select("doc_id", "may", n.alias("n_features"), total.alias("total"))
     scored = scored.withColumn("weight", F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(0))
-    scored = cut(scored.select("doc_id", "may", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"))).alias("score")))
+    scored = scored.select("doc_id", "may", "n_features", "weight", (F.col("weight") + noise(F.col("doc_id"))).alias("score"))
     found = sorted(((r.score, r.n) for r in scored.where("may").groupBy("score").agg(F.count("*").alias("n")).collect()), reverse=True)
     drawn = SHARE * sum(c for _, c in found) // 100
     upto = list(accumulate(c for _, c in found))
