@@ -162,7 +162,7 @@ def says_stale(c: Column) -> Column:
 
 def phrase_in(c: Column, phrase: Column) -> Column:
     """Whether the lower-case text holds the phrase between non-letters."""
-    quoted = F.concat(F.lit(r"(?<![a-z])\Q"), phrase, F.lit(r"\E(?![a-z])"))
+    quoted = F.concat(F.lit(r"(?<![a-z])\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z])"))
     return F.regexp_like(F.lower(c), quoted)
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import let, phrase_in
+from . import phrases
 
 # Fixed value: where a question of several parts is split.
 SPLIT = r"(?i)(?:[,;])? and (?=(?:which|what|how|who|where|when|is|are|does|do)\b)"
-#: Rule tables are configuration and travel inside the expression; more rows than this are refused.
-RULES = 10_000
+#: Rule tables of up to so many rows travel inside the expression; larger ones are searched for by ``phrases``.
+RULES = 2_000
 
 
 def rules(table: dict[str, list[str]]) -> list[tuple[int, str, str]]:
@@ -19,13 +20,19 @@ def rules(table: dict[str, list[str]]) -> list[tuple[int, str, str]]:
     return [(i, code, k) for i, (code, words) in enumerate(table.items(), 1) for k in words]
 
 
-def _known(table: DataFrame | list[tuple], columns: list[str]) -> list[tuple]:
-    """Rows of a rule table, after its size was checked."""
+def _known(table: DataFrame | list[tuple], columns: list[str]) -> list[tuple] | None:
+    """Rows of a rule table in order, without null and empty keywords; None for a large one."""
     if isinstance(table, DataFrame):
         table = [tuple(r) for r in table.select(*columns).limit(RULES + 1).collect()]
-    if len(table) > RULES:
-        raise ValueError(f"a rule table has more than {RULES} rows")
-    return sorted(table)
+    return sorted(r for r in table if r[-1]) if len(table) <= RULES else None
+
+
+def _large(texts: DataFrame, table: DataFrame | list[tuple], columns: list[str]) -> DataFrame:
+    """A large rule table as priority, code, keyword."""
+    if not isinstance(table, DataFrame):
+        table = texts.sparkSession.createDataFrame(table, ", ".join(f"{c} {'int' if c == 'priority' else 'string'}" for c in columns))
+    table = table.select(*columns).toDF(*columns[:-2], "code", "keyword")
+    return table if "priority" in columns else table.withColumn("priority", F.lit(0))
 
 
 def _met(text: Column, table: list[tuple[int, str, str]], bounded: bool = True) -> Column:
@@ -57,13 +64,24 @@ def most_of(text: Column, table: list[tuple[int, str, str]], bounded: bool = Fal
 
 def topics(questions: DataFrame, keywords: DataFrame | list[tuple[str, str]]) -> DataFrame:
     """Topics of (question_id, question) by a rule table (topic, keyword): the longest keyword decides the order; no row without a topic."""
-    rows = questions.select("question_id", topics_of(F.col("question"), _known(keywords, ["topic", "keyword"])).alias("topics"))
+    known = _known(keywords, ["topic", "keyword"])
+    if known is None:
+        met = phrases.met(questions.select(F.col("question_id").alias("id"), F.col("question").alias("text")), _large(questions, keywords, ["topic", "keyword"]))
+        best = met.groupBy("row", "id", "code").agg(F.max(F.length("keyword")).alias("len")).groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct("len", "code")), asc=False).alias("t"))
+        return best.select(F.col("id").alias("question_id"), F.transform("t", lambda t: t["code"]).alias("topics"))
+    rows = questions.select("question_id", topics_of(F.col("question"), known).alias("topics"))
     return rows.where(F.size("topics") > 0)
 
 
 def first_hit(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], otherwise: str | None = None) -> DataFrame:
     """The code of the first rule (priority, code, keyword) that a text (id, text) meets; ``otherwise`` if none."""
-    return texts.select("id", F.coalesce(first_of(F.col("text"), _known(table, ["priority", "code", "keyword"]))["code"], F.lit(otherwise)).alias("code"))
+    names = ["priority", "code", "keyword"]
+    known = _known(table, names)
+    if known is None:
+        rows = phrases.numbered(texts)
+        first = phrases.met_in(rows, _large(texts, table, names)).groupBy("row").agg(F.min(F.struct(*names)).alias("m"))
+        return rows.join(first, "row", "left").select("id", F.coalesce("m.code", F.lit(otherwise)).alias("code"))
+    return texts.select("id", F.coalesce(first_of(F.col("text"), known)["code"], F.lit(otherwise)).alias("code"))
 
 
 def intent(texts: DataFrame) -> DataFrame:
@@ -76,7 +94,13 @@ def most_hits(texts: DataFrame, table: DataFrame | list[tuple[int, str, str]], b
 
     Keywords count anywhere in a text, or (``bounded``) between non-letters only.
     """
-    best = texts.select("id", most_of(F.col("text"), _known(table, ["priority", "code", "keyword"]), bounded).alias("best"))
+    names = ["priority", "code", "keyword"]
+    known = _known(table, names)
+    if known is None:
+        per = phrases.met(texts, _large(texts, table, names), bounded).groupBy("row", "id", "code").agg(F.count("*").alias("hits"), (-F.min("priority")).alias("p"))
+        best = per.groupBy("row", "id").agg(F.max(F.struct("hits", "p", "code")).alias("best"))
+        return best.select("id", "best.code", F.col("best.hits").cast("long").alias("hits"))
+    best = texts.select("id", most_of(F.col("text"), known, bounded).alias("best"))
     return best.where("best IS NOT NULL").select("id", "best.code", F.col("best.hits").cast("long").alias("hits"))
 
 

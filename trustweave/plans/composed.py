@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import analyse, answer, ingest, lifecycle, reputation, retrieve, trust, understand
+from ..operators import analyse, answer, ingest, lifecycle, phrases, reputation, retrieve, trust, understand
 from ..sources import connectors
 from .extended import _CAND, _candidates
 from .queries import _CONTENT, _DIFFER, _LINES, _calls, _t, query
@@ -50,6 +50,17 @@ def team_by_phrase(spark, d):
     return understand.most_hits(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), _BOUND, bounded=True)
 
 
+@query(r"""WITH r AS (SELECT DISTINCT keyword FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS keyword FROM benchmark)),
+d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS keyword FROM documents)
+SELECT doc_id AS id, count(*) AS met, min(keyword) AS first FROM d JOIN r USING (keyword) GROUP BY 1""")
+def many_phrases(spark, d):
+    """Q1/Q2/Q4 for large rule tables: every word of the benchmark as a phrase, looked for in all documents by automata."""
+    keyword = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("keyword")
+    table = _t(spark, d, "benchmark").select(keyword).distinct().select(F.lit(1).alias("priority"), F.lit("word").alias("code"), "keyword")
+    found = phrases.met(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table)
+    return found.groupBy("id").agg(F.count("*").alias("met"), F.min("keyword").alias("first"))
+
+
 _NEAR = """q AS (SELECT vec_id - vec_id % 100 AS sub_id, vec_id % 100 AS query_no, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 < 2),
 e AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS x, label FROM embeddings WHERE vec_id % 5 NOT IN (1, 3)),
 a AS (SELECT sub_id, query_no, chunk_id, round(list_dot_product(v, x) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(x, x))), 6) AS sim,
