@@ -91,11 +91,12 @@ def unofficial(has_owner: Column, has_author: Column, date_known: Column) -> Col
 def signals(docs: DataFrame, people: DataFrame, as_of: str) -> DataFrame:
     """All trust signals of documents for what is asked (asked_country, asked_client) with the standing of who answers for them (normalised).
 
-    Needs id, doc_type, country, client, owner_id, author_id, updated_at, validated_at, date_known, supersedes_id. Adds freshness, owner, scope,
+    Needs id, doc_type, country, client, owner_id, author_id, updated_at, validated_at, date_known, supersedes_id (or, where the rows are not all documents, supersession as from
+    ``superseded``). Adds freshness, owner, scope,
     authority, channel, supersession, trust, in_scope, stale, unofficial. Ids of nobody in ``people`` count as none.
     """
     who = people.select("id", "active")
-    rows = superseded(docs)
+    rows = docs if "supersession" in docs.columns else superseded(docs)
     for side in ("owner", "author"):
         rows = rows.join(who.select(F.col("id").alias(f"{side}_id"), F.col("active").alias(f"_{side}")), f"{side}_id", "left")
     days = age(F.lit(as_of).cast("date"), F.col("updated_at"), F.col("validated_at"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import analyse, answer, cells, ingest, lifecycle, phrases, reputation, retrieve, trust, understand
+from ..operators import analyse, answer, cells, ingest, lifecycle, phrases, reputation, retrieve, standing, trust, understand
 from ..sources import connectors
 from .extended import _CAND, _candidates
-from .queries import _CONTENT, _DIFFER, _LINES, _calls, _t, query
+from .queries import _CONTENT, _DIFFER, _LINES, AS_OF, _calls, _t, query
 
 _ASK = """CASE item_id % 8 WHEN 0 THEN 'Who owns item ' WHEN 1 THEN 'How do I set up item ' WHEN 2 THEN 'What did we decide on item ' WHEN 3 THEN 'Is there a ticket on item ' WHEN 4 THEN 'What is item '
 WHEN 5 THEN 'Undecided, unchanged: item ' WHEN 6 THEN 'Which Belgian item is ' ELSE 'Item ' END || item_id"""
@@ -427,3 +427,28 @@ def sync_from(spark, d):
     runs = _t(spark, d, "events").select(F.col("event_type").alias("connector"), F.col("ts").alias("finished_at"))
     given = lifecycle.high_water(runs, "2024-01-05").withColumn("kind", F.lit("given"))
     return given.unionByName(lifecycle.high_water(runs, full=True).withColumn("kind", F.lit("full")))
+
+
+@query(f"""WITH e AS (SELECT o_custkey AS p, CASE o_orderstatus WHEN 'F' THEN 'owns' WHEN 'O' THEN 'edited' ELSE 'seen' END AS rel, o_orderkey % 200 + 1 AS doc, o_orderkey % 4 = 0 AS on_topic, o_orderkey % 5 AS t, o_orderdate::DATE AS seen_at FROM orders WHERE o_orderkey % 11 <> 0),
+b AS (SELECT *, CASE rel WHEN 'owns' THEN 2.0 WHEN 'edited' THEN 1.5 ELSE 0.5 END::DOUBLE * pow(0.5, date_diff('day', seen_at, DATE '{AS_OF}') / 365.0::DOUBLE) AS base FROM e),
+a AS (SELECT * FROM (VALUES (1, ['t0', 't1'], 'A'), (2, ['t1'], NULL), (3, ['t2', 't3'], 'B')) AS a(ask_id, topics, country)),
+d AS (SELECT p_partkey, list_distinct(['t' || p_partkey % 3, 't' || p_partkey % 2]) AS topics, CASE p_size % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS country, CASE p_partkey % 2 WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS ch FROM part),
+w AS (SELECT ask_id, p, base * ch * CASE WHEN a.country IS NULL OR d.country IS NULL OR a.country = d.country THEN 1 ELSE 0.3 END::DOUBLE AS w FROM b JOIN d ON doc = p_partkey JOIN a ON len(list_intersect(a.topics, d.topics)) > 0 WHERE NOT on_topic
+UNION ALL SELECT ask_id, p, base FROM b JOIN a ON list_contains(a.topics, 't' || t) WHERE on_topic)
+SELECT ask_id, p AS person_id, count(*) AS events, round(1 - exp(-sum(w) * (1 + least(p % 14, 10) * 0.015::DOUBLE) / 2.5::DOUBLE), 6) AS normalised FROM w GROUP BY 1, 2""")
+def kept_standing(spark, d):
+    """Standing from sums kept over batches of different days, with edges taken back, instead of from all edges."""
+    k, p = F.col("o_orderkey"), F.col("p_partkey")
+    topic = k % 4 == 0
+    edges = _t(spark, d, "orders").select(
+        k, F.col("o_custkey").alias("person_id"), F.when(F.col("o_orderstatus") == "F", "owns").when(F.col("o_orderstatus") == "O", "edited").otherwise("seen").alias("rel"), F.when(topic, "topic").otherwise("doc").alias("dst_kind"),
+        F.when(topic, F.concat(F.lit("t"), k % 5)).otherwise((k % 200 + 1).cast("string")).alias("dst_id"), F.to_date("o_orderdate").alias("at"),
+    )
+    country = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "B")
+    docs = _t(spark, d, "part").select(p.cast("string").alias("id"), F.array(F.concat(F.lit("t"), p % 3), F.concat(F.lit("t"), p % 2)).alias("topics"), country.alias("country"), F.when(p % 2 == 0, "policy").otherwise("chat").alias("doc_type"))
+    first, second = standing.sums(edges.where("person_id % 2 = 0"), docs, "1996-05-01"), standing.sums(edges.where("person_id % 2 = 1"), docs, "1999-01-31")
+    back = standing.removed(standing.sums(edges.where(k % 11 == 0), docs, "2000-02-29"))
+    state = standing.merged([standing.merged([first, second], "1999-06-30"), back], "2001-01-01")
+    asks = spark.createDataFrame([(1, ["t0", "t1"], "A"), (2, ["t1"], None), (3, ["t2", "t3"], "B")], "ask_id int, topics array<string>, country string")
+    people = edges.select(F.col("person_id").alias("id")).distinct().withColumn("seniority_years", (F.col("id") % 14).cast("int"))
+    return standing.scored(state, asks, people, AS_OF).select("ask_id", "person_id", "events", F.round("normalised", 6).alias("normalised"))
