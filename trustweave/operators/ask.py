@@ -81,9 +81,10 @@ def pool(subs: DataFrame, corpus: Corpus, embed: Embed = hashed_embeddings, inde
     if "vector" not in chunks.columns:
         said = chunks.join(docs.select("document_id", "title"), "document_id").select("chunk_id", F.concat_ws(". ", "title", "section", "body").alias("_said"))
         chunks = chunks.join(cut(embed(said, "chunk_id", "_said")), "chunk_id")
+    searches = texts.select(F.col("query_id").alias("question_id"), "text")
     if index is None:
-        index = cut(search.postings(chunks.select(F.col("chunk_id").alias("passage_id"), F.concat_ws(" ", "section", "body").alias("text"))))
-    words = search.ranked(texts.select(F.col("query_id").alias("question_id"), "text"), index).select(F.col("question_id").alias("query_id"), F.col("passage_id").alias("chunk_id"), F.col("rank").alias("fts"))
+        index = cut(search.postings(chunks.select(F.col("chunk_id").alias("passage_id"), F.concat_ws(" ", "section", "body").alias("text")), wanted=search.terms(searches)))
+    words = search.ranked(searches, index).select(F.col("question_id").alias("query_id"), F.col("passage_id").alias("chunk_id"), F.col("rank").alias("fts"))
     asked = cut(embed(texts, "query_id", "text"))
     found = retrieve.candidates(asked, chunks.select("chunk_id", "document_id", "vector"), docs.select("document_id", "status"), words)
     fused = retrieve.reciprocal(found.join(texts.select("query_id", "sub_id", "query_no"), "query_id"))

@@ -12,6 +12,8 @@ from ..scratch import cut
 
 #: Searches that ask for nothing but absence meet all passages in blocks of this many.
 BLOCK = 2000
+#: Up to so many stems that searches name are sent to the tasks; more are joined.
+SENT = 200_000
 
 Stem = Callable[[Column], Column]
 
@@ -23,11 +25,18 @@ def terms(searches: DataFrame, stem: Stem = fulltext.english) -> DataFrame:
     return rows.withColumn("stem", stem(F.col("word"))).where("stem IS NOT NULL").drop("word")
 
 
-def postings(passages: DataFrame, stem: Stem = fulltext.english) -> DataFrame:
-    """Where each passage (passage_id, text) has each stem: stem, passage_id, positions (sorted). A passage_id names one passage."""
-    said = passages.select("passage_id", F.posexplode(fulltext.words(F.col("text"))).alias("pos", "word"))
+def postings(passages: DataFrame, stem: Stem = fulltext.english, wanted: DataFrame | None = None) -> DataFrame:
+    """Where each passage (passage_id, text) has each stem: stem, passage_id, positions (sorted); with ``wanted`` (stem) only those stems. A passage_id names one passage.
+
+    Texts are dealt out by passage_id, so the words of a passage are gathered where its text is and none is shuffled.
+    """
+    texts = passages.select("passage_id", "text").repartition("passage_id")
+    said = texts.select("passage_id", F.posexplode(fulltext.words(F.col("text"))).alias("pos", "word"))
     said = said.select("passage_id", "pos", stem(F.col("word")).alias("stem")).where("stem IS NOT NULL")
-    return said.groupBy("stem", "passage_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    if wanted is not None:
+        few = wanted.select("stem").distinct()
+        said = said.join(F.broadcast(few) if few.count() <= SENT else few, "stem", "left_semi")
+    return said.groupBy("passage_id", "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("stem", "passage_id", "positions")
 
 
 def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = None) -> DataFrame:

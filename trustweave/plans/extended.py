@@ -341,7 +341,7 @@ def passage_rank(spark, d):
     """The dozen best passages of each whole benchmark item, taken as a search, among all documents, by cover density (tested against plain loops)."""
     items = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    ranks = search.ranked(items, cut(search.postings(docs)), docs).select("question_id", "passage_id", F.round("rank", 6).alias("density"))
+    ranks = search.ranked(items, cut(search.postings(docs, wanted=search.terms(items))), docs).select("question_id", "passage_id", F.round("rank", 6).alias("density"))
     return retrieve.top(ranks, ["question_id"], [F.desc("density"), "passage_id"], 12).select("question_id", "passage_id", F.col("density").alias("rank"))
 
 
@@ -362,7 +362,8 @@ def boolean_search(spark, d):
     asked = asked.otherwise(F.concat(w(1), F.lit("-"), w(2), F.lit(" or "), quote, w(3), F.lit(" "), w(4), quote, F.lit(" -"), w(5)))
     searches = _t(spark, d, "benchmark").select("item_id", said.alias("w")).select(F.col("item_id").alias("question_id"), asked.alias("text"))
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    found = search.matches(cut(search.terms(searches, fulltext.simple)), cut(search.postings(docs, fulltext.simple)), docs)
+    asked = cut(search.terms(searches, fulltext.simple))
+    found = search.matches(asked, cut(search.postings(docs, fulltext.simple, asked)), docs)
     return found.select("question_id", "passage_id").distinct()
 
 
