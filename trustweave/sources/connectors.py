@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import clean_space, sentences
+from ..scratch import cut
 
 SECTION = "array<struct<heading:string,sentences:array<string>>>"
 
@@ -53,38 +50,39 @@ def confluence(items: DataFrame) -> DataFrame:
     return items.select(F.col("id").alias("external_id"), "title", kind.alias("doc_type"), country.alias("country"), _full(F.concat(F.array(lead), rest)).alias("sections"))
 
 
-def _flat(node) -> str:
-    """Text of a rich-text tree, depth first, without recursion."""
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, dict):
-            if isinstance(x.get("text"), str):
-                out.append(x["text"])
-            stack += list(reversed(x.get("content") or []))
-        elif isinstance(x, list):
-            stack += list(reversed(x))
-    return " ".join(" ".join(out).split())
-
-
-@F.pandas_udf(T.StringType())
-def rich_text(tree: pd.Series) -> pd.Series:
-    """Text of a rich-text tree given as JSON; null and broken JSON are empty."""
+def rich_texts(items: DataFrame, tree: str, into: str) -> DataFrame:
+    """``items`` with the text of the rich-text tree (JSON) in column ``tree`` added as ``into``: the texts of its nodes, a node's before its children's, with single blanks between.
 
-    def one(x):
-        try:
-            return _flat(json.loads(x)) if x else ""
-        except ValueError:
-            return ""
-
-    return tree.map(one)
+    Null and broken JSON are empty; ``content`` that is no list and ``text`` that is no string don't count. The tree is taken apart level by level, all rows at once: a level's
+    children are written, so there is a pass for each level of the deepest tree and none holds more than one level.
+    """
+    rows = cut(items.drop(into).withColumn("_row", F.monotonically_increasing_id()))
+    root = F.try_parse_json(F.col(tree))
+    level = rows.select("_row", F.array().cast("array<int>").alias("path"), root.alias("node")).where("node IS NOT NULL")
+    found = None
+    while True:
+        level = cut(level)
+        if level.isEmpty():
+            break
+        said = F.try_variant_get("node", "$.text", "variant")
+        own = level.where(F.schema_of_variant(said) == "STRING").select("_row", "path", F.try_variant_get("node", "$.text", "string").alias("text"))
+        found = own if found is None else found.unionByName(own)
+        children = F.coalesce(F.try_variant_get("node", "$", "array<variant>"), F.try_variant_get("node", "$.content", "array<variant>"))
+        level = level.select("_row", "path", F.posexplode(children).alias("_at", "node")).where("node IS NOT NULL").select("_row", F.concat("path", F.array("_at")).alias("path"), "node")
+    blank = F.lit("").alias(into)
+    if found is None:
+        return rows.drop("_row").select("*", blank)
+    words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " ")
+    texts = found.groupBy("_row").agg(F.trim(F.regexp_replace(words, r"(?U)\s+", " ")).alias(into))
+    return rows.join(texts, "_row", "left").withColumn(into, F.coalesce(into, F.lit(""))).drop("_row")
 
 
 def jira(items: DataFrame) -> DataFrame:
     """key, summary, description (JSON tree), status, labels -> a ticket with description and status sections."""
     country = F.upper(F.get(F.filter("labels", lambda x: x.rlike("^[a-z]{2}$")), F.lit(0)))
     client = F.regexp_extract(F.array_join("labels", " "), r"(?:^| )client-(\S+)", 1)
-    sections = F.array(_section(F.lit("Description"), rich_text("description")), _section(F.lit("Status"), F.concat(F.lit("Status: "), F.col("status"), F.lit("."))))
+    items = rich_texts(items, "description", "_said")
+    sections = F.array(_section(F.lit("Description"), F.col("_said")), _section(F.lit("Status"), F.concat(F.lit("Status: "), F.col("status"), F.lit("."))))
     return items.select(F.col("key").alias("external_id"), F.col("summary").alias("title"), F.lit("ticket").alias("doc_type"), country.alias("country"), F.nullif(client, F.lit("")).alias("client"), _full(sections).alias("sections"))
 
 
