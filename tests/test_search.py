@@ -168,3 +168,15 @@ def test_index_follows_the_stream(spark, tmp_path):
         ingest_stream.start(units, str(tmp_path / "docs"), str(tmp_path / "cp"), index=str(tmp_path / "index")).awaitTermination()
     got = search_index.postings(spark, str(tmp_path / "index"), 2, "string").collect()
     assert {(r.stem, r.passage_id) for r in got} == {("offic", "a"), ("polici", "a"), ("offic", "b")}
+
+
+@pytest.mark.parametrize("sent", [200_000, 3])
+def test_postings_of_wanted_stems(spark, corpus, monkeypatch, sent):
+    texts, passages = corpus
+    whole = search.postings(passages)
+    monkeypatch.setattr(search, "SENT", sent)
+    found = {(r.stem, r.passage_id): tuple(r.positions) for r in search.postings(passages).collect()}
+    assert found == postings_of(texts) == {(r.stem, r.passage_id): tuple(r.positions) for r in whole.collect()}
+    wanted = spark.createDataFrame([("polici",), ("cost",), ("offic",), ("review",), ("unheard",)], "stem string")
+    few = {(r.stem, r.passage_id): tuple(r.positions) for r in search.postings(passages, wanted=wanted).collect()}
+    assert few == {k: v for k, v in found.items() if k[0] in ("polici", "cost", "offic", "review")}

@@ -13,6 +13,9 @@ from .text import STOPWORDS
 ENDINGS = [("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("sses", "ss"), ("ments", "ment"), ("ies", "i"), ("ing", ""), ("edly", ""), ("ed", ""), ("ly", ""), ("ss", "ss"), ("us", "us"), ("s", "")]
 
 
+_STOP = frozenset(STOPWORDS)
+
+
 def words(text: Column) -> Column:
     """Lower-case words of letters and digits, in order; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
@@ -49,6 +52,18 @@ def simple(word: Column) -> Column:
     return word
 
 
+def _english(word: str) -> str | None:
+    return None if word in _STOP else stem(word)
+
+
+def _simple(word: str) -> str:
+    return word
+
+
+#: What makes a stem of a column, and the same for one word.
+PLAIN = {english: _english, simple: _simple}
+
+
 def clauses(search: Column) -> Column:
     """What a search asks for: array<struct<clause, item, negated, words>>.
 

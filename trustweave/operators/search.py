@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +18,13 @@ from ..scratch import cut
 BLOCK = 2000
 #: Up to so many stems that searches name are sent to the tasks; more are joined.
 SENT = 200_000
+#: Passages that are gathered at a time, and words whose stems a task remembers.
+SLICE, KNOWN = 512, 500_000
+#: Stems that a passage must have before the others are looked for.
+RAREST = 3
 
 Stem = Callable[[Column], Column]
+_WORD = re.compile("[a-z0-9]+")
 
 
 def terms(searches: DataFrame, stem: Stem = fulltext.english) -> DataFrame:
@@ -25,24 +34,56 @@ def terms(searches: DataFrame, stem: Stem = fulltext.english) -> DataFrame:
     return rows.withColumn("stem", stem(F.col("word"))).where("stem IS NOT NULL").drop("word")
 
 
+def _gathered(stem: Callable[[str], str | None], wanted: frozenset | None):
+    """Postings of each batch of (passage_id, lower-case text): the places of a passage's stems are gathered as its words are read."""
+
+    def run(batches):
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                stems, rows, places, ends = [], [], array("i"), [0]
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for i, word in enumerate(_WORD.findall(text or "")):
+                        if word in known:
+                            s = known[word]
+                        else:
+                            s = stem(word)
+                            s = known[word] = s if wanted is None or s in wanted else None
+                            if len(known) > KNOWN:
+                                known.clear()
+                        if s is not None:
+                            at.setdefault(s, []).append(i)
+                    for s, found in at.items():
+                        stems.append(s)
+                        rows.append(row)
+                        places.extend(found)
+                        ends.append(len(places))
+                if stems:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(places, np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(stems), part.column(0).take(pa.array(rows)), lists], names=["stem", "passage_id", "positions"])
+
+    return run
+
+
 def postings(passages: DataFrame, stem: Stem = fulltext.english, wanted: DataFrame | None = None) -> DataFrame:
     """Where each passage (passage_id, text) has each stem: stem, passage_id, positions (sorted); with ``wanted`` (stem) only those stems. A passage_id names one passage.
 
-    Texts are dealt out by passage_id, so the words of a passage are gathered where its text is and none is shuffled.
+    The words of a passage are gathered where its text is read, so none is shuffled. Up to ``SENT`` wanted stems are known to the tasks; more are joined.
     """
-    texts = passages.select("passage_id", "text").repartition("passage_id")
-    said = texts.select("passage_id", F.posexplode(fulltext.words(F.col("text"))).alias("pos", "word"))
-    said = said.select("passage_id", "pos", stem(F.col("word")).alias("stem")).where("stem IS NOT NULL")
-    if wanted is not None:
-        few = wanted.select("stem").distinct()
-        said = said.join(F.broadcast(few) if few.count() <= SENT else few, "stem", "left_semi")
-    return said.groupBy("passage_id", "stem").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("stem", "passage_id", "positions")
+    few = None if wanted is None else wanted.select("stem").distinct()
+    small = few is not None and few.count() <= SENT
+    own = frozenset(r.stem for r in few.collect()) if small else None
+    texts = passages.select("passage_id", F.lower("text").alias("text"))
+    rows = texts.mapInArrow(_gathered(fulltext.PLAIN[stem], own), f"stem string, passage_id {texts.schema['passage_id'].dataType.simpleString()}, positions array<int>")
+    return rows if few is None or small else rows.join(few, "stem", "left_semi")
 
 
 def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """Clauses of ``terms`` that passages meet by their postings: question_id, clause, passage_id.
 
-    A clause is looked for by its rarest stem, so a passage without that is never met. Clauses that only exclude are met by all of ``passages`` (passage_id), in
+    A clause is looked for by its ``RAREST`` rarest stems, so a passage without them is never met. Clauses that only exclude are met by all of ``passages`` (passage_id), in
     blocks, that hold none of what they exclude; without ``passages`` they are met by none.
     """
     one, item = ["question_id", "clause"], ["question_id", "clause", "item"]
@@ -52,8 +93,9 @@ def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = Non
     used = index.join(needed, "stem", "left_semi")
     df = used.groupBy("stem").agg(F.count("*").alias("df"))
     rare = asked.where("NOT negated").join(df, "stem", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = rare.groupBy(*one).agg(F.min(F.struct("df", "stem")).alias("r")).select(*one, F.col("r.stem").alias("stem"))
-    found = rare.join(used, "stem").select(*one, "passage_id")
+    rare = rare.dropDuplicates([*one, "stem"]).withColumn("_r", F.row_number().over(Window.partitionBy(*one).orderBy("df", "stem"))).where(F.col("_r") <= RAREST)
+    rare = rare.withColumn("_n", F.count("*").over(Window.partitionBy(*one))).select(*one, "stem", "_n")
+    found = rare.join(used, "stem").groupBy(*one, "passage_id").agg(F.count("*").alias("_met"), F.first("_n").alias("_n")).where("_met = _n").select(*one, "passage_id")
     if passages is not None:
         empty = clause.where("n_items = 0").select(*one)
         blocks = max(1, -(-empty.count() // BLOCK))
