@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trustweave.functions.vectors import cosine
 from trustweave.operators import cells, retrieve
 
 KIND = "chunk_id long, vector array<float>"
@@ -54,3 +55,15 @@ def test_nothing_to_find(spark, chunks):
     assert cells.search(asked.withColumn("vector", F.lit(None).cast("array<float>")), cells.build(chunks, cells.fit(chunks)), cells.fit(chunks)).count() == 0
     assert cells.build(none, made).count() == 0
     assert cells.search(none.withColumnRenamed("chunk_id", "query_id"), cells.build(none, made), made).count() == 0
+
+
+def test_exact_search_equals_the_cosine_of_all_pairs(spark, chunks):
+    asked = chunks.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
+    pairs = asked.withColumnRenamed("vector", "q").crossJoin(chunks).where("q IS NOT NULL AND vector IS NOT NULL").select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("sim"))
+    best = {}
+    for r in pairs.collect():
+        best.setdefault(r.query_id, []).append((-r.sim, r.chunk_id))
+    got = {}
+    for r in retrieve.knn(asked, chunks).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.sim))
+    assert {q: [round(-s, 5) for s, _ in sorted(v)[:15]] for q, v in best.items()} == {q: [round(s, 5) for _, s in sorted(v)] for q, v in got.items()}

@@ -248,3 +248,31 @@ def test_rule_tables_of_any_size(spark, monkeypatch):
     table = spark.createDataFrame([(1, "a", "leave"), (2, "b", "pay")], "priority int, code string, keyword string")
     assert understand.first_hit(texts, table.limit(1)).first().code == "a"
     assert understand.first_hit(texts, table).first().code == "a"
+
+
+def test_clusters_match_plain_loops(spark):
+    draw = random.Random(12)
+    words, rows = list("abcdefghij"), []
+    for sub in range(25):
+        for c in range(12):
+            rows.append((sub, c, draw.randrange(7), draw.choice([0.9, 0.5, 0.7]), draw.sample(["x", "y", "z"], draw.randint(0, 2)), draw.choice([None, "BE", "NL"]), draw.sample(words, draw.randint(0, 6)), [draw.choice([0.0, 1.0, -1.0, 0.5]) for _ in range(3)], draw.choice([[], [], ["cost"]])))
+    want = {}
+    for sub in range(25):
+        clusters = []
+        for r in sorted((r for r in rows if r[0] == sub), key=lambda r: (-r[3], r[1])):
+            for n, members in enumerate(clusters):
+                lead = members[0]
+                if any(m[2] == r[2] for m in members) or not set(r[4]) & set(lead[4]) or r[5] != lead[5]:
+                    continue
+                both, of = len(set(r[6]) & set(lead[6])), len(set(r[6]) | set(lead[6])) or 1
+                norm = sum(x * x for x in r[7]) ** 0.5 * sum(x * x for x in lead[7]) ** 0.5 or 1.0
+                if sum(a * b for a, b in zip(r[7], lead[7], strict=True)) / norm >= 0.8 or both / of >= 0.3 or both / (min(len(r[6]), len(lead[6])) or 1) >= 0.8 or set(r[8]) & set(lead[8]):
+                    members.append(r)
+                    want[sub, r[1]] = n
+                    break
+            else:
+                want[sub, r[1]] = len(clusters)
+                clusters.append([r])
+    s = "sub_id long, chunk_id long, doc_id long, relevance double, topics array<string>, country string, tokens array<string>, vector array<double>, keys array<string>"
+    got = {(r.sub_id, r.chunk_id): r.cluster for r in analyse.leader_clusters(spark.createDataFrame(rows, s).repartition(3)).collect()}
+    assert got == want and max(want.values()) > 3

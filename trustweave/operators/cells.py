@@ -133,12 +133,8 @@ def _best(shared, k: int):
     return run
 
 
-def search(questions: DataFrame, index: DataFrame, cells: Cells, k: int = 15) -> DataFrame:
-    """The ``k`` most similar chunks of each question (query_id: long, vector) that its probed cells hold: query_id, chunk_id, sim, rank.
-
-    Similarities are exact; what is missed lies in cells that are not probed (none with as many probes as cells). Questions are a stated set, sent in blocks of bounded size;
-    each task keeps its own best. Questions without a vector find nothing, and ids are those of one question each.
-    """
+def _asked(questions: DataFrame, k: int, probed, part_of) -> DataFrame:
+    """The ``k`` best chunks of questions, a block of them at a time: ``probed`` says which cells their vectors look into, ``part_of`` what to read for those cells."""
     spark = questions.sparkSession
     rows = questions.where("vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
     n, size = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
@@ -149,17 +145,31 @@ def search(questions: DataFrame, index: DataFrame, cells: Cells, k: int = 15) ->
         table = rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toArrow()
         if not table.num_rows and (out is not None or b < blocks - 1):
             continue
-        q = _matrix(table.column("vector")) if table.num_rows else np.zeros((0, cells.centres.shape[1]))
-        probed = cells.probed(q) if len(q) else np.zeros((0, 0), np.int64)
-        asked = {int(c): np.flatnonzero((probed == c).any(axis=1)).astype(np.int32) for c in np.unique(probed)}
+        q = _matrix(table.column("vector")) if table.num_rows else np.zeros((0, 1))
+        near = probed(q) if len(q) else np.zeros((0, 0), np.int64)
+        asked = {int(c): np.flatnonzero((near == c).any(axis=1)).astype(np.int32) for c in np.unique(near)}
         shared = spark.sparkContext.broadcast((pc.cast(table.column("query_id"), pa.int64()).to_numpy(), q, asked))
-        own = index if len(asked) == len(cells.centres) else index.where(F.col("cell").isin(list(asked)))
-        part = own.select("cell", "chunk_id", "vector").mapInArrow(_best(shared, k), "query_id long, chunk_id long, sim double")
+        part = part_of(asked).select("cell", "chunk_id", "vector").mapInArrow(_best(shared, k), "query_id long, chunk_id long, sim double")
         out = part if out is None else out.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search(questions: DataFrame, index: DataFrame, cells: Cells, k: int = 15) -> DataFrame:
+    """The ``k`` most similar chunks of each question (query_id: long, vector) that its probed cells hold: query_id, chunk_id, sim, rank.
+
+    Similarities are exact; what is missed lies in cells that are not probed (none with as many probes as cells). Questions are a stated set, sent in blocks of bounded size;
+    each task keeps its own best. Questions without a vector find nothing, and ids are those of one question each.
+    """
+    return _asked(questions, k, cells.probed, lambda asked: index if len(asked) == len(cells.centres) else index.where(F.col("cell").isin(list(asked))))
+
+
+def exact(questions: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
+    """``search`` without cells: every question (query_id, vector) against all chunks (chunk_id, vector), by matrix products."""
+    rows = chunks.where("vector IS NOT NULL").select(F.lit(0).alias("cell"), F.col("chunk_id").cast("long").alias("chunk_id"), "vector")
+    return _asked(questions, k, lambda q: np.zeros((len(q), 1), np.int64), lambda asked: rows)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """How many of the exact nearest (query_id, chunk_id) of each question were found: query_id, of, found."""
     hit = exact.select("query_id", "chunk_id").join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")

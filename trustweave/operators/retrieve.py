@@ -10,25 +10,19 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.text import content_tokens
 from ..functions.vectors import cosine
+from . import cells
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
-    """The ``k`` most similar chunks of each query (query_id, vector) among (chunk_id, vector): query_id, chunk_id, sim, rank.
+    """The ``k`` most similar chunks of each query (query_id, vector) among all (chunk_id, vector): query_id, chunk_id, sim, rank.
 
-    Queries are a stated set, compared with all rows in blocks; each task keeps its own best before the shuffle.
+    Ids are whole numbers and vectors of one length; those without a vector find nothing and are not found. Queries are a stated set, sent in blocks to the tasks, each of which
+    keeps its own best. ``cells`` finds nearly the same by looking at a part of the chunks.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    best = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vector").alias("q"))
-        scored = chunks.crossJoin(F.broadcast(block)).select("query_id", "chunk_id", F.round(cosine(F.col("q"), F.col("vector")), 6).alias("sim"))
-        w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "chunk_id")
-        part = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        best = part if best is None else best.unionAll(part)
-    return best
+    return cells.exact(queries, chunks, k)
 
 
 def fuse(ranked: DataFrame, offset: int = 20) -> DataFrame:

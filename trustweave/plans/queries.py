@@ -416,10 +416,16 @@ def graph_links(spark, d):
 
 @query()
 def leader_clusters(spark, d):
-    """C11: greedy clusters of each hundred vectors' nearest neighbours (tested on a small fixture)."""
+    """C11: greedy clusters of each hundred vectors' nearest neighbours, by vectors, words and key facts (tested against plain loops)."""
     e = _vectors(spark, d)
     near = retrieve.knn(e.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector"), e, 12)
-    rows = near.join(e, "chunk_id").select(F.col("query_id").alias("sub_id"), "chunk_id", F.col("chunk_id").alias("doc_id"), F.col("sim").alias("relevance"), F.array(F.col("label").cast("string")).alias("topics"), F.lit(None).cast("string").alias("country"), F.array().cast("array<string>").alias("tokens"), "vector", F.array().cast("array<string>").alias("keys"))
+    k = F.col("chunk_id")
+    said = _t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), t.all_tokens(F.substring_index("text", "\n", 2)).alias("tokens"))
+    # documents of two passages, topics of several labels, countries of some, and key facts of every fifth
+    rows = near.join(e, "chunk_id").join(said, "chunk_id").select(
+        F.col("query_id").alias("sub_id"), "chunk_id", F.floor(k / 2).alias("doc_id"), F.col("sim").alias("relevance"), F.array(F.lit("all"), F.col("label").cast("string")).alias("topics"),
+        F.when(k % 3 == 0, F.lit(None)).when(k % 3 == 1, "BE").otherwise(F.when(k % 2 == 0, "BE").otherwise("NL")).alias("country"), "tokens", "vector", F.when(k % 5 == 0, F.array(F.lit("cost"))).otherwise(F.array().cast("array<string>")).alias("keys"),
+    )
     return analyse.leader_clusters(rows)
 
 
