@@ -124,10 +124,13 @@ def value_of(fact: Column) -> Column:
 
 
 def by_unit(facts_: Column) -> Column:
-    """Map of unit to the first value, in one fold over the facts."""
-    empty = F.create_map().cast("map<string,string>")
-    known = lambda m, x: F.when(F.map_contains_key(m, unit_of(x)), m).otherwise(F.map_concat(m, F.create_map(unit_of(x), value_of(x))))
-    return F.aggregate(facts_, empty, known)
+    """Map of unit to the first value."""
+
+    def firsts(named: Column) -> Column:
+        units = F.transform(named, lambda x: x["unit"])
+        return F.map_from_entries(F.filter(named, lambda x, i: F.array_position(units, x["unit"]) == i + 1))
+
+    return let(F.transform(facts_, lambda x: F.struct(unit_of(x).alias("unit"), value_of(x).alias("value"))), firsts)
 
 
 def contradictions(a: Column, b: Column, conditions: tuple[str, ...] = CONDITIONS) -> Column:

@@ -26,8 +26,10 @@ def weigh(edges: DataFrame, docs: DataFrame, as_of: str) -> DataFrame:
 
 def reputation(weights: DataFrame, people: DataFrame) -> DataFrame:
     """Score of each person (id, seniority_years, ...): person columns, raw, normalised, events, reasons (top 8)."""
-    reason = F.struct("w", F.concat_ws(" ", "rel", "dst_id").alias("what"))
-    sums = weights.groupBy("person_id").agg(F.sum("w").alias("s"), F.count("*").alias("events"), F.slice(F.sort_array(F.collect_list(reason), asc=False), 1, 8).alias("reasons"))
+    what = weights.select("person_id", "w", F.concat_ws(" ", "rel", "dst_id").alias("what"))
+    best = what.withColumn("_r", F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("w"), F.desc("what")))).where("_r <= 8")  # eight a task and person are shuffled
+    best = best.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("w", "what")), asc=False).alias("reasons"))
+    sums = weights.groupBy("person_id").agg(F.sum("w").alias("s"), F.count("*").alias("events")).join(best, "person_id")
     raw = F.col("s") * (1 + F.least(F.col("seniority_years"), F.lit(10)) * 0.015)
     joined = people.join(sums, people.id == sums.person_id, "left").drop("person_id")
     joined = joined.withColumn("raw", F.coalesce(raw, F.lit(0.0))).withColumn("events", F.coalesce("events", F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from . import cells
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
+#: Passages that are compared with a block of questions at a time.
+SLICE = 512
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
@@ -31,30 +34,33 @@ def fuse(ranked: DataFrame, offset: int = 20) -> DataFrame:
 
 
 def _best_of_task(shared, k: int):
-    """(question_id, passage_id, hits): the ``k`` best passages of each question in one task, by shared tokens, smaller ids first."""
+    """(question_id, passage_id, hits): the ``k`` best passages of each question in one task, by shared tokens, smaller ids first.
 
-    def best(batches):
-        ids, postings = shared.value
-        kept = np.zeros((0, 3), np.int64)  # question, -hits, passage
+    Tokens become numbers of the questions' tokens, and the shared tokens of a slice of passages with all questions are counted in one table.
+    """
 
-        def top(rows):
-            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-            first = np.searchsorted(rows[:, 0], rows[:, 0])
-            return rows[np.arange(len(rows)) - first < k]
+    def top(rows):
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        first = np.searchsorted(rows[:, 0], rows[:, 0])
+        return rows[np.arange(len(rows)) - first < k]
 
+    def best(batches):
+        ids, tokens, ends, asked = shared.value  # questions of token i: asked[ends[i] : ends[i + 1]]
+        kept = np.zeros((0, 3), np.int64)  # question, -hits, passage
         for batch in batches:
-            passage, lists = batch.column(0).to_numpy(), batch.column(1)
-            found = []
-            for p, tokens in zip(passage.tolist(), lists, strict=True):
-                hit = [postings[x] for x in tokens.as_py() or () if x in postings]
-                if hit:
-                    n = np.bincount(np.concatenate(hit))
-                    q = np.flatnonzero(n)
-                    found.append(np.stack([q, -n[q], np.full(len(q), p)], axis=1))
-                if len(found) >= 2048:
-                    kept, found = top(np.concatenate([kept, *found])), []
-            if found:
-                kept = top(np.concatenate([kept, *found]))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                lists = part.column(1)
+                row = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
+                code = pc.index_in(lists.flatten(), tokens)
+                held = np.asarray(code.is_valid())
+                row, code = row[held], np.asarray(code.drop_null())
+                n = ends[code + 1] - ends[code]
+                at = np.repeat(ends[code] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                hits = np.bincount(np.repeat(row, n) * len(ids) + asked[at], minlength=len(lists) * len(ids)).reshape(len(lists), len(ids))
+                least = np.maximum(np.partition(hits, -k, axis=0)[-k], 1) if len(lists) > k else 1
+                p, q = np.nonzero(hits >= least)
+                kept = top(np.concatenate([kept, np.stack([q, -hits[p, q], part.column(0).to_numpy()[p]], axis=1)]))
         yield pa.RecordBatch.from_arrays([pa.array(ids[kept[:, 0]]), pa.array(kept[:, 2]), pa.array(-kept[:, 1])], names=["question_id", "passage_id", "hits"])
 
     return best
@@ -76,7 +82,9 @@ def lexical_top(questions: DataFrame, passages: DataFrame, k: int = 12) -> DataF
             for x in r.tokens or ():
                 postings.setdefault(x, []).append(i)
         ids = np.array([r.question_id for r in rows], np.int64)
-        shared = spark.sparkContext.broadcast((ids, {x: np.array(v) for x, v in postings.items()}))
+        ends = np.cumsum([0, *map(len, postings.values())])
+        asked = np.array([i for v in postings.values() for i in v], np.int64)
+        shared = spark.sparkContext.broadcast((ids, pa.array(list(postings), pa.string()), ends, asked))
         part = passages.select(F.col("passage_id").cast("long"), "tokens").mapInArrow(_best_of_task(shared, k), "question_id long, passage_id long, hits long")
         out = part if out is None else out.unionAll(part)
     scored = out.join(questions.select("question_id", F.size("tokens").alias("n")), "question_id").select("question_id", "passage_id", (F.col("hits") / F.col("n")).alias("lexical"))

@@ -255,8 +255,11 @@ w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY
 SELECT r.l_partkey, r.l_orderkey, r.l_linenumber, (CASE WHEN r.dd <> w.dd THEN 1 ELSE 0 END + CASE WHEN r.ww <> w.ww THEN 1 ELSE 0 END)::BIGINT AS n_differ FROM r JOIN w ON r.l_partkey = w.l_partkey WHERE (r.dd <> w.dd OR r.ww <> w.ww) AND NOT (r.l_orderkey = w.l_orderkey AND r.l_linenumber = w.l_linenumber)""")
 def contradiction_pairs(spark, d):
     """Statements whose values differ from the first one about the same part."""
-    r = _rendered(spark, d).select("l_partkey", "l_orderkey", "l_linenumber", t.by_unit(t.numeric_facts(F.col("txt"))).alias("u"))
-    w = r.groupBy("l_partkey").agg(F.min_by("u", F.struct("l_orderkey", "l_linenumber")).alias("wu"))
+    units = t.by_unit(t.numeric_facts(F.col("txt")))
+    rows = _rendered(spark, d).select("l_partkey", "l_orderkey", "l_linenumber", "txt")
+    first = rows.groupBy("l_partkey").agg(F.min(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("first"))  # a line's number is below 8
+    w = rows.join(first, "l_partkey").where("l_orderkey * 8 + l_linenumber = first").select("l_partkey", units.alias("wu"))
+    r = rows.select("l_partkey", "l_orderkey", "l_linenumber", units.alias("u"))
     differs = F.size(t.contradictions(F.col("wu"), F.col("u"))).cast("long")
     return r.join(w, "l_partkey").select("l_partkey", "l_orderkey", "l_linenumber", differs.alias("n_differ")).where("n_differ > 0")
 
