@@ -87,31 +87,37 @@ def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = Non
     blocks, that hold none of what they exclude; without ``passages`` they are met by none.
     """
     one, item = ["question_id", "clause"], ["question_id", "clause", "item"]
+    few = F.broadcast if asked.count() <= SENT else lambda df: df
     size = asked.groupBy(*item, "negated").agg(F.count("*").alias("n_words"))
-    clause = size.groupBy(*one).agg(F.count_if(~F.col("negated")).alias("n_items"))
-    needed = asked.select("stem").distinct()
-    used = index.join(needed, "stem", "left_semi")
+    stems = asked.groupBy(*one).agg(F.count_distinct("stem").alias("n_stems"))
+    clause = size.groupBy(*one).agg(F.count_if(~F.col("negated")).alias("n_items"), F.max("n_words").alias("longest"), F.max("negated").alias("excludes")).join(stems, one)
+    # clauses of a few single words are settled by their rare stems
+    clause = cut(clause.withColumn("plain", (F.col("longest") == 1) & ~F.col("excludes") & (F.col("n_stems") <= RAREST)))
+    used = index.join(few(asked.select("stem").distinct()), "stem", "left_semi")
     df = used.groupBy("stem").agg(F.count("*").alias("df"))
     rare = asked.where("NOT negated").join(df, "stem", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rare.dropDuplicates([*one, "stem"]).withColumn("_r", F.row_number().over(Window.partitionBy(*one).orderBy("df", "stem"))).where(F.col("_r") <= RAREST)
-    rare = rare.withColumn("_n", F.count("*").over(Window.partitionBy(*one))).select(*one, "stem", "_n")
-    found = rare.join(used, "stem").groupBy(*one, "passage_id").agg(F.count("*").alias("_met"), F.first("_n").alias("_n")).where("_met = _n").select(*one, "passage_id")
+    rare = cut(rare.withColumn("_n", F.count("*").over(Window.partitionBy(*one))).select(*one, "stem", "_n"))
+    found = used.select("stem", "passage_id").join(few(rare), "stem").groupBy(*one, "passage_id").agg(F.count("*").alias("_met"), F.first("_n").alias("_n")).where("_met = _n").select(*one, "passage_id")
     if passages is not None:
         empty = clause.where("n_items = 0").select(*one)
         blocks = max(1, -(-empty.count() // BLOCK))
         for b in range(blocks):
             block = empty.where(F.pmod(F.xxhash64(*one), F.lit(blocks)) == b)
             found = found.unionByName(passages.select("passage_id").crossJoin(F.broadcast(block)).select(*one, "passage_id"))
-    hits = found.join(asked, one).join(used, ["stem", "passage_id"])
-    starts = F.transform("positions", lambda p: p - F.col("at"))
-    hits = hits.select(*item, "negated", "passage_id", starts.alias("starts"))
-    held = hits.groupBy(*item, "negated", "passage_id").agg(F.count("*").alias("n"), F.collect_list("starts").alias("s")).join(size, [*item, "negated"]).where("n = n_words")
+    found = cut(found.join(few(clause.select(*one, "n_items", "plain")), one))
+    open_ = found.where("NOT plain")
+    # places only where words must follow one another
+    named = asked.join(size, [*item, "negated"])
+    hits = open_.select(*one, "passage_id").join(few(named), one).join(used, ["stem", "passage_id"])
+    starts = F.when(F.col("n_words") > 1, F.transform("positions", lambda p: p - F.col("at")))
+    held = hits.select(*item, "negated", "n_words", "passage_id", starts.alias("starts")).groupBy(*item, "negated", "n_words", "passage_id").agg(F.count("*").alias("n"), F.collect_list("starts").alias("s")).where("n = n_words")
     # the words of an item follow one another where one start suits them all
     together = F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), lambda a, x: F.array_intersect(a, x))
     held = held.where((F.col("n_words") == 1) | (F.size(together) > 0))
     met = held.groupBy(*one, "passage_id").agg(F.count_if(~F.col("negated")).alias("met"), F.count_if(F.col("negated")).alias("bad"))
-    out = found.join(clause, one).join(met, [*one, "passage_id"], "left")
-    return out.where("coalesce(met, 0) = n_items AND coalesce(bad, 0) = 0").select(*one, "passage_id")
+    out = open_.join(met, [*one, "passage_id"], "left").where("coalesce(met, 0) = n_items AND coalesce(bad, 0) = 0")
+    return out.select(*one, "passage_id").unionByName(found.where("plain").select(*one, "passage_id"))
 
 
 def density(met: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
