@@ -179,16 +179,18 @@ def test_stream(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ingest_stream, "COMPACT", 2)
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "id string, content_hash string, seq long"
+    kept = "id string, content_hash string, seq long, status string, batch long"
+    state = lambda n: sorted((r.id, r.content_hash, r.status) for r in ingest_stream.current(spark, out, n, kept).collect())
     steps = [[("a", "9", 1), ("a", "2", 2), ("b", "1", 1)], [("c", "1", 3)], [("a", "2", 4), ("b", "5", 4)], [("b", "6", 5)], [("d", "1", 6)]]
     for i, rows in enumerate(steps):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
         units = spark.readStream.schema(schema).parquet(src)
         ingest_stream.start(units, out, str(tmp_path / "cp")).awaitTermination()
-    kept = "id string, content_hash string, seq long, status string, batch long"
-    state = lambda n: sorted((r.id, r.content_hash, r.status) for r in ingest_stream.current(spark, out, n, kept).collect())
-    assert state(0) == [] and state(1) == [("a", "2", "active"), ("b", "1", "active")]
+        if i == 0:
+            assert state(0) == [] and state(1) == [("a", "2", "active"), ("b", "1", "active")]
     assert state(5) == [("a", "2", "active"), ("b", "6", "active"), ("c", "1", "active"), ("d", "1", "active")]
     assert spark.read.parquet(f"{out}/delta/2").count() == 1  # the unchanged unit writes nothing
+    assert sorted(x.name for x in (tmp_path / "out" / "delta").iterdir()) == ["2", "3", "4"]  # what the first base replaced is gone
 
 
 def test_near_duplicate_pairs_match_brute_force(spark, tmp_path):

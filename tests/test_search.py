@@ -130,6 +130,7 @@ def test_kept_index_equals_one_made_anew(spark, tmp_path):
             rows = search_index.postings(spark, folder, n + 1, merge=4).collect()
             assert {(r.stem, r.passage_id): tuple(r.positions) for r in rows} == postings_of(live) and len(rows) == len(postings_of(live))
             assert {r[0] for r in search_index.passages(spark, folder, n + 1, merge=4).collect()} == set(live)
+    assert sorted(x.name for x in (tmp_path / "index" / "postings").iterdir()) == ["4", "5", "6", "7", "8", "9", "base-4", "base-8"]  # what base-4 replaced is gone
     asked = {i: random_search(draw) for i in range(12)}
     want = {(q, p) for q, x in asked.items() for p, body in live.items() if brute(x, body) is not None}
     found = search_index.searched(spark, folder, 10, spark.createDataFrame(list(asked.items()), "question_id long, text string"), merge=4)

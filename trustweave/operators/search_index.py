@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fulltext
+from ..scratch import remove
 from . import search
 
 #: Buckets that stems are dealt to, and batches between two merges.
@@ -26,7 +27,8 @@ def _bucket():
 def update(spark: SparkSession, folder: str, n: int, changed: DataFrame, gone: DataFrame | None = None, stem: search.Stem = fulltext.english, merge: int = MERGE) -> None:
     """Batch ``n`` (0, 1, ...): passages written anew (passage_id, text) and passages removed (passage_id). Null and empty texts have no postings.
 
-    A passage that is in both counts as written. Every ``merge`` batches what is left becomes a new base.
+    A passage that is in both counts as written. Every ``merge`` batches what is left becomes a new base, and what the last base but one replaced is deleted; so much is kept
+    that the newest batch can be repeated.
     """
     rows = changed.select("passage_id", "text")
     marks = rows.select("passage_id", F.lit(True).alias("live"))
@@ -34,13 +36,21 @@ def update(spark: SparkSession, folder: str, n: int, changed: DataFrame, gone: D
         marks = marks.unionByName(gone.select("passage_id", F.lit(False).alias("live")))
     marks = marks.groupBy("passage_id").agg(F.max("live").alias("live"))
     made = search.postings(rows, stem).withColumn("batch", F.lit(n).cast("long")).withColumn("bucket", _bucket())
-    made.repartition("bucket", F.pmod(F.xxhash64("passage_id"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/{n}")
+    _write(made.repartition("bucket", F.pmod(F.xxhash64("passage_id"), F.lit(4))), f"{folder}/postings/{n}")
     marks.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/passages/{n}")
     if (n + 1) % merge == 0:
         kind = rows.schema["passage_id"].dataType.simpleString()
-        left, last = postings(spark, folder, n + 1, kind, merge, n + 1 - merge), passages(spark, folder, n + 1, kind, merge, n + 1 - merge)
-        left.withColumn("bucket", _bucket()).repartition("bucket", F.pmod(F.xxhash64("passage_id"), F.lit(4))).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings/base-{n + 1}")
+        base = n + 1 - merge
+        # files hold one bucket each, so what is left of them is written where it was read
+        left, last = _left(spark, folder, n + 1, kind, merge, base).withColumn("batch", F.lit(n).cast("long")), passages(spark, folder, n + 1, kind, merge, base)
+        _write(left, f"{folder}/postings/base-{n + 1}")
         last.withColumn("live", F.lit(True)).withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/passages/base-{n + 1}")
+        old = [f"base-{base - merge}", *map(str, range(base - merge, base))] if base else []
+        remove(spark, [f"{folder}/{table}/{part}" for table in ("postings", "passages") for part in old])
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
 
 def _parts(batches: int, merge: int, base: int | None) -> tuple[list[str], int]:
@@ -62,9 +72,14 @@ def postings(spark: SparkSession, folder: str, batches: int, kind: str = "bigint
 
     A posting counts unless a later batch wrote or removed its passage.
     """
+    rows = _left(spark, folder, batches, kind, merge, base, stems)
+    return spark.createDataFrame([], POSTINGS.format(kind)).drop("batch") if rows is None else rows.select("stem", "passage_id", "positions")
+
+
+def _left(spark: SparkSession, folder: str, batches: int, kind: str, merge: int, base: int | None, stems: DataFrame | None = None) -> DataFrame | None:
     parts, base = _parts(batches, merge, base)
     if not parts:
-        return spark.createDataFrame([], POSTINGS.format(kind)).drop("batch")
+        return None
     schema = POSTINGS.format(kind) + ", bucket int"
     read = lambda p: spark.read.schema(schema).parquet(f"{folder}/postings/{p}")
     if stems is not None:
@@ -78,8 +93,9 @@ def postings(spark: SparkSession, folder: str, batches: int, kind: str = "bigint
     if len(parts) > 1:
         marks = spark.read.schema(PASSAGES.format(kind)).parquet(*[f"{folder}/passages/{p}" for p in parts[1:]])
         last = marks.groupBy("passage_id").agg(F.max("batch").alias("last"))
-        rows = rows.join(last, "passage_id", "left").where("last IS NULL OR batch >= last")
-    return rows.select("stem", "passage_id", "positions")
+        last = F.broadcast(last) if last.count() <= search.SENT else last
+        rows = rows.join(last, "passage_id", "left").where("last IS NULL OR batch >= last").drop("last")
+    return rows
 
 
 def searched(spark: SparkSession, folder: str, batches: int, searches: DataFrame, kind: str = "bigint", stem: search.Stem = fulltext.english, merge: int = MERGE) -> DataFrame:

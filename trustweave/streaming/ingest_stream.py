@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..operators import search_index
 from ..operators.ingest import classify
+from ..scratch import remove
 
 #: After so many micro-batches their changes are merged into a new base, so a batch reads one base and fewer deltas than this.
 COMPACT = 50
@@ -29,7 +30,7 @@ def current(spark: SparkSession, folder: str, batches: int, schema, base: int |
 def start(units: DataFrame, folder: str, checkpoint: str, order: str = "seq", index: str | None = None, text: str = "body"):
     """Apply a stream of (id, content_hash, ...) to the documents under ``folder``; ``order`` says which of an id's units is the newest.
 
-    Batch n writes the rows that it changes under ``delta/n`` and nothing else (every ``COMPACT`` batches also a base), reads only what
+    Batch n writes the rows that it changes under ``delta/n`` and nothing else (every ``COMPACT`` batches also a base, and deletes what the base before replaced), reads only what
     earlier batches wrote, and overwrites its own output when it is repeated after a failure, so its result is the same. Of units with one
     id and order the larger content hash counts. Runs over what is there and ends. With ``index`` the search index under that folder follows: batch n is its
     batch n, with the passages of ``text``.
@@ -45,6 +46,9 @@ def start(units: DataFrame, folder: str, checkpoint: str, order: str = "seq", in
             written = spark.read.schema(kept).parquet(f"{folder}/delta/{n}")
             search_index.follow(spark, index, n, written.withColumn("change", F.lit("changed")), text=text)
         if (n + 1) % COMPACT == 0:
-            current(spark, folder, n + 1, kept, n + 1 - COMPACT).write.mode("overwrite").parquet(f"{folder}/base/{n + 1}")
+            base = n + 1 - COMPACT
+            current(spark, folder, n + 1, kept, base).write.mode("overwrite").parquet(f"{folder}/base/{n + 1}")
+            if base:  # what the base before this one replaced; the newest batch can still be repeated
+                remove(spark, [f"{folder}/base/{base - COMPACT}", *(f"{folder}/delta/{k}" for k in range(base - COMPACT, base))])
 
     return units.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
