@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from itertools import chain, pairwise
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 768
+#: Texts whose vectors are made at a time, and grams whose places a task remembers.
+SLICE, KNOWN = 512, 500_000
+_TOKEN = re.compile("[a-z0-9€£%]+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,28 +34,38 @@ def rescale(similarity: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.greatest(F.lit(0.0), similarity) - 0.45) / 0.4))
 
 
-def hash_places(text: Column, size: int = SIZE) -> Column:
-    """Place and sign of every token and bigram by its md5: arrays of struct(place, sign)."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9€£%]+)"), 1)
-    n = F.size(tokens)
-    grams = F.concat(tokens, F.transform(F.slice(tokens, 2, F.greatest(n - 1, F.lit(0))), lambda t, i: F.concat_ws("_", F.get(tokens, i), t)))
-    word = lambda h, k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
+def _hashed(size: int):
+    """Vectors of each batch of (key, lower-case text); the places of grams are remembered, for most come again."""
 
-    def place(g):
-        h = F.md5(g)
-        at = F.lit(0).cast("long")
-        for k in range(4):
-            at = (at * (2**32 % size) + word(h, k)) % size
-        sign = F.when((F.shiftright(word(h, 3), 20).bitwiseAND(1)) == 1, 1.0).otherwise(-1.0)
-        return F.struct(at.cast("int").alias("place"), sign.alias("sign"))
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                out = np.zeros((part.num_rows, size))
+                for row, text in enumerate(part.column(1).to_pylist()):
+                    tokens = _TOKEN.findall(text or "")
+                    places, signs = [], []
+                    for gram in chain(tokens, map("_".join, pairwise(tokens))):
+                        if gram not in known:
+                            if len(known) > KNOWN:
+                                known.clear()
+                            h = int.from_bytes(hashlib.md5(gram.encode(), usedforsecurity=False).digest())
+                            known[gram] = h % size, 1.0 if h >> 20 & 1 else -1.0
+                        place, sign = known[gram]
+                        places.append(place)
+                        signs.append(sign)
+                    if places:
+                        out[row] = np.bincount(places, signs, size)
+                norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out /= np.where(norm == 0, 1, norm)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * size), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], names=["key", "vector"])
 
-    return F.transform(grams, place)
+    return run
 
 
 def hashed_embeddings(rows: DataFrame, key: str, text: str, size: int = SIZE) -> DataFrame:
-    """(key, vector): signed counts of hashed tokens and bigrams, of length one (a text without tokens stays zero)."""
-    places = rows.select(key, F.explode_outer(hash_places(F.col(text), size)).alias("p"))
-    sums = places.groupBy(key, "p.place").agg(F.sum("p.sign").alias("x")).where("place IS NOT NULL")
-    found = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")), F.lit(0.0)))
-    return rows.select(key).join(found, key, "left").select(key, dense.alias("vector"))
+    """(key, vector): signed counts of hashed tokens and bigrams, of length one (a text without tokens stays zero). Vectors are made where their text is read."""
+    texts = rows.select(F.col(key).alias(key), F.lower(text).alias("_text"))
+    return texts.mapInArrow(_hashed(size), f"key {texts.schema[key].dataType.simpleString()}, vector array<double>").withColumnRenamed("key", key)

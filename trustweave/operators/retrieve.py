@@ -15,6 +15,8 @@ from . import cells
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
+#: Tokens of a block of questions, which bound what is sent.
+TOKENS = 1_000_000
 #: Passages that are compared with a block of questions at a time.
 SLICE = 512
 
@@ -73,7 +75,8 @@ def lexical_top(questions: DataFrame, passages: DataFrame, k: int = 12) -> DataF
     what is shuffled is that and not the pairs that share a word. Returns question_id, passage_id, lexical and rank; ties go to the smaller passage_id.
     """
     spark = questions.sparkSession
-    blocks = max(1, -(-questions.count() // BLOCK))
+    n, tokens = questions.agg(F.count("*"), F.sum(F.size("tokens"))).first()
+    blocks = max(1, -(-n // BLOCK), -(-(tokens or 0) // TOKENS))
     out = None
     for b in range(blocks):
         rows = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b).select("question_id", "tokens").collect()  # BLOCK rows or so

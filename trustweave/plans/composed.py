@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import text as t
 from ..functions import vectors as v
-from ..operators import analyse, answer, cells, ingest, lifecycle, phrases, reputation, retrieve, standing, trust, understand
+from ..operators import analyse, answer, ask, cells, ingest, lifecycle, phrases, reputation, retrieve, standing, trust, understand
+from ..scratch import cut as scratch_cut
 from ..sources import connectors
 from .extended import _CAND, _candidates
 from .queries import _CONTENT, _DIFFER, _LINES, AS_OF, _calls, _t, query
@@ -452,3 +453,38 @@ def kept_standing(spark, d):
     asks = spark.createDataFrame([(1, ["t0", "t1"], "A"), (2, ["t1"], None), (3, ["t2", "t3"], "B")], "ask_id int, topics array<string>, country string")
     people = edges.select(F.col("person_id").alias("id")).distinct().withColumn("seniority_years", (F.col("id") % 14).cast("int"))
     return standing.scored(state, asks, people, AS_OF).select("ask_id", "person_id", "events", F.round("normalised", 6).alias("normalised"))
+
+
+def _corpus(spark, d):
+    """Documents as a corpus: one passage each, customers for people, orders for what those did with documents."""
+    docs, people, orders = (_t(spark, d, x) for x in ("documents", "customer", "orders"))
+    n = people.agg(F.max("c_custkey")).first()[0] or 1
+    k = F.col("doc_id")
+    who = lambda x: (F.pmod(x, F.lit(n)) + 1).cast("string")
+    kind = F.get(F.array(*map(F.lit, ("policy", "wiki", "chat", "procedure", "email", "meeting"))), (k % 6).cast("int"))
+    place = F.when(F.col("lang") == "de", "DE").when(F.col("lang") == "fr", "FR").when(F.col("lang") == "en", "UK")
+    topics = understand.topics_of(F.col("text"), _ASKED)
+    rows = docs.select(
+        k.cast("string").alias("id"), F.concat(F.lit("Note of "), "source").alias("title"), kind.alias("doc_type"), place.alias("country"), F.lit(None).cast("string").alias("client"), topics.alias("topics"),
+        F.when(k % 7 != 0, who(k)).alias("owner_id"), F.when(k % 14 != 0, who(k * 31)).alias("author_id"), F.date_add(F.lit(config.AS_OF).cast("date"), -(k * 37 % 1500).cast("int")).alias("updated_at"), F.lit(None).cast("date").alias("validated_at"),
+        (k % 14 != 0).alias("date_known"), F.when(k % 9 == 0, (k + 1).cast("string")).alias("supersedes_id"), F.when(k % 11 == 0, "archived").otherwise("active").alias("status"), "text", k.alias("chunk_id"),
+    )
+    rows = scratch_cut(rows)
+    chunks = rows.select("chunk_id", F.col("id").alias("document_id"), F.lit("Text").alias("section"), F.coalesce("text", F.lit("")).alias("text"), "topics")
+    staff = people.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"), F.lit("Consultant").alias("role"), (F.col("c_acctbal") >= 0).alias("active"), (F.col("c_custkey") % 14).cast("int").alias("seniority_years"))
+    edges = orders.select(F.col("o_custkey").cast("string").alias("person_id"), F.when(F.col("o_orderstatus") == "F", "owns").otherwise("edited").alias("rel"), F.lit("doc").alias("dst_kind"), (F.col("o_orderkey") % 1000).cast("string").alias("dst_id"), F.to_date("o_orderdate").alias("at"))
+    return ask.Corpus(chunks, rows.drop("text", "chunk_id"), staff, edges)
+
+
+_ASKED = [("motion", "to"), ("place", "in"), ("german", "der"), ("german", "und"), ("french", "les"), ("spanish", "para"), ("grammar", "of the")]
+#: Places of the vectors that stand for texts in ``asked_items``.
+_PLACES = 256
+
+
+@query()
+def asked_items(spark, d):
+    """SURVEY 3.1: every benchmark item asked as a question of all documents, from its context to status, confidence and leading passage (scenarios are tested on a corpus of their own)."""
+    items = _t(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(None).cast("string").alias("profile_country"), F.lit(None).cast("string").alias("profile_name"))
+    embed = lambda rows, key, text: v.hashed_embeddings(rows, key, text, _PLACES)
+    out = ask.ask(items, _corpus(spark, d), ask.Rules(_ASKED), embed=embed)
+    return out.sections.select("question_id", "sub_no", "status", F.round("confidence", 3).alias("confidence"), "doc_id", "chunk_id")

@@ -163,7 +163,12 @@ def knn_cosine_topk(spark, d):
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query("""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9€£%]+') AS w FROM benchmark),
+h AS (SELECT item_id, md5(g) AS h FROM (SELECT item_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS g FROM t)),
+c AS (SELECT item_id, ('0x' || h[1:8])::BIGINT AS a, ('0x' || h[9:16])::BIGINT AS b, ('0x' || h[17:24])::BIGINT AS c, ('0x' || h[25:32])::BIGINT AS d FROM h),
+s AS (SELECT item_id, (((a % 768 * 256 + b) % 768 * 256 + c) % 768 * 256 + d) % 768 AS place, sum(CASE WHEN (d >> 20) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM c GROUP BY 1, 2),
+n AS (SELECT item_id, sqrt(sum(x * x)) AS norm FROM s GROUP BY 1), i AS (SELECT item_id, unnest(range(768)) AS place FROM benchmark)
+SELECT i.item_id, list(coalesce(x / CASE WHEN norm = 0 THEN 1 ELSE norm END, 0) ORDER BY i.place) AS vector FROM i LEFT JOIN s ON i.item_id = s.item_id AND i.place = s.place LEFT JOIN n ON n.item_id = i.item_id GROUP BY 1""")
 def hashed_embedding(spark, d):
     """V2: hashed embeddings of the benchmark items (tested against a plain loop)."""
     return v.hashed_embeddings(_t(spark, d, "benchmark"), "item_id", "text")
