@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from trustweave.llm import exact_dedup, resample, skew, vector_codes
 
-DOCS = "doc_id long, text string, n long, p long, sha string, kept string, Keep_ID int, rank int, buckets int"
+DOCS = "doc_id long, text string, n long, p long, sha string, kept string, Keep_ID int, rank int, buckets int, won int, rows int, h int"
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def frame(spark, rows):
     """Rows (doc_id, text) with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, x, 1, 2, "s", "yes", 4, 5, 6) for i, x in rows], DOCS).repartition(3)
+    return spark.createDataFrame([(i, x, 1, 2, "s", "yes", 4, 5, 6, 7, 8, 9) for i, x in rows], DOCS).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,7 @@ def test_exact_duplicates(spark, rows, monkeypatch, sent):
     monkeypatch.setattr(skew, "SENT", sent)
     monkeypatch.setattr(skew, "HOT", 30)  # some keys are heavy, others not
     got = exact_dedup.exact_duplicates(frame(spark, rows))
-    assert got.columns == ["doc_id", "text", "n", "p", "sha", "rank", "buckets", "keep_id", "group_size", "kept"]
+    assert got.columns == ["doc_id", "text", "n", "p", "sha", "rank", "buckets", "won", "rows", "h", "keep_id", "group_size", "kept"]
     found = got.collect()
     assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in found) == brute_copies(rows)
     assert sum(r.kept for r in found) == len({WS.sub("", x or "") for _, x in rows})

@@ -36,7 +36,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     unless the caller takes it from the result.
     """
     docs = docs.drop("keep_id", "group_size", "kept")
-    n, p, sha, chars, best, size, ties, salt, word, bits = free(docs.columns, "n", "p", "sha", "chars", "best", "size", "ties", "salt", "word", "bits")
+    n, p, sha, chars, best, size, ties, salt, word, bits, won = free(docs.columns, "n", "p", "sha", "chars", "best", "size", "ties", "salt", "word", "bits", "won")
     bare = normalised(F.col("text"))
     shape = [F.length(bare).alias(n), F.xxhash64(F.substring(bare, 1, PREFIX)).alias(p)]
     # one narrow row for a length and prefix; the plan below uses its shuffle twice
@@ -54,14 +54,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     # equal rows first, so that it is known how many tie for the best
     same = rows.where(F.col(sha).isNotNull()).groupBy(sha, best).agg(F.count("*").alias("rows"))
     groups = same.groupBy(sha).agg(F.sum("rows").alias(size), F.max(F.struct(F.col(best).alias("o"), F.col("rows").alias("r"))).alias("m")).where(F.col(size) > 1)
-    groups = cut(groups.select(sha, size, F.col("m.o").alias("won"), F.col("m.r").alias(ties)))
+    groups = cut(groups.select(sha, size, F.col("m.o").alias(won), F.col("m.r").alias(ties)))
     out = attach(rows, groups, sha, size)
     known = F.col(size).isNotNull()
     out = out.select(
         *docs.columns,
-        F.when(known, F.when(F.col("won.known"), F.bitwise_not(F.col("won.low")))).otherwise(F.col("doc_id").cast("long")).alias("keep_id"),
+        F.when(known, F.when(F.col(won)["known"], F.bitwise_not(F.col(won)["low"]))).otherwise(F.col("doc_id").cast("long")).alias("keep_id"),
         F.coalesce(size, F.lit(1)).cast("long").alias("group_size"),
-        (~known | (F.col(best) == F.col("won"))).alias("kept"),
+        (~known | (F.col(best) == F.col(won))).alias("kept"),
         F.when(F.col(ties) > 1, F.col(sha)).alias(sha),
     )
     if groups.where(F.col(ties) > 1).isEmpty():
