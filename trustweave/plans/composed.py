@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as t
 from ..functions import vectors as v
 from ..operators import analyse, answer, ask, cells, ingest, lifecycle, phrases, reputation, retrieve, standing, trust, understand
 from ..scratch import cut as scratch_cut
+from ..scratch import folder as scratch_folder
 from ..sources import connectors
 from .extended import _CAND, _candidates
 from .queries import _CONTENT, _DIFFER, _LINES, AS_OF, _calls, _t, query
@@ -488,3 +491,56 @@ def asked_items(spark, d):
     embed = lambda rows, key, text: v.hashed_embeddings(rows, key, text, _PLACES)
     out = ask.ask(items, _corpus(spark, d), ask.Rules(_ASKED), embed=embed)
     return out.sections.select("question_id", "sub_no", "status", F.round("confidence", 3).alias("confidence"), "doc_id", "chunk_id")
+
+
+_CLIENTS, _STAFF, _TEAMS = [(1, "Les", "FR"), (2, "und", "DE")], [(1, "in the", "Les"), (2, "para", "und")], [(1, "A", "tion"), (1, "A", "ment"), (2, "B", "ung"), (2, "B", "der"), (3, "C", "que")]
+_rows = lambda table: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in table)
+_BOUNDED = "regexp_matches(lower(t), '(^|[^a-z])' || lower({0}) || '([^a-z]|$)')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source || ' ' || text AS t, doc_id % 5 = 0 AS has_topics, doc_id % 4 = 0 AS has_country, doc_id % 6 = 0 AS has_client, doc_id % 3 = 0 AS has_team FROM documents),
+tr AS (SELECT * FROM (VALUES {_rows(_ASKED)}) AS x(topic, keyword)), cl AS (SELECT * FROM (VALUES {_rows(_CLIENTS)}) AS x(p, client, country)), em AS (SELECT * FROM (VALUES {_rows(_STAFF)}) AS x(p, employee, client)),
+co AS (SELECT * FROM (VALUES {_rows(understand.rules(config.COUNTRIES))}) AS x(p, country, keyword)), te AS (SELECT * FROM (VALUES {_rows(_TEAMS)}) AS x(p, team, keyword)),
+t1 AS (SELECT doc_id, list(topic ORDER BY len DESC, topic DESC) AS topics FROM (SELECT doc_id, topic, max(length(keyword)) AS len FROM d, tr WHERE {_BOUNDED.format('keyword')} GROUP BY 1, 2) GROUP BY 1),
+c1 AS (SELECT doc_id, arg_min(client, p) AS client FROM d, cl WHERE {_BOUNDED.format('client')} GROUP BY 1), e1 AS (SELECT doc_id, arg_min(client, p) AS client FROM d, em WHERE {_BOUNDED.format('employee')} GROUP BY 1),
+k1 AS (SELECT doc_id, arg_min(country, p) AS country FROM d, co WHERE {_BOUNDED.format('keyword')} GROUP BY 1),
+m1 AS (SELECT doc_id, arg_max(team, (hits, -p)) AS team FROM (SELECT doc_id, team, count(*) AS hits, min(p) AS p FROM d, te WHERE contains(lower(t), keyword) GROUP BY 1, 2) GROUP BY 1)
+SELECT d.doc_id, CASE WHEN has_topics THEN 'given' ELSE array_to_string(coalesce(topics, []), ',') END AS topics, CASE WHEN has_client THEN 'C' ELSE coalesce(c1.client, e1.client) END AS client,
+CASE WHEN has_country THEN 'XX' ELSE coalesce(cl.country, k1.country) END AS country, CASE WHEN has_team THEN 'T' ELSE team END AS team
+FROM d LEFT JOIN t1 USING (doc_id) LEFT JOIN c1 USING (doc_id) LEFT JOIN e1 USING (doc_id) LEFT JOIN k1 USING (doc_id) LEFT JOIN m1 USING (doc_id) LEFT JOIN cl ON cl.client = coalesce(c1.client, e1.client)""")
+def text_enrichment(spark, d):
+    """Topics, client, country and team of documents from their texts where none are given."""
+    k = F.col("doc_id")
+    given = lambda n, x: F.when(k % n == 0, x)
+    docs = _t(spark, d, "documents").select(k, F.col("source").alias("title"), F.col("text").alias("body"), given(5, F.array(F.lit("given"))).alias("topics"), given(6, "C").alias("client"), given(4, "XX").alias("country"), given(3, "T").alias("team"))
+    return ingest.enrich_text(docs, _ASKED, _CLIENTS, _STAFF, _TEAMS).select("doc_id", F.array_join("topics", ",").alias("topics"), "client", "country", "team")
+
+
+_PHRASES = ["Runs are free of charge.", "A run is charged.", "Correction runs are not available.", "A correction run can be requested.", "There are no exceptions.", "Exceptions are allowed.", "Only bank details can be handled after the cutoff.", "It costs extra, but is free.", ""]
+_ADDED = "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
+_sql = lambda x: "'" + x.replace("'", "''") + "'"
+_FACTS_OF = ", ".join(f"CASE {' '.join(f'WHEN regexp_matches(lower(t), {_sql(p)}) THEN {_sql(key + chr(61) + value)}' for p, value in options)} END" for key, options in t.KEY_FACTS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || ' ' || {_ADDED} AS t FROM documents) SELECT doc_id, array_to_string(list_filter([{_FACTS_OF}], lambda x: x IS NOT NULL), ',') AS facts FROM d""")
+def key_fact_extract(spark, d):
+    """key facts that texts state, by the fixed table."""
+    said = _t(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), F.expr(_ADDED)).alias("t"))
+    return said.select("doc_id", F.array_join(t.key_facts(F.lower("t"), t.KEY_FACTS), ",").alias("facts"))
+
+
+@query("""WITH p AS (SELECT count(*) AS n FROM customer), e AS (SELECT sum(CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END) AS n FROM orders),
+b AS (SELECT count(*) AS n, sum(length('order ' || o_orderkey || chr(10) || chr(10) || '## Status' || chr(10) || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || '## Priority' || chr(10) || o_orderpriority || chr(10) ELSE '' END)) AS size, sum(1 + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS chunks FROM orders)
+SELECT 'people' AS name, n::BIGINT AS n, NULL::BIGINT AS size FROM p UNION ALL SELECT 'edges', n::BIGINT, NULL FROM e UNION ALL SELECT 'documents', n, size::BIGINT FROM b UNION ALL SELECT 'chunks', chunks::BIGINT, NULL FROM b""")
+def rebuilt_tables(spark, d):
+    """All tables of a corpus written anew, and read back."""
+    k = F.col("o_orderkey")
+    section = lambda head, c: F.struct(F.lit(head).alias("heading"), F.array(c).alias("sentences"))
+    sections = F.array(section("Status", "o_orderstatus"), F.struct(F.lit("Priority").alias("heading"), F.when(k % 2 == 0, F.array("o_orderpriority")).otherwise(F.array().cast("array<string>")).alias("sentences")))
+    day = F.to_date("o_orderdate")
+    docs = _t(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("order "), k).alias("title"), F.array(F.lit("t")).alias("topics"), sections.alias("sections"), F.when(k % 3 != 0, F.col("o_custkey")).alias("owner_id"), F.when(k % 4 != 0, F.col("o_custkey")).alias("author_id"), day.alias("created_at"), day.alias("updated_at"))
+    people = _t(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    edges = _t(spark, d, "orders").where(k % 10 == 0).select(F.col("o_custkey").alias("person_id"), F.lit("listed").alias("rel"), F.lit("topic:t").alias("dst"), day.alias("at"))
+    made = ingest.rebuild(docs, people, edges, f"{scratch_folder(spark)}/{uuid.uuid4().hex}")
+    count = lambda name, size=None: made[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"), (F.lit(None) if size is None else F.sum(size)).cast("long").alias("size"))
+    return count("people").unionByName(count("edges")).unionByName(count("documents", F.length("body"))).unionByName(count("chunks")).select("name", "n", "size")
