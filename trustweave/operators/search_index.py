@@ -36,7 +36,8 @@ def update(spark: SparkSession, folder: str, n: int, changed: DataFrame, gone: D
         marks = marks.unionByName(gone.select("passage_id", F.lit(False).alias("live")))
     marks = marks.groupBy("passage_id").agg(F.max("live").alias("live"))
     made = search.postings(rows, stem).withColumn("batch", F.lit(n).cast("long")).withColumn("bucket", _bucket())
-    _write(made.repartition("bucket", F.pmod(F.xxhash64("passage_id"), F.lit(4))), f"{folder}/postings/{n}")
+    # a bucket's postings lie together, in as many files as their size asks for
+    _write(made.hint("rebalance", F.col("bucket")), f"{folder}/postings/{n}")
     marks.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/passages/{n}")
     if (n + 1) % merge == 0:
         kind = rows.schema["passage_id"].dataType.simpleString()
