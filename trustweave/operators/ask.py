@@ -88,7 +88,7 @@ def pool(subs: DataFrame, corpus: Corpus, embed: Embed = hashed_embeddings, inde
     asked = cut(embed(texts, "query_id", "text"))
     found = retrieve.candidates(asked, chunks.select("chunk_id", "document_id", "vector"), docs.select("document_id", "status"), words)
     fused = retrieve.reciprocal(found.join(texts.select("query_id", "sub_id", "query_no"), "query_id"))
-    rows = fused.join(subs, "sub_id").join(chunks, "chunk_id").join(docs, "document_id").withColumnRenamed("document_id", "doc_id")
+    rows = chunks.join(retrieve.few(cut(fused.join(subs, "sub_id"))), "chunk_id").join(docs, "document_id").withColumnRenamed("document_id", "doc_id")
     lex = retrieve.overlap(F.col("text"), F.col("section"), F.col("body"), F.col("title"))
     lex = retrieve.key_boost(lex, t.fact_keys(F.col("text")), t.fact_keys(F.col("body")))
     hit = F.coalesce(F.arrays_overlap("topics", "chunk_topics"), F.lit(False))

@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions.text import content_tokens
 from ..functions.vectors import cosine
+from ..scratch import cut
 from . import cells
 
 #: Questions are taken in blocks of this many, so the side that is broadcast has a fixed bound.
 BLOCK = 2000
+#: Candidates that are sent to the chunks, so that no vector is shuffled for them; more are joined.
+FEW = 200_000
 #: Tokens of a block of questions, which bound what is sent.
 TOKENS = 1_000_000
 #: Passages that are compared with a block of questions at a time.
@@ -30,6 +33,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
     return cells.exact(queries, chunks, k)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A written table, sent to the tasks in a join if it has ``FEW`` rows at most."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def fuse(ranked: DataFrame, offset: int = 20) -> DataFrame:
     """Reciprocal rank fusion of (query_id, chunk_id, rank from 0, weight): query_id, chunk_id, rrf."""
     return ranked.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") / (offset + F.col("rank"))), 9).alias("rrf"))
@@ -103,8 +111,9 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, ranked:
     """
     live = chunks.join(docs.where("status IN ('active', 'needs_update')"), "document_id")
     near = knn(questions, live.select("chunk_id", "vector"), k).select("query_id", "chunk_id")
-    both = near.unionByName(ranked.select("query_id", "chunk_id")).distinct().join(ranked.select("query_id", "chunk_id", "fts"), ["query_id", "chunk_id"], "left")
-    rows = both.join(questions.select("query_id", F.col("vector").alias("_q")), "query_id").join(live, "chunk_id")
+    words = ranked.select("query_id", "chunk_id", "fts")
+    both = cut(near.withColumn("fts", F.lit(0.0)).unionByName(words).groupBy("query_id", "chunk_id").agg(F.max("fts").alias("fts")))
+    rows = live.join(few(both), "chunk_id").join(questions.select("query_id", F.col("vector").alias("_q")), "query_id")
     return rows.withColumn("sim", F.round(cosine(F.col("_q"), F.col("vector")), 6)).withColumn("fts", F.coalesce("fts", F.lit(0.0))).drop("_q", "vector")
 
 
