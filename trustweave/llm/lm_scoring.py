@@ -43,17 +43,24 @@ _END = np.uint64(0x1B873593CC9E2D51)
 
 
 def _tokens(buf, at):
-    """Hash, tail and row of every token, the end of each row included, in order."""
+    """Hash and row of every token, the end of each row included, in order; and a function that gives the tails of some of them."""
     low = tk.LOWER[buf]
     start, end, row = tk.words(low, at)
     rows = len(at) - 1
-    if len(start):
-        h = tk.Prefix(low)
-        word, tail = h(start, end), (h(np.maximum(start, end - 4), end) % np.uint64(TAILS)).astype(np.int64)
-    else:
-        word, tail = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = tk.Prefix(low) if len(start) else None
+    word = h(start, end) if len(start) else np.zeros(0, np.uint64)
     stop = np.cumsum(np.bincount(row, minlength=rows))  # an end after each row's words
-    return np.insert(word, stop, _END), np.insert(tail, stop, 0), np.insert(row, stop, np.arange(rows))
+    start, end = np.insert(start, stop, -1), np.insert(end, stop, -1)
+
+    def tails(some: np.ndarray) -> np.ndarray:
+        a, b = start[some], end[some]
+        out = np.zeros(len(a), np.int64)
+        real = np.flatnonzero(a >= 0)
+        if len(real):
+            out[real] = (h(np.maximum(a[real], b[real] - 4), b[real]) % np.uint64(TAILS)).astype(np.int64)
+        return out
+
+    return np.insert(word, stop, _END), tails, np.insert(row, stop, np.arange(rows))
 
 
 def _counted(batches):
@@ -70,9 +77,9 @@ def _counted(batches):
     for batch in batches:
         data, offs = tk.column(batch, "text")
         for _, _, buf, at in tk.slices(data, offs):
-            word, tail, _ = _tokens(buf, at)
+            word, tails, _ = _tokens(buf, at)
             word, first, n = np.unique(word, return_index=True, return_counts=True)
-            held.append((word, tail[first], n))
+            held.append((word, tails(first), n))
             size += len(word)
             if size > 2_000_000:
                 yield flush()
@@ -88,18 +95,26 @@ def _encoded(shared):
         own, listed, listed_n, total, vocab = shared.value
         shift = np.log10(total + 0.1 * (vocab + 1))
         known = np.log10(listed_n + 0.1)
+        # where own words are listed, so that only other tokens are looked for among the listed ones
+        spot = np.minimum(np.searchsorted(listed, own[0]), max(0, len(listed) - 1))
+        own_listed = listed[spot] == own[0] if len(listed) else np.zeros(len(own[0]), bool)
+        own_known = np.where(own_listed, known[spot], 0) if len(listed) else np.zeros(len(own[0]))
         task = TaskContext.get()
         rid = (task.partitionId() if task else 0) << 36
         for batch in batches:
             data, offs = tk.column(batch, "text")
             for lo, hi, buf, at in tk.slices(data, offs):
                 rows = hi - lo
-                word, tail, row = _tokens(buf, at)
+                word, tails, row = _tokens(buf, at)
                 i = np.minimum(np.searchsorted(own[0], word), len(own[0]) - 1)
-                ids = np.where(own[0][i] == word, own[1][i], len(own[0]) + tail)
-                i = np.minimum(np.searchsorted(listed, word), max(0, len(listed) - 1))
-                hit = listed[i] == word if len(listed) else np.zeros(len(word), bool)
-                c = np.where(hit, known[i], 0) if len(listed) else np.zeros(len(word))
+                ids, hit, c = own[1][i], own_listed[i], own_known[i]
+                other = np.flatnonzero(own[0][i] != word)
+                ids[other] = len(own[0]) + tails(other)
+                hit[other], c[other] = False, 0
+                if len(listed):
+                    i = np.minimum(np.searchsorted(listed, word[other]), len(listed) - 1)
+                    hit[other] = listed[i] == word[other]
+                    c[other] = np.where(hit[other], known[i], 0)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
                 miss = np.flatnonzero(~hit)
                 order = miss[np.lexsort((word[miss], row[miss]))]
@@ -178,7 +193,7 @@ class Model:
             p = slice(lo, lo + 2048)
             out[p] = _log_softmax(c[p], e, target[p])
         own = np.flatnonzero(ids < self.words)
-        own = own[np.argsort(target[own], kind="stable")]
+        own = own[np.argsort(target[own].astype(np.uint16) if self.classes <= 1 << 16 else target[own], kind="stable")]
         edge = np.searchsorted(target[own], np.arange(len(self.first)))
         for k in np.flatnonzero(np.diff(edge)).tolist():
             members = self.order[self.first[k] : self.first[k + 1]]
@@ -252,7 +267,7 @@ class Moves:
 
     def step(self, model: Model, row: np.ndarray, gradient: np.ndarray, rate: float | None = None) -> None:
         """Move the vectors ``row`` along the gradient (repeated rows add up)."""
-        order = np.argsort(row)
+        order = np.argsort(row.astype(np.uint16) if len(self.uses) <= 1 << 16 else row, kind="stable")  # small numbers are sorted by digits
         row = row[order]
         first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         n = np.diff(np.append(first, len(row)))
