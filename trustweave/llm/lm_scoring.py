@@ -42,7 +42,7 @@ FEATURES, MEMBERS = 64, 256
 _END = np.uint64(0x1B873593CC9E2D51)
 
 
-def _tokens(buf, at):
+def _read(buf, at):
     """Hash and row of every token, the end of each row included, in order; and a function that gives the tails of some of them."""
     low = tk.LOWER[buf]
     start, end, row = tk.words(low, at)
@@ -63,6 +63,12 @@ def _tokens(buf, at):
     return np.insert(word, stop, _END), tails, np.insert(row, stop, np.arange(rows))
 
 
+def _tokens(buf, at):
+    """Hash, tail and row of every token."""
+    word, tails, row = _read(buf, at)
+    return word, tails(np.arange(len(word))), row
+
+
 def _counted(batches):
     held: list[np.ndarray] = []
     size = 0
@@ -77,7 +83,7 @@ def _counted(batches):
     for batch in batches:
         data, offs = tk.column(batch, "text")
         for _, _, buf, at in tk.slices(data, offs):
-            word, tails, _ = _tokens(buf, at)
+            word, tails, _ = _read(buf, at)
             word, first, n = np.unique(word, return_index=True, return_counts=True)
             held.append((word, tails(first), n))
             size += len(word)
@@ -105,7 +111,7 @@ def _encoded(shared):
             data, offs = tk.column(batch, "text")
             for lo, hi, buf, at in tk.slices(data, offs):
                 rows = hi - lo
-                word, tails, row = _tokens(buf, at)
+                word, tails, row = _read(buf, at)
                 i = np.minimum(np.searchsorted(own[0], word), len(own[0]) - 1)
                 ids, hit, c = own[1][i], own_listed[i], own_known[i]
                 other = np.flatnonzero(own[0][i] != word)
