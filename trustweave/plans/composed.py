@@ -15,7 +15,7 @@ from ..scratch import cut as scratch_cut
 from ..scratch import folder as scratch_folder
 from ..sources import connectors
 from .extended import _CAND, _candidates
-from .queries import _CONTENT, _DIFFER, _LINES, AS_OF, _calls, _t, query
+from .queries import _CONTENT, _LINES, AS_OF, _calls, _t, query
 
 _ASK = """CASE item_id % 8 WHEN 0 THEN 'Who owns item ' WHEN 1 THEN 'How do I set up item ' WHEN 2 THEN 'What did we decide on item ' WHEN 3 THEN 'Is there a ticket on item ' WHEN 4 THEN 'What is item '
 WHEN 5 THEN 'Undecided, unchanged: item ' WHEN 6 THEN 'Which Belgian item is ' ELSE 'Item ' END || item_id"""
