@@ -39,7 +39,8 @@ def _met(text: Column, table: list[tuple[int, str, str]], bounded: bool = True)
     """The rules (priority, code, keyword) that a text meets, in order of priority."""
     kind = "array<struct<priority:int,code:string,keyword:string>>"
     every = F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(c).alias("code"), F.lit(k).alias("keyword")) for p, c, k in table)).cast(kind)
-    meets = (lambda low: lambda r: phrase_in(low, r["keyword"])) if bounded else (lambda low: lambda r: low.contains(r["keyword"]))
+    # a plain search first: patterns are made for the phrases that a text holds at all
+    meets = lambda low: lambda r: low.contains(r["keyword"]) & phrase_in(low, r["keyword"]) if bounded else low.contains(r["keyword"])
     return let(F.lower(text), lambda low: F.filter(every, meets(low)))
 
 
