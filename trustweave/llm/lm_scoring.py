@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from . import textkit as tk
 
-OWN, LEAST, TAILS = 8_192, 10, 32
+OWN, LEAST, TAILS = 16_384, 10, 32
 #: So many of the most frequent words travel with their counts to every task; the rest are joined.
 LISTED = 1 << 20
 WIDTH, ORDER = 16, 2
