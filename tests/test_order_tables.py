@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
+from trustweave.sources import connectors
 
 
 def _lines(spark, folder, rows):
@@ -23,3 +24,11 @@ def test_contradictions_with_one_first_row(spark, tmp_path):
     again = [(3, 1, 3, 0, 4.0)] * 3 + [(4, 1, 3, 0, 9.0)] * 2
     _lines(spark, tmp_path, many + again)
     assert len(_same(spark, tmp_path, "contradiction_pairs")) == 4
+
+
+def test_rich_texts_join_nothing(spark):
+    items = spark.createDataFrame([(1, '{"text":"a","content":[{"text":"b","content":[{"text":"c"}]},{"text":3},{"text":"d"}]}'), (2, None), (3, "{"), (4, '[{"text":" e "},{"content":5}]')], "k long, tree string")
+    out = connectors.rich_texts(items, "tree", "said")
+    assert {r.k: r.said for r in out.collect()} == {1: "a b c d", 2: "", 3: "", 4: "e"}
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan

@@ -53,28 +53,32 @@ def confluence(items: DataFrame) -> DataFrame:
 def rich_texts(items: DataFrame, tree: str, into: str) -> DataFrame:
     """``items`` with the text of the rich-text tree (JSON) in column ``tree`` added as ``into``: the texts of its nodes, a node's before its children's, with single blanks between.
 
-    Null and broken JSON are empty; ``content`` that is no list and ``text`` that is no string don't count. The tree is taken apart level by level, all rows at once: a level's
-    children are written, so there is a pass for each level of the deepest tree and none holds more than one level.
+    Null and broken JSON are empty; ``content`` that is no list and ``text`` that is no string don't count. The trees are taken apart level by level, all rows at once: a row carries the
+    nodes of its next level and the texts found so far, so nothing is joined or shuffled. There is a pass for each level of the deepest tree, and only rows with a level left are written again.
     """
-    rows = cut(items.drop(into).withColumn("_row", F.monotonically_increasing_id()))
     root = F.try_parse_json(F.col(tree))
-    level = rows.select("_row", F.array().cast("array<int>").alias("path"), root.alias("node")).where("node IS NOT NULL")
-    found = None
+    nodes = F.filter(F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"))), lambda n: n["node"].isNotNull())
+    level = cut(items.drop(into).withColumn("_nodes", nodes).withColumn("_texts", F.array().cast("array<struct<path:array<int>,text:string>>")))
+
+    def text(n):
+        said = F.try_variant_get(n["node"], "$.text", "variant")
+        return F.struct(n["path"].alias("path"), F.when(F.schema_of_variant(said) == "STRING", F.try_variant_get(n["node"], "$.text", "string")).alias("text"))
+
+    def children(n):
+        found = F.coalesce(F.try_variant_get(n["node"], "$", "array<variant>"), F.try_variant_get(n["node"], "$.content", "array<variant>"), F.array().cast("array<variant>"))
+        return F.filter(F.transform(found, lambda c, i: F.struct(F.concat(n["path"], F.array(i)).alias("path"), c.alias("node"))), lambda x: x["node"].isNotNull())
+
+    done = None
     while True:
-        level = cut(level)
-        if level.isEmpty():
+        ready = level.where(F.size("_nodes") == 0)
+        done = ready if done is None else done.unionByName(ready)
+        left = level.where(F.size("_nodes") > 0)
+        if left.isEmpty():
             break
-        said = F.try_variant_get("node", "$.text", "variant")
-        own = level.where(F.schema_of_variant(said) == "STRING").select("_row", "path", F.try_variant_get("node", "$.text", "string").alias("text"))
-        found = own if found is None else found.unionByName(own)
-        children = F.coalesce(F.try_variant_get("node", "$", "array<variant>"), F.try_variant_get("node", "$.content", "array<variant>"))
-        level = level.select("_row", "path", F.posexplode(children).alias("_at", "node")).where("node IS NOT NULL").select("_row", F.concat("path", F.array("_at")).alias("path"), "node")
-    blank = F.lit("").alias(into)
-    if found is None:
-        return rows.drop("_row").select("*", blank)
-    words = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "text"))), lambda x: x["text"]), " ")
-    texts = found.groupBy("_row").agg(F.trim(F.regexp_replace(words, r"(?U)\s+", " ")).alias(into))
-    return rows.join(texts, "_row", "left").withColumn(into, F.coalesce(into, F.lit(""))).drop("_row")
+        own = F.filter(F.transform("_nodes", text), lambda x: x["text"].isNotNull())
+        level = cut(left.withColumns({"_texts": F.concat("_texts", own), "_nodes": F.flatten(F.transform("_nodes", children))}))
+    words = F.array_join(F.transform(F.sort_array("_texts"), lambda x: x["text"]), " ")
+    return done.withColumn(into, F.trim(F.regexp_replace(words, r"(?U)\s+", " "))).drop("_nodes", "_texts")
 
 
 def jira(items: DataFrame) -> DataFrame:
