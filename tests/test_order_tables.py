@@ -1,8 +1,11 @@
 """Queries over the order tables on small tables with odd keys."""
 
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
+from trustweave import scratch
+from trustweave.operators import answer, ingest, reputation, standing
 from trustweave.sources import connectors
 
 
@@ -32,3 +35,27 @@ def test_rich_texts_join_nothing(spark):
     assert {r.k: r.said for r in out.collect()} == {1: "a b c d", 2: "", 3: "", 4: "e"}
     plan = out._jdf.queryExecution().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("step", ["cite", "classify", "answer_graph", "sums"])
+def test_parts_follow_the_rows(spark, monkeypatch, step):
+    # 200 rows at 10 a part: more parts than the session's four, and Spark must not join them again
+    monkeypatch.setattr(scratch, "ROWS", 10)
+    x = spark.range(200)
+    if step == "cite":
+        out = answer.cite(x.selectExpr("id AS q", "1 AS pos", "2 AS doc"), "q", ["pos"], "doc")
+    elif step == "classify":
+        rows = x.selectExpr("id", "'h' AS content_hash", "'active' AS status")
+        out = ingest.classify(rows.drop("status"), rows)
+        assert out.where("change = 'unchanged'").count() == 200
+    elif step == "answer_graph":
+        cited = x.selectExpr("id AS question_id", "string(id) AS doc_id", "'evidence' AS role")
+        edges = x.selectExpr("id AS person_id", "'owns' AS rel", "'doc' AS dst_kind", "string(id) AS dst_id")
+        docs, asked = x.selectExpr("string(id) AS id", "array('t') AS topics"), x.selectExpr("id AS question_id", "'t' AS topic")
+        out = reputation.answer_graph(cited, edges, docs, asked, x, x.selectExpr("id AS question_id", "id AS person_id"))[1]
+        assert out.count() == 400
+    else:
+        edges = x.selectExpr("id AS person_id", "'owns' AS rel", "'topic' AS dst_kind", "'t' AS dst_id", "DATE '2000-01-01' AS at")
+        docs = x.selectExpr("string(id) AS id", "array('t') AS topics", "'A' AS country", "'wiki' AS doc_type")
+        out = standing.sums(edges, docs, "2000-01-01")
+    assert out.rdd.getNumPartitions() >= 20

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..scratch import spread
 from .trust import confidence
 
 
@@ -105,7 +106,7 @@ def strong(candidates: DataFrame) -> DataFrame:
 def cite(rows: DataFrame, by: str, order: list[str], doc: str, prefix: str = "E") -> DataFrame:
     """Numbers of cited documents in order of their first citation."""
     w = Window.partitionBy(by).orderBy(*order)
-    firsts = rows.withColumn("_at", F.row_number().over(w)).withColumn("_first", F.min("_at").over(Window.partitionBy(by, doc)))
+    firsts = spread(rows, by).withColumn("_at", F.row_number().over(w)).withColumn("_first", F.min("_at").over(Window.partitionBy(by, doc)))
     number = F.dense_rank().over(Window.partitionBy(by).orderBy("_first"))
     return firsts.withColumn("cite_id", F.concat(F.lit(prefix), number.cast("string"))).drop("_at", "_first")
 
