@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as t
+from ..scratch import spread
 from ..sources import connectors
 from . import understand
 
@@ -36,7 +37,7 @@ def classify(batch: DataFrame, current: DataFrame) -> DataFrame:
     Changed content brings archived and outdated documents back; retracted ones stay retracted, and unchanged ones keep their status.
     """
     old = current.select("id", F.col("content_hash").alias("old_hash"), F.col("status").alias("old_status"))
-    rows = batch.join(old, "id", "left")
+    rows = spread(batch, "id", rows=batch.count() + current.count()).join(old, "id", "left")
     change = F.when(F.col("old_hash").isNull(), "inserted").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
     back = F.col("old_status").isNull() | ((change == "updated") & F.col("old_status").isin("archived", "needs_update"))
     return rows.withColumn("change", change).withColumn("status", F.when(back, "active").otherwise(F.col("old_status"))).drop("old_hash", "old_status")
