@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..scratch import spread
 from .trust import channel, lookup
 
 KEY = ["person_id", "kind", "topics", "country"]
@@ -26,7 +27,7 @@ def sums(edges: DataFrame, docs: DataFrame, day: str) -> DataFrame:
     d = docs.select(F.col("id").alias("dst_id"), topics.alias("topics"), "country", channel(F.col("doc_type")).alias("_c"))
     on_docs = edges.where("dst_kind = 'doc'").join(d, "dst_id").where(F.size("topics") > 0).select("person_id", F.lit("doc").alias("kind"), "topics", "country", (base * F.col("_c")).alias("w"))
     on_topics = edges.where("dst_kind = 'topic'").select("person_id", F.lit("topic").alias("kind"), F.array("dst_id").alias("topics"), F.lit(None).cast("string").alias("country"), base.alias("w"))
-    rows = on_docs.unionByName(on_topics).groupBy(*KEY).agg(F.sum("w").alias("total"), F.count("*").alias("events"))
+    rows = spread(on_docs.unionByName(on_topics), "person_id", rows=edges.count()).groupBy(*KEY).agg(F.sum("w").alias("total"), F.count("*").alias("events"))
     return rows.withColumn("day", F.lit(day).cast("date"))
 
 
@@ -36,11 +37,12 @@ def removed(state: DataFrame) -> DataFrame:
 
 
 def merged(states: list[DataFrame], day: str) -> DataFrame:
-    """Sums of several states, each of any day, as of ``day``. What has no events left is dropped."""
+    """Sums of several states, each of any day, as of ``day``. What has no events left is dropped. States are counted, so they should be written."""
     rows = states[0]
     for s in states[1:]:
         rows = rows.unionByName(s)
-    rows = rows.withColumn("total", F.col("total") * _decay(day, F.col("day"))).groupBy(*KEY).agg(F.sum("total").alias("total"), F.sum("events").alias("events"))
+    rows = rows.withColumn("total", F.col("total") * _decay(day, F.col("day")))
+    rows = spread(rows, "person_id").groupBy(*KEY).agg(F.sum("total").alias("total"), F.sum("events").alias("events"))
     return rows.where("events <> 0").withColumn("day", F.lit(day).cast("date"))
 
 
@@ -51,7 +53,7 @@ def scored(state: DataFrame, asks: DataFrame, people: DataFrame, day: str) -> Da
     """
     one = asks.select(*asks.columns, F.explode(F.array_distinct("topics")).alias("_topic")).withColumnsRenamed({"topics": "_asked", "country": "_country"})
     rows = state.withColumn("_topic", F.explode("topics"))
-    met = rows.join(one, ["_topic", "person_id"] if "person_id" in asks.columns else "_topic").dropDuplicates(["ask_id", *KEY])
+    met = spread(rows.join(one, ["_topic", "person_id"] if "person_id" in asks.columns else "_topic"), "person_id", rows=state.count()).dropDuplicates(["ask_id", *KEY])
     far = (F.col("kind") == "doc") & F.col("_country").isNotNull() & F.col("country").isNotNull() & (F.col("_country") != F.col("country"))
     w = F.col("total") * _decay(day, F.col("day")) * F.when(far, 0.3).otherwise(1.0)
     sums_ = met.groupBy("ask_id", "person_id").agg(F.sum(w).alias("s"), F.sum("events").alias("events"))

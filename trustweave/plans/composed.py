@@ -450,10 +450,10 @@ def kept_standing(spark, d):
     )
     country = F.when(F.col("p_size") % 3 == 0, "A").when(F.col("p_size") % 3 == 1, "B")
     docs = _t(spark, d, "part").select(p.cast("string").alias("id"), F.array(F.concat(F.lit("t"), p % 3), F.concat(F.lit("t"), p % 2)).alias("topics"), country.alias("country"), F.when(p % 2 == 0, "policy").otherwise("chat").alias("doc_type"))
-    first, second = standing.sums(edges.where("person_id % 2 = 0"), docs, "1996-05-01"), standing.sums(edges.where("person_id % 2 = 1"), docs, "1999-01-31")
-    back = standing.removed(standing.sums(edges.where(k % 11 == 0), docs, "2000-02-29"))
-    state = standing.merged([standing.merged([first, second], "1999-06-30"), back], "2001-01-01")
-    asks = spark.createDataFrame([(1, ["t0", "t1"], "A"), (2, ["t1"], None), (3, ["t2", "t3"], "B")], "ask_id int, topics array<string>, country string")
+    first, second = scratch_cut(standing.sums(edges.where("person_id % 2 = 0"), docs, "1996-05-01")), scratch_cut(standing.sums(edges.where("person_id % 2 = 1"), docs, "1999-01-31"))
+    back = standing.removed(scratch_cut(standing.sums(edges.where(k % 11 == 0), docs, "2000-02-29")))
+    state = scratch_cut(standing.merged([scratch_cut(standing.merged([first, second], "1999-06-30")), back], "2001-01-01"))
+    asks = F.broadcast(spark.createDataFrame([(1, ["t0", "t1"], "A"), (2, ["t1"], None), (3, ["t2", "t3"], "B")], "ask_id int, topics array<string>, country string"))  # three rows: no sum is shuffled by its few topics
     people = edges.select(F.col("person_id").alias("id")).distinct().withColumn("seniority_years", (F.col("id") % 14).cast("int"))
     return standing.scored(state, asks, people, AS_OF).select("ask_id", "person_id", "events", F.round("normalised", 6).alias("normalised"))
 
