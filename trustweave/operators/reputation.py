@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..scratch import spread
 from .trust import channel, lookup
 
 
@@ -71,13 +72,15 @@ def answer_graph(cited: DataFrame, edges: DataFrame, docs: DataFrame, asked: Dat
     ``people``: id; ``experts_``: question_id, person_id. People are linked to cited documents; experts to the topics that are asked about; documents
     to those topics. Returns (question_id, doc_id, roles) and distinct (question_id, src, rel, dst).
     """
-    nodes = cited.groupBy("question_id", "doc_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    n = cited.count()
+    nodes = spread(cited, "question_id", rows=n).groupBy("question_id", "doc_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
     named = edges.join(people.select(F.col("id").alias("person_id")).distinct(), "person_id", "left_semi")
     node = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
-    by_doc = named.where("dst_kind = 'doc'").join(nodes.select("question_id", F.col("doc_id").alias("dst_id")), "dst_id")
+    by_doc = named.where("dst_kind = 'doc'").join(spread(nodes.select("question_id", F.col("doc_id").alias("dst_id")), "dst_id", rows=n), "dst_id")
     by_topic = named.where("dst_kind = 'topic'").join(asked.select("question_id", F.col("topic").alias("dst_id")), "dst_id").join(experts_.select("question_id", "person_id").distinct(), ["question_id", "person_id"], "left_semi")
-    about = nodes.join(docs.select(F.col("id").alias("doc_id"), F.explode("topics").alias("topic")), "doc_id").join(asked, ["question_id", "topic"], "left_semi")
+    about = spread(nodes, "doc_id", rows=n).join(docs.select(F.col("id").alias("doc_id"), F.explode("topics").alias("topic")), "doc_id").join(asked, ["question_id", "topic"], "left_semi")
     links = by_doc.select("question_id", node("person", "person_id").alias("src"), "rel", node("doc", "dst_id").alias("dst"))
     links = links.unionByName(by_topic.select("question_id", node("person", "person_id").alias("src"), "rel", node("topic", "dst_id").alias("dst")))
     links = links.unionByName(about.select("question_id", node("doc", "doc_id").alias("src"), F.lit("about").alias("rel"), node("topic", "topic").alias("dst")))
-    return nodes, links.distinct()
+    # people, documents and topics of a citation make some three links
+    return nodes, spread(links, "question_id", rows=3 * n).distinct()
