@@ -17,6 +17,8 @@ SAMPLE, BYTES, BLOCK = 16_384, 64 << 20, 2_000
 #: Probes are chosen so that this share of the nearest is found within the sample, for so many questions taken from it.
 TARGET, TRIED = 0.97, 200
 STEPS = 12
+#: Chunks that a task looks at together, and similarities that it holds at a time.
+SLICE, PRODUCTS = 2048, 1 << 20
 
 
 @dataclass
@@ -110,24 +112,32 @@ def _best(shared, k: int):
     def run(batches):
         ids, q, asked = shared.value  # asked: cell -> numbers of questions
         kept = np.zeros(0, [("q", np.int32), ("chunk", np.int64), ("sim", np.float64)])
+        floor = np.full(len(ids), -np.inf)  # similarity of the last of k that are kept
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, chunk, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [kept]
-            x = _matrix(batch.column(2))
-            for c in np.unique(cell):
-                who, rows = asked.get(int(c)), np.flatnonzero(cell == c)
-                if who is None:
-                    continue
-                for lo in range(0, len(rows), 4096):
-                    part = rows[lo : lo + 4096]
-                    sim = np.round(x[part] @ q[who].T, 6)
-                    least = np.sort(sim, axis=0)[-k] if len(part) > k else np.full(len(who), -np.inf)
-                    at, which = np.nonzero(sim >= least)
-                    new = np.empty(len(at), kept.dtype)
-                    new["q"], new["chunk"], new["sim"] = who[which], chunk[part[at]], sim[at, which]
-                    found.append(new)
-            kept = top(np.concatenate(found))
+            for at in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(at, SLICE)
+                cell, chunk, found = piece.column(0).to_numpy(), piece.column(1).to_numpy(), [kept]
+                x = _matrix(piece.column(2))
+                for c in np.unique(cell):
+                    who, rows = asked.get(int(c)), np.flatnonzero(cell == c)
+                    if who is None:
+                        continue
+                    rows, vectors, step = rows[np.argsort(chunk[rows], kind="stable")], q[who].T, max(1, PRODUCTS // len(who))
+                    for lo in range(0, len(rows), step):
+                        part = rows[lo : lo + step]
+                        sim = x[part] @ vectors
+                        np.round(sim, 6, out=sim)
+                        least = np.maximum(floor[who], np.partition(sim, -k, axis=0)[-k] if len(part) > k else -np.inf)
+                        more, tied = sim > least, sim == least
+                        tied &= np.cumsum(tied, axis=0, dtype=np.int32) <= k  # equals in order of their ids
+                        row, which = np.nonzero(more | tied)
+                        new = np.empty(len(row), kept.dtype)
+                        new["q"], new["chunk"], new["sim"] = who[which], chunk[part[row]], sim[row, which]
+                        found.append(new)
+                if len(found) > 1:
+                    kept = top(np.concatenate(found))
+                    last = np.flatnonzero(np.bincount(kept["q"], minlength=len(ids)) == k)
+                    floor[last] = kept["sim"][np.searchsorted(kept["q"], last, side="right") - 1]
         yield pa.RecordBatch.from_arrays([pa.array(ids[kept["q"]]), pa.array(kept["chunk"]), pa.array(kept["sim"])], names=["query_id", "chunk_id", "sim"])
 
     return run
