@@ -16,6 +16,8 @@ from . import search
 
 #: Buckets that stems are dealt to, and batches between two merges.
 BUCKETS, MERGE = 64, 20
+#: Up to so many passages that later batches replaced are sent to the tasks that read postings (some 50 bytes each); with more, postings are shuffled.
+SENT = 2_000_000
 
 POSTINGS, PASSAGES = "stem string, passage_id {0}, positions array<int>, batch long", "passage_id {0}, live boolean, batch long"
 
@@ -42,7 +44,7 @@ def update(spark: SparkSession, folder: str, n: int, changed: DataFrame, gone: D
     if (n + 1) % merge == 0:
         kind = rows.schema["passage_id"].dataType.simpleString()
         base = n + 1 - merge
-        # files hold one bucket each, so what is left of them is written where it was read
+        # files hold one bucket each, so what is left of them is written where it was read; only where postings had to be shuffled their buckets are brought together again
         left, last = _left(spark, folder, n + 1, kind, merge, base).withColumn("batch", F.lit(n).cast("long")), passages(spark, folder, n + 1, kind, merge, base)
         _write(left, f"{folder}/postings/base-{n + 1}")
         last.withColumn("live", F.lit(True)).withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/passages/base-{n + 1}")
@@ -92,10 +94,14 @@ def _left(spark: SparkSession, folder: str, batches: int, kind: str, merge: int,
     for p in parts[1:]:
         rows = rows.unionByName(read(p))
     if len(parts) > 1:
-        marks = spark.read.schema(PASSAGES.format(kind)).parquet(*[f"{folder}/passages/{p}" for p in parts[1:]])
-        last = marks.groupBy("passage_id").agg(F.max("batch").alias("last"))
-        last = F.broadcast(last) if last.count() <= search.SENT else last
-        rows = rows.join(last, "passage_id", "left").where("last IS NULL OR batch >= last").drop("last")
+        # only what an earlier part holds can be replaced, so batches that add passages ask for nothing
+        marks = spark.read.schema(PASSAGES.format(kind)).parquet(*[f"{folder}/passages/{p}" for p in parts])
+        held = marks.groupBy("passage_id").agg(F.max("batch").alias("last"), F.min(F.when(F.col("live"), F.col("batch"))).alias("first"))
+        last = held.where("first < last").select(F.col("passage_id").alias("_id"), "last")
+        n = last.count()
+        if n:
+            rows = rows.join(F.broadcast(last) if n <= SENT else last, (F.col("passage_id") == F.col("_id")) & (F.col("batch") < F.col("last")), "left_anti")
+            rows = rows if n <= SENT else rows.hint("rebalance", F.col("bucket"))
     return rows
 
 
