@@ -18,6 +18,10 @@ from . import cells
 BLOCK = 2000
 #: Candidates that are sent to the chunks, so that no vector is shuffled for them; more are joined.
 FEW = 200_000
+#: Questions whose vectors are sent to the candidates; more are joined.
+ASKED = 10_000
+#: Documents in which something can be found.
+LIVE = "status IN ('active', 'needs_update')"
 #: Tokens of a block of questions, which bound what is sent.
 TOKENS = 1_000_000
 #: Passages that are compared with a block of questions at a time.
@@ -33,9 +37,9 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 15) -> DataFrame:
     return cells.exact(queries, chunks, k)
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """A written table, sent to the tasks in a join if it has ``FEW`` rows at most."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+def few(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """A written table, sent to the tasks in a join if it has ``most`` rows (``FEW``) at most."""
+    return F.broadcast(rows) if rows.count() <= (FEW if most is None else most) else rows
 
 
 def fuse(ranked: DataFrame, offset: int = 20) -> DataFrame:
@@ -109,11 +113,15 @@ def candidates(questions: DataFrame, chunks: DataFrame, docs: DataFrame, ranked:
     hold a query's words. Documents that are not active are left out before the nearest are taken. The two sets are joined by key, so no query meets all
     chunks but in ``knn``. fts is 0 where a chunk is among the nearest alone; the vectors of chunks are dropped.
     """
-    live = chunks.join(docs.where("status IN ('active', 'needs_update')"), "document_id")
+    return among(questions, chunks.join(docs.where(LIVE), "document_id"), ranked, k)
+
+
+def among(questions: DataFrame, live: DataFrame, ranked: DataFrame, k: int = 15) -> DataFrame:
+    """``candidates`` among chunks (chunk_id, vector, ...) of which all can be found."""
     near = knn(questions, live.select("chunk_id", "vector"), k).select("query_id", "chunk_id")
     words = ranked.select("query_id", "chunk_id", "fts")
     both = cut(near.withColumn("fts", F.lit(0.0)).unionByName(words).groupBy("query_id", "chunk_id").agg(F.max("fts").alias("fts")))
-    rows = live.join(few(both), "chunk_id").join(questions.select("query_id", F.col("vector").alias("_q")), "query_id")
+    rows = live.join(few(both), "chunk_id").join(few(questions.select("query_id", F.col("vector").alias("_q")), ASKED), "query_id")
     return rows.withColumn("sim", F.round(cosine(F.col("_q"), F.col("vector")), 6)).withColumn("fts", F.coalesce("fts", F.lit(0.0))).drop("_q", "vector")
 
 

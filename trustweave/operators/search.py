@@ -82,6 +82,27 @@ def postings(passages: DataFrame, stem: Stem = fulltext.english, wanted: DataFra
     return rows if few is None or small else rows.join(few, "stem", "left_semi")
 
 
+def _needed(index: DataFrame, pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The part of postings in which those of written ``pairs`` (question_id, clause, passage_id) are found, so that the others, which are most, are not shuffled.
+
+    The passages of clauses, ``SENT`` in all, are sent to the postings; of clauses with more of them, and of those with ``RAREST`` stems at most and over ``BLOCK`` passages, the stems are.
+    """
+    one = ["question_id", "clause"]
+    stems = asked.groupBy(*one).agg(F.count_distinct("stem").alias("_s"))
+    many = cut(pairs.groupBy(*one).agg(F.count("*").alias("_n")).join(stems, one).withColumn("_bits", F.when((F.col("_n") > BLOCK) & (F.col("_s") <= RAREST), 64).otherwise(F.length(F.bin("_n")))))
+    total, most = 0, 0
+    for r in many.where("_bits < 64").groupBy("_bits").agg(F.sum("_n").alias("n")).orderBy("_bits").collect():  # 63 rows at most
+        total += r.n
+        if total > SENT:
+            break
+        most = r._bits
+    few = F.broadcast if many.count() <= SENT else lambda df: df
+    own = pairs.join(few(many.where(F.col("_bits") <= most).select(*one)), one).select("passage_id").distinct().withColumn("_own", F.lit(True))
+    named = cut(asked.join(few(many.where(F.col("_bits") > most).select(*one)), one).select("stem").distinct()).withColumn("_named", F.lit(True))
+    named = F.broadcast(named) if named.count() <= SENT else named
+    return index.join(F.broadcast(own), "passage_id", "left").join(named, "stem", "left").where("_own OR _named").select(*index.columns)
+
+
 def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """Clauses of ``terms`` that passages meet by their postings: question_id, clause, passage_id.
 
@@ -111,7 +132,7 @@ def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = Non
     open_ = found.where("NOT plain")
     # places only where words must follow one another
     named = asked.join(size, [*item, "negated"])
-    hits = open_.select(*one, "passage_id").join(few(named), one).join(used, ["stem", "passage_id"])
+    hits = open_.select(*one, "passage_id").join(few(named), one).join(_needed(used, open_, asked), ["stem", "passage_id"])
     starts = F.when(F.col("n_words") > 1, F.transform("positions", lambda p: p - F.col("at")))
     held = hits.select(*item, "negated", "n_words", "passage_id", starts.alias("starts")).groupBy(*item, "negated", "n_words", "passage_id").agg(F.count("*").alias("n"), F.collect_list("starts").alias("s")).where("n = n_words")
     # the words of an item follow one another where one start suits them all
@@ -123,7 +144,7 @@ def matches(asked: DataFrame, index: DataFrame, passages: DataFrame | None = Non
 
 
 def density(met: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
-    """Cover density of what ``matches`` found: question_id, passage_id, rank.
+    """Cover density of what ``matches`` found, as written: question_id, passage_id, rank.
 
     A cover is a shortest stretch with all stems that a clause wants; each adds stems / (length + stems), and the clauses of a search are added up. What is met by
     absence alone has rank 0.
@@ -131,7 +152,7 @@ def density(met: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
     one = ["question_id", "clause", "passage_id"]
     wanted = asked.where("NOT negated").select("question_id", "clause", "stem").distinct()
     wanted = wanted.withColumn("need", F.count("*").over(Window.partitionBy("question_id", "clause")))
-    hits = met.join(wanted, ["question_id", "clause"]).join(index, ["stem", "passage_id"]).select(*one, "stem", "need", F.explode("positions").alias("pos"))
+    hits = met.join(wanted, ["question_id", "clause"]).join(_needed(index, met, wanted), ["stem", "passage_id"]).select(*one, "stem", "need", F.explode("positions").alias("pos"))
     # a hit is the last of its stem up to the next one; a cover starts at the earliest last hit and ends where all before it have come again
     of = Window.partitionBy(*one, "stem").orderBy("pos")
     hits = hits.withColumn("next", F.coalesce(F.lead("pos").over(of), F.lit((1 << 31) - 1))).withColumn("lead", F.when(F.lag("pos").over(of).isNull(), F.col("pos")))
