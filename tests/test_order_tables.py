@@ -29,6 +29,22 @@ def test_contradictions_with_one_first_row(spark, tmp_path):
     assert len(_same(spark, tmp_path, "contradiction_pairs")) == 4
 
 
+def test_contradictions_of_parts_of_a_number_and_signs(spark, tmp_path):
+    # numbers are rounded, halves to the even one, and less than nothing differs from more
+    rows = [(1, 1, 1, 0, 5.0)] + [(k, 1, 1, 0, q) for k, q in enumerate([4.5, 5.5, 4.6, 5.4, -5.0, -5.4, -0.4, 0.5, None, 14.5], 2)]
+    _lines(spark, tmp_path, rows + [(1, 1, 2, 0, -3.0), (2, 1, 2, 0, 3.0), (3, 1, 2, 0, -3.2), (1, 1, 3, 0, None), (2, 1, 3, 0, 4.0)])
+    assert len(_same(spark, tmp_path, "contradiction_pairs")) == 8
+    said = {(r.l_orderkey, r.l_linenumber, r.facts) for r in entry.queries()["fact_extract"](spark, str(tmp_path)).collect()}
+    assert said == set(duckdb.sql(entry.oracle_sql()["fact_extract"]).fetchall())
+
+
+def test_contradictions_whose_first_rows_tie_take_one_of_them(spark, tmp_path):
+    # the SQL leaves open which: all other rows of the part are held against the same one
+    _lines(spark, tmp_path, [(1, 1, 1, 0, 7.0), (1, 1, 1, 0, 5.0), (2, 1, 1, 0, 7.0), (3, 1, 1, 0, 8.0)])
+    found = sorted(map(tuple, entry.queries()["contradiction_pairs"](spark, str(tmp_path)).collect()))
+    assert found == [(1, 2, 1, 2), (1, 3, 1, 1)]
+
+
 def test_rich_texts_join_nothing(spark):
     items = spark.createDataFrame([(1, '{"text":"a","content":[{"text":"b","content":[{"text":"c"}]},{"text":3},{"text":"d"}]}'), (2, None), (3, "{"), (4, '[{"text":" e "},{"content":5}]')], "k long, tree string")
     out = connectors.rich_texts(items, "tree", "said")
